@@ -27,11 +27,17 @@ def fail_on_null(df: DataFrame, *cols: str) -> DataFrame:
     )
 
 
-def _add_offsets(df: DataFrame, by: list[str], bucket: str, order: list[Column], out: str, small: bool) -> DataFrame:
-    """1-based rank inside ``by`` from the count of earlier buckets plus the rank in its own."""
+def _add_offsets(df: DataFrame, by: list[str], bucket: str, order: list[Column], out: str, small: bool, total: str | None = None) -> DataFrame:
+    """1-based rank inside ``by`` from the count of earlier buckets plus the rank in its own.
+
+    ``small`` says that the number of buckets has a fixed bound, so their table may be broadcast.
+    """
     counts = df.groupBy(*by, bucket).agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*by, bucket, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    offsets = counts.select(
+        *by, bucket, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
+        *([F.sum("_n").over(Window.partitionBy(*by)).alias(total)] if total else []),
+    )
     if small:
         offsets = F.broadcast(offsets)
     inner = Window.partitionBy(*by, bucket).orderBy(*order)
@@ -42,12 +48,16 @@ def _add_offsets(df: DataFrame, by: list[str], bucket: str, order: list[Column],
     )
 
 
-def rank_by_hash(df: DataFrame, *, hash_col: str, by: list[str] | None = None, tie: list[str] = (), out: str) -> DataFrame:
-    """Rank by a hexadecimal hash column. Its first four digits are the bucket, so no task holds
-    more than about 1/65536 of a group."""
+def rank_by_hash(
+    df: DataFrame, *, hash_col: str, by: list[str] | None = None, tie: list[str] = (), out: str, total: str | None = None
+) -> DataFrame:
+    """1-based rank by a hexadecimal hash column, and the size of the group if ``total`` is named.
+
+    The first four digits are the bucket, so no task holds more than about 1/65536 of a group.
+    """
     work = fail_on_null(df, *(by or []), hash_col).withColumn("_b", F.substring(hash_col, 1, 4))
     order = [F.col(hash_col), *[F.col(c) for c in tie]]
-    return _add_offsets(work, list(by or []), "_b", order, out, small=False)
+    return _add_offsets(work, list(by or []), "_b", order, out, small=not by, total=total)
 
 
 def global_position(df: DataFrame, *, key: str, out: str, rows: int | None = None) -> DataFrame:
