@@ -1 +1,8 @@
 """DataFrame operators for tabular, retrieval, layout and conversation data on Spark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel with the job, so executors need no installation.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

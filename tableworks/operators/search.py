@@ -46,7 +46,7 @@ def _scores(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
         s = _unit(q) @ _unit(v).T
     elif metric == "l2":
         squares = (q * q).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2.0 * (q @ v.T)
-        s = -np.sqrt(np.maximum(squares, 0.0))
+        return -np.sqrt(np.round(np.maximum(squares, 0.0), DECIMALS)) + 0.0
     else:
         s = q @ v.T
     return np.round(s, DECIMALS) + 0.0
@@ -130,14 +130,14 @@ def _small_queries(queries: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
 
 def knn_topk(
     queries: DataFrame, vectors: DataFrame, *, k: int = 6, metric: str = "ip", query_id: str = "query_id",
-    query_vec: str = "embedding", id: str = "id", vec: str = "embedding", where=None, exclude_self: bool = False,
+    query_vec: str = "embedding", id: str = "id", vec: str = "embedding", exclude_self: bool = False,
     block_rows: int = BLOCK_ROWS, broadcast: bool | None = None,
 ) -> DataFrame:
     """Exact ``k`` nearest vectors per query: (query_id, id, rank, score).
 
     ``metric`` is ``ip``, ``cosine`` or ``l2`` (score is then the distance). Ids are unique
-    integers. Scores are compared at nine decimals, ties go to the lower id. ``where`` filters
-    vectors before the search.
+    integers. Scores are compared at nine decimals (squared distances for ``l2``), ties go to the
+    lower id.
 
     A query table within the broadcast bound is sent to the tasks that scan the vectors, which
     are not shuffled. Beyond the bound both sides are cut into blocks of about ``block_rows``
@@ -146,7 +146,7 @@ def knn_topk(
     if metric not in ("ip", "cosine", "l2"):
         raise ValueError(f"unknown metric {metric!r}")
     q = _pick(queries, query_id, query_vec)
-    v = _pick(vectors if where is None else vectors.where(where), id, vec)
+    v = _pick(vectors, id, vec)
     keep = k + 1 if exclude_self else k
     small = _small_queries(q) if broadcast is not False else None
     if small is not None:
@@ -183,14 +183,19 @@ def _block_pairs(queries: DataFrame, vectors: DataFrame, k: int, metric: str, bl
     left = blocked(queries, "qb", q_blocks, "vb", v_blocks)
     right = blocked(vectors, "vb", v_blocks, "qb", q_blocks)
 
-    def run(key, q: pa.Table, v: pa.Table) -> pa.Table:
+    return _cogrouped(left, right, ["qb", "vb"], k, metric)
+
+
+def _cogrouped(left: DataFrame, right: DataFrame, keys: list[str], k: int, metric: str) -> DataFrame:
+    """Best k per query inside each pair of bounded blocks with equal ``keys``."""
+    schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
+
+    def run(_, q: pa.Table, v: pa.Table) -> pa.Table:
         best = _Running(q.column("id").to_numpy(), _matrix(q.column("vec")), k, metric)
         best.add(v.column("id").to_numpy(), _matrix(v.column("vec")))
-        batches = list(best.batches())
-        schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
-        return pa.Table.from_batches(batches, schema=batches[0].schema if batches else schema)
+        return pa.Table.from_batches(best.batches(), schema=schema)
 
-    return left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInArrow(run, _CANDIDATES)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, _CANDIDATES)
 
 
 def knn_lsh(
@@ -224,17 +229,8 @@ def knn_lsh(
     blocks = F.broadcast(sizes.select("code", F.ceil(F.col("n") / block_rows).cast("int").alias("parts")))
     left = qc.join(blocks, "code").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     right = vc.join(blocks, "code").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts").cast("long")).cast("int")).drop("parts")
-    query_block = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-q.count() // block_rows)))).cast("int")
-    n_query_blocks = max(1, -(-q.count() // block_rows))
-    left = left.withColumn("qb", query_block)
-    right = right.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1))))
-
-    def run(key, qt: pa.Table, vt: pa.Table) -> pa.Table:
-        best = _Running(qt.column("id").to_numpy(), _matrix(qt.column("vec")), k, metric)
-        best.add(vt.column("id").to_numpy(), _matrix(vt.column("vec")))
-        batches = list(best.batches())
-        schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
-        return pa.Table.from_batches(batches, schema=batches[0].schema if batches else schema)
-
-    grouped = left.groupBy("code", "part", "qb").cogroup(right.groupBy("code", "part", "qb"))
-    return _ranked(grouped.applyInArrow(run, _CANDIDATES).distinct(), k, metric)
+    query_blocks = max(1, -(-q.count() // block_rows))
+    left = left.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(query_blocks)).cast("int"))
+    right = right.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+    candidates = _cogrouped(left, right, ["code", "part", "qb"], k, metric)
+    return _ranked(candidates.distinct(), k, metric)

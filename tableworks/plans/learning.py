@@ -247,7 +247,7 @@ for _name, _fit in [
     ("train_logistic", L.train_logistic), ("train_forest_classifier", L.train_forest_classifier),
 ]:
     _fitted(_name, _fit, labelled_orders, "o_orderstatus", "classification", ["o_orderkey"])
-_fitted("train_linear_svc", L.train_linear_svc, labelled_documents, "quality", "classification", ["doc_id"])
+_fitted("train_linear_svc", L.train_linear_svc, labelled_orders, "o_orderstatus", "classification", ["o_orderkey"])
 for _name, _fit in [
     ("train_ridge", L.train_ridge), ("train_forest_regressor", L.train_forest_regressor), ("train_linear_svr", L.train_linear_svr),
 ]:
