@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..fixed_values import (
     INPUT_REFUSAL, OUTPUT_REFUSAL, SAFETY_ENDING, SAFETY_FORMAT, SAFETY_TASK, SAFETY_TAXONOMY,
 )
+from ..functions.json import is_json
 
 VERDICT_SCHEMA = "`User Safety` STRING, `Response Safety` STRING, `Safety Categories` STRING"
 
@@ -33,7 +34,7 @@ def render_template(df: DataFrame, *, query: str, response: str | None = None, v
 
 def verdict(col: Column) -> Column:
     """Verdict text to a struct; what cannot be parsed is 'unknown' and kept raw."""
-    ok = F.try_parse_json(col).isNotNull()
+    ok = is_json(col)
     parsed = F.when(ok, F.from_json(col, VERDICT_SCHEMA))
     return F.struct(
         F.when(ok, parsed["User Safety"]).otherwise("unknown").alias("user_safety"),

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.json import is_json
 from ..functions.text import strip
 from .guards import fits, require_columns
 from .ordering import join_segments, last_value_before, position_in_group
@@ -95,7 +96,7 @@ def extract_tool_calls(msgs: DataFrame, *, calls: str = "tool_calls", first_only
     raw = F.col("_c.arguments")
     return exploded.select(
         *keep, F.col("call_no").cast("long").alias("call_no"), F.col("_c.id").alias("id"), F.col("_c.name").alias("name"),
-        F.when(F.try_parse_json(raw).isNotNull(), raw).otherwise("{}").alias("arguments"),
+        F.when(is_json(raw), raw).otherwise("{}").alias("arguments"),
     )
 
 

@@ -262,8 +262,8 @@ def budget_overrides(spark, sf):
 
 @query("truncate_reasoning", TOKENS_SQL + """,
 stops AS (SELECT *, list_min(list_filter(range(0, n + 1), lambda L: L >= budget AND (L >= budget + grace OR (L > 0 AND ids[L] = 1)))) AS s,
-                 list_min(list_filter(range(1, n + 1), lambda L: ids[L] = 13)) AS natural FROM limits),
-cuts AS (SELECT *, CASE WHEN role <> 'system' AND (natural IS NULL OR natural > s) THEN s END AS stop_at FROM stops),
+                 list_min(list_filter(range(1, n + 1), lambda L: ids[L] = 13)) AS nat FROM limits),
+cuts AS (SELECT *, CASE WHEN role <> 'system' AND (nat IS NULL OR nat > s) THEN s END AS stop_at FROM stops),
 kept AS (SELECT *, CASE WHEN stop_at >= 2 AND ids[stop_at - 1] = 5 AND ids[stop_at] = 6 THEN [99] WHEN stop_at >= 1 AND ids[stop_at] = 5 THEN [6, 99] ELSE [5, 6, 99] END AS tail FROM cuts)
 SELECT conv_id, turn, stop_at::INTEGER AS stop_at, array_to_string(CASE WHEN stop_at IS NULL THEN ids ELSE list_concat(ids[1:stop_at], tail) END, ',') AS kept_ids FROM kept""")
 def truncate_reasoning(spark, sf):

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.json import is_json
 from ..operators.ordering import global_position
 
 EXPERIMENT_SCHEMA = (
@@ -54,7 +55,7 @@ def read_jsonl_lenient(
     """One JSON record per line. Blank lines are skipped; broken ones are skipped too, or kept
     in ``bad_line`` with a null record."""
     lines = spark.read.text(path).select(F.trim("value").alias("_line")).where(F.length("_line") > 0)
-    ok = F.try_parse_json("_line").isNotNull()
+    ok = is_json(F.col("_line"))
     if not keep_bad:
         return lines.where(ok).select(F.from_json("_line", schema).alias("r")).select("r.*")
     return lines.select(
