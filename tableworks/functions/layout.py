@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,40 +46,87 @@ def cleaned_md(col: Column) -> Column:
     return strip(F.replace(F.regexp_replace(col, r"\\([#>*_`~\-+!\[\]()])", "$1"), F.lit("•"), F.lit("-")))
 
 
-CELLS = "array<struct<row:bigint,col:bigint,rowspan:bigint,colspan:bigint,content:string>>"
+_SPAN = r"(?s)^\\multi(column|row)\{(\d+)\}\{[^}]*\}\{(.*)\}\s*$"
+_COVERED = "array<struct<row:bigint,start:bigint,end:bigint>>"
+_CELLS = "array<struct<row:bigint,col:bigint,rowspan:bigint,colspan:bigint,content:string>>"
 
-_SPAN = re.compile(r"\\multi(column|row)\{(\d+)\}\{[^}]*\}\{(.*)\}\s*$", re.DOTALL)
 
+def _long(value: int) -> Column:
+    return F.lit(value).cast("long")
 
-def _unwrap(cell: str) -> tuple[str, int, int]:
-    spans = {"row": 1, "column": 1}
-    while match := _SPAN.match(cell):
-        spans[match[1]] = int(match[2])
-        cell = match[3].strip()
-    return cell, spans["row"], spans["column"]
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-def _place(grid: list[list[str]]) -> list[tuple[int, int, int, int, str]]:
-    """Cells of one table with their columns, given what earlier row spans still cover."""
-    covered: list[list[tuple[int, int]]] = [[] for _ in grid]
-    out, row_no = [], 0
-    for r, cells in enumerate(grid):
-        col = 0
-        for cell in cells:
-            while hit := [end for start, end in covered[r] if start <= col < end]:
-                col = max(hit)
-            content, rowspan, colspan = _unwrap(cell)
-            out.append((row_no, col, max(1, rowspan), max(1, colspan), content))
-            for below in range(r + 1, min(r + rowspan, len(grid))):
-                if colspan > 0:
-                    covered[below].append((col, col + colspan))
-            col += colspan
-        row_no += bool(len(cells))
-    return out
+
+def _unwrapped(cell: Column) -> Column:
+    """A cell without its span commands, as many levels as it has, and the spans they state."""
+    levels = F.size(F.split(cell, r"\\multi(?:column|row)\{")) - 1
+
+    def peel(acc: Column, _: Column) -> Column:
+        hit = acc["content"].rlike(_SPAN)
+        kind, count = F.regexp_extract(acc["content"], _SPAN, 1), F.regexp_extract(acc["content"], _SPAN, 2).try_cast("long")
+        return F.struct(
+            F.when(hit, strip(F.regexp_extract(acc["content"], _SPAN, 3))).otherwise(acc["content"]).alias("content"),
+            F.when(hit & (kind == "row"), count).otherwise(acc["rowspan"]).alias("rowspan"),
+            F.when(hit & (kind == "column"), count).otherwise(acc["colspan"]).alias("colspan"),
+        )
+
+    start = F.struct(cell.alias("content"), _long(1).alias("rowspan"), _long(1).alias("colspan"))
+    return F.aggregate(F.slice(F.sequence(F.lit(0), levels), 2, levels), start, peel)
+
+
+def _placed(grid: Column) -> Column:
+    """Cells of a table with spans and their columns: a cell takes the first column that no row
+    span from above covers."""
+    height = F.size(grid).cast("long")
+    rows = F.transform(grid, lambda cells, i: F.struct(F.transform(cells, _unwrapped).alias("cells"), i.cast("long").alias("no")))
+
+    def place_row(acc: Column, row: Column) -> Column:
+        def place(state: Column, cell: Column) -> Column:
+            above = F.array_sort(F.filter(state["covered"], lambda c: c["row"] == row["no"]))
+            free = F.aggregate(above, state["col"], lambda at, c: F.when((c["start"] <= at) & (at < c["end"]), c["end"]).otherwise(at))
+            last = F.least(row["no"] + cell["rowspan"], height) - 1
+            below = F.when(last > row["no"], F.sequence(row["no"] + 1, last)).otherwise(F.array().cast("array<bigint>"))
+
+            def put(col: Column) -> Column:
+                placed = F.struct(
+                    acc["shown"].alias("row"), col.alias("col"), F.greatest(_long(1), cell["rowspan"]).alias("rowspan"),
+                    F.greatest(_long(1), cell["colspan"]).alias("colspan"), cell["content"].alias("content"),
+                )
+                shadow = F.transform(below, lambda r: F.struct(r.alias("row"), col.alias("start"), (col + cell["colspan"]).alias("end")))
+                return F.struct(
+                    (col + cell["colspan"]).alias("col"), F.concat(state["covered"], shadow).alias("covered"),
+                    F.concat(state["out"], F.array(placed)).alias("out"),
+                )
+
+            return _let(free, put)
+
+        begin = F.struct(_long(0).alias("col"), acc["covered"].alias("covered"), acc["out"].alias("out"))
+        done = F.aggregate(row["cells"], begin, place, lambda s: F.struct(s["covered"].alias("covered"), s["out"].alias("out")))
+        shown = acc["shown"] + F.when(F.size(row["cells"]) > 0, _long(1)).otherwise(_long(0))
+        return F.struct(done["covered"].alias("covered"), done["out"].alias("out"), shown.alias("shown"))
+
+    start = F.struct(F.array().cast(_COVERED).alias("covered"), F.array().cast(_CELLS).alias("out"), _long(0).alias("shown"))
+    return F.aggregate(rows, start, place_row, lambda s: s["out"])
+
+
+def _plain(grid: Column) -> Column:
+    """Cells of a table without spans."""
+
+    def cell(row: Column, col: Column, content: Column) -> Column:
+        return F.struct(
+            row.cast("long").alias("row"), col.cast("long").alias("col"), _long(1).alias("rowspan"), _long(1).alias("colspan"),
+            content.alias("content"),
+        )
+
+    rows = F.filter(grid, lambda r: F.size(r) > 0)
+    return F.flatten(F.transform(rows, lambda r, i: F.transform(r, lambda c, j: cell(i, j, c))))
 
 
 def latex_cells(col: Column, compat: bool = True) -> Column:
-    """Cells of a LaTeX table. Only tables with spans are placed in Python, from an Arrow batch."""
+    """Cells of a LaTeX table: row, col, rowspan, colspan, content. Empty cells are no cells."""
     tabular = r"(?s)\\begin\{tabular\}\{[^}]*\}(.*?)\\end\{tabular\}"
     body = F.regexp_replace(F.when(col.rlike(tabular), F.regexp_extract(col, tabular, 1)).otherwise(col), r"\\hline", "")
 
@@ -92,23 +136,8 @@ def latex_cells(col: Column, compat: bool = True) -> Column:
     grid = F.transform(parts(body, r"(?<!\\)\\\\"), lambda r: parts(r, r"(?<!\\)&"))
     spans = F.contains(col, F.lit("\\multi"))
 
-    @F.pandas_udf(CELLS)
-    def placed(grids: pd.Series) -> pd.Series:
-        return grids.map(lambda g: None if g is None else [dict(zip(("row", "col", "rowspan", "colspan", "content"), c)) for c in _place([list(r) for r in g])])
-
-    one = F.lit(1).cast("long")
-    plain = F.flatten(
-        F.transform(
-            F.filter(grid, lambda r: F.size(r) > 0),
-            lambda r, i: F.transform(
-                r, lambda c, j: F.struct(i.cast("long").alias("row"), j.cast("long").alias("col"), one.alias("rowspan"), one.alias("colspan"), c.alias("content"))
-            ),
-        )
-    )
-    cells = F.when(spans, placed(F.when(spans, grid))).otherwise(plain)
-    return F.transform(
-        cells, lambda c: F.struct(c["row"].alias("row"), c["col"].alias("col"), c["rowspan"].alias("rowspan"), c["colspan"].alias("colspan"), cleaned_latex(c["content"], compat).alias("content"))
-    )
+    cells = _let(grid, lambda g: F.when(spans, _placed(g)).otherwise(_plain(g)))
+    return F.transform(cells, lambda c: c.withField("content", cleaned_latex(c["content"], compat)))
 
 
 def latex_html(latex: Column, cells: Column) -> Column:

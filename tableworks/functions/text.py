@@ -9,9 +9,16 @@ from pyspark.sql import functions as F
 PREFIXES = {"passage": "passage: ", "query": "query: "}
 
 
+# The characters that count as white space at the ends of a text.
+WHITE_SPACE = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(col: Column) -> Column:
     """Trim every kind of white space on both ends."""
-    return F.regexp_replace(col, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    return F.btrim(col, F.lit(WHITE_SPACE))
 
 
 def words(col: Column) -> Column:

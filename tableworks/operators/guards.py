@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +27,16 @@ def present(df: DataFrame, name: str):
     return F.when(~is_missing(df, name), F.col(f"`{name}`"))
 
 
+def posexploded(df: DataFrame, keep: list, array: Column, pos: str, item: str) -> DataFrame:
+    """Kept columns with one row per array element, its 0-based position and the element.
+
+    A plain ``posexplode`` of a computed array makes Spark test its size first, which computes
+    the array twice; the outer form does not, and its row for an empty array is left out again.
+    """
+    rows = df.select(*keep, F.posexplode_outer(array).alias(pos, item)).where(F.col(pos).isNotNull())
+    return rows.withColumn(pos, F.col(pos).cast("long"))
+
+
 def fits(df: DataFrame, rows: int) -> bool:
     """True when ``df`` has at most ``rows`` rows; reads no more than that many."""
     return df.limit(rows + 1).count() <= rows

@@ -9,7 +9,8 @@ from ..fixed_values import ALLOWED_ATTRS, ALLOWED_TAGS
 from ..functions import layout as Y
 from ..functions.html import cleaned_html
 from ..functions.text import strip
-from .ordering import join_segments, last_value_before
+from .guards import posexploded
+from .ordering import BUCKET_WIDTH, join_segments, last_value_before
 
 SPECIAL = ["Table", "Formula", "Title", "Section-header", "Caption", "Footnote"]
 
@@ -19,7 +20,7 @@ def parse_blocks_json(df: DataFrame, *, col: str = "arguments", out: str = "bloc
 
 
 def _exploded(df: DataFrame, blocks: str) -> DataFrame:
-    return df.select(*[c for c in df.columns if c != blocks], F.posexplode(blocks).alias("id", "_b")).withColumn("id", F.col("id").cast("long"))
+    return posexploded(df, [c for c in df.columns if c != blocks], F.col(blocks), "id", "_b")
 
 
 def blocks_preview(df: DataFrame, *, blocks: str = "blocks", n: int = 200) -> DataFrame:
@@ -80,7 +81,7 @@ def _line(kind: Column, text: Column, table: Column) -> Column:
     )
 
 
-def page_markdown(blocks: DataFrame, *, page: list[str], order: str = "id", type: str = "type", text: str = "text") -> DataFrame:
+def page_markdown(blocks: DataFrame, *, page: list[str], order: str = "id", type: str = "type", text: str = "text", width: int = BUCKET_WIDTH) -> DataFrame:
     """Markdown per page: (page columns, segment, markdown).
 
     A page of up to a few thousand blocks has one segment; the segments of a longer one, joined
@@ -91,14 +92,14 @@ def page_markdown(blocks: DataFrame, *, page: list[str], order: str = "id", type
     rows = rows.where(F.col("_t") != "")
     kind = F.col("_k")
     rows = rows.withColumn("_event", F.when(kind == "List-item", 1).when(kind.isin(SPECIAL), 0))
-    rows = last_value_before(rows, by=page, order="_o", value="_event", out="_open")
+    rows = last_value_before(rows, by=page, order="_o", value="_event", out="_open", width=width)
     # the LaTeX of other blocks is not looked at
     rows = rows.withColumn("_latex", F.when(kind == "Table", F.col("_t"))).withColumn("_cells", Y.latex_cells(F.col("_latex")))
     table = Y.latex_html(F.col("_latex"), F.col("_cells"))
     opened = F.when((F.col("_open") == 1) & kind.isin(SPECIAL), "\n").otherwise("")
     ended = F.when(kind == "List-item", "").otherwise("\n")
     parts = rows.select(*page, "_o", F.concat(opened, _line(kind, F.col("_t"), table), ended).alias("_p"))
-    out = join_segments(parts, by=page, position="_o", parts={"markdown": "_p"}, sep="\n")
+    out = join_segments(parts, by=page, position="_o", parts={"markdown": "_p"}, sep="\n", width=width)
     last = F.col("segment") == F.max("segment").over(Window.partitionBy(*page))
     return out.withColumn("markdown", F.when(last, F.regexp_replace("markdown", r"\s+$", "")).otherwise(F.col("markdown")))
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 BUCKET_WIDTH = 4096
 MAX_RANGES = 8192
 ROWS_PER_RANGE = 250_000
+MAX_DIGITS = 6
 
 
 def _bucket_of(order: str, width: int) -> Column:
@@ -49,15 +50,19 @@ def _add_offsets(df: DataFrame, by: list[str], bucket: str, order: list[Column],
 
 
 def rank_by_hash(
-    df: DataFrame, *, hash_col: str, by: list[str] | None = None, tie: list[str] = (), out: str, total: str | None = None
+    df: DataFrame, *, hash_col: str, by: list[str] | None = None, tie: list[str] = (), out: str, total: str | None = None, rows: int
 ) -> DataFrame:
     """1-based rank by a hexadecimal hash column, and the size of the group if ``total`` is named.
 
-    The first four digits are the bucket, so no task holds more than about 1/65536 of a group.
+    Leading digits are the bucket; there are as many as keep a bucket of a table with ``rows``
+    rows near ``ROWS_PER_RANGE``, whatever the sizes of the groups.
     """
-    work = fail_on_null(df, *(by or []), hash_col).withColumn("_b", F.substring(hash_col, 1, 4))
+    digits = 1
+    while digits < MAX_DIGITS and rows > ROWS_PER_RANGE * 16**digits:
+        digits += 1
+    work = fail_on_null(df, *(by or []), hash_col).withColumn("_b", F.substring(hash_col, 1, digits))
     order = [F.col(hash_col), *[F.col(c) for c in tie]]
-    return _add_offsets(work, list(by or []), "_b", order, out, small=not by, total=total)
+    return _add_offsets(work, list(by or []), "_b", order, out, small=not by and digits <= 4, total=total)
 
 
 def global_position(df: DataFrame, *, key: str, out: str, rows: int | None = None) -> DataFrame:

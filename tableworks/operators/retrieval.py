@@ -14,13 +14,13 @@ from ..functions import text as TX
 from ..functions import vectors as V
 from ..functions.encoders import encode_with
 from ..functions.splitting import recursive_chunks
-from .guards import require_columns
+from .guards import posexploded, require_columns
 from .search import knn_topk
 
 
 def _exploded(df: DataFrame, key: str, chunks: Column) -> DataFrame:
     other = [c for c in df.columns if c not in (key, "chunk_no", "chunk")]
-    return df.select(key, *other, F.posexplode(chunks).alias("chunk_no", "chunk")).withColumn("chunk_no", F.col("chunk_no").cast("long"))
+    return posexploded(df, [key, *other], chunks, "chunk_no", "chunk")
 
 
 def chunk_fixed(df: DataFrame, *, text: str, key: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:

@@ -12,7 +12,7 @@ from .ordering import rank_by_hash
 def _hash_ranked(df: DataFrame, key: str, by: str | None, seed: int) -> DataFrame:
     require_columns(df, key, *([by] if by else []))
     hashed = df.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))))
-    return rank_by_hash(hashed, hash_col="_h", by=[by] if by else None, tie=[key], out="_rank", total="_total").drop("_h")
+    return rank_by_hash(hashed, hash_col="_h", by=[by] if by else None, tie=[key], out="_rank", total="_total", rows=df.count()).drop("_h")
 
 
 def _with_split(ranked: DataFrame, test_size: float) -> DataFrame:

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from ..functions.json import is_json
 from ..functions.text import strip
-from .guards import fits, require_columns
-from .ordering import join_segments, last_value_before, position_in_group
+from .guards import fits, posexploded, require_columns
+from .ordering import BUCKET_WIDTH, join_segments, last_value_before, position_in_group
 
 
 def thread_history(msgs: DataFrame, *, thread: str = "thread_id", order: str = "turn", role: str = "role", text: str = "text", system: str | None = None) -> DataFrame:
@@ -53,6 +53,7 @@ CHAT_TAGS = {
 def render_chat_prompt(
     msgs: DataFrame, *, thread: str = "thread_id", order: str = "turn", role: str = "role", text: str = "text",
     tags: dict[str, tuple[str, str]] = CHAT_TAGS, generation: bool = True, system: str | None = None,
+    width: int = BUCKET_WIDTH,
 ) -> DataFrame:
     """Role-tagged prompt per thread: (thread, segment, prompt). Threads of up to a few thousand
     messages have one segment."""
@@ -68,21 +69,21 @@ def render_chat_prompt(
         return F.coalesce(F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[F.col(role)], F.lit(""))
 
     parts = history.withColumn("_part", F.concat(lookup(opening), F.coalesce(text, F.lit("")), lookup(closing)))
-    return join_segments(parts, by=[thread], position="position", parts={"prompt": "_part"})
+    return join_segments(parts, by=[thread], position="position", parts={"prompt": "_part"}, width=width)
 
 
 def reasoning_mode(msgs: DataFrame, *, thread: str = "thread_id", order: str = "turn", role: str = "role", text: str = "text", default: str = "on") -> DataFrame:
     """Reasoning switch in force at each message: the last tag so far in a system or user text."""
-    tag = F.regexp_extract(text, r"(?s).*(/no_think|/think)\b", 1)
+    tag = F.regexp_extract(text, r"(?s)^.*(/no_think|/think)\b", 1)
     own = F.when(F.col(role).isin("system", "user"), F.when(tag == "/think", "on").when(tag == "/no_think", "off"))
     out = last_value_before(msgs.withColumn("_tag", own), by=[thread], order=order, value="_tag", out="mode", inclusive=True)
     return out.withColumn("mode", F.coalesce("mode", F.lit(default))).drop("_tag")
 
 
-def collect_stream_chunks(df: DataFrame, *, stream: str = "stream_id", order: str = "seq") -> DataFrame:
+def collect_stream_chunks(df: DataFrame, *, stream: str = "stream_id", order: str = "seq", width: int = BUCKET_WIDTH) -> DataFrame:
     """Ordered deltas to whole texts: (stream, segment, reasoning, content)."""
     placed = position_in_group(df.select(stream, order, "reasoning", "content"), by=[stream], order=order, out="position")
-    return join_segments(placed, by=[stream], position="position", parts={"reasoning": "reasoning", "content": "content"})
+    return join_segments(placed, by=[stream], position="position", parts={"reasoning": "reasoning", "content": "content"}, width=width)
 
 
 # --- tool calls -------------------------------------------------------------------------------
@@ -90,12 +91,12 @@ def collect_stream_chunks(df: DataFrame, *, stream: str = "stream_id", order: st
 
 def extract_tool_calls(msgs: DataFrame, *, calls: str = "tool_calls", first_only: bool = False, keep: list[str] = ("thread_id", "turn")) -> DataFrame:
     """One row per call: kept columns, call_no, id, name, arguments; arguments that are no JSON become {}."""
-    exploded = msgs.select(*keep, F.posexplode(calls).alias("call_no", "_c"))
+    exploded = posexploded(msgs, list(keep), F.col(calls), "call_no", "_c")
     if first_only:
         exploded = exploded.where(F.col("call_no") == 0)
     raw = F.col("_c.arguments")
     return exploded.select(
-        *keep, F.col("call_no").cast("long").alias("call_no"), F.col("_c.id").alias("id"), F.col("_c.name").alias("name"),
+        *keep, "call_no", F.col("_c.id").alias("id"), F.col("_c.name").alias("name"),
         F.when(is_json(raw), raw).otherwise("{}").alias("arguments"),
     )
 
@@ -188,9 +189,9 @@ def collaboration_log(
     one = F.array(F.struct(F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("arguments"), F.lit(False).alias("is_call")))
     called = F.transform(calls, lambda c: F.struct(c["name"].alias("name"), c["arguments"].alias("arguments"), F.lit(True).alias("is_call")))
     has_calls = (F.col(role) == "assistant") & (F.size(F.coalesce(F.col(calls), F.array().cast(msgs.schema[calls].dataType))) > 0)
-    items = placed.where(F.col(role).isin("user", "assistant", "tool")).select(
-        thread, (F.col("_pos") + 1).alias("step"), role, text, name, F.posexplode(F.when(has_calls, called).otherwise(one)).alias("call_no", "_i")
-    )
+    shown_roles = placed.where(F.col(role).isin("user", "assistant", "tool"))
+    kept = [thread, (F.col("_pos") + 1).alias("step"), role, text, name]
+    items = posexploded(shown_roles, kept, F.when(has_calls, called).otherwise(one), "call_no", "_i")
     is_call = F.col("_i.is_call")
     label = (
         F.when(is_call, "TOOL CALL").when(F.col(role) == "tool", "TOOL RESULT").when(F.col(role) == "user", "USER").otherwise("COORDINATOR")
@@ -201,7 +202,7 @@ def collaboration_log(
         .otherwise(_cut(F.col(text), text_len))
     )
     shown = F.when(is_call, F.coalesce("_i.name", F.lit("unknown"))).when(F.col(role) == "tool", F.coalesce(name, F.lit("unknown")))
-    return items.select(thread, "step", F.col("call_no").cast("long").alias("call_no"), label.alias("label"), shown.alias("name"), preview.alias("preview"))
+    return items.select(thread, "step", "call_no", label.alias("label"), shown.alias("name"), preview.alias("preview"))
 
 
 def clean_transcript(df: DataFrame, *, col: str = "transcript") -> DataFrame:

@@ -74,7 +74,7 @@ def collect_stream_chunks(spark, sf):
 
 def deltas(spark, sf):
     pieces = table(spark, sf, "conversations").select(
-        F.col("conv_id").alias("stream_id"), "turn", "role", F.posexplode(F.split("text", "(?= )")).alias("n", "piece")
+        F.col("conv_id").alias("stream_id"), "turn", "role", F.posexplode_outer(F.split("text", "(?= )")).alias("n", "piece")
     )
     seq = F.shiftleft(F.col("turn"), 32) + F.col("n")
     return pieces.select(
@@ -121,16 +121,16 @@ def extract_tool_calls_first(spark, sf):
 
 
 def tool_specs(spark):
-    rows = [
-        ("click", "k", "integer", True, None, None),
-        ("error", "k", "integer", True, None, None),
-        ("purchase", "amount", "number", True, None, "0"),
-        ("purchase", "shop", "string", True, None, None),
-        ("lookup", "user", "integer", True, None, None),
-        ("lookup", "unit", "string", False, ["celsius", "fahrenheit"], None),
-        ("view", None, None, None, None, None),
-    ]
-    return spark.createDataFrame(rows, "tool STRING, param STRING, type STRING, required BOOLEAN, enum ARRAY<STRING>, default STRING")
+    return spark.sql("""
+        SELECT * FROM VALUES
+          ('click', 'k', 'integer', true, CAST(NULL AS ARRAY<STRING>), CAST(NULL AS STRING)),
+          ('error', 'k', 'integer', true, NULL, NULL),
+          ('purchase', 'amount', 'number', true, NULL, '0'),
+          ('purchase', 'shop', 'string', true, NULL, NULL),
+          ('lookup', 'user', 'integer', true, NULL, NULL),
+          ('lookup', 'unit', 'string', false, array('celsius', 'fahrenheit'), NULL),
+          ('view', NULL, NULL, NULL, NULL, NULL)
+        AS specs(tool, param, type, required, enum, default)""")
 
 
 @query("validate_tool_calls", CALLS_SQL + """,

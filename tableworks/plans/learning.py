@@ -107,7 +107,7 @@ def one_hot(spark, sf):
     train, test = gap_parts(spark, sf)
     out = X.one_hot(train, test, cols=["c_mktsegment"])
     array = vector_to_array("c_mktsegment__onehot")
-    long = out.select("c_custkey", F.size(array).cast("long").alias("width"), F.posexplode(array).alias("slot", "value"))
+    long = out.select("c_custkey", F.size(array).cast("long").alias("width"), F.posexplode_outer(array).alias("slot", "value"))
     return long.where("value <> 0").withColumn("slot", F.col("slot").cast("long"))
 
 
@@ -121,7 +121,7 @@ def assemble(spark, sf):
     orders = table(spark, sf, "orders")
     encoded = X.one_hot(orders, orders, cols=["o_orderpriority"])
     out = X.assemble(encoded, numeric=["o_totalprice"], categorical=["o_orderpriority__onehot"])
-    long = out.select("o_orderkey", F.posexplode(vector_to_array("features")).alias("slot", "value"))
+    long = out.select("o_orderkey", F.posexplode_outer(vector_to_array("features")).alias("slot", "value"))
     return long.where("value <> 0").withColumn("slot", F.col("slot").cast("long"))
 
 

@@ -34,7 +34,7 @@ def document_blocks(spark, sf):
         )
         return F.struct(F.get(types, i % 14).alias("type"), line.alias("text"), F.when(i % 11 != 10, box).alias("bbox"))
 
-    return table(spark, sf, "documents").select("doc_id", "lang", F.transform(F.split("text", "\n"), block).alias("blocks"))
+    return table(spark, sf, "documents", spread=True).select("doc_id", "lang", F.transform(F.split("text", "\n"), block).alias("blocks"))
 
 
 @query("parse_blocks_json", BLOCKS_SQL + """
@@ -49,7 +49,7 @@ def parse_blocks_json(spark, sf):
         .otherwise('{"type": "Text", "text": "no list"}')
     )
     parsed = L.parse_blocks_json(document_blocks(spark, sf).select("doc_id", raw.alias("arguments")))
-    rows = parsed.select("doc_id", F.posexplode("blocks").alias("id", "b"))
+    rows = parsed.select("doc_id", F.posexplode_outer("blocks").alias("id", "b")).where("id IS NOT NULL")
     return rows.select("doc_id", F.col("id").cast("long").alias("id"), "b.type", "b.text", F.round("b.bbox.xmin", 6).alias("xmin"), F.round("b.bbox.ymax", 6).alias("ymax"))
 
 
@@ -105,7 +105,7 @@ def order_tables(spark, sf):
         F.lit(r" \\ \textbf{Priority} & R\&D \_ "), "o_orderpriority", F.lit(r" \\ & \% \textless "), F.col("o_custkey").cast("string"),
         F.lit(r" \\ & \\ \end{tabular} after"),
     )
-    return table(spark, sf, "orders").select("o_orderkey", latex.alias("latex"))
+    return table(spark, sf, "orders", spread=True).select("o_orderkey", latex.alias("latex"))
 
 
 @query("latex_table_cells", r"""
@@ -122,7 +122,7 @@ def customer_tables(spark, sf):
         F.lit(r"\begin{tabular}{lll} \multicolumn{3}{c}{\textit{"), "c_name", F.lit(r"}} \\ \multirow{2}{*}{"), "c_mktsegment",
         F.lit(r"} & a & b \\ \multicolumn{2}{r}{\multirow{2}{*}{"), F.col("c_nationkey").cast("string"), F.lit(r"}} \\ last & z \\ \end{tabular}"),
     )
-    return table(spark, sf, "customer").select("c_custkey", latex.alias("latex"))
+    return table(spark, sf, "customer", spread=True).select("c_custkey", latex.alias("latex"))
 
 
 SPANS_SQL = r"""
@@ -183,11 +183,12 @@ lines_out AS (SELECT doc_id, id, CASE WHEN closes THEN chr(10) ELSE '' END || CA
 
 
 def page_blocks(spark, sf):
-    text = F.when(
-        F.col("b.type") == "Table", F.concat(F.lit(r"\begin{tabular}{l}"), F.replace("b.text", F.lit("&"), F.lit("+")), F.lit(r"\end{tabular}"))
-    ).otherwise(F.col("b.text"))
-    rows = document_blocks(spark, sf).select("doc_id", F.posexplode("blocks").alias("id", "b"))
-    return rows.select("doc_id", F.lit(1).alias("page"), "id", "b.type", text.alias("text"))
+    """Lines of documents as blocks of one page each, with tables as LaTeX."""
+    lines = table(spark, sf, "documents", spread=True).select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("id", "line"))
+    kind = F.get(F.array(*[F.lit(t) for t in BLOCK_TYPES]), F.col("id") % 14)
+    latex = F.concat(F.lit(r"\begin{tabular}{l}"), F.replace("line", F.lit("&"), F.lit("+")), F.lit(r"\end{tabular}"))
+    rows = lines.select("doc_id", F.lit(1).alias("page"), "id", kind.alias("type"), "line")
+    return rows.withColumn("text", F.when(F.col("type") == "Table", latex).otherwise(F.col("line"))).drop("line")
 
 
 MARKDOWN_SQL = PAGE_SQL + r"""
@@ -210,4 +211,4 @@ def export_pages(spark, sf):
 
 @query("sanitize_html")
 def sanitize_html(spark, sf):
-    return L.sanitize_html(table(spark, sf, "pages").select("page_id", "html"), col="html")
+    return L.sanitize_html(table(spark, sf, "pages", spread=True).select("page_id", "html"), col="html")

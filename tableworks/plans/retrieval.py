@@ -28,7 +28,7 @@ def chunk_fixed(spark, sf):
 
 @query("chunk_recursive")
 def chunk_recursive(spark, sf):
-    return R.chunk_recursive(table(spark, sf, "documents"), text="text", key="doc_id")
+    return R.chunk_recursive(table(spark, sf, "documents", spread=True), text="text", key="doc_id")
 
 
 @query("prefix_text", """
@@ -84,9 +84,9 @@ sparse AS (SELECT id, slot, n / (sqrt(sum(n * n) OVER (PARTITION BY id)) + 1e-12
 @query("embed_batches", "WITH texts AS (SELECT doc_id AS id, 'passage: ' || text AS text FROM documents)," + HASHED_SQL + """
 SELECT id AS doc_id, slot, round(value, 6) AS value FROM sparse""")
 def embed_batches(spark, sf):
-    docs = R.prefix_text(table(spark, sf, "documents").select("doc_id", "text"), col="text", kind="passage")
+    docs = R.prefix_text(table(spark, sf, "documents", spread=True).select("doc_id", "text"), col="text", kind="passage")
     out = R.embed_batches(docs, col="text", encoder=HashEncoder)
-    long = out.select("doc_id", F.posexplode("embedding").alias("slot", "value")).where("value <> 0")
+    long = out.select("doc_id", F.posexplode_outer("embedding").alias("slot", "value")).where("value <> 0")
     return long.select("doc_id", F.col("slot").cast("long").alias("slot"), F.round("value", 6).alias("value"))
 
 
@@ -97,7 +97,7 @@ SELECT label, slot, round(m / (sqrt(sum(m * m) OVER (PARTITION BY label)) + 1e-1
 def masked_mean_pool(spark, sf):
     tokens = table(spark, sf, "embeddings").withColumn("mask", (F.col("embedding")[0] > 0).cast("int"))
     out = R.masked_mean_pool(tokens, vectors="embedding", mask="mask", by="label")
-    long = out.select("label", F.posexplode("embedding").alias("slot", "value"))
+    long = out.select("label", F.posexplode_outer("embedding").alias("slot", "value"))
     return long.select("label", F.col("slot").cast("long").alias("slot"), F.round("value", 6).alias("value"))
 
 
@@ -108,7 +108,7 @@ FROM embeddings, range(1, 65) t(i)""")
 def l2_normalize(spark, sf):
     scaled = table(spark, sf, "embeddings").withColumn("embedding", F.expr("transform(embedding, x -> cast(x AS DOUBLE) * (1 + label))"))
     out = R.l2_normalize(scaled, col="embedding")
-    long = out.select("vec_id", F.posexplode("embedding").alias("slot", "value"))
+    long = out.select("vec_id", F.posexplode_outer("embedding").alias("slot", "value"))
     return long.select("vec_id", F.col("slot").cast("long").alias("slot"), F.round("value", 6).alias("value"))
 
 
@@ -224,7 +224,7 @@ SELECT query_id, string_agg('[Source ID: ' || r || ' | Type: ' || upper(lang) ||
        count(*) AS n_hits FROM best WHERE r <= 5 GROUP BY query_id""")
 def retrieve_rerank_context(spark, sf):
     """Every benchmark text as a question against the chunks of every document."""
-    chunks = R.chunk_fixed(table(spark, sf, "documents"), text="text", key="doc_id")
+    chunks = R.chunk_fixed(table(spark, sf, "documents", spread=True), text="text", key="doc_id")
     docs = chunks.select(
         (F.shiftleft(F.col("doc_id"), 24) + F.col("chunk_no")).alias("id"), F.col("chunk").alias("text"),
         F.col("lang").alias("type"), F.col("chunk_no").alias("page"),

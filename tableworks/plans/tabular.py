@@ -377,5 +377,5 @@ SELECT doc_id, (ordinal - 1)::BIGINT AS page, paragraph FROM (
 WHERE ordinal - 1 >= 4 AND ordinal - 1 < 10""")
 def select_pages(spark, sf):
     docs = table(spark, sf, "documents")
-    pages = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("page", "paragraph"))
+    pages = docs.select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("page", "paragraph"))
     return P.select_pages(pages, start=4, stop=10).withColumn("page", F.col("page").cast("long"))
