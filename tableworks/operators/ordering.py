@@ -28,16 +28,22 @@ def fail_on_null(df: DataFrame, *cols: str) -> DataFrame:
     )
 
 
-def _add_offsets(df: DataFrame, by: list[str], bucket: str, order: list[Column], out: str, small: bool, total: str | None = None) -> DataFrame:
+def _add_offsets(
+    df: DataFrame, by: list[str], bucket: str, order: list[Column], out: str, small: bool, total: str | None = None,
+    any_of: tuple[str, Column] | None = None,
+) -> DataFrame:
     """1-based rank inside ``by`` from the count of earlier buckets plus the rank in its own.
 
     ``small`` says that the number of buckets has a fixed bound, so their table may be broadcast.
+    ``any_of`` adds a column that tells whether a condition holds for any row of the group.
     """
-    counts = df.groupBy(*by, bucket).agg(F.count("*").alias("_n"))
+    flag = [F.max(any_of[1]).alias("_any")] if any_of else []
+    counts = df.groupBy(*by, bucket).agg(F.count("*").alias("_n"), *flag)
     before = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
         *by, bucket, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
         *([F.sum("_n").over(Window.partitionBy(*by)).alias(total)] if total else []),
+        *([F.coalesce(F.max("_any").over(Window.partitionBy(*by)), F.lit(False)).alias(any_of[0])] if any_of else []),
     )
     if small:
         offsets = F.broadcast(offsets)
@@ -73,21 +79,23 @@ def global_position(df: DataFrame, *, key: str, out: str, rows: int | None = Non
     """
     rows = df.count() if rows is None else rows
     ranges = max(1, min(MAX_RANGES, rows // ROWS_PER_RANGE))
+    if ranges == 1:
+        return df.withColumn(out, (F.row_number().over(Window.orderBy(key)) - 1).cast("long"))
     work = fail_on_null(df, key).withColumn("_kd", F.col(key).cast("double"))
-    if ranges > 1:
-        borders = sorted(set(work.approxQuantile("_kd", [i / ranges for i in range(1, ranges)], 0.25 / ranges)))
-        splits = [-float("inf"), *borders, float("inf")]
-        work = Bucketizer(splits=splits, inputCol="_kd", outputCol="_b").transform(work)
-    else:
-        work = work.withColumn("_b", F.lit(0.0))
+    borders = sorted(set(work.approxQuantile("_kd", [i / ranges for i in range(1, ranges)], 0.25 / ranges)))
+    splits = [-float("inf"), *borders, float("inf")]
+    work = Bucketizer(splits=splits, inputCol="_kd", outputCol="_b").transform(work)
     ranked = _add_offsets(work, [], "_b", [F.col(key)], out, small=True)
     return ranked.withColumn(out, F.col(out) - 1).drop("_kd")
 
 
-def position_in_group(df: DataFrame, *, by: list[str], order: str, out: str, width: int = BUCKET_WIDTH) -> DataFrame:
+def position_in_group(
+    df: DataFrame, *, by: list[str], order: str, out: str, width: int = BUCKET_WIDTH, any_of: tuple[str, Column] | None = None
+) -> DataFrame:
     """0-based position in each group, ordered by an integral column that is unique per group."""
     work = fail_on_null(df, *by, order).withColumn("_b", _bucket_of(order, width))
-    return _add_offsets(work, by, "_b", [F.col(order)], out, small=False).withColumn(out, F.col(out) - 1)
+    ranked = _add_offsets(work, by, "_b", [F.col(order)], out, small=False, any_of=any_of)
+    return ranked.withColumn(out, F.col(out) - 1)
 
 
 def last_value_before(

@@ -11,7 +11,7 @@ import json
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.json import is_json
@@ -20,17 +20,23 @@ from .guards import fits, posexploded, require_columns
 from .ordering import BUCKET_WIDTH, join_segments, last_value_before, position_in_group
 
 
-def thread_history(msgs: DataFrame, *, thread: str = "thread_id", order: str = "turn", role: str = "role", text: str = "text", system: str | None = None) -> DataFrame:
+def thread_history(
+    msgs: DataFrame, *, thread: str = "thread_id", order: str = "turn", role: str = "role", text: str = "text", system: str | None = None,
+    width: int = BUCKET_WIDTH,
+) -> DataFrame:
     """Messages with their 0-based position; a system message is put first where none is."""
     require_columns(msgs, thread, order, role, text)
     rows = msgs.select(thread, F.col(order).cast("long").alias(order), role, text)
-    if system is not None:
-        seen = rows.groupBy(thread).agg(F.max(F.col(role) == "system").alias("_has"), F.min(order).alias("_first"))
-        added = seen.where(~F.coalesce("_has", F.lit(False))).select(
-            thread, (F.col("_first") - 1).alias(order), F.lit("system").alias(role), F.lit(system).alias(text)
-        )
-        rows = rows.unionByName(added)
-    return position_in_group(rows, by=[thread], order=order, out="position").drop(order)
+    if system is None:
+        return position_in_group(rows, by=[thread], order=order, out="position", width=width).drop(order)
+    placed = position_in_group(
+        rows, by=[thread], order=order, out="position", width=width, any_of=("_has", F.col(role) == "system")
+    )
+    shift = F.when(F.col("_has"), 0).otherwise(1)
+    own = F.struct((F.col("position") + shift).cast("long").alias("position"), F.col(role).alias(role), F.col(text).alias(text))
+    added = F.struct(F.lit(0).cast("long").alias("position"), F.lit("system").alias(role), F.lit(system).alias(text))
+    both = F.when(~F.col("_has") & (F.col("position") == 0), F.array(added, own)).otherwise(F.array(own))
+    return placed.select(thread, F.explode_outer(both).alias("_m")).select(thread, "_m.*")
 
 
 def last_ai_message(msgs: DataFrame, *, thread: str = "thread_id", order: str = "turn", role: str = "role", text: str = "text", ai: str = "assistant") -> DataFrame:
@@ -57,19 +63,18 @@ def render_chat_prompt(
 ) -> DataFrame:
     """Role-tagged prompt per thread: (thread, segment, prompt). Threads of up to a few thousand
     messages have one segment."""
-    rows = msgs.select(thread, order, role, text)
-    if generation:
-        ends = rows.groupBy(thread).agg((F.max(order) + 1).alias(order))
-        rows = rows.unionByName(ends.select(thread, order, F.lit("_answer").alias(role), F.lit("").alias(text)))
-    history = thread_history(rows, thread=thread, order=order, role=role, text=text, system=system)
-    opening = {**{r: t[0] for r, t in tags.items()}, "_answer": tags["assistant"][0]}
-    closing = {**{r: t[1] for r, t in tags.items()}, "_answer": ""}
-
-    def lookup(table: dict[str, str]) -> Column:
-        return F.coalesce(F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[F.col(role)], F.lit(""))
-
-    parts = history.withColumn("_part", F.concat(lookup(opening), F.coalesce(text, F.lit("")), lookup(closing)))
-    return join_segments(parts, by=[thread], position="position", parts={"prompt": "_part"}, width=width)
+    history = thread_history(msgs, thread=thread, order=order, role=role, text=text, system=system, width=width)
+
+    def lookup(side: int) -> Column:
+        marks = F.create_map(*[F.lit(x) for r, tag in tags.items() for x in (r, tag[side])])
+        return F.coalesce(F.try_element_at(marks, F.col(role)), F.lit(""))
+
+    parts = history.withColumn("_part", F.concat(lookup(0), F.coalesce(text, F.lit("")), lookup(1)))
+    out = join_segments(parts, by=[thread], position="position", parts={"prompt": "_part"}, width=width)
+    if not generation:
+        return out
+    last = F.col("segment") == F.max("segment").over(Window.partitionBy(thread))
+    return out.withColumn("prompt", F.when(last, F.concat("prompt", F.lit(tags["assistant"][0]))).otherwise(F.col("prompt")))
 
 
 def reasoning_mode(msgs: DataFrame, *, thread: str = "thread_id", order: str = "turn", role: str = "role", text: str = "text", default: str = "on") -> DataFrame:
