@@ -139,11 +139,11 @@ def one_hot_stages(cols: list[str]) -> list:
 
 def one_hot(train: DataFrame, test: DataFrame, *, cols: list[str]) -> DataFrame:
     require_columns(train, *cols)
-    _bounded_categories(train, cols)
+    bounded_categories(train, cols)
     return Pipeline(stages=one_hot_stages(cols)).fit(train).transform(test).drop(*[f"{c}__index" for c in cols])
 
 
-def _bounded_categories(df: DataFrame, cols: list[str]) -> None:
+def bounded_categories(df: DataFrame, cols: list[str]) -> None:
     """The indexer keeps its categories on the driver, so their number is checked first."""
     if not cols:
         return
@@ -185,7 +185,7 @@ class TableFeaturizer(Estimator, DefaultParamsReadable, DefaultParamsWritable):
         middle, spread, frequent = medians(dataset, numeric), {}, modes(dataset, categorical)
         numeric = [c for c in numeric if middle[c] is not None]
         categorical = [c for c in categorical if frequent[c] is not None]
-        _bounded_categories(dataset, categorical)
+        bounded_categories(dataset, categorical)
         filled = dataset.select(*[F.coalesce(present(dataset, c).cast("double"), F.lit(middle[c])).alias(c) for c in numeric])
         spread = moments(filled, numeric)
         exprs = []

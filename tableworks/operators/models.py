@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import metrics as M
-from .features import TableFeaturizer
+from .features import TableFeaturizer, bounded_categories
 from .guards import require_columns
 from .sampling import kfold, kfold_stratified
 
@@ -215,6 +215,7 @@ def _fit_pipeline(train: DataFrame, *, target: str, task: str, estimator: Estima
         fitted = TableFeaturizer(targetCol=target, ignoreCols=list(ignore)).fit(rows)
         decode = []
         if task == "classification":
+            bounded_categories(rows, [target])
             indexer = _label_indexer(target).fit(rows)
             decode = [IndexToString(inputCol="prediction", outputCol="predictions", labels=indexer.labels)]
             labelled = indexer.transform(rows)
@@ -376,6 +377,7 @@ def _search(
     rng = random.Random(seed)
     candidates = [draw(rng) for _ in range(trials)]
     if task == "classification":
+        bounded_categories(train, [target])
         indexer: StringIndexerModel = _label_indexer(target).fit(train)
         labelled = indexer.transform(kfold_stratified(train, key=key, by=target, k=k, seed=seed))
     else:
