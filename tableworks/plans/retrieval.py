@@ -53,8 +53,9 @@ WITH coded AS (
 
 def encoded_documents(spark, sf):
     lang = F.col("lang")
+    one_line = F.regexp_replace(F.base64(F.col("text").cast("binary")), "[\r\n]", "")  # Spark breaks lines every 76 characters
     content = (
-        F.when(lang == "de", F.base64(F.col("text").cast("binary"))).when(lang == "es", "not base64!").when(lang == "fr", "").otherwise(F.col("text"))
+        F.when(lang == "de", one_line).when(lang == "es", "not base64!").when(lang == "fr", "").otherwise(F.col("text"))
     )
     return table(spark, sf, "documents").select("doc_id", "lang", content.alias("content"))
 
