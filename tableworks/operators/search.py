@@ -171,7 +171,14 @@ def _scan_with_broadcast(small, vectors: DataFrame, k: int, metric: str) -> Data
     return vectors.mapInArrow(run, _CANDIDATES)
 
 
+def _fitting_rows(vectors: DataFrame, block_rows: int) -> int:
+    """Rows of a block, fewer where the vectors are long."""
+    first = vectors.select(F.size("vec")).first()
+    return max(1, min(block_rows, BROADCAST_BYTES // (8 * max(1, first[0] if first else 1))))
+
+
 def _block_pairs(queries: DataFrame, vectors: DataFrame, k: int, metric: str, block_rows: int) -> DataFrame:
+    block_rows = _fitting_rows(vectors, block_rows)
     q_blocks = max(1, -(-queries.count() // block_rows))
     v_blocks = max(1, -(-vectors.count() // block_rows))
 
@@ -210,6 +217,7 @@ def knn_lsh(
     every block, so a hot bucket is spread over tasks and no pair is left out.
     """
     planes = np.random.default_rng(seed).standard_normal((tables, bits, dim))
+    block_rows = max(1, min(block_rows, BROADCAST_BYTES // (8 * dim)))
     q, v = _pick(queries, query_id, query_vec), _pick(vectors, id, vec)
 
     def coded(df: DataFrame) -> DataFrame:

@@ -143,13 +143,24 @@ def labelled_documents(spark, sf):
     return rows.where("split = 'train'").drop("split"), rows.where("split = 'test'").drop("split")
 
 
-@query("fit_transform_features")
+@query("fit_transform_features", SPLIT_GAPS_SQL + """,
+middle AS (SELECT median(c_acctbal) AS m FROM train WHERE NOT isnan(c_acctbal)),
+frequent AS (SELECT c_mktsegment AS s FROM train WHERE c_mktsegment IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+filled AS (SELECT c_custkey, is_test, CASE WHEN c_acctbal IS NULL OR isnan(c_acctbal) THEN (SELECT m FROM middle) ELSE c_acctbal END AS x,
+                  coalesce(c_mktsegment, (SELECT s FROM frequent)) AS s FROM parts),
+fitted AS (SELECT avg(x) AS mean, stddev_pop(x) AS spread FROM filled WHERE NOT is_test),
+places AS (SELECT s, row_number() OVER (ORDER BY s) AS slot FROM (SELECT DISTINCT s FROM filled WHERE NOT is_test))
+SELECT c_custkey, 0::BIGINT AS slot, round(((x - mean) / spread)::FLOAT::DOUBLE, 5) AS value FROM filled, fitted WHERE is_test
+UNION ALL SELECT c_custkey, slot, 1.0 FROM filled JOIN places USING (s) WHERE is_test""")
 def fit_transform_features(spark, sf):
+    """Fitted on the training rows; the features of the test rows in long form."""
     train, test = gap_parts(spark, sf)
     _, out = X.fit_transform_features(train, test, target="c_nationkey", ignore=["c_custkey", "c_name"])
     from pyspark.ml.functions import vector_to_array
 
-    return out.select("c_custkey", F.transform(vector_to_array("features"), lambda v: F.round(v, 6)).alias("features"))
+    long = out.select("c_custkey", F.posexplode_outer(vector_to_array("features")).alias("slot", "value"))
+    long = long.where("value <> 0 OR slot = 0")
+    return long.select("c_custkey", F.col("slot").cast("long").alias("slot"), F.round("value", 5).alias("value"))
 
 
 # --- metrics ----------------------------------------------------------------------------------
@@ -254,6 +265,43 @@ for _name, _fit in [
     _fitted(_name, _fit, priced_parts, "p_retailprice", "regression", [])
 
 
+LINE_SQL = """
+WITH parts AS (SELECT o_orderkey, o_custkey::DOUBLE AS x, o_totalprice AS y,
+                      row_number() OVER (ORDER BY md5('42|' || o_orderkey), o_orderkey) <= ceil(0.2::DOUBLE * count(*) OVER ()) AS is_test FROM orders),
+scale AS (SELECT avg(x) AS mean, stddev_pop(x) AS spread FROM parts WHERE NOT is_test),
+z AS (SELECT o_orderkey, is_test, y, ((x - mean) / spread)::FLOAT::DOUBLE AS z FROM parts, scale),
+centre AS (SELECT avg(z) AS mz, avg(y) AS my FROM z WHERE NOT is_test),
+slope AS (SELECT sum((z - mz) * (y - my)) / (sum((z - mz) ** 2) + 1) AS b FROM z, centre WHERE NOT is_test),
+scored AS (SELECT o_orderkey, y, my + b * (z - mz) AS p FROM z, centre, slope WHERE is_test)
+"""
+
+
+def priced_orders(spark, sf):
+    rows = K.split_random(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), key="o_orderkey")
+    return rows.where("split = 'train'").drop("split"), rows.where("split = 'test'").drop("split")
+
+
+@query("train_ridge_line", LINE_SQL + """
+SELECT count(*) AS n, round(1 - sum((y - p) ** 2) / (var_pop(y) * count(*)), 6) AS r2, round(sqrt(avg((y - p) ** 2)), 3) AS rmse,
+       round(avg(abs(y - p)), 3) AS mae FROM scored""")
+def train_ridge_line(spark, sf):
+    """Ridge on one feature, where the solution is a formula."""
+    train, test = priced_orders(spark, sf)
+    model = L.train_ridge(train, target="o_totalprice", ignore=["o_orderkey"])
+    out = M.regression_metrics(L.predict_with(model, test), label="o_totalprice", prediction="predictions")
+    return out.select("n", F.round("r2", 6).alias("r2"), F.round("rmse", 3).alias("rmse"), F.round("mae", 3).alias("mae"))
+
+
+@query("batch_predict_regression", LINE_SQL + "SELECT o_orderkey, y AS o_totalprice, round(p, 3) AS predictions FROM scored")
+def batch_predict_regression(spark, sf):
+    """The same model stored, loaded and applied to the held-out rows."""
+    train, test = priced_orders(spark, sf)
+    path = scratch_path(spark, "champion")
+    L.save_champion(L.train_ridge(train, target="o_totalprice", ignore=["o_orderkey"]), path, task="regression", metrics={})
+    out = L.batch_predict(L.load_champion(spark, path).model, test)
+    return out.select("o_orderkey", "o_totalprice", F.round("predictions", 3).alias("predictions"))
+
+
 @query("train_all_and_rank")
 def train_all_and_rank(spark, sf):
     train, test = priced_parts(spark, sf)

@@ -143,3 +143,11 @@ def test_metric_direction_and_ties(spark):
     assert E.exp_best(log, metric="test_rmse").first().model == "m1"
     assert E.exp_best(log, metric="absent").count() == 0
     assert [r.model for r in E.exp_recent(log, limit=2).collect()] == ["m4", "m2"]
+
+
+def test_logistic_is_at_the_minimum_of_its_objective(numbers):
+    rows, x, _, c = scaled(numbers)
+    fitted = L.PenalizedLogistic(labelCol="class", C=0.5, maxIter=500, tol=1e-10).fit(rows)
+    w, b = fitted.coefficients.toArray(), fitted.intercept
+    p = 1 / (1 + np.exp(-(x @ w + b)))
+    assert np.abs(w + 0.5 * x.T @ (p - c)).max() < 1e-3 and abs((p - c).sum()) < 1e-3
