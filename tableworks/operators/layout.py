@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed_values import ALLOWED_ATTRS, ALLOWED_TAGS
@@ -92,16 +92,18 @@ def page_markdown(blocks: DataFrame, *, page: list[str], order: str = "id", type
     rows = rows.where(F.col("_t") != "")
     kind = F.col("_k")
     rows = rows.withColumn("_event", F.when(kind == "List-item", 1).when(kind.isin(SPECIAL), 0))
-    rows = last_value_before(rows, by=page, order="_o", value="_event", out="_open", width=width)
+    rows = last_value_before(rows, by=page, order="_o", value="_event", out="_open", width=width, segment="segment")
     # the LaTeX of other blocks is not looked at
     rows = rows.withColumn("_latex", F.when(kind == "Table", F.col("_t"))).withColumn("_cells", Y.latex_cells(F.col("_latex")))
     table = Y.latex_html(F.col("_latex"), F.col("_cells"))
     opened = F.when((F.col("_open") == 1) & kind.isin(SPECIAL), "\n").otherwise("")
     ended = F.when(kind == "List-item", "").otherwise("\n")
-    parts = rows.select(*page, "_o", F.concat(opened, _line(kind, F.col("_t"), table), ended).alias("_p"))
-    out = join_segments(parts, by=page, position="_o", parts={"markdown": "_p"}, sep="\n", width=width)
-    last = F.col("segment") == F.max("segment").over(Window.partitionBy(*page))
-    return out.withColumn("markdown", F.when(last, F.regexp_replace("markdown", r"\s+$", "")).otherwise(F.col("markdown")))
+    parts = rows.select(*page, "segment", "segment_is_last", "_o", F.concat(opened, _line(kind, F.col("_t"), table), ended).alias("_p"))
+    out = join_segments(
+        parts, by=page, position="_o", parts={"markdown": "_p"}, sep="\n", keep=["segment_is_last"], numbered=True
+    )
+    trimmed = F.when(F.col("segment_is_last"), F.regexp_replace("markdown", r"\s+$", "")).otherwise(F.col("markdown"))
+    return out.withColumn("markdown", trimmed).drop("segment_is_last")
 
 
 def sanitize_html(df: DataFrame, *, col: str, tags: list[str] = ALLOWED_TAGS, attrs: dict[str, list[str]] = ALLOWED_ATTRS) -> DataFrame:

@@ -90,45 +90,58 @@ def global_position(df: DataFrame, *, key: str, out: str, rows: int | None = Non
 
 
 def position_in_group(
-    df: DataFrame, *, by: list[str], order: str, out: str, width: int = BUCKET_WIDTH, any_of: tuple[str, Column] | None = None
+    df: DataFrame, *, by: list[str], order: str, out: str, width: int = BUCKET_WIDTH, any_of: tuple[str, Column] | None = None,
+    total: str | None = None,
 ) -> DataFrame:
-    """0-based position in each group, ordered by an integral column that is unique per group."""
+    """0-based position in each group, ordered by an integral column that is unique per group.
+
+    ``total`` names a column for the size of the group, ``any_of`` one that tells whether a
+    condition holds for any of its rows.
+    """
     work = fail_on_null(df, *by, order).withColumn("_b", _bucket_of(order, width))
-    ranked = _add_offsets(work, by, "_b", [F.col(order)], out, small=False, any_of=any_of)
+    ranked = _add_offsets(work, by, "_b", [F.col(order)], out, small=False, total=total, any_of=any_of)
     return ranked.withColumn(out, F.col(out) - 1)
 
 
 def last_value_before(
-    df: DataFrame, *, by: list[str], order: str, value: str, out: str, inclusive: bool = False, width: int = BUCKET_WIDTH
+    df: DataFrame, *, by: list[str], order: str, value: str, out: str, inclusive: bool = False, width: int = BUCKET_WIDTH,
+    segment: str | None = None,
 ) -> DataFrame:
-    """Last non-null ``value`` before each row (or up to it), ordered by an integral column."""
-    work = fail_on_null(df, *by, order).withColumn("_b", _bucket_of(order, width))
+    """Last non-null ``value`` before each row (or up to it), ordered by an integral column.
+
+    ``segment`` keeps the bucket number under that name and adds ``<segment>_is_last``. Rows are
+    already partitioned by it, so grouping by it next needs no shuffle.
+    """
+    bucket = segment or "_b"
+    work = fail_on_null(df, *by, order).withColumn(bucket, _bucket_of(order, width).cast("long"))
     last = F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order)))
-    heads = work.groupBy(*by, "_b").agg(last.alias("_v"))
-    earlier = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    heads = heads.select(*by, "_b", F.last("_v", ignorenulls=True).over(earlier).alias("_carry"))
-    inner = Window.partitionBy(*by, "_b").orderBy(order).rowsBetween(
+    heads = work.groupBy(*by, bucket).agg(last.alias("_v"))
+    earlier = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    ends = [(F.col(bucket) == F.max(bucket).over(Window.partitionBy(*by))).alias(f"{segment}_is_last")] if segment else []
+    heads = heads.select(*by, bucket, F.last("_v", ignorenulls=True).over(earlier).alias("_carry"), *ends)
+    inner = Window.partitionBy(*by, bucket).orderBy(order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow if inclusive else -1
     )
-    return (
-        work.join(heads, [*by, "_b"])
-        .withColumn(out, F.coalesce(F.last(value, ignorenulls=True).over(inner), F.col("_carry")))
-        .drop("_b", "_carry")
+    out_rows = work.join(heads, [*by, bucket]).withColumn(
+        out, F.coalesce(F.last(value, ignorenulls=True).over(inner), F.col("_carry"))
     )
+    return out_rows.drop("_carry") if segment else out_rows.drop("_b", "_carry")
 
 
 def join_segments(
-    df: DataFrame, *, by: list[str], position: str, parts: dict[str, str], sep: str = "", width: int = BUCKET_WIDTH
+    df: DataFrame, *, by: list[str], position: str, parts: dict[str, str], sep: str = "", width: int = BUCKET_WIDTH,
+    keep: list[str] = (), numbered: bool = False,
 ) -> DataFrame:
     """Concatenate text parts in order, ``width`` parts to a row.
 
     Groups of up to ``width`` parts give one row with segment 0. A longer group gives as many
     rows as it needs, and its segments joined by ``sep`` in order are the whole text. ``parts``
-    maps output names to text columns; null parts are left out.
+    maps output names to text columns; null parts are left out. ``keep`` are columns with one
+    value per segment. ``numbered`` rows bring their ``segment`` with them.
     """
-    work = df.withColumn("segment", _bucket_of(position, width).cast("long"))
+    work = df if numbered else df.withColumn("segment", _bucket_of(position, width).cast("long"))
     texts = []
     for name, col in parts.items():
         items = F.array_sort(F.collect_list(F.when(F.col(col).isNotNull(), F.struct(F.col(position), F.col(col).alias("_t")))))
         texts.append(F.array_join(F.transform(items, lambda x: x["_t"]), sep).alias(name))
-    return work.groupBy(*by, "segment").agg(*texts)
+    return work.groupBy(*by, "segment").agg(*texts, *[F.first(c).alias(c) for c in keep])

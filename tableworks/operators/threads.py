@@ -11,7 +11,7 @@ import json
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.json import is_json
@@ -26,17 +26,26 @@ def thread_history(
 ) -> DataFrame:
     """Messages with their 0-based position; a system message is put first where none is."""
     require_columns(msgs, thread, order, role, text)
+    return _placed_messages(msgs, thread, order, role, text, system, width).drop("_total")
+
+
+def _placed_messages(
+    msgs: DataFrame, thread: str, order: str, role: str, text: str, system: str | None, width: int
+) -> DataFrame:
+    """History with ``_total``, the number of messages of the thread including an added one."""
     rows = msgs.select(thread, F.col(order).cast("long").alias(order), role, text)
     if system is None:
-        return position_in_group(rows, by=[thread], order=order, out="position", width=width).drop(order)
+        return position_in_group(rows, by=[thread], order=order, out="position", width=width, total="_total").drop(order)
     placed = position_in_group(
-        rows, by=[thread], order=order, out="position", width=width, any_of=("_has", F.col(role) == "system")
+        rows, by=[thread], order=order, out="position", width=width, total="_total", any_of=("_has", F.col(role) == "system")
     )
     shift = F.when(F.col("_has"), 0).otherwise(1)
     own = F.struct((F.col("position") + shift).cast("long").alias("position"), F.col(role).alias(role), F.col(text).alias(text))
     added = F.struct(F.lit(0).cast("long").alias("position"), F.lit("system").alias(role), F.lit(system).alias(text))
     both = F.when(~F.col("_has") & (F.col("position") == 0), F.array(added, own)).otherwise(F.array(own))
-    return placed.select(thread, F.explode_outer(both).alias("_m")).select(thread, "_m.*")
+    return placed.select(thread, (F.col("_total") + shift).alias("_total"), F.explode_outer(both).alias("_m")).select(
+        thread, "_m.*", "_total"
+    )
 
 
 def last_ai_message(msgs: DataFrame, *, thread: str = "thread_id", order: str = "turn", role: str = "role", text: str = "text", ai: str = "assistant") -> DataFrame:
@@ -63,18 +72,18 @@ def render_chat_prompt(
 ) -> DataFrame:
     """Role-tagged prompt per thread: (thread, segment, prompt). Threads of up to a few thousand
     messages have one segment."""
-    history = thread_history(msgs, thread=thread, order=order, role=role, text=text, system=system, width=width)
+    history = _placed_messages(msgs, thread, order, role, text, system, width)
 
     def lookup(side: int) -> Column:
         marks = F.create_map(*[F.lit(x) for r, tag in tags.items() for x in (r, tag[side])])
         return F.coalesce(F.try_element_at(marks, F.col(role)), F.lit(""))
 
-    parts = history.withColumn("_part", F.concat(lookup(0), F.coalesce(text, F.lit("")), lookup(1)))
-    out = join_segments(parts, by=[thread], position="position", parts={"prompt": "_part"}, width=width)
-    if not generation:
-        return out
-    last = F.col("segment") == F.max("segment").over(Window.partitionBy(thread))
-    return out.withColumn("prompt", F.when(last, F.concat("prompt", F.lit(tags["assistant"][0]))).otherwise(F.col("prompt")))
+    part = F.concat(lookup(0), F.coalesce(text, F.lit("")), lookup(1))
+    if generation:
+        last = F.col("position") == F.col("_total") - 1
+        part = F.concat(part, F.when(last, tags["assistant"][0]).otherwise(""))
+    parts = history.withColumn("_part", part)
+    return join_segments(parts, by=[thread], position="position", parts={"prompt": "_part"}, width=width)
 
 
 def reasoning_mode(msgs: DataFrame, *, thread: str = "thread_id", order: str = "turn", role: str = "role", text: str = "text", default: str = "on") -> DataFrame:
