@@ -56,9 +56,5 @@ def llm_map(
             for texts in batches:
                 yield pd.DataFrame(list(pool.map(one, texts)), columns=["value", "error"], dtype=object)
 
-    def typed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        yield from run(batches)
-
-    typed.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    answers = F.pandas_udf(typed, "value STRING, error STRING").asNondeterministic()
+    answers = F.pandas_udf(run, "value STRING, error STRING").asNondeterministic()
     return df.withColumn("_r", answers(F.col(col))).withColumns({out: F.col("_r.value"), f"{out}_error": F.col("_r.error")}).drop("_r")
