@@ -1,6 +1,6 @@
 """Importing this module registers every query of the package."""
 
-from . import chat, mixing, pieces  # noqa: F401
+from . import chat, hamming, langid, mixing, pieces, ppm, quality, vectors  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -18,8 +18,13 @@ def main() -> int:
     spark, con, bad = build_session(cores=8, spark__checkpoint__dir=os.environ.get("CHECKPOINTS", "/tmp/tw-checkpoints")), connect(sf), 0
     for name in sys.argv[2:] or list(queries.QUERIES):
         start = time.time()
-        df = queries.QUERIES[name](spark, sf)
-        problems = compare(df, con, queries.ORACLES[name]) if name in queries.ORACLES else ([] if df.count() else ["no rows"])
+        try:
+            df = queries.QUERIES[name](spark, sf)
+            problems = compare(df, con, queries.ORACLES[name]) if name in queries.ORACLES else ([] if df.count() else ["no rows"])
+        except Exception as error:  # report and go on with the next query
+            print("FAIL", name, str(error)[-1500:], flush=True)
+            bad += 1
+            continue
         print("FAIL" if problems else "ok", name, f"{time.time() - start:.1f}s", df.count(), *problems, flush=True)
         df.show(5)
         bad += bool(problems)
