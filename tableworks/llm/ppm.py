@@ -14,7 +14,7 @@ from .common import mix, read, stored
 from .registry import query
 
 #: Bytes of context; the byte that stands for "before the text" and for its end, which no UTF-8 text holds.
-ORDER, EDGE = 4, 0xFF
+ORDER, EDGE = 5, 0xFF
 SYMBOLS = 257
 #: Bytes of text packed together, and bytes worked on at a time. They bound memory; results do not depend on them.
 BLOCK, SLICE = 32 << 20, 2 << 20
@@ -164,9 +164,9 @@ def gram_model(grams: DataFrame) -> DataFrame:
     method C with exclusion: a context of T symbols, d of them different, gives a symbol seen c times c / (T + d) and the escape
     d / (T + d). After an escape, symbols seen in the longer context are left out of T and d; below order 0 all symbols not yet
     seen are equally likely. A context never seen is skipped. As seen symbols of a context are also seen in its suffix, what is
-    left out is one sum per context, so the trie is five tables (context and symbol, count) that are joined by suffix.
+    left out is one sum per context, so the trie is one table (context and symbol, count) per order, joined by suffix.
     """
-    levels = {ORDER: stored(grams.groupBy("key").agg(F.sum("n").alias("c")), "ppm-4")}
+    levels = {ORDER: stored(grams.groupBy("key").agg(F.sum("n").alias("c")), "ppm-grams")}
     for j in range(ORDER - 1, -1, -1):
         shorter = levels[j + 1].groupBy(F.col("key").bitwiseAND(F.lit(_mask(j))).alias("key"))
         levels[j] = stored(shorter.agg(F.sum("c").alias("c")), f"ppm-{j}")
@@ -204,7 +204,7 @@ def score(documents: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     ``documents`` has doc_id, text and held_out; rows with held_out false are learned from. ``score`` is the log10 probability of
-    the lower-cased (A-Z) bytes of the whole text and its end after up to four bytes of context; ``base_score`` that of its words
+    the lower-cased (A-Z) bytes of the whole text and its end after up to five bytes of context; ``base_score`` that of its words
     and end by a smoothed unigram model. A null text is an empty one: one token, its end. A null doc_id is kept; a null held_out
     counts as false. Repeated rows are scored, and counted, one by one. An empty table gives none; with nothing to learn from,
     symbols are equally likely. Further columns are ignored.
