@@ -48,27 +48,42 @@ def uniform(x: np.ndarray) -> np.ndarray:
     return ((x >> np.uint64(11)).astype(np.float64) + 1.0) * 2.0**-53
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Lower-cased words without ASCII punctuation; a null text has none."""
-    return [] if text is None else text.lower().encode("utf-8", "surrogatepass").translate(None, PUNCTUATION).split()
-
-
-def word_hashes(documents: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of all documents, and where each document starts (one more than documents)."""
-    starts = np.concatenate(([0], np.cumsum([len(d) for d in documents], dtype=np.int64)))
-    flat = [w for d in documents for w in d]
-    if not flat:
-        return np.zeros(0, np.uint64), starts
-    lengths = np.fromiter(map(len, flat), np.int64, len(flat))
-    ends = np.cumsum(lengths)
-    raw = np.frombuffer(b"".join(flat), np.uint8)
-    values = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[raw]
-    at = np.arange(len(raw), dtype=np.int64) - np.repeat(ends - lengths, lengths)
-    longest = int(lengths.max())
-    powers = np.cumprod(np.full(longest, 0xD6E8FEB86659FD93, np.uint64))
-    total = np.cumsum(values * powers[at], dtype=np.uint64)
-    before = np.concatenate((np.zeros(1, np.uint64), total))[ends - lengths]
-    return mix(total[ends - 1] - before + lengths.astype(np.uint64)), starts
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_QUIET = _SPACE.copy()
+_QUIET[list(PUNCTUATION)] = True
+_LOWER = np.arange(256)
+_LOWER[65:91] += 32
+_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[_LOWER]
+
+
+class Words:
+    """Words of many texts: runs without ASCII white space, compared without ASCII case and punctuation; those of punctuation only
+    are left out. ``start`` and ``end`` are bytes within the text, ``line`` numbers lines over all texts, ``stop`` marks the end of a
+    sentence, ``hash`` is a 64-bit hash of what is compared; ``starts`` says where each text's words start (one more than texts)."""
+
+    def __init__(self, texts: list[bytes]):
+        sizes = np.array([len(t) + 1 for t in texts], np.int64)
+        raw = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+        solid = ~_SPACE[raw]
+        edge = np.diff(np.concatenate(([0], solid.astype(np.int8), [0])))
+        first, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        loud = ~_QUIET[raw]
+        count = np.concatenate(([0], np.cumsum(loud)))
+        some = count[end] > count[first]
+        first, end = first[some], end[some]
+        length = count[end] - count[first]
+        at = np.maximum(count[:-1] - np.repeat(np.concatenate(([0], count[first])), np.diff(np.concatenate(([0], first, [len(raw)])))), 0)
+        at = np.where(loud, at, 0)
+        powers = np.cumprod(np.full(int(at.max(initial=0)) + 1, 0xD6E8FEB86659FD93, np.uint64))
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(np.where(loud, _VALUE[raw] * powers[at], np.uint64(0)), dtype=np.uint64)))
+        self.hash = mix(total[end] - total[first] + length.astype(np.uint64))
+        origin = np.cumsum(sizes) - sizes
+        self.text = np.searchsorted(origin, first, side="right") - 1
+        self.start, self.end = first - origin[self.text], end - origin[self.text]
+        self.line = np.concatenate(([0], np.cumsum(raw == 10)))[first]
+        self.stop = np.isin(raw[end - 1], [ord("."), ord("!"), ord("?")]) if len(end) else np.zeros(0, bool)
+        self.starts = np.searchsorted(self.text, np.arange(len(texts) + 1))
 
 
 def shingles(hashes: np.ndarray, starts: np.ndarray, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
