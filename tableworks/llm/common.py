@@ -60,7 +60,7 @@ _VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 class Words:
     """Words of many texts: runs without ASCII white space, compared without ASCII case and punctuation; those of punctuation only
     are left out. ``start`` and ``end`` are bytes within the text, ``line`` numbers lines over all texts, ``stop`` marks the end of a
-    sentence, ``hash`` is a 64-bit hash of what is compared; ``starts`` says where each text's words start (one more than texts)."""
+    sentence or clause, ``hash`` is a 64-bit hash of what is compared; ``starts`` says where each text's words start (one more than texts)."""
 
     def __init__(self, texts: list[bytes]):
         sizes = np.array([len(t) + 1 for t in texts], np.int64)
@@ -82,7 +82,7 @@ class Words:
         self.text = np.searchsorted(origin, first, side="right") - 1
         self.start, self.end = first - origin[self.text], end - origin[self.text]
         self.line = np.concatenate(([0], np.cumsum(raw == 10)))[first]
-        self.stop = np.isin(raw[end - 1], [ord("."), ord("!"), ord("?")]) if len(end) else np.zeros(0, bool)
+        self.stop = np.isin(raw[end - 1], [ord(c) for c in ".!?,;:"]) if len(end) else np.zeros(0, bool)
         self.starts = np.searchsorted(self.text, np.arange(len(texts) + 1))
 
 

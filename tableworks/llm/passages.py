@@ -15,7 +15,7 @@ from .nearpairs import connect, verified
 from .registry import query
 
 THRESHOLD = 0.8
-#: Paragraphs below so many words are left alone, and sentences are joined to passages of at least as many.
+#: Paragraphs below so many words are left alone, and clauses are joined to passages of at least as many.
 LEAST_WORDS = 40
 #: Two paragraphs at the threshold miss every band with at most this probability.
 MISS = 5e-4
@@ -30,7 +30,7 @@ def banding(threshold: float = THRESHOLD, miss: float = MISS, hashes: int = HASH
 
 
 def _units(texts: list[str], first: int, bands: int, rows: int, least: int) -> Iterator[tuple]:
-    """Arrays (text, start, end, words, hash, band keys or None): paragraphs with keys, and passages of whole sentences without."""
+    """Arrays (text, start, end, words, hash, band keys or None): paragraphs with keys, and passages of whole clauses without."""
     raw = [t.encode() for t in texts]
     w = Words(raw)
     n = len(w.hash)
@@ -73,7 +73,7 @@ def _units(texts: list[str], first: int, bands: int, rows: int, least: int) -> I
                 low = np.minimum.reduceat(turned ^ (turned >> np.uint64(31)), cut)
                 keys[:, band] = mix(keys[:, band] * np.uint64(odd) + low)
         yield w.text[a] + first, start[a], end[b - 1], b - a, run_hash(a, b), keys.view(np.int64)
-    # Passages: from a sentence's first word to the first end of a sentence (or line) that makes it long enough.
+    # Passages: from a clause's first word to the first end of a clause (or line) that makes it long enough.
     last = w.stop | np.concatenate((new_line[1:], [True]))
     stops = np.flatnonzero(last) + 1
     begins = np.concatenate(([0], stops[:-1]))
@@ -118,7 +118,7 @@ def repeated(documents: DataFrame, threshold: float = THRESHOLD, least: int = LE
     A paragraph is a line of ``least`` words or more. Paragraphs with one content are one class; classes that collide in a MinHash
     band (banding tuned by ``banding``) are compared by exact Jaccard of their five-word runs and linked at ``threshold``;
     components of links are clusters. So that a passage is also found inside paragraphs that otherwise differ, every run of whole
-    sentences that just reaches ``least`` words, from each start of a sentence, is a class of its own. In each cluster the occurrences
+    clauses (up to . ! ? , ; or :) that just reaches ``least`` words, from each start of a clause, is a class of its own. In each cluster the occurrences
     in the document with the smallest doc_id stay (``removed`` false), those in other documents are to be removed; overlapping
     spans of one document and keeper are merged. ``start`` and ``end`` count characters of the text.
 

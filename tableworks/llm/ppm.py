@@ -17,7 +17,7 @@ from .registry import query
 ORDER, EDGE = 5, 0xFF
 SYMBOLS = 257
 #: Bytes of text packed together, and bytes worked on at a time. They bound memory; results do not depend on them.
-BLOCK, SLICE = 32 << 20, 2 << 20
+BLOCK, SLICE = 24 << 20, 1 << 20
 GRAM, WORD = 0, 1
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -76,21 +76,48 @@ def _keys(some: list[tuple[int, bytes, bytes, bool]]) -> tuple[np.ndarray, np.nd
     at = np.arange(len(joined)) - np.repeat(np.concatenate(([0], first)), np.diff(np.concatenate(([0], first, [len(joined)]))))
     powers = np.cumprod(np.full(int(at.max()) + 1, 0xD6E8FEB86659FD93, np.uint64))
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(np.where(solid, _MIXED[joined] * powers[at], np.uint64(0)), dtype=np.uint64)))
-    hashes = mix(total[end] - total[first] + length.astype(np.uint64)).view(np.int64)
+    hashes = (mix(total[end] - total[first] + length.astype(np.uint64)) >> np.uint64(2)).view(np.int64)
     slot = np.searchsorted(starts, first, side="right") - 1
     return gram, owner, hashes, text[slot]
 
 
-def _merge(have: tuple[np.ndarray, np.ndarray] | None, keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys and how often each occurs in texts learned from, added to ``have``."""
+def _distinct(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys (below 2 ** 62) and how often each occurs in texts learned from."""
+    both = np.sort((keys << 1) | train)
+    keys = both >> 1
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(both & 1, first) if len(first) else keys
+
+
+def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of several such results."""
+    keys, n = (np.concatenate(x) for x in zip(*parts))
     order = np.argsort(keys, kind="stable")
-    keys, n = keys[order], train[order].astype(np.int64)
-    if have is not None:
-        keys, n = np.concatenate((have[0], keys)), np.concatenate((have[1], n))
-        order = np.argsort(keys, kind="stable")
-        keys, n = keys[order], n[order]
+    keys, n = keys[order], n[order]
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(n, first) if len(first) else n[:0]
+    return keys[first], np.add.reduceat(n, first) if len(first) else keys
+
+
+class _Lookup:
+    """Values by key: keys in order of a hash, so that one or two reads find a key."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.shift = np.uint64(64 - max(1, int(np.ceil(np.log2(max(len(keys), 1) * 3)))))
+        slot = self._slot(keys)
+        order = np.argsort(slot, kind="stable")
+        self.keys, self.values = np.append(keys[order], -1), values[order]
+        self.first = np.searchsorted(slot[order], np.arange((1 << (64 - int(self.shift))))).astype(np.int32)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        at = self.first[self._slot(keys)]
+        wrong = np.flatnonzero(self.keys[at] != keys)
+        while len(wrong):
+            at[wrong] += 1
+            wrong = wrong[self.keys[at[wrong]] != keys[wrong]]
+        return self.values[at]
 
 
 _PACKED = pa.schema([
@@ -108,26 +135,17 @@ def _pack(batches):
     ids, held, texts, size = [], [], [], 0
 
     def rows(block):
-        found = {GRAM: None, WORD: None}
-        waiting = {GRAM: [], WORD: []}
+        found = {GRAM: [], WORD: []}
         train = ~np.array(held)
-
-        def settle(kind):
-            if waiting[kind]:
-                keys, n = (np.concatenate(x) for x in zip(*waiting[kind]))
-                found[kind] = _merge(found[kind], keys, n)
-                waiting[kind] = []
-
-        for k, some in enumerate(_batches(texts)):
+        for some in _batches(texts):
             gram, of_gram, word, of_word = _keys(some)
             for kind, keys, of in ((GRAM, gram, of_gram), (WORD, word, of_word)):
-                waiting[kind].append(_merge(None, keys, train[of]))
-                if k % 8 == 7:
-                    settle(kind)
+                found[kind].append(_distinct(keys, train[of]))
+                if len(found[kind]) == 8:
+                    found[kind] = [_merge(found[kind])]
         empty = {"ids": None, "held": None, "sizes": None, "data": None}
         for kind in found:
-            settle(kind)
-            keys, n = found[kind] if found[kind] is not None else (np.zeros(0, np.int64),) * 2
+            keys, n = _merge(found[kind])
             for lo in range(0, len(keys), 100_000):
                 part = slice(lo, lo + 100_000)
                 count = len(keys[part])
@@ -161,8 +179,8 @@ def gram_model(grams: DataFrame) -> DataFrame:
     """(key, value): log10 probability of the last byte of each gram after the bytes before it.
 
     ``grams`` has (key, n): distinct grams and their counts in what is learned from, 0 where a gram only has to be scored. Escape
-    method C with exclusion: a context of T symbols, d of them different, gives a symbol seen c times c / (T + d) and the escape
-    d / (T + d). After an escape, symbols seen in the longer context are left out of T and d; below order 0 all symbols not yet
+    method D with exclusion: a context of T symbols, d of them different, gives a symbol seen c times (2c - 1) / 2T and the escape
+    d / 2T. After an escape, symbols seen in the longer context are left out of T and d; below order 0 all symbols not yet
     seen are equally likely. A context never seen is skipped. As seen symbols of a context are also seen in its suffix, what is
     left out is one sum per context, so the trie is one table (context and symbol, count) per order, joined by suffix.
     """
@@ -174,7 +192,7 @@ def gram_model(grams: DataFrame) -> DataFrame:
     t, d = base["t"] or 0, base["d"]
     fresh = -float(np.log10(SYMBOLS - d)) if d < SYMBOLS else 0.0
     seen = F.col("c") > 0
-    p = F.when(seen, F.log10(F.col("c") / (t + d))).otherwise(float(np.log10(d / (t + d))) + fresh if t else fresh)
+    p = F.when(seen, F.log10((2 * F.col("c") - 1) / (2 * t))).otherwise(float(np.log10(d / (2 * t))) + fresh if t else fresh)
     table = levels[0].select("key", "c", F.lit(t).cast("long").alias("t"), F.lit(d).cast("long").alias("d"), F.lit(fresh).alias("r"), p.alias("p"))
     for j in range(1, ORDER + 1):
         suffix = F.col("key").bitwiseAND(F.lit(_mask(j - 1)))
@@ -184,16 +202,15 @@ def gram_model(grams: DataFrame) -> DataFrame:
         context = paired.where(seen).groupBy("context").agg(F.sum("c").alias("t"), F.count("*").alias("d"), F.sum("c_below").alias("e"))
         left = F.col("t_below") - F.col("e")
         kinds = F.col("d_below") - F.col("d")
-        room = left + kinds
-        r = F.when(F.col("c_below") > 0, F.log10(F.col("c_below") / room)).otherwise(
-            F.when(room > 0, F.log10(kinds / room)).otherwise(0.0) + F.col("r_below")
+        r = F.when(F.col("c_below") > 0, F.log10((2 * F.col("c_below") - 1) / (2 * left))).otherwise(
+            F.when(kinds > 0, F.log10(kinds / (2 * left))).otherwise(0.0) + F.col("r_below")
         )
-        p = F.when(F.col("d") == 0, F.col("p_below")).when(seen, F.log10(F.col("c") / (F.col("t") + F.col("d")))).otherwise(
-            F.log10(F.col("d") / (F.col("t") + F.col("d"))) + F.col("r")
+        p = F.when(F.col("d") == 0, F.col("p_below")).when(seen, F.log10((2 * F.col("c") - 1) / (2 * F.col("t")))).otherwise(
+            F.log10(F.col("d") / (2 * F.col("t"))) + F.col("r")
         )
         table = (
             paired.join(context, "context", "left").fillna(0, ["t", "d", "e"])
-            .withColumn("r", F.when(~seen, r)).withColumn("p", p).select("key", "c", "t", "d", "r", "p")
+            .withColumn("r", F.when(~seen & (F.col("d") > 0), r)).withColumn("p", p).select("key", "c", "t", "d", "r", "p")
         )
         # r is asked for at the next order only where this symbol was not seen here; else the count is used.
         table = stored(table.withColumn("r", F.coalesce("r", F.lit(0.0))), f"ppm-level-{j}")
@@ -211,23 +228,27 @@ def score(documents: DataFrame) -> DataFrame:
 
     Texts are packed into blocks in place. What a block needs of the corpus is its distinct grams and words: their counts are
     summed over all blocks and go back by block, so neither vocabulary nor trie is ever held whole in one place, and the texts are
-    shuffled once, compressed. Words are told apart by 64-bit hashes.
+    shuffled once, compressed. Words are told apart by 62-bit hashes.
     """
     spark = documents.sparkSession
     held = F.coalesce("held_out", F.lit(False)).alias("held")
     packed = stored(documents.select(F.col("doc_id").cast("long").alias("id"), held, "text").mapInArrow(_pack, _PACKED_DDL), "ppm-blocks")
-    asked = packed.where("kind IS NOT NULL").select(F.col("block").alias("of"), "kind", "key", "n")
     # One exchange by key serves the sums and the answers.
-    words = asked.where(f"kind = {WORD}").repartition("key")
+    asked = packed.select(F.col("block").alias("of"), "kind", "key", "n")
+    words = asked.where(f"kind = {WORD}").drop("kind").repartition("key")
     counts = words.groupBy("key").agg(F.sum("n").alias("value"))
     blobs = packed.where("kind IS NULL").select("block", "ids", "held", "sizes", "data")
     ends = blobs.agg(F.coalesce(F.sum(F.size(F.filter("held", lambda h: ~h))), F.lit(0)).alias("n")).first()["n"]
     total = counts.agg(F.coalesce(F.sum("value"), F.lit(0)).alias("n"), F.count(F.when(F.col("value") > 0, 1)).alias("v")).first()
-    grams = asked.where(f"kind = {GRAM}")
+    grams = asked.where(f"kind = {GRAM}").drop("kind")
     model = gram_model(grams)
-    answers = words.join(counts, "key").select("of", "kind", "key", F.col("value").cast("double").alias("value")).union(
-        grams.join(model, "key").select("of", "kind", "key", "value")
-    )
+
+    def by_block(pairs: DataFrame, kind: int) -> DataFrame:
+        lists = pairs.groupBy("of").agg(F.collect_list("key").alias("keys"), F.collect_list("value").alias("values"))
+        return lists.withColumn("kind", F.lit(kind))
+
+    answers = by_block(words.join(counts.withColumn("value", F.col("value").cast("double")), "key"), WORD)
+    answers = answers.unionByName(by_block(grams.select("of", "key").join(model, "key"), GRAM))
     tokens, kinds = int(total["n"]) + int(ends), int(total["v"]) + (1 if ends else 0)
     floor = np.log10(tokens + 0.1 * (kinds + 1))
     result = pa.schema([
@@ -237,11 +258,12 @@ def score(documents: DataFrame) -> DataFrame:
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         tables = {}
-        kind, key, value = (right.column(c).to_numpy() for c in ("kind", "key", "value"))
         for k in (GRAM, WORD):
-            order = np.flatnonzero(kind == k)
-            order = order[np.argsort(key[order])]
-            tables[k] = (key[order], value[order])
+            own = right.filter(pa.array([x == k for x in right.column("kind").to_pylist()], pa.bool_()))
+            keys, values = (
+                np.concatenate([c.flatten().to_numpy() for c in own.column(x).chunks] or [np.zeros(0, kind)]) for x, kind in (("keys", np.int64), ("values", np.float64))
+            )
+            tables[k] = _Lookup(keys, values)
         out = []
         for row in left.to_pylist():
             data = zstandard.ZstdDecompressor().decompress(row["data"]) if row["data"] else b""
@@ -252,11 +274,9 @@ def score(documents: DataFrame) -> DataFrame:
             base += np.log10(ends + 0.1) - floor
             for some in _batches(texts):
                 gram, of_gram, word, of_word = _keys(some)
-                keys, values = tables[GRAM]
-                sums += np.bincount(of_gram, values[np.searchsorted(keys, gram)], n)
+                sums += np.bincount(of_gram, tables[GRAM](gram), n)
                 if len(word):
-                    keys, values = tables[WORD]
-                    c = values[np.searchsorted(keys, word)]
+                    c = tables[WORD](word)
                     base += np.bincount(of_word, np.log10(c + 0.1) - floor, n)
                     count += np.bincount(of_word, minlength=n)
                     known += np.bincount(of_word, c > 0, n).astype(np.int64)
