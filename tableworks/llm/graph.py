@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .common import stored
 
 
+#: Links handled by one writing task at least.
+EDGES = 50_000
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component): for every id in ``links`` (columns a, b) the smallest id reachable from it.
 
@@ -24,14 +28,15 @@ def components(links: DataFrame) -> DataFrame:
     )
     result = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct().select("id", F.col("id").alias("component"))
     rounds = 0
-    while edges.limit(1).count():
+    while n := edges.count():
+        few = 1 + n // EDGES  # tasks that write a round's tables, in proportion to its links
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = both.groupBy("a").agg(F.least("a", F.min("b")).alias("p"))
         jump = parent.select(F.col("a").alias("p"), F.col("p").alias("root"))
-        roots = stored(parent.join(jump, "p").select(F.col("a").alias("node"), "root"), "roots")
+        roots = stored(parent.join(jump, "p").select(F.col("a").alias("node"), "root").coalesce(few), "roots")
         ra, rb = (roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
         moved = edges.join(ra, "a").join(rb, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
-        edges = stored(moved.distinct(), "links")
+        edges = stored(moved.distinct().coalesce(few), "links")
         step = roots.withColumnRenamed("node", "component")
         result = result.join(step, "component", "left").select("id", F.coalesce("root", "component").alias("component"))
         rounds += 1

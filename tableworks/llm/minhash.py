@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_IDS, Words, counted, mix, read, shingles, stored, uniform
-from .nearpairs import connect, verified
+from .nearpairs import connect
 from .registry import query
 
 THRESHOLD = 0.8
@@ -51,7 +51,7 @@ def prob_min_hash(shingle: np.ndarray, owner: np.ndarray, weight: np.ndarray, n:
 def _sign(batches):
     """doc_id, a digest of the compared words, and one hash per band."""
     salt = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
-    names = ["doc_id", "digest", "keys"]
+    names = ["doc_id", "digest", "n", "keys"]
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         lo = 0
@@ -71,7 +71,7 @@ def _sign(batches):
             for r in range(ROWS):
                 keys = mix(keys * np.uint64(0x9FB21C651E98DF25) + winner[:, :, r])
             lists = [list(k) if d is not None else None for d, k in zip(digests, keys.view(np.int64).tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi], pa.int64()), pa.array(digests, pa.binary()), pa.array(lists, pa.list_(pa.int64()))], names)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi], pa.int64()), pa.array(digests, pa.binary()), pa.array(np.diff(cut)), pa.array(lists, pa.list_(pa.int64()))], names)
             lo = hi
 
 
@@ -87,11 +87,12 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataF
     true). Rows repeated with one doc_id get the same result each. Further columns are ignored; an empty table gives none.
     """
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = stored(rows.mapInArrow(_sign, "doc_id long, digest binary, keys array<long>"), "minhash")
-    classes = signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.min_by("keys", "doc_id").alias("keys"))
+    signed = stored(rows.mapInArrow(_sign, "doc_id long, digest binary, n long, keys array<long>"), "minhash")
+    classes = signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys"))
     classes = stored(classes, "minhash-classes")
     texts = rows.withColumnRenamed("doc_id", "id")
-    parts = connect(classes.select(F.explode("keys").alias("key"), F.col("class_id").alias("id")), lambda pairs: verified(pairs, texts, threshold, True))
+    members = classes.select(F.explode("keys").alias("key"), F.col("class_id").alias("id"))
+    parts = connect(members, classes.select(F.col("class_id").alias("id"), "n"), lambda ids: texts, threshold, weighted=True)
     by_class = classes.select("digest", "class_id").join(parts.withColumnRenamed("id", "class_id"), "class_id", "left")
     joined = signed.select("doc_id", "digest").join(by_class, "digest", "left")
     own = F.coalesce("class_id", "doc_id")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_IDS, SHINGLE, Words, mix, read, stored
-from .nearpairs import connect, verified
+from .nearpairs import connect
 from .registry import query
 
 THRESHOLD = 0.8
@@ -135,16 +135,16 @@ def repeated(documents: DataFrame, threshold: float = THRESHOLD, least: int = LE
     twice = runs.groupBy("hash").agg(F.min("doc_id").alias("keeper_doc_id"), F.max("doc_id").alias("z")).where("keeper_doc_id <> z").drop("z")
     run_spans = runs.join(twice, "hash").select("doc_id", "start", "end", F.col("hash").alias("cluster_id"), "keeper_doc_id")
     # Classes of equal paragraphs, and links between them.
-    classes = stored(paragraphs.groupBy("hash").agg(F.min(place).alias("at"), F.any_value("keys").alias("keys")), "paragraphs")
+    classes = stored(paragraphs.groupBy("hash").agg(F.min(place).alias("at"), F.any_value("keys").alias("keys"), F.any_value("words").alias("words")), "paragraphs")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("hash")).union(pairs.select("b")).distinct()
-        spots = stored(classes.join(ids, "hash").select("hash", "at.*"), "spots")
-        few = F.broadcast(spots) if spots.count() <= BROADCAST_IDS else spots
-        cut = texts.join(few, "doc_id").select(F.col("hash").alias("id"), F.expr("substring(text, start + 1, end - start)").alias("text"))
-        return verified(pairs, cut, threshold, weighted=False)
+    def paragraph_texts(ids: DataFrame) -> DataFrame:
+        spots = stored(classes.join(ids.withColumnRenamed("id", "hash"), "hash").select("hash", "at.*"), "spots")
+        few = F.broadcast(spots) if spots.count() <= BROADCAST_IDS // 4 else spots
+        return texts.join(few, "doc_id").select(F.col("hash").alias("id"), F.expr("substring(text, start + 1, end - start)").alias("text"))
 
-    parts = connect(classes.select(F.explode("keys").alias("key"), F.col("hash").alias("id")), verify).withColumnRenamed("id", "hash")
+    members = classes.select(F.explode("keys").alias("key"), F.col("hash").alias("id"))
+    words = classes.select(F.col("hash").alias("id"), F.col("words").cast("long").alias("n"))
+    parts = connect(members, words, paragraph_texts, threshold, weighted=False).withColumnRenamed("id", "hash")
     named = paragraphs.join(parts, "hash", "left").select("doc_id", "start", "end", F.coalesce("component", "hash").alias("cluster_id"))
     kept = named.groupBy("cluster_id").agg(F.min("doc_id").alias("keeper_doc_id"), F.max("doc_id").alias("z")).where("keeper_doc_id <> z").drop("z")
     spans = stored(named.join(kept, "cluster_id").select(run_spans.columns).union(run_spans).distinct(), "spans")

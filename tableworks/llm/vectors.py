@@ -23,7 +23,7 @@ RECALL = 0.995
 #: Chance that the Hamming filter before the comparison of vectors drops a pair at the threshold.
 FILTER_LOSS = 1e-5
 #: Rows of one bucket in a task, stored and probing; larger buckets are dealt to several tasks. Pairs looked at together.
-BUCKET, PAIRS = 4_096, 200_000
+BUCKET, PAIRS = 256, 200_000
 
 
 def learn_rotation(sample: np.ndarray, seed: int = 9) -> np.ndarray:

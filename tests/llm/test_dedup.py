@@ -90,24 +90,37 @@ def test_near_documents_like_brute_force(spark):
     assert got[900]["kept"] and got[900]["class_id"] == 900 and got[None]["kept"] and got[None]["component_id"] is None
 
 
-def test_large_group_is_connected_without_all_pairs(spark):
+@pytest.mark.parametrize("limits", [{}, {"FAMILY": 3, "BLOCK": 40, "MEMBERS": 30}])
+def test_groups_of_any_size_give_the_same(spark, monkeypatch, limits):
+    """Whole families in one task, or cut to centres and blocks: the components are those of all pairs."""
+    for name, value in limits.items():
+        monkeypatch.setattr(nearpairs, name, value)
     rng = random.Random(3)
-    base = prose(rng, 100)
-    rows = [(i, edited(rng, base, 2)) for i in range(600)] + [(1000 + i, base) for i in range(300)]
-    seen = []
-    real = nearpairs.verified
+    texts = []
+    for size, edits, length in ((120, 2, 100), (60, 6, 100), (60, 9, 120), (5, 3, 80)):
+        base = prose(rng, length) + " same words come again and again" * 3
+        texts += [edited(rng, base, rng.randint(0, edits)) for _ in range(size)]
+    texts += [texts[0]] * 200
+    got = {r["doc_id"]: r for r in minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    sets = items(texts)
+    links = [(i, j) for i in range(245) for j in range(i) if nearpairs.similarity(sets[i], sets[j], True) >= 0.8] + [(0, i) for i in range(245, len(texts))]
+    want = smallest(len(texts), links)
+    assert [got[i]["component_id"] for i in range(len(texts))] == want
 
-    def counting(pairs, *more):
-        seen.append(pairs.count())
-        return real(pairs, *more)
 
-    minhash.verified, kept = counting, minhash.verified
-    try:
-        got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    finally:
-        minhash.verified = kept
-    assert {r["component_id"] for r in got} == {0} and sum(r["kept"] for r in got) == 1
-    assert sum(seen) < 40_000 < 600 * 600 / 2
+def test_bounds_are_never_below_the_similarity():
+    rng = random.Random(9)
+    base = prose(rng, 60)
+    texts = [edited(rng, base, rng.randint(0, 20)) + " " + " ".join(base.split()[: rng.randint(0, 40)]) * rng.randint(0, 3) for _ in range(25)]
+    sets = items(texts)
+    for weighted in (True, False):
+        bound = nearpairs._bounds(sets, sets, weighted)
+        for i in range(25):
+            for j in range(25):
+                exact = nearpairs.similarity(sets[i], sets[j], weighted)
+                assert bound[i, j] >= exact - 1e-5
+                if not weighted:
+                    assert bound[i, j] == pytest.approx(exact, abs=1e-5)
 
 
 def test_repeated_rows_and_columns_stay_whole(spark):
@@ -137,7 +150,7 @@ def test_passages_are_found_whole_within_and_nearly(spark):
     rng = random.Random(4)
     shared, inside = sentences(rng, 60), sentences(rng, 70)
     texts = [
-        sentences(rng, 50) + "\n" + shared, sentences(rng, 30) + "\n" + shared.upper() + "\n" + sentences(rng, 80), edited(rng, shared, 2),
+        sentences(rng, 50) + "\n" + shared, sentences(rng, 30) + "\n" + shared.upper() + "\n" + sentences(rng, 80), edited(rng, shared, 1),
         prose(rng, 25) + " " + inside + " " + prose(rng, 40), "Éé " + prose(rng, 60) + " " + inside, sentences(rng, 200), sentences(rng, 30), sentences(rng, 10),
         sentences(rng, 10), "", None,
     ]
