@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import FeatureHasher, OneHotEncoder, OneHotEncoderModel, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .guards import present, require_columns
 from .profile import categorical_columns, numeric_columns
 
 DIRECT_ROWS = 1_000_000
-MAX_CATEGORIES = 100_000
+RANGES = 500
 
 
 def medians(df: DataFrame, cols: list[str], *, direct_rows: int = DIRECT_ROWS) -> dict[str, float | None]:
@@ -71,13 +73,14 @@ def _ranked_values(values: DataFrame, n: int, first: int, second: int, direct_ro
 
 
 def modes(df: DataFrame, cols: list[str]) -> dict[str, str | None]:
-    """Most frequent value per column as text, the smallest one on a tie."""
-    out = {}
-    for c in cols:
-        counts = df.where(F.col(f"`{c}`").isNotNull()).groupBy(F.col(f"`{c}`").cast("string").alias("v")).agg(F.count("*").alias("n"))
-        row = counts.orderBy(F.desc("n"), F.asc("v")).first()
-        out[c] = row["v"] if row else None
-    return out
+    """Most frequent value per column as text, the smallest one on a tie; all columns in one grouped pass."""
+    if not cols:
+        return {}
+    pairs = [F.struct(F.lit(i).alias("i"), F.col(f"`{c}`").cast("string").alias("v")) for i, c in enumerate(cols)]
+    counts = df.select(F.inline(F.array(*pairs))).where("v IS NOT NULL").groupBy("i", "v").agg(F.count("*").alias("n"))
+    best = counts.groupBy("i").agg(F.min(F.struct((-F.col("n")).alias("n"), "v")).alias("b"))
+    found = {r["i"]: r["b"]["v"] for r in best.collect()}
+    return {c: found.get(i) for i, c in enumerate(cols)}
 
 
 def moments(df: DataFrame, cols: list[str]) -> dict[str, tuple[float, float]]:
@@ -138,19 +141,47 @@ def one_hot_stages(cols: list[str]) -> list:
 
 
 def one_hot(train: DataFrame, test: DataFrame, *, cols: list[str]) -> DataFrame:
+    """``test`` with ``<col>__onehot`` for each column: sorted categories of ``train``, unseen and missing values all zero.
+
+    Any number of categories: they are ranked in a table that is joined, and only their count comes to the driver.
+    """
     require_columns(train, *cols)
-    bounded_categories(train, cols)
-    return Pipeline(stages=one_hot_stages(cols)).fit(train).transform(test).drop(*[f"{c}__index" for c in cols])
+    out = test
+    for c in cols:
+        places, n = _category_places(train.select(F.col(f"`{c}`").cast("string").alias("_seen")).where("_seen IS NOT NULL").distinct())
+        joined = out.join(places, F.col(f"`{c}`").cast("string") == F.col("_seen"), "left")
+        indexed = joined.withColumn(f"{c}__index", F.coalesce("_place", F.lit(n)).cast("double")).drop("_seen", "_place")
+        out = _encoder(train.sparkSession, f"{c}__index", f"{c}__onehot", n).transform(indexed).drop(f"{c}__index")
+    return out
 
 
-def bounded_categories(df: DataFrame, cols: list[str]) -> None:
-    """The indexer keeps its categories on the driver, so their number is checked first."""
-    if not cols:
-        return
-    row = df.agg(*[F.approx_count_distinct(F.col(f"`{c}`")).alias(f"d{i}") for i, c in enumerate(cols)]).first()
-    for i, c in enumerate(cols):
-        if row[f"d{i}"] > MAX_CATEGORIES:
-            raise ValueError(f"column '{c}' has about {row[f'd{i}']} categories; more than {MAX_CATEGORIES} cannot be encoded")
+def _category_places(seen: DataFrame) -> tuple[DataFrame, int]:
+    """(_seen, _place): the rank of each distinct text, and their number. About ``RANGES`` texts, picked by a hash, cut the order
+    into ranges; a task ranks one range, and the ranges' sizes give the offsets."""
+    n = seen.count()
+    step = max(1, n // RANGES)
+    borders = sorted(r["_seen"] for r in seen.where(F.pmod(F.xxhash64("_seen"), F.lit(step)) == 0).collect()) if step > 1 else []
+    area = F.size(F.filter(F.array(*[F.lit(b) for b in borders]), lambda b: b <= F.col("_seen"))) if borders else F.lit(0)
+    ranged = seen.withColumn("_range", area)
+    sizes = sorted((r["_range"], r["count"]) for r in ranged.groupBy("_range").count().collect())
+    offsets, total = [], 0
+    for place, size in sizes:
+        offsets.append((place, total))
+        total += size
+    table = F.broadcast(seen.sparkSession.createDataFrame(offsets or [(0, 0)], "_range INT, _first BIGINT"))
+    rank = F.row_number().over(Window.partitionBy("_range").orderBy("_seen")) - 1
+    return ranged.withColumn("_r", rank).join(table, "_range").select("_seen", (F.col("_first") + F.col("_r")).alias("_place")), n
+
+
+def _encoder(spark: SparkSession, column: str, out: str, n: int) -> OneHotEncoderModel:
+    """A stock encoder of ``n`` places; index ``n`` gives zeros."""
+    gateway = spark.sparkContext._gateway
+    sizes = gateway.new_array(gateway.jvm.int, 1)
+    sizes[0] = n + 1
+    uid = f"OneHotEncoder_{uuid.uuid4().hex[:12]}"
+    model = OneHotEncoderModel(gateway.jvm.org.apache.spark.ml.feature.OneHotEncoderModel(uid, sizes))
+    model._resetUid(uid)
+    return model.setInputCols([column]).setOutputCols([out])
 
 
 def assemble(df: DataFrame, *, numeric: list[str], categorical: list[str], out: str = "features") -> DataFrame:
@@ -162,7 +193,8 @@ class TableFeaturizer(Estimator, DefaultParamsReadable, DefaultParamsWritable):
     """Median and mode imputation, scaling, float rounding, one-hot and assembly in one fit.
 
     The fitted result is a pipeline of stock stages with the statistics as literals, so it can be
-    stored and loaded like any other model.
+    stored and loaded like any other model. Categories become places of the vector and, as model data, are kept by the driver;
+    for columns with more of them than that can hold, ``hashedWidth`` sends all categorical columns to so many hashed places.
     """
 
     targetCol = Param(Params._dummy(), "targetCol", "target column, left out of the features", TypeConverters.toString)
@@ -170,10 +202,12 @@ class TableFeaturizer(Estimator, DefaultParamsReadable, DefaultParamsWritable):
     outputCol = Param(Params._dummy(), "outputCol", "vector column", TypeConverters.toString)
     ignoreCols = Param(Params._dummy(), "ignoreCols", "columns that are no features", TypeConverters.toListString)
 
+    hashedWidth = Param(Params._dummy(), "hashedWidth", "places for hashed categories, 0 for one place each", TypeConverters.toInt)
+
     @keyword_only
-    def __init__(self, *, targetCol=None, numericRule="strict64", outputCol="features", ignoreCols=()):
+    def __init__(self, *, targetCol=None, numericRule="strict64", outputCol="features", ignoreCols=(), hashedWidth=0):
         super().__init__()
-        self._setDefault(numericRule="strict64", outputCol="features", ignoreCols=[])
+        self._setDefault(numericRule="strict64", outputCol="features", ignoreCols=[], hashedWidth=0)
         given = {k: v for k, v in self._input_kwargs.items() if v is not None}
         self._set(**{**given, "ignoreCols": list(ignoreCols)})
 
@@ -185,7 +219,6 @@ class TableFeaturizer(Estimator, DefaultParamsReadable, DefaultParamsWritable):
         middle, spread, frequent = medians(dataset, numeric), {}, modes(dataset, categorical)
         numeric = [c for c in numeric if middle[c] is not None]
         categorical = [c for c in categorical if frequent[c] is not None]
-        bounded_categories(dataset, categorical)
         filled = dataset.select(*[F.coalesce(present(dataset, c).cast("double"), F.lit(middle[c])).alias(c) for c in numeric])
         spread = moments(filled, numeric)
         exprs = []
@@ -198,9 +231,11 @@ class TableFeaturizer(Estimator, DefaultParamsReadable, DefaultParamsWritable):
             exprs.append(f"coalesce(cast(`{c}` AS STRING), '{text}') AS `{c}__filled`")
         prepare = SQLTransformer(statement=f"SELECT *, {', '.join(exprs)} FROM __THIS__")
         texts = [f"{c}__filled" for c in categorical]
-        inputs = [f"{c}__scaled" for c in numeric] + [f"{c}__onehot" for c in texts]
-        assembler = VectorAssembler(inputCols=inputs, outputCol=self.getOrDefault(self.outputCol))
-        return Pipeline(stages=[prepare, *one_hot_stages(texts), assembler]).fit(dataset)
+        width, encode, encoded = self.getOrDefault(self.hashedWidth), one_hot_stages(texts), [f"{c}__onehot" for c in texts]
+        if width and texts:
+            encode, encoded = [FeatureHasher(inputCols=texts, outputCol="categories__hashed", numFeatures=width)], ["categories__hashed"]
+        assembler = VectorAssembler(inputCols=[f"{c}__scaled" for c in numeric] + encoded, outputCol=self.getOrDefault(self.outputCol))
+        return Pipeline(stages=[prepare, *encode, assembler]).fit(dataset)
 
 
 def fit_transform_features(

@@ -109,3 +109,13 @@ def page_markdown(blocks: DataFrame, *, page: list[str], order: str = "id", type
 def sanitize_html(df: DataFrame, *, col: str, tags: list[str] = ALLOWED_TAGS, attrs: dict[str, list[str]] = ALLOWED_ATTRS) -> DataFrame:
     """Tags and attributes off the lists are dropped, all text stays."""
     return df.withColumn(col, cleaned_html(tags, attrs)(F.col(col)))
+
+
+def index_by_type(df: DataFrame, *, types: list[str], col: str = "type") -> DataFrame:
+    """Blocks of the types that are to be indexed; others, and blocks without a type, are left out."""
+    return df.where(F.col(col).isin(types))
+
+
+def page_block_stats(df: DataFrame, *, by: list[str], col: str = "type", text: str = "text") -> DataFrame:
+    """Blocks and characters per page and type; a missing type is its own row."""
+    return df.groupBy(*by, col).agg(F.count("*").alias("n_blocks"), F.coalesce(F.sum(F.length(text)), F.lit(0)).alias("n_chars"))

@@ -25,12 +25,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import metrics as M
-from .features import TableFeaturizer, bounded_categories
+from .features import TableFeaturizer
 from .guards import require_columns
 from .sampling import kfold, kfold_stratified
 
 LABEL = "label__"
-MAX_NORMAL_FEATURES = 4096
+#: One rule for every least-squares step: Spark solves exactly up to 4096 features and iterates above, here to a tight end.
+LEAST_SQUARES = {"solver": "auto", "maxIter": 1000, "tol": 1e-9, "elasticNetParam": 0.0, "standardization": False}
 
 
 class _PenaltyEstimator(Estimator, HasLabelCol, HasFeaturesCol, DefaultParamsReadable, DefaultParamsWritable):
@@ -108,8 +109,7 @@ class PenalizedSVC(_PenaltyEstimator):
             if not n:
                 break
             ridge = LinearRegression(
-                labelCol="y", elasticNetParam=0.0, standardization=False, solver="normal" if width <= MAX_NORMAL_FEATURES else "l-bfgs",
-                regParam=(spread or 0.0) / (2 * C * n),
+                labelCol="y", regParam=(spread or 0.0) / (2 * C * n), **LEAST_SQUARES,
             ).fit(active)
             new_beta, new_bias = ridge.coefficients.toArray(), ridge.intercept
             both = _margin_model(spark, new_beta, new_bias, "features", "raw1").transform(scored.drop("prediction"))
@@ -142,8 +142,7 @@ class RidgeRegression(_PenaltyEstimator):
     def _fit(self, dataset):
         n, spread = dataset.agg(F.count("*"), F.stddev_pop(self.getLabelCol())).first()
         return LinearRegression(
-            **self._cols(), elasticNetParam=0.0, standardization=False, solver="normal",
-            regParam=self.getOrDefault(self.alpha) * (spread or 0.0) / n,
+            **self._cols(), regParam=self.getOrDefault(self.alpha) * (spread or 0.0) / n, **LEAST_SQUARES,
         ).fit(dataset)
 
 
@@ -164,7 +163,7 @@ class LinearSVR(_PenaltyEstimator):
             n, spread = rows.agg(F.count("*"), F.stddev_pop("y")).first()
             floor = max(1e-9, 1e-3 * (spread or 1.0))
             model = LinearRegression(
-                labelCol="y", elasticNetParam=0.0, standardization=False, solver="normal", regParam=(spread or 0.0) / (C * n)
+                labelCol="y", regParam=(spread or 0.0) / (C * n), **LEAST_SQUARES,
             ).fit(rows)
             previous = math.inf
             for _ in range(self.getOrDefault(self.maxIter)):
@@ -186,11 +185,7 @@ class LinearSVR(_PenaltyEstimator):
                     break
                 previous = objective
                 deviation = math.sqrt(max(wtt / w - (wt / w) ** 2, 0.0))
-                solver = "normal" if len(coefficients) <= MAX_NORMAL_FEATURES else "l-bfgs"
-                model = LinearRegression(
-                    labelCol="t", weightCol="w", elasticNetParam=0.0, standardization=False, solver=solver,
-                    regParam=deviation / w,
-                ).fit(scored)
+                model = LinearRegression(labelCol="t", weightCol="w", regParam=deviation / w, **LEAST_SQUARES).fit(scored)
             return model
         finally:
             rows.unpersist()
@@ -207,15 +202,13 @@ class Trained:
 
 
 def _fit_pipeline(train: DataFrame, *, target: str, task: str, estimator: Estimator, ignore: list[str] = ()) -> PipelineModel:
-    """Preparation and model fitted on the same rows, which several passes read from a cache."""
+    """Preparation and model fitted on the same rows. Only what is derived here is cached; the caller's frame is left as it is."""
     require_columns(train, target)
-    rows = train.persist(StorageLevel.MEMORY_AND_DISK)
-    vectors = None
+    rows, vectors = train, None
     try:
         fitted = TableFeaturizer(targetCol=target, ignoreCols=list(ignore)).fit(rows)
         decode = []
         if task == "classification":
-            bounded_categories(rows, [target])
             indexer = _label_indexer(target).fit(rows)
             decode = [IndexToString(inputCol="prediction", outputCol="predictions", labels=indexer.labels)]
             labelled = indexer.transform(rows)
@@ -226,7 +219,6 @@ def _fit_pipeline(train: DataFrame, *, target: str, task: str, estimator: Estima
     finally:
         if vectors is not None:
             vectors.unpersist()
-        rows.unpersist()
 
 
 def _label_indexer(target: str) -> StringIndexer:
@@ -313,8 +305,16 @@ def train_all_and_rank(
             scores["train_accuracy"] = holdout_score(model, train, target=target, task=task)["accuracy"]
         return Trained(name, task, model, scores)
 
-    with ThreadPoolExecutor(parallelism) as pool:
-        results = list(pool.map(run, FAMILIES[task]))
+    # All families read the training rows several times; a cache of the caller's is used and kept.
+    own = not (train.storageLevel.useMemory or train.storageLevel.useDisk)
+    if own:
+        train.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        with ThreadPoolExecutor(parallelism) as pool:
+            results = list(pool.map(run, FAMILIES[task]))
+    finally:
+        if own:
+            train.unpersist()
     sign = -1 if RANKINGS[primary] else 1
     return sorted(results, key=lambda t: (sign * t.metrics[primary], t.name))
 
@@ -377,7 +377,6 @@ def _search(
     rng = random.Random(seed)
     candidates = [draw(rng) for _ in range(trials)]
     if task == "classification":
-        bounded_categories(train, [target])
         indexer: StringIndexerModel = _label_indexer(target).fit(train)
         labelled = indexer.transform(kfold_stratified(train, key=key, by=target, k=k, seed=seed))
     else:

@@ -109,3 +109,13 @@ def budget_accounting(df: DataFrame, *, reasoning: str = "reasoning", tokens_use
         F.col("remaining") <= 0, "remaining tokens must be positive"
     )
     return out.withColumns({"reasoning_text": bare, "violation": violation})
+
+
+def quality_score_extract(df: DataFrame, *, col: str, out: str = "quality_score") -> DataFrame:
+    """The helpfulness score of a review: the first whole number after the word "score", or else before "/10" or "out of 10".
+    Anything but 1 to 10 is null."""
+    named = F.regexp_extract(col, r"(?i)\bscore\b\D{0,20}?(\d+)", 1)
+    of_ten = F.regexp_extract(col, r"(?i)(\d+)\s*(?:/|out of)\s*10\b", 1)
+    text = F.when(F.length(named) > 0, named).otherwise(of_ten)
+    number = F.when((F.length(text) > 0) & (F.length(text) <= 2), text).cast("int")
+    return df.withColumn(out, F.when(number.between(1, 10), number))

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .guards import require_columns
@@ -131,13 +131,13 @@ def _small_queries(queries: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
 def knn_topk(
     queries: DataFrame, vectors: DataFrame, *, k: int = 6, metric: str = "ip", query_id: str = "query_id",
     query_vec: str = "embedding", id: str = "id", vec: str = "embedding", exclude_self: bool = False,
-    block_rows: int = BLOCK_ROWS, broadcast: bool | None = None,
+    block_rows: int = BLOCK_ROWS, broadcast: bool | None = None, where: Column | str | None = None,
 ) -> DataFrame:
     """Exact ``k`` nearest vectors per query: (query_id, id, rank, score).
 
     ``metric`` is ``ip``, ``cosine`` or ``l2`` (score is then the distance). Ids are unique
     integers. Scores are compared at nine decimals (squared distances for ``l2``), ties go to the
-    lower id.
+    lower id. ``where`` is a condition on the columns of ``vectors``; only rows that meet it are searched.
 
     A query table within the broadcast bound is sent to the tasks that scan the vectors, which
     are not shuffled. Beyond the bound both sides are cut into blocks of about ``block_rows``
@@ -146,7 +146,7 @@ def knn_topk(
     if metric not in ("ip", "cosine", "l2"):
         raise ValueError(f"unknown metric {metric!r}")
     q = _pick(queries, query_id, query_vec)
-    v = _pick(vectors, id, vec)
+    v = _pick(vectors if where is None else vectors.where(where), id, vec)
     keep = k + 1 if exclude_self else k
     small = _small_queries(q) if broadcast is not False else None
     if small is not None:
@@ -205,40 +205,68 @@ def _cogrouped(left: DataFrame, right: DataFrame, keys: list[str], k: int, metri
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, _CANDIDATES)
 
 
+#: Vectors that a bucket of the approximate search is meant to hold.
+BUCKET_ROWS = 256
+
+
 def knn_lsh(
     queries: DataFrame, vectors: DataFrame, *, k: int = 6, metric: str = "ip", query_id: str = "query_id",
-    query_vec: str = "embedding", id: str = "id", vec: str = "embedding", dim: int, tables: int = 8, bits: int = 6,
-    seed: int = 42, block_rows: int = BLOCK_ROWS,
+    query_vec: str = "embedding", id: str = "id", vec: str = "embedding", dim: int, tables: int = 8, bits: int | None = None,
+    seed: int = 42, block_rows: int = BLOCK_ROWS, where: Column | str | None = None,
 ) -> DataFrame:
-    """Approximate search: only vectors that share a random-hyperplane code with a query in one
-    of ``tables`` tables are scored, exactly. Queries may get fewer than k answers.
+    """Approximate search: vectors whose random-hyperplane code equals a query's, or differs in one bit, in one of ``tables``
+    tables are scored exactly. Every query gets k answers if there are k vectors: those with fewer candidates are searched exactly.
 
-    A bucket of any size is cut into blocks of about ``block_rows`` vectors; its queries visit
-    every block, so a hot bucket is spread over tasks and no pair is left out.
+    ``bits`` follows from the number of vectors unless given, so that a bucket holds about ``BUCKET_ROWS`` of them at any size.
+    Inner product and distance are turned into angles first: vectors get one component that makes all norms equal, and for the
+    distance one that carries half the squared norm. A bucket of any size is cut into blocks of about ``block_rows`` vectors and
+    queries; each block of its queries visits each block of its vectors, so a hot bucket is spread and no pair is left out.
     """
-    planes = np.random.default_rng(seed).standard_normal((tables, bits, dim))
     block_rows = max(1, min(block_rows, BROADCAST_BYTES // (8 * dim)))
-    q, v = _pick(queries, query_id, query_vec), _pick(vectors, id, vec)
-
-    def coded(df: DataFrame) -> DataFrame:
+    q, v = _pick(queries, query_id, query_vec), _pick(vectors if where is None else vectors.where(where), id, vec)
+    square = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    n, largest = v.agg(F.count("*"), F.max(square)).first()
+    if bits is None:
+        bits = max(0, int(np.floor(np.log2(max(n, 1) / BUCKET_ROWS))))
+    tables = tables if bits else 1
+    planes = np.random.default_rng(seed).standard_normal((tables, bits, dim + 2))
+    top = largest or 0.0
+
+    def aligned(m: np.ndarray, query: bool) -> np.ndarray:
+        """Rows whose angles order vectors as the metric does."""
+        own = (m * m).sum(1)
+        half = np.zeros(len(m)) if metric != "l2" else np.full(len(m), 1.0) if query else -0.5 * own
+        bound = top + (0.25 * top * top if metric == "l2" else 0.0)
+        rest = np.zeros(len(m)) if query or metric == "cosine" else np.sqrt(np.maximum(bound - own - half * half, 0.0))
+        return np.column_stack((m, half, rest))
+
+    def coded(df: DataFrame, query: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            weights = 1 << np.arange(bits)
+            weights = 1 << np.arange(bits, dtype=np.int64)
             for batch in batches:
                 m = _matrix(batch.column(1))
                 for t in range(tables if len(m) else 0):
-                    codes = ((m @ planes[t].T > 0) @ weights + (t << bits)).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(codes)], names=["id", "vec", "code"])
+                    codes = ((aligned(m, query) @ planes[t].T > 0) @ weights).astype(np.int64)
+                    for flip in [0, *weights.tolist()] if query else [0]:
+                        code = pa.array((codes ^ flip) + (t << bits))
+                        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), code], names=["id", "vec", "code"])
 
         kind = df.schema["vec"].dataType.simpleString()
         return df.mapInArrow(run, f"id BIGINT, vec {kind}, code BIGINT")
 
-    vc, qc = coded(v), coded(q)
-    sizes = vc.groupBy("code").agg(F.count("*").alias("n"))  # at most tables * 2^bits rows
-    blocks = F.broadcast(sizes.select("code", F.ceil(F.col("n") / block_rows).cast("int").alias("parts")))
-    left = qc.join(blocks, "code").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    right = vc.join(blocks, "code").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts").cast("long")).cast("int")).drop("parts")
-    query_blocks = max(1, -(-q.count() // block_rows))
-    left = left.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(query_blocks)).cast("int"))
-    right = right.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    candidates = _cogrouped(left, right, ["code", "part", "qb"], k, metric)
-    return _ranked(candidates.distinct(), k, metric)
+    vc, qc = coded(v, False), coded(q, True)
+
+    def parts(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("code").agg(F.ceil(F.count("*") / block_rows).cast("int").alias(name))
+
+    sizes = parts(vc, "vectors").join(parts(qc, "queries"), "code")
+
+    def blocked(df: DataFrame, own: str, other: str) -> DataFrame:
+        rows = df.join(sizes, "code").withColumn(own[0], F.pmod(F.xxhash64("id"), F.col(own).cast("long")).cast("int"))
+        return rows.withColumn(other[0], F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("vectors", "queries")
+
+    found = _cogrouped(blocked(qc, "queries", "vectors"), blocked(vc, "vectors", "queries"), ["code", "v", "q"], k, metric).distinct()
+    enough = found.groupBy("query_id").agg(F.count("*").alias("have")).where(F.col("have") >= min(k, n)).select(F.col("query_id").alias("id"))
+    lacking = q.join(enough, "id", "left_anti")
+    exact = _block_pairs(lacking, v, k, metric, block_rows)
+    return _ranked(found.join(lacking.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(exact), k, metric)

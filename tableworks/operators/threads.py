@@ -87,8 +87,9 @@ def render_chat_prompt(
 
 
 def reasoning_mode(msgs: DataFrame, *, thread: str = "thread_id", order: str = "turn", role: str = "role", text: str = "text", default: str = "on") -> DataFrame:
-    """Reasoning switch in force at each message: the last tag so far in a system or user text."""
-    tag = F.regexp_extract(text, r"(?s)^.*(/no_think|/think)\b", 1)
+    """Reasoning switch in force at each message: the last tag so far in a system or user text. A tag stands at the start
+    or after white space, so closing tags and paths do not switch."""
+    tag = F.regexp_extract(text, r"(?s)^(?:.*\s)?(/no_think|/think)(?![\w/])", 1)
     own = F.when(F.col(role).isin("system", "user"), F.when(tag == "/think", "on").when(tag == "/no_think", "off"))
     out = last_value_before(msgs.withColumn("_tag", own), by=[thread], order=order, value="_tag", out="mode", inclusive=True)
     return out.withColumn("mode", F.coalesce("mode", F.lit(default))).drop("_tag")

@@ -183,15 +183,34 @@ def collaboration_log(spark, sf):
 
 
 @query("clean_transcript", """
-WITH heard AS (SELECT doc_id, CASE lang WHEN 'en' THEN 'Hypothesis(score=1, text=''' || replace(substr(source || ' ' || lang, 1, 200), '''', ' ') || ''', ok)' WHEN 'de' THEN '  ' || chr(10) WHEN 'fr' THEN 'text=''''' ELSE text END AS transcript, lang, source, text FROM documents)
-SELECT doc_id, CASE lang WHEN 'en' THEN source || ' ' || lang ELSE transcript END AS query, CASE lang WHEN 'de' THEN 'No speech detected in audio' END AS error FROM heard""")
+WITH heard AS (SELECT doc_id, replace(text, '''', ' ') AS said, CASE WHEN doc_id % 7 = 0 THEN 1 WHEN doc_id % 11 = 0 THEN 2 WHEN lang = 'es' THEN 3 END AS kind FROM documents)
+SELECT doc_id, CASE kind WHEN 1 THEN '  ' || chr(10) WHEN 2 THEN 'text='''' ' || said ELSE CASE WHEN kind IS NULL AND said = '' THEN 'Hypothesis(score=1, text='''', ok)' ELSE said END END AS query,
+       CASE WHEN kind = 1 OR (kind = 3 AND regexp_full_match(said, '\\s*')) OR (kind IS NULL AND said <> '' AND regexp_full_match(said, '\\s*')) THEN 'No speech detected in audio' END AS error FROM heard""")
 def clean_transcript(spark, sf):
-    lang = F.col("lang")
-    wrapped = F.concat(F.lit("Hypothesis(score=1, text='"), "source", F.lit(" "), "lang", F.lit("', ok)"))
-    heard = F.when(lang == "en", wrapped).when(lang == "de", "  \n").when(lang == "fr", "text=''").otherwise(F.col("text"))
+    """Whole texts as transcripts: wrapped, bare (Spanish), blank, and with an empty wrapper before the text."""
+    said = F.replace("text", F.lit("'"), F.lit(" "))
+    wrapped = F.concat(F.lit("Hypothesis(score=1, text='"), said, F.lit("', ok)"))
+    bare = F.when(F.col("lang") == "es", said).otherwise(wrapped)
+    heard = F.when(F.col("doc_id") % 7 == 0, "  \n").when(F.col("doc_id") % 11 == 0, F.concat(F.lit("text='' "), said)).otherwise(bare)
     return D.clean_transcript(table(spark, sf, "documents").select("doc_id", heard.alias("transcript"))).select("doc_id", "query", "error")
 
 
+@query("quality_score_extract", """
+SELECT conv_id, turn, CASE WHEN turn % 5 IN (0, 1) AND length(text) % 13 BETWEEN 1 AND 10 THEN (length(text) % 13)::INTEGER
+                           WHEN turn % 5 = 2 THEN 7 END AS quality_score FROM conversations""")
+def quality_score_extract(spark, sf):
+    """Every message as a review: a score by name, one out of ten, both, none, and a decimal text."""
+    n, kind, text = (F.length("text") % 13).cast("string"), F.col("turn") % 5, F.regexp_replace("text", "(?i)score|[0-9]", "")
+    review = (
+        F.when(kind == 0, F.concat(text, F.lit("\nHelpfulness score: "), n))
+        .when(kind == 1, F.concat(text, F.lit(" I give it "), n, F.lit(" / 10.")))
+        .when(kind == 2, F.concat(F.lit("**Score**: 7 (not 3/10). "), text).cast("string"))
+        .otherwise(text)
+    )
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", review.alias("review"))
+    return R.quality_score_extract(rows, col="review").drop("review")
+
+
 # --- reasoning --------------------------------------------------------------------------------
 
 THOUGHT_SQL = """

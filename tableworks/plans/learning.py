@@ -333,8 +333,6 @@ def batch_predict(spark, sf):
     return L.batch_predict(model, test)
 
 
-TRIALS = 2
-
 for _name, _search, _parts, _target, _key in [
     ("search_logistic", L.search_logistic, labelled_orders, "o_orderstatus", "o_orderkey"),
     ("search_forest_classifier", L.search_forest_classifier, labelled_orders, "o_orderstatus", "o_orderkey"),
@@ -346,6 +344,6 @@ for _name, _search, _parts, _target, _key in [
 
     def _run(spark, sf, search=_search, parts=_parts, target=_target, key=_key):
         train, _ = parts(spark, sf)
-        return search(train, target=target, key=key, trials=TRIALS).trials
+        return search(train, target=target, key=key).trials
 
     query(_name)(_run)

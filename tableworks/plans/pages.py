@@ -34,7 +34,7 @@ def document_blocks(spark, sf):
         )
         return F.struct(F.get(types, i % 14).alias("type"), line.alias("text"), F.when(i % 11 != 10, box).alias("bbox"))
 
-    return table(spark, sf, "documents", spread=True).select("doc_id", "lang", F.transform(F.split("text", "\n"), block).alias("blocks"))
+    return table(spark, sf, "documents").select("doc_id", "lang", F.transform(F.split("text", "\n"), block).alias("blocks"))
 
 
 @query("parse_blocks_json", BLOCKS_SQL + """
@@ -105,7 +105,7 @@ def order_tables(spark, sf):
         F.lit(r" \\ \textbf{Priority} & R\&D \_ "), "o_orderpriority", F.lit(r" \\ & \% \textless "), F.col("o_custkey").cast("string"),
         F.lit(r" \\ & \\ \end{tabular} after"),
     )
-    return table(spark, sf, "orders", spread=True).select("o_orderkey", latex.alias("latex"))
+    return table(spark, sf, "orders").select("o_orderkey", latex.alias("latex"))
 
 
 @query("latex_table_cells", r"""
@@ -122,7 +122,7 @@ def customer_tables(spark, sf):
         F.lit(r"\begin{tabular}{lll} \multicolumn{3}{c}{\textit{"), "c_name", F.lit(r"}} \\ \multirow{2}{*}{"), "c_mktsegment",
         F.lit(r"} & a & b \\ \multicolumn{2}{r}{\multirow{2}{*}{"), F.col("c_nationkey").cast("string"), F.lit(r"}} \\ last & z \\ \end{tabular}"),
     )
-    return table(spark, sf, "customer", spread=True).select("c_custkey", latex.alias("latex"))
+    return table(spark, sf, "customer").select("c_custkey", latex.alias("latex"))
 
 
 SPANS_SQL = r"""
@@ -184,7 +184,7 @@ lines_out AS (SELECT doc_id, id, CASE WHEN closes THEN chr(10) ELSE '' END || CA
 
 def page_blocks(spark, sf):
     """Lines of documents as blocks of one page each, with tables as LaTeX."""
-    lines = table(spark, sf, "documents", spread=True).select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("id", "line"))
+    lines = table(spark, sf, "documents").select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("id", "line"))
     kind = F.get(F.array(*[F.lit(t) for t in BLOCK_TYPES]), F.col("id") % 14)
     latex = F.concat(F.lit(r"\begin{tabular}{l}"), F.replace("line", F.lit("&"), F.lit("+")), F.lit(r"\end{tabular}"))
     rows = lines.select("doc_id", F.lit(1).alias("page"), "id", kind.alias("type"), "line")
@@ -201,6 +201,26 @@ def page_markdown(spark, sf):
     return L.page_markdown(page_blocks(spark, sf), page=["doc_id", "page"])
 
 
+KINDS_SQL = f"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS id FROM documents),
+typed AS (SELECT doc_id, id, ({_TYPES_SQL})[id % 14 + 1] AS type, line FROM lines)
+"""
+
+
+@query("index_by_type", KINDS_SQL + "SELECT doc_id, id::BIGINT AS id, type FROM typed WHERE type IN ('Text', 'Table')")
+def index_by_type(spark, sf):
+    blocks = L.index_by_type(page_blocks(spark, sf), types=["Text", "Table"])
+    return blocks.select("doc_id", F.col("id").cast("long").alias("id"), "type")
+
+
+@query("page_block_stats", KINDS_SQL + r"""
+SELECT doc_id, 1::INTEGER AS page, type, count(*) AS n_blocks,
+       sum(length(line) + CASE WHEN type = 'Table' THEN length('\begin{tabular}{l}\end{tabular}') ELSE 0 END)::BIGINT AS n_chars FROM typed GROUP BY ALL""")
+def page_block_stats(spark, sf):
+    return L.page_block_stats(page_blocks(spark, sf), by=["doc_id", "page"])
+
+
 @query("export_pages", MARKDOWN_SQL)
 def export_pages(spark, sf):
     pages = L.page_markdown(page_blocks(spark, sf), page=["doc_id", "page"])
@@ -211,4 +231,4 @@ def export_pages(spark, sf):
 
 @query("sanitize_html")
 def sanitize_html(spark, sf):
-    return L.sanitize_html(table(spark, sf, "pages", spread=True).select("page_id", "html"), col="html")
+    return L.sanitize_html(table(spark, sf, "pages").select("page_id", "html"), col="html")

@@ -28,7 +28,7 @@ def chunk_fixed(spark, sf):
 
 @query("chunk_recursive")
 def chunk_recursive(spark, sf):
-    return R.chunk_recursive(table(spark, sf, "documents", spread=True), text="text", key="doc_id")
+    return R.chunk_recursive(table(spark, sf, "documents"), text="text", key="doc_id")
 
 
 @query("prefix_text", """
@@ -66,11 +66,11 @@ def sniff_base64(spark, sf):
     return R.sniff_base64(encoded_documents(spark, sf), col="content").select("doc_id", "is_base64")
 
 
-@query("decode_base64", ENCODED_SQL + """
-SELECT doc_id, CASE WHEN lang = 'de' THEN md5(text) END AS digest FROM coded WHERE lang <> 'en'""")
+@query("decode_base64", ENCODED_SQL + r"""
+SELECT doc_id, CASE WHEN regexp_full_match(solid, '([A-Za-z0-9+/]{4})*([A-Za-z0-9+/]{2}(==)?|[A-Za-z0-9+/]{3}=?)?') AND length(raw) > 0
+            THEN md5(from_base64(rpad(solid, (ceil(length(solid) / 4.0) * 4)::INTEGER, '='))) END AS digest FROM (SELECT doc_id, content AS raw, regexp_replace(content, '\s', '', 'g') AS solid FROM coded)""")
 def decode_base64(spark, sf):
-    coded = encoded_documents(spark, sf).where("lang <> 'en'")
-    return R.decode_base64(coded, col="content").select("doc_id", F.md5("decoded").alias("digest"))
+    return R.decode_base64(encoded_documents(spark, sf), col="content").select("doc_id", F.md5("decoded").alias("digest"))
 
 
 # --- vectors ----------------------------------------------------------------------------------
@@ -85,7 +85,7 @@ sparse AS (SELECT id, slot, n / (sqrt(sum(n * n) OVER (PARTITION BY id)) + 1e-12
 @query("embed_batches", "WITH texts AS (SELECT doc_id AS id, 'passage: ' || text AS text FROM documents)," + HASHED_SQL + """
 SELECT id AS doc_id, slot, round(value, 6) AS value FROM sparse""")
 def embed_batches(spark, sf):
-    docs = R.prefix_text(table(spark, sf, "documents", spread=True).select("doc_id", "text"), col="text", kind="passage")
+    docs = R.prefix_text(table(spark, sf, "documents").select("doc_id", "text"), col="text", kind="passage")
     out = R.embed_batches(docs, col="text", encoder=HashEncoder)
     long = out.select("doc_id", F.posexplode_outer("embedding").alias("slot", "value")).where("value <> 0")
     return long.select("doc_id", F.col("slot").cast("long").alias("slot"), F.round("value", 6).alias("value"))
@@ -141,6 +141,14 @@ def knn_lsh(spark, sf):
     return S.knn_lsh(vectors, vectors, k=6, dim=64, query_id="vec_id", id="vec_id").withColumn("score", F.round("score", 6))
 
 
+@query("metadata_filtered_knn", _knn_sql("list_dot_product(q.e, v.e)", "round(s, 9) DESC").replace("FROM v AS q, v)", "FROM v AS q, v WHERE v.vec_id IN (SELECT vec_id FROM embeddings WHERE label IN (1, 3)))"))
+def metadata_filtered_knn(spark, sf):
+    """Every vector as a query, two labels to be searched."""
+    vectors = table(spark, sf, "embeddings")
+    out = S.knn_topk(vectors, vectors, k=6, query_id="vec_id", id="vec_id", where="label IN (1, 3)")
+    return out.withColumn("score", F.round("score", 6))
+
+
 @query("lookup_payload", _knn_sql("list_dot_product(q.e, v.e)", "round(s, 9) DESC").replace("SELECT query_id, id, rank, round(round(s, 9), 6) AS score FROM ranked WHERE rank <= 6", """
 SELECT query_id, id, rank, lang, source, n_chars FROM ranked JOIN documents ON id = doc_id WHERE rank <= 6"""))
 def lookup_payload(spark, sf):
@@ -225,7 +233,7 @@ SELECT query_id, string_agg('[Source ID: ' || r || ' | Type: ' || upper(lang) ||
        count(*) AS n_hits FROM best WHERE r <= 5 GROUP BY query_id""")
 def retrieve_rerank_context(spark, sf):
     """Every benchmark text as a question against the chunks of every document."""
-    chunks = R.chunk_fixed(table(spark, sf, "documents", spread=True), text="text", key="doc_id")
+    chunks = R.chunk_fixed(table(spark, sf, "documents"), text="text", key="doc_id")
     docs = chunks.select(
         (F.shiftleft(F.col("doc_id"), 24) + F.col("chunk_no")).alias("id"), F.col("chunk").alias("text"),
         F.col("lang").alias("type"), F.col("chunk_no").alias("page"),

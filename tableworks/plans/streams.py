@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, table
@@ -78,10 +76,11 @@ def stream_experiment_log(spark, sf):
     path = scratch_path(spark, "followed-log")
     experiment_lines(spark, sf).write.text(path)
     best = T.stream_experiment_log(ST.stream_lines(spark, path))
-    name = f"best_{uuid.uuid4().hex}"  # complete mode: one row per metric reaches the sink
-    state = scratch_path(spark, "log-state")
-    started = (
-        best.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", state).trigger(availableNow=True).start()
-    )
+    target, state = scratch_path(spark, "log-best"), scratch_path(spark, "log-state")
+
+    def replace(rows, _):  # complete mode: every batch brings one row per metric, which replaces the table
+        rows.write.mode("overwrite").parquet(target)
+
+    started = best.writeStream.foreachBatch(replace).outputMode("complete").option("checkpointLocation", state).trigger(availableNow=True).start()
     started.awaitTermination()
-    return spark.table(name)
+    return spark.read.parquet(target)

@@ -266,18 +266,20 @@ cells AS (
   SELECT 'row ' || r AS section, 'c_custkey' AS name, c_custkey::VARCHAR AS value FROM head
   UNION ALL SELECT 'row ' || r, 'c_name', c_name FROM head
   UNION ALL SELECT 'row ' || r, 'c_nationkey', c_nationkey::VARCHAR FROM head
+  UNION ALL SELECT 'row ' || r, 'c_acctbal', CASE WHEN isnan(c_acctbal) THEN 'NaN' ELSE c_acctbal::VARCHAR END FROM head
   UNION ALL SELECT 'row ' || r, 'c_mktsegment', c_mktsegment FROM head),
 counts AS (
   SELECT 'missing' AS section, 'c_custkey' AS name, (count(*) FILTER (c_custkey IS NULL))::VARCHAR AS value FROM gaps
   UNION ALL SELECT 'missing', 'c_name', (count(*) FILTER (c_name IS NULL))::VARCHAR FROM gaps
   UNION ALL SELECT 'missing', 'c_nationkey', (count(*) FILTER (c_nationkey IS NULL))::VARCHAR FROM gaps
+  UNION ALL SELECT 'missing', 'c_acctbal', (count(*) FILTER (c_acctbal IS NULL OR isnan(c_acctbal)))::VARCHAR FROM gaps
   UNION ALL SELECT 'missing', 'c_mktsegment', (count(*) FILTER (c_mktsegment IS NULL))::VARCHAR FROM gaps),
 types AS (
   SELECT 'type' AS section, name, value
-  FROM (VALUES ('c_custkey', 'bigint'), ('c_name', 'string'), ('c_nationkey', 'int'), ('c_mktsegment', 'string')) t(name, value))
+  FROM (VALUES ('c_custkey', 'bigint'), ('c_name', 'string'), ('c_nationkey', 'int'), ('c_acctbal', 'double'), ('c_mktsegment', 'string')) t(name, value))
 SELECT * FROM cells UNION ALL SELECT * FROM counts UNION ALL SELECT * FROM types""")
 def context_sample(spark, sf):
-    return P.context_sample(customer_with_gaps(spark, sf).drop("c_acctbal"), key="c_custkey")
+    return P.context_sample(customer_with_gaps(spark, sf), key="c_custkey")
 
 
 @query("task_gate", """

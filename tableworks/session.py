@@ -51,21 +51,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tableworks/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back, which also cuts its lineage."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.mode("errorifexists").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str, *, spread: bool = False) -> DataFrame:
-    """A table of the folder. ``spread`` is for heavy work per row: a table that gives fewer full
-    input splits than there are cores is dealt out to all of them first."""
-    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    if spread:
-        cores = spark.sparkContext.defaultParallelism
-        split = int(spark.conf.get("spark.sql.files.maxPartitionBytes").removesuffix("b"))
-        if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < cores * split:
-            return df.repartition(cores)
-    return df
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder."""
+    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))

@@ -99,13 +99,23 @@ def read_binary_images(spark: SparkSession, path: str, *, column: str = "image")
     )
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def build_vector_index(df: DataFrame, path: str, *, vector: str, dim: int, overwrite: bool = True) -> DataFrame:
-    """Write vectors with their payload under generated ids; a wrong dimension stops the job."""
+    """Write vectors with their payload under generated ids; a wrong dimension stops the job. Appended rows get ids above all
+    stored ones. One writer at a time: two appends at once would start from the same id."""
+    spark, first = df.sparkSession, 0
+    if not overwrite and _exists(spark, path):
+        highest = spark.read.parquet(path).agg(F.max("id")).first()[0]
+        first = 0 if highest is None else highest + 1
     size_ok = F.size(vector) == dim
     checked = F.when(size_ok, F.col(vector)).otherwise(
         F.raise_error(F.concat(F.lit(f"expected {dim} dimensions, got "), F.coalesce(F.size(vector).cast("string"), F.lit("null"))))
     )
-    rows = df.withColumn(vector, checked).withColumn("id", F.monotonically_increasing_id())
+    rows = df.withColumn(vector, checked).withColumn("id", F.monotonically_increasing_id() + F.lit(first))
     rows.write.mode("overwrite" if overwrite else "append").parquet(path)
     return df.sparkSession.read.parquet(path)
 

@@ -80,6 +80,20 @@ def test_mode_needs_a_system_or_user_tag(spark):
     assert [r.mode for r in D.reasoning_mode(df).orderBy("turn").collect()] == ["on", "off", "off", "on"]
 
 
+def test_closing_tags_and_paths_do_not_switch(spark):
+    texts = ["/no_think", "done </think>", "see https://a.b/think", "a/think", "/thinking", "x\n/think now"]
+    df = spark.createDataFrame([(1, i, "user", t) for i, t in enumerate(texts)], "thread_id INT, turn INT, role STRING, text STRING")
+    assert [r.mode for r in D.reasoning_mode(df).orderBy("turn").collect()] == ["off"] * 5 + ["on"]
+
+
+def test_scores_of_reviews(spark):
+    from tableworks.operators import reasoning as R
+
+    cases = {"Score: 8": 8, "helpfulness SCORE is 10/10": 10, "9 / 10 overall": 9, "a 3 out of 10": 3, "score: 11": None, "score 0": None, "none": None, "": None, "scores 5": None}
+    df = spark.createDataFrame([(t,) for t in cases] + [(None,)], "t STRING")
+    assert {r.t: r.quality_score for r in R.quality_score_extract(df, col="t").collect()} == {**cases, None: None}
+
+
 def test_tool_results_and_errors(spark):
     df = spark.createDataFrame([("1", "add", '{"a": 1, "b": 2}'), ("2", "nope", "{}"), ("3", "add", '{"a": 1}'), ("4", "add", None)], "id STRING, name STRING, arguments STRING")
     out = {r.id: r.content for r in D.dispatch_results(df, {"add": lambda a, b: a + b}).collect()}

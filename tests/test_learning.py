@@ -42,11 +42,48 @@ def test_unseen_category_gives_zeros_and_test_rows_do_not_leak(spark):
     assert rows[1] == [0.0, 1.0, 0.0]  # median 2; the mode is x
 
 
-def test_too_many_categories_are_refused(spark, monkeypatch):
-    monkeypatch.setattr(X, "MAX_CATEGORIES", 10)
-    df = spark.range(200).select(F.col("id").cast("string").alias("c"))
-    with pytest.raises(ValueError, match="categories"):
-        X.one_hot(df, df, cols=["c"])
+def test_any_number_of_categories(spark):
+    n = 120_000
+    df = spark.range(n).select(F.format_string("%07d", "id").alias("c"))
+    more = df.limit(1000).union(spark.createDataFrame([("unseen",), (None,)], "c STRING"))
+    rows = X.one_hot(df, more, cols=["c"]).collect()
+    for r in rows:
+        want = [] if r.c in (None, "unseen") else [int(r.c)]
+        assert r["c__onehot"].size == n and r["c__onehot"].indices.tolist() == want
+
+
+def test_hashed_categories_have_a_fixed_width(spark):
+    df = spark.range(500).select("id", F.col("id").cast("string").alias("c"), (F.col("id") * 1.5).alias("y"))
+    model = X.TableFeaturizer(targetCol="y", ignoreCols=["id"], hashedWidth=32).fit(df)
+    assert {r.features.size for r in model.transform(df).select("features").collect()} == {32}
+
+
+def test_least_squares_on_both_sides_of_the_exact_width(spark):
+    from pyspark.ml.linalg import Vectors
+
+    for width in (20, 5000):
+        rows = [(Vectors.sparse(width, {i % 20: 1.0, (7 * i + 3) % width: 0.5}), float(i % 20)) for i in range(400)]
+        df = spark.createDataFrame(rows, ["features", "label__"])
+        model = L.RidgeRegression(alpha=1.0).fit(df)
+        x = np.array([r[0].toArray() for r in rows])
+        y = np.array([r[1] for r in rows])
+        xc, yc = x - x.mean(0), y - y.mean()
+        want = np.linalg.solve(xc.T @ xc + np.eye(width), xc.T @ yc)
+        assert np.allclose(model.coefficients.toArray(), want, atol=1e-3)
+        svr = L.LinearSVR(C=1.0, maxIter=2).fit(df)
+        assert len(svr.coefficients) == width
+
+
+def test_a_cache_of_the_caller_survives_training(numbers):
+    rows = numbers.drop("id", "f").persist()
+    try:
+        rows.count()
+        L.train_ridge(rows, target="y")
+        assert rows.storageLevel.useMemory
+        L.train_all_and_rank(rows, rows, target="y", task="regression", parallelism=1)
+        assert rows.storageLevel.useMemory
+    finally:
+        rows.unpersist()
 
 
 def test_split_sizes_shares_and_folds(spark):

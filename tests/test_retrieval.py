@@ -56,6 +56,26 @@ def test_lsh_finds_most_neighbours_and_spreads_a_hot_bucket(spark, points):
     assert len(exact & near) / len(exact) > 0.8
 
 
+@pytest.mark.parametrize("metric", ["cosine", "ip", "l2"])
+def test_lsh_recall_with_64_dimensions(spark, metric):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 64)) * rng.uniform(0.8, 1.2, size=(3000, 1)) + np.repeat(rng.normal(size=(30, 64)), 100, axis=0)
+    df = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(x)], "id BIGINT, embedding ARRAY<DOUBLE>")
+    queries = df.where("id % 10 = 0")
+    exact = {(r.query_id, r.id) for r in S.knn_topk(queries, df, metric=metric, query_id="id").collect()}
+    near = [(r.query_id, r.id) for r in S.knn_lsh(queries, df, metric=metric, query_id="id", dim=64, block_rows=100).collect()]
+    assert len(near) == len(set(near)) == 6 * 300
+    assert len(exact & set(near)) / len(exact) >= 0.9
+
+
+def test_lsh_answers_every_query_and_filters(spark):
+    df = spark.createDataFrame([(i, [float(i % 7), 1.0, float(-i)], i % 3) for i in range(60)], "id BIGINT, embedding ARRAY<DOUBLE>, part INT")
+    got = S.knn_lsh(df, df, k=5, query_id="id", dim=3, bits=12, tables=1, where="part = 1").collect()
+    assert len(got) == 60 * 5 and all(r.id % 3 == 1 for r in got)
+    exact = S.knn_topk(df, df, k=5, query_id="id", where=F.col("part") == 1).collect()
+    assert all(r.id % 3 == 1 for r in exact)
+
+
 def test_bad_vectors_stop_the_search(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0])], "id BIGINT, embedding ARRAY<DOUBLE>")
     with pytest.raises(Exception, match="different length"):

@@ -22,6 +22,15 @@ def test_csv_round_trip_with_quotes_and_breaks(spark, tmp_path):
     assert sorted((r.id, r.t) for r in back.collect()) == [(1, 'a "q", b'), (2, "line\nbreak")]
 
 
+def test_appended_vectors_get_new_ids(spark, tmp_path):
+    path = str(tmp_path / "index")
+    for first in (0, 10, 20):
+        df = spark.createDataFrame([(first + i, [float(first + i), 1.0]) for i in range(10)], "k INT, v ARRAY<DOUBLE>").repartition(3)
+        S.build_vector_index(df, path, vector="v", dim=2, overwrite=False)
+    rows = spark.read.parquet(path).collect()
+    assert len({r.id for r in rows}) == 30 and {(r.k, r.v[0]) for r in rows} == {(k, float(k)) for k in range(30)}
+
+
 def test_bad_lines_are_skipped_or_kept(spark, tmp_path):
     (tmp_path / "log").mkdir()
     (tmp_path / "log" / "a.jsonl").write_text('{"task": "t", "metrics": {"r2": 1}}\n\n   \n{"task": \n{"task": "u"} tail\n')
