@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,34 +13,57 @@ from .common import stored
 EDGES = 50_000
 
 
+def _stars(batches):
+    """The links of one task as one star per component of theirs: no more links than nodes go on from here."""
+    root: dict[int, int] = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = find(a), find(b)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+    nodes = [x for x in root if find(x) != x]
+    for lo in range(0, len(nodes), 50_000):
+        part = nodes[lo : lo + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array([find(x) for x in part], pa.int64()), pa.array(part, pa.int64())], ["a", "b"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component): for every id in ``links`` (columns a, b) the smallest id reachable from it.
 
-    Each round points every node at its smallest neighbour, jumps once over the pointers and merges the nodes that meet, so the
+    Each task first reduces its links to stars. Each round points every node at its smallest neighbour, jumps once over the pointers and merges the nodes that meet, so the
     number of nodes with links falls geometrically. Nothing is collected: rounds end when no link is left.
     A hub's links are aggregated before they are shuffled; its joins are split by adaptive execution. Null ends and self links
     are ignored.
     """
     edges = stored(
-        links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct(),
-        "links",
+        links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "links"
     )
-    result = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct().select("id", F.col("id").alias("component"))
-    rounds = 0
+    result, rounds = None, 0
     while n := edges.count():
-        few = 1 + n // EDGES  # tasks that write a round's tables, in proportion to its links
+        few = 1 + n // EDGES  # tasks of a round, in proportion to its links
+        edges = stored(edges.coalesce(few).mapInArrow(_stars, "a long, b long"), "stars")
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = both.groupBy("a").agg(F.least("a", F.min("b")).alias("p"))
         jump = parent.select(F.col("a").alias("p"), F.col("p").alias("root"))
         roots = stored(parent.join(jump, "p").select(F.col("a").alias("node"), "root").coalesce(few), "roots")
         ra, rb = (roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
         moved = edges.join(ra, "a").join(rb, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
-        edges = stored(moved.distinct().coalesce(few), "links")
-        step = roots.withColumnRenamed("node", "component")
-        result = result.join(step, "component", "left").select("id", F.coalesce("root", "component").alias("component"))
+        edges = stored(moved.coalesce(few), "links")
+        if result is None:
+            result = roots.select(F.col("node").alias("id"), F.col("root").alias("component"))
+        else:
+            step = roots.select(F.col("node").alias("component"), F.col("root").alias("next"))
+            result = result.join(step, "component", "left").select("id", F.coalesce("next", "component").alias("component"))
         rounds += 1
         if rounds % 4 == 0:
             result = stored(result, "components")
-    return stored(result, "components")
+    if result is None:
+        return links.sparkSession.createDataFrame([], "id long, component long")
+    return result if rounds == 1 else stored(result, "components")

@@ -45,11 +45,11 @@ def verified(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], threshol
     Pairs are dealt by ``a`` in portions of at most MEMBERS, so a centre with many members is spread; each portion gets its
     centre's text once and streams through its members. Only texts that are asked for are shuffled.
     """
-    portions = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).alias("portions"))
-    dealt = pairs.join(portions, "a").select("a", "b", F.pmod(F.xxhash64("b"), "portions").alias("s"))
-    rows = dealt.select("a", "s", F.lit(1).alias("role"), F.col("b").alias("id")).union(dealt.select("a", "s", F.lit(0), "a").distinct())
-    ids = rows.select("id").distinct()
-    rows = rows.join(pick(texts(ids), ids, "id"), "id")
+    portions = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("portions"))
+    members = pairs.join(portions, "a").select("a", F.pmod(F.xxhash64("b"), "portions").cast("int").alias("s"), F.lit(1).alias("role"), F.col("b").alias("id"))
+    centres = portions.select("a", F.explode(F.sequence(F.lit(0), F.col("portions") - 1)).alias("s"), F.lit(0).alias("role"), F.col("a").alias("id"))
+    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    rows = members.union(centres).join(pick(texts(ids), ids, "id"), "id")
 
     def compare(batches):
         centre, own = None, None
@@ -184,24 +184,29 @@ def connect(members: DataFrame, words: DataFrame, texts: Callable[[DataFrame], D
     starred = stored(links.union(verified(pairs, texts, threshold, weighted)), "links")
     parts = components(starred)
     state = stored(shared.join(parts, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component")), "state")
-    groups = state.groupBy("key", "component").agg(F.count("*").alias("m"))
-    still = groups.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("component", "m").alias("largest")).where("parts > 1").drop("parts")
-    held = state.join(still, "key").withColumn("out", F.col("component") != F.col("largest"))
-
-    def blocks(rows):
-        return F.greatest(F.ceil(F.count(rows) / BLOCK), F.ceil(F.coalesce(F.sum(rows), F.lit(0)) / BLOCK_WORDS)).cast("int")
-
-    cuts = held.groupBy("key").agg(blocks(F.when(F.col("out"), F.col("n"))).alias("bo"), blocks(F.col("n")).alias("ba"))
+    groups = state.groupBy("key", "component").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
+    largest = F.max(F.struct("m", "component", "w"))
+    still = groups.groupBy("key").agg(largest.alias("top"), F.count("*").alias("parts"), F.sum("m").alias("m"), F.sum("w").alias("w")).where("parts > 1")
+
+    def blocks(items, words):
+        return F.greatest(F.ceil(items / BLOCK), F.ceil(words / BLOCK_WORDS)).cast("int")
+
+    still = still.select(
+        "key", F.col("top.component").alias("largest"), blocks(F.col("m"), F.col("w")).alias("ba"),
+        blocks(F.col("m") - F.col("top.m"), F.col("w") - F.col("top.w")).alias("bo"),
+    )
+    held = stored(state.join(still, "key").withColumn("out", F.col("component") != F.col("largest")), "open")
+    if not held.limit(1).count():
+        return parts
     spread = F.xxhash64("id")
 
     def every(n):
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
-    held = stored(held.join(cuts, "key"), "open")
     outside = held.where("out").select("key", "id", F.lit(0).alias("role"), F.pmod(spread, "bo").cast("int").alias("i"), every("ba").alias("j"))
     inside = held.select("key", "id", F.lit(1).alias("role"), every("bo").alias("i"), F.pmod(spread, "ba").cast("int").alias("j"))
     rows = outside.union(inside)
-    ids = held.select("id").distinct()
+    ids = stored(held.select("id").distinct(), "ids")
     rows = rows.join(pick(texts(ids), ids, "id"), "id")
 
     def two_sides(roles, ids, sets):
