@@ -14,6 +14,7 @@ from ..functions import text as TX
 from ..functions import vectors as V
 from ..functions.encoders import encode_with
 from ..functions.splitting import recursive_chunks
+from ..session import scratch_path
 from .guards import posexploded, require_columns
 from .search import knn_topk
 
@@ -78,8 +79,22 @@ def pair_prompt(df: DataFrame, *, query: str = "query", passage: str = "passage"
     return df.withColumn(out, F.concat(F.lit("question:"), F.col(query), F.lit(" \n \n passage:"), F.col(passage)))
 
 
+#: Hits up to so many rows, a few numbers each, are sent to the documents.
+BROADCAST_HITS = 1_000_000
+
+
 def lookup_payload(hits: DataFrame, docs: DataFrame, *, id: str = "id") -> DataFrame:
-    return hits.join(docs, id)
+    """Hits with the columns of their documents.
+
+    The hits are written to the shared folder first, so that the search runs once and their number is known: up to the bound
+    they go to the documents, whose texts are then not shuffled; beyond it both sides are joined by id.
+    """
+    path = scratch_path(hits.sparkSession, "hits")
+    hits.write.parquet(path)
+    kept = hits.sparkSession.read.schema(hits.schema).parquet(path)
+    small = kept.count() <= BROADCAST_HITS
+    joined = docs.join(F.broadcast(kept) if small else kept, id)
+    return joined.select(id, *[c for c in hits.columns if c != id], *[c for c in docs.columns if c != id])
 
 
 def overlap_score(query: Column, passage: Column) -> Column:

@@ -76,6 +76,21 @@ def test_lsh_answers_every_query_and_filters(spark):
     assert all(r.id % 3 == 1 for r in exact)
 
 
+def test_texts_are_not_shuffled_to_find_the_hits(spark, monkeypatch):
+    docs = spark.range(100).select("id", F.format_string("text %d", "id").alias("text"))
+    hits = spark.createDataFrame([(1, i, i) for i in (3, 7)], "query_id INT, id BIGINT, rank INT")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = R.lookup_payload(hits, docs)
+        assert "Exchange hashpartitioning" not in found._jdf.queryExecution().toString()
+        assert sorted(map(tuple, found.collect())) == [(3, 1, 3, "text 3"), (7, 1, 7, "text 7")]
+        monkeypatch.setattr(R, "BROADCAST_HITS", 1)
+        assert sorted(map(tuple, R.lookup_payload(hits, docs).collect())) == [(3, 1, 3, "text 3"), (7, 1, 7, "text 7")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
 def test_bad_vectors_stop_the_search(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0])], "id BIGINT, embedding ARRAY<DOUBLE>")
     with pytest.raises(Exception, match="different length"):
