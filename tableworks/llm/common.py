@@ -13,6 +13,7 @@ BROADCAST_IDS = 1_000_000
 #: Deleted from a text before it is cut into words, so that copies may differ in punctuation.
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 SHINGLE = 5
+BATCH_ROWS = 500
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -23,6 +24,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Texts go to Python in Arrow batches of at most BATCH_ROWS rows, which bounds the memory of both sides."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, read
+from .common import mix, read, short_batches, stored
 from .pieces import MARKER, MODEL
 from .registry import query
 
@@ -198,6 +198,7 @@ def fit(documents: DataFrame, path: str = MODEL, bound: int = TRAIN_DOCUMENTS, r
     tasks and gathers pieces x languages numbers, which the vocabulary bounds. The languages are the distinct langs learned from.
     """
     spark = documents.sparkSession
+    short_batches(spark)
     rows = documents.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang")
     total = rows.count()
     if total > bound:
@@ -210,8 +211,6 @@ def fit(documents: DataFrame, path: str = MODEL, bound: int = TRAIN_DOCUMENTS, r
                 found.setdefault(lang, Counter()).update(words(text))
             yield pd.DataFrame([(a, w, n) for a, c in found.items() for w, n in c.items()], columns=["lang", "word", "n"])
 
-    from .common import stored
-
     counts = rows.mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts = stored(counts, "langid-words")
     langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, Words, counted, mix, read, shingles, stored, uniform
+from .common import BROADCAST_IDS, Words, counted, mix, read, shingles, short_batches, stored, uniform
 from .nearpairs import connect
 from .registry import query
 
@@ -17,7 +17,7 @@ THRESHOLD = 0.8
 #: Of two documents at the threshold, 1 - (1 - 0.8 ** ROWS) ** BANDS = 0.9999 share a band.
 BANDS, ROWS = 24, 5
 #: Bytes of text hashed together; bounds memory.
-SLICE = 4 << 20
+SLICE = 1 << 20
 
 
 def prob_min_hash(shingle: np.ndarray, owner: np.ndarray, weight: np.ndarray, n: int, m: int = BANDS * ROWS) -> np.ndarray:
@@ -86,6 +86,7 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataF
     Null texts, texts without a word and rows without doc_id link with nothing: their class and component are their doc_id (kept is
     true). Rows repeated with one doc_id get the same result each. Further columns are ignored; an empty table gives none.
     """
+    short_batches(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stored(rows.mapInArrow(_sign, "doc_id long, digest binary, n long, keys array<long>"), "minhash")
     classes = signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, SHINGLE, Words, mix, read, stored
+from .common import BROADCAST_IDS, SHINGLE, Words, mix, read, short_batches, stored
 from .nearpairs import connect
 from .registry import query
 
@@ -20,7 +20,7 @@ LEAST_WORDS = 40
 #: Two paragraphs at the threshold miss every band with at most this probability.
 MISS = 5e-4
 HASHES = 64
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 
 def banding(threshold: float = THRESHOLD, miss: float = MISS, hashes: int = HASHES) -> tuple[int, int]:
@@ -126,6 +126,7 @@ def repeated(documents: DataFrame, threshold: float = THRESHOLD, least: int = LE
     texts, and rows without doc_id, give no rows; rows repeated with one doc_id are one document; further columns are ignored. Only
     texts of candidate paragraphs are read again, cut to the paragraph before they are shuffled.
     """
+    short_batches(documents.sparkSession)
     bands, rows = banding(threshold)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     units = stored(texts.mapInArrow(_cut(bands, rows, least), "doc_id long, start int, end int, words int, hash long, keys array<long>"), "passages")

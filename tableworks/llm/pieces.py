@@ -10,15 +10,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import read
+from .common import read, short_batches
 from .registry import query
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARKER = "▁"
 #: So far below the lowest score of a piece is that of a byte, used where no piece covers a character.
 UNKNOWN = 10.0
-#: Segments whose best path a worker keeps; it starts anew when they are full. Bounds memory, not results.
-CACHE = 700_000
+#: Segments whose best path a worker keeps, twice: a full table becomes the older one, from which segments still in use move on.
+#: Bounds memory, not results.
+CACHE = 250_000
 
 
 class DoubleArray:
@@ -113,6 +114,7 @@ class Pieces:
         self.is_byte[self.byte_ids] = True
         self.segment = segmenter(plain)
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def best(self, segment: str) -> bytes:
         """Ids (as int32 bytes) of the best path by Viterbi; of equal paths the one found first."""
@@ -157,15 +159,13 @@ class Pieces:
         """Ids of a whole text, with one marker put before it; none for an empty text."""
         if not text:
             return np.zeros(0, np.int32)
-        cache = self.cache
+        if len(self.cache) > CACHE:
+            self.older, self.cache = self.cache, {}
+        cache, older = self.cache, self.older
         parts = self.segment.findall(" " + text)
-        lacking = [p for p in parts if p not in cache]
-        if len(cache) + len(lacking) > CACHE and cache:
-            cache.clear()
-            lacking = parts
-        for part in lacking:
+        for part in [p for p in parts if p not in cache]:
             if part not in cache:
-                cache[part] = self.best(part)
+                cache[part] = older[part] if part in older else self.best(part)
         return np.frombuffer(b"".join([cache[p] for p in parts]), np.int32)
 
     def decode(self, ids) -> str:
@@ -181,6 +181,7 @@ def encode(documents: DataFrame, path: str = MODEL, scores: str = "zipf") -> Dat
     the text again. A null text has null ids and decoded_same and zero counts; an empty text has no ids. Rows are kept as they are,
     repeated ones too; further columns are ignored. Nothing is shuffled; the vocabulary (fixed size) is broadcast once.
     """
+    short_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(Pieces(path, scores))
 
     def run(batches):

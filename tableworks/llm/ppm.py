@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, read, stored
+from .common import mix, read, short_batches, stored
 from .registry import query
 
 #: Bytes of context; the byte that stands for "before the text" and for its end, which no UTF-8 text holds.
@@ -230,7 +230,7 @@ def score(documents: DataFrame) -> DataFrame:
     summed over all blocks and go back by block, so neither vocabulary nor trie is ever held whole in one place, and the texts are
     shuffled once, compressed. Words are told apart by 62-bit hashes.
     """
-    spark = documents.sparkSession
+    short_batches(documents.sparkSession)
     held = F.coalesce("held_out", F.lit(False)).alias("held")
     packed = stored(documents.select(F.col("doc_id").cast("long").alias("id"), held, "text").mapInArrow(_pack, _PACKED_DDL), "ppm-blocks")
     # One exchange by key serves the sums and the answers.
