@@ -410,7 +410,7 @@ def _search(
 
 
 def _searcher(task: str, draw, build):
-    def search(train: DataFrame, *, target: str, key: str, trials: int = 20, k: int = 3, seed: int = 42, parallelism: int = 4) -> SearchResult:
+    def search(train: DataFrame, *, target: str, key: str, trials: int = 20, k: int = 3, seed: int = 42, parallelism: int = 8) -> SearchResult:
         return _search(train, target=target, task=task, key=key, draw=draw, build=build, trials=trials, k=k, seed=seed, parallelism=parallelism)
 
     return search
