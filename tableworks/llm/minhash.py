@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, Words, counted, mix, read, shingles, short_batches, stored, uniform
+from .common import BROADCAST_IDS, Words, counted, mix, read, released, shingles, short_batches, stored, uniform
 from .nearpairs import connect
 from .registry import query
 
@@ -88,7 +88,7 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataF
     """
     short_batches(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = stored(rows.mapInArrow(_sign, "doc_id long, digest binary, n long, keys array<long>"), "minhash")
+    signed = stored(rows.mapInArrow(released(_sign), "doc_id long, digest binary, n long, keys array<long>"), "minhash")
     classes = signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys"))
     classes = stored(classes, "minhash-classes")
     texts = rows.withColumnRenamed("doc_id", "id")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, counted, pick, shingles, stored
+from .common import Words, counted, pick, released, shingles, stored
 from .graph import components
 
 #: Members compared with one centre in one task.
@@ -67,7 +67,7 @@ def verified(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], threshol
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in range(2)], ["a", "b"])
 
     ordered = rows.select("a", "s", "role", "id", "text").repartition("a", "s").sortWithinPartitions("a", "s", "role")
-    return ordered.mapInArrow(compare, "a long, b long")
+    return ordered.mapInArrow(released(compare), "a long, b long")
 
 
 def _sets(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -149,7 +149,7 @@ def _grouped(rows: DataFrame, group: list[str], run) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([p[i] for p in links], pa.int64()) for i in range(2)], ["a", "b"])
 
     dealt = rows.select(*group, "role", "id", "text").repartition(*group).sortWithinPartitions(*group, "role", "id")
-    return dealt.mapInArrow(stream, "a long, b long")
+    return dealt.mapInArrow(released(stream), "a long, b long")
 
 
 def connect(members: DataFrame, words: DataFrame, texts: Callable[[DataFrame], DataFrame], threshold: float, weighted: bool) -> DataFrame:

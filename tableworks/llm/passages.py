@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, SHINGLE, Words, mix, read, short_batches, stored
+from .common import BROADCAST_IDS, SHINGLE, Words, mix, read, released, short_batches, stored
 from .nearpairs import connect
 from .registry import query
 
@@ -129,7 +129,7 @@ def repeated(documents: DataFrame, threshold: float = THRESHOLD, least: int = LE
     short_batches(documents.sparkSession)
     bands, rows = banding(threshold)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    units = stored(texts.mapInArrow(_cut(bands, rows, least), "doc_id long, start int, end int, words int, hash long, keys array<long>"), "passages")
+    units = stored(texts.mapInArrow(released(_cut(bands, rows, least)), "doc_id long, start int, end int, words int, hash long, keys array<long>"), "passages")
     paragraphs, runs = units.where("keys IS NOT NULL"), units.where("keys IS NULL").drop("keys")
     place = F.struct("doc_id", "start", "end")
     # Classes of equal runs.

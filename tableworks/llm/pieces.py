@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import read, short_batches
+from .common import read, released, short_batches
 from .registry import query
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -19,7 +19,7 @@ MARKER = "▁"
 UNKNOWN = 10.0
 #: Segments whose best path a worker keeps, twice: a full table becomes the older one, from which segments still in use move on.
 #: Bounds memory, not results.
-CACHE = 250_000
+CACHE = 120_000
 
 
 class DoubleArray:
@@ -212,7 +212,7 @@ def encode(documents: DataFrame, path: str = MODEL, scores: str = "zipf") -> Dat
                 )
 
     schema = "doc_id long, ids array<int>, n_pieces long, n_bytes long, log_score double, decoded_same boolean"
-    return documents.select("doc_id", "text").mapInArrow(run, schema)
+    return documents.select("doc_id", "text").mapInArrow(released(run), schema)
 
 
 def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
