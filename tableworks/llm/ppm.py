@@ -10,14 +10,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, read, short_batches, stored
+from .common import mix, read, release, released, short_batches, stored
 from .registry import query
 
 #: Bytes of context; the byte that stands for "before the text" and for its end, which no UTF-8 text holds.
 ORDER, EDGE = 5, 0xFF
 SYMBOLS = 257
 #: Bytes of text packed together, and bytes worked on at a time. They bound memory; results do not depend on them.
-BLOCK, SLICE = 24 << 20, 1 << 20
+BLOCK, SLICE = 24 << 20, 1 << 19
 GRAM, WORD = 0, 1
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -232,7 +232,7 @@ def score(documents: DataFrame) -> DataFrame:
     """
     short_batches(documents.sparkSession)
     held = F.coalesce("held_out", F.lit(False)).alias("held")
-    packed = stored(documents.select(F.col("doc_id").cast("long").alias("id"), held, "text").mapInArrow(_pack, _PACKED_DDL), "ppm-blocks")
+    packed = stored(documents.select(F.col("doc_id").cast("long").alias("id"), held, "text").mapInArrow(released(_pack), _PACKED_DDL), "ppm-blocks")
     # One exchange by key serves the sums and the answers.
     asked = packed.select(F.col("block").alias("of"), "kind", "key", "n")
     words = asked.where(f"kind = {WORD}").drop("kind").repartition("key")
@@ -264,6 +264,7 @@ def score(documents: DataFrame) -> DataFrame:
                 np.concatenate([c.flatten().to_numpy() for c in own.column(x).chunks] or [np.zeros(0, kind)]) for x, kind in (("keys", np.int64), ("values", np.float64))
             )
             tables[k] = _Lookup(keys, values)
+            del own, keys, values
         out = []
         for row in left.to_pylist():
             data = zstandard.ZstdDecompressor().decompress(row["data"]) if row["data"] else b""
@@ -282,6 +283,8 @@ def score(documents: DataFrame) -> DataFrame:
                     known += np.bincount(of_word, c > 0, n).astype(np.int64)
             columns = [row["ids"], row["held"], count, known, np.full(n, tokens), base, sums]
             out.append(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, result)], schema=result))
+        del tables, right, left
+        release()
         return pa.concat_tables(out) if out else result.empty_table()
 
     ddl = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
