@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, read, release, released, short_batches, stored
+from .common import dropped, mix, read, release, released, short_batches, stored
 from .registry import query
 
 #: Bytes of context; the byte that stands for "before the text" and for its end, which no UTF-8 text holds.
@@ -197,8 +197,8 @@ def gram_model(grams: DataFrame) -> DataFrame:
     for j in range(1, ORDER + 1):
         suffix = F.col("key").bitwiseAND(F.lit(_mask(j - 1)))
         below = table.select(*[F.col(x).alias("key" if x == "key" else f"{x}_below") for x in ("key", "c", "t", "d", "r", "p")])
-        paired = stored(levels[j].withColumn("full", F.col("key")).withColumn("key", suffix).join(below, "key").drop("key").withColumnRenamed("full", "key"), f"ppm-pairs-{j}")
-        paired = paired.withColumn("context", F.shiftright("key", 8))
+        pairs = stored(levels[j].withColumn("full", F.col("key")).withColumn("key", suffix).join(below, "key").drop("key").withColumnRenamed("full", "key"), f"ppm-pairs-{j}")
+        paired = pairs.withColumn("context", F.shiftright("key", 8))
         context = paired.where(seen).groupBy("context").agg(F.sum("c").alias("t"), F.count("*").alias("d"), F.sum("c_below").alias("e"))
         left = F.col("t_below") - F.col("e")
         kinds = F.col("d_below") - F.col("d")
@@ -213,7 +213,9 @@ def gram_model(grams: DataFrame) -> DataFrame:
             .withColumn("r", F.when(~seen & (F.col("d") > 0), r)).withColumn("p", p).select("key", "c", "t", "d", "r", "p")
         )
         # r is asked for at the next order only where this symbol was not seen here; else the count is used.
-        table = stored(table.withColumn("r", F.coalesce("r", F.lit(0.0))), f"ppm-level-{j}")
+        level, used = stored(table.withColumn("r", F.coalesce("r", F.lit(0.0))), f"ppm-level-{j}"), [pairs, levels[j]]
+        dropped(*used, *([before] if j > 1 else [levels[0]]))
+        table = before = level
     return table.select("key", F.col("p").alias("value"))
 
 
