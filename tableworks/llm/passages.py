@@ -15,8 +15,10 @@ from .nearpairs import connect
 from .registry import query
 
 THRESHOLD = 0.8
-#: Paragraphs below so many words are left alone, and clauses are joined to passages of at least as many.
+#: Paragraphs below so many words are left alone, and passages have at least as many.
 LEAST_WORDS = 40
+#: Bits of the filter of shared anchors: so many for each of them, within these powers of two. A full filter costs work, not results.
+FILTER_BITS, FILTER_RANGE = 16, (16, 27)
 #: Two paragraphs at the threshold miss every band with at most this probability.
 MISS = 5e-4
 HASHES = 64
@@ -29,27 +31,59 @@ def banding(threshold: float = THRESHOLD, miss: float = MISS, hashes: int = HASH
     return fit[-1] if fit else (hashes, 1)
 
 
-def _units(texts: list[str], first: int, bands: int, rows: int, least: int) -> Iterator[tuple]:
-    """Arrays (text, start, end, words, hash, band keys or None): paragraphs with keys, and passages of whole clauses without."""
-    raw = [t.encode() for t in texts]
-    w = Words(raw)
-    n = len(w.hash)
-    if not n:
-        return
-    # Code points before each byte, so that spans count characters.
-    joined = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
-    points = np.concatenate(([0], np.cumsum((joined & 0xC0) != 0x80)))
-    origin = np.concatenate(([0], np.cumsum([len(r) + 1 for r in raw])))[:-1]
-    start = points[origin[w.text] + w.start] - points[origin[w.text]]
-    end = points[origin[w.text] + w.end] - points[origin[w.text]]
+class Runs:
+    """Words of many texts with their spans in code points and the hash of every run of words."""
+
     odd = 0x9FB21C651E98DF25
-    up = np.cumprod(np.full(n, odd, np.uint64))
-    down = np.cumprod(np.full(n, pow(odd, -1, 1 << 64), np.uint64))
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(w.hash * up, dtype=np.uint64)))
 
-    def run_hash(a, b):
-        return mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64)).view(np.int64)
+    def __init__(self, texts: list[str]):
+        raw = [t.encode() for t in texts]
+        self.words = w = Words(raw)
+        self.n = n = len(w.hash)
+        # Code points before each byte, so that spans count characters.
+        joined = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
+        points = np.concatenate(([0], np.cumsum((joined & 0xC0) != 0x80)))
+        origin = np.concatenate(([0], np.cumsum([len(r) + 1 for r in raw])))[:-1]
+        self.start = points[origin[w.text] + w.start] - points[origin[w.text]]
+        self.end = points[origin[w.text] + w.end] - points[origin[w.text]]
+        up = np.cumprod(np.full(n, self.odd, np.uint64))
+        self.down = np.cumprod(np.full(n, pow(self.odd, -1, 1 << 64), np.uint64))
+        self.total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(w.hash * up, dtype=np.uint64)))
+
+    def hash(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return mix((self.total[b] - self.total[a]) * self.down[a] + (b - a).astype(np.uint64))
+
+    def starts(self, size: int) -> np.ndarray:
+        """Where a run of ``size`` words of one text starts."""
+        text = self.words.text
+        return np.flatnonzero(text[: max(self.n - size + 1, 0)] == text[size - 1 :])
 
+    def anchors(self, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """(position, hash) of the winnowed short runs: the smallest hash, ties included, of the short runs of every run of
+        ``least`` words. Which ones follows from the words alone, so texts that share ``least`` words share an anchor."""
+        size = (least + 1) // 2
+        width, count = least - size + 1, max(self.n - size + 1, 0)
+        whole = self.starts(least)
+        if not len(whole):
+            return whole, np.zeros(0, np.uint64)
+        at = np.arange(count)
+        h = self.hash(at, at + size)
+        low = h[whole].copy()
+        for k in range(1, width):
+            np.minimum(low, h[whole + k], out=low)
+        best = np.zeros(count, np.uint64)
+        for k in range(width):
+            best[whole + k] = np.maximum(best[whole + k], low)
+        at = np.flatnonzero(best == h)
+        return at, h[at]
+
+
+def _units(texts: list[str], first: int, bands: int, rows: int, least: int) -> Iterator[tuple]:
+    """Arrays (text, start, end, words, hash, band keys or None): paragraphs with keys, and anchors (hash alone) without."""
+    runs = Runs(texts)
+    w, n, odd = runs.words, runs.n, runs.odd
+    if not n:
+        return
     new_line = np.concatenate(([True], w.line[1:] != w.line[:-1]))
     heads = np.flatnonzero(new_line)
     tails = np.concatenate((heads[1:], [n]))
@@ -72,21 +106,32 @@ def _units(texts: list[str], first: int, bands: int, rows: int, least: int) -> I
                 turned = (own ^ salt) * np.uint64(0xBF58476D1CE4E5B9)
                 low = np.minimum.reduceat(turned ^ (turned >> np.uint64(31)), cut)
                 keys[:, band] = mix(keys[:, band] * np.uint64(odd) + low)
-        yield w.text[a] + first, start[a], end[b - 1], b - a, run_hash(a, b), keys.view(np.int64)
-    # Passages: from a clause's first word to the first end of a clause (or line) that makes it long enough.
-    last = w.stop | np.concatenate((new_line[1:], [True]))
-    stops = np.flatnonzero(last) + 1
-    begins = np.concatenate(([0], stops[:-1]))
-    reach = np.searchsorted(stops, begins + least)
-    ok = reach < len(stops)
-    begins, ends = begins[ok], stops[reach[ok]]
-    same = w.line[begins] == w.line[ends - 1]
-    begins, ends = begins[same], ends[same]
-    if len(begins):
-        yield w.text[begins] + first, start[begins], end[ends - 1], ends - begins, run_hash(begins, ends), None
-
-
-def _cut(bands: int, rows: int, least: int):
+        yield w.text[a] + first, runs.start[a], runs.end[b - 1], b - a, runs.hash(a, b).view(np.int64), keys.view(np.int64)
+    at, anchor = runs.anchors(least)
+    if len(at):
+        none = np.zeros(len(at), np.int64)
+        yield w.text[at] + first, none, none, none, anchor.view(np.int64), None
+
+
+def _windows(texts: list[str], first: int, seen: np.ndarray, least: int) -> Iterator[tuple]:
+    """Arrays (text, start, end, words, hash, None) of all runs of ``least`` words around an anchor that is in the filter."""
+    runs = Runs(texts)
+    at, anchor = runs.anchors(least)
+    if not len(at):
+        return
+    word = seen[(anchor >> np.uint64(6)) & np.uint64(len(seen) - 1)]
+    near = np.zeros(runs.n + 1, np.int64)
+    near[at[(word >> (anchor & np.uint64(63))) & np.uint64(1) == 1] + 1] = 1
+    near = np.cumsum(near)
+    a = runs.starts(least)
+    a = a[near[a + least - (least + 1) // 2 + 1] > near[a]]
+    if len(a):
+        yield runs.words.text[a] + first, runs.start[a], runs.end[a + least - 1], np.full(len(a), least), runs.hash(a, a + least).view(np.int64), None
+
+
+def _cut(units, bands: int):
+    """``units`` of (texts, number of the first) over slices of the batches."""
+
     def run(batches):
         names = ["doc_id", "start", "end", "words", "hash", "keys"]
         for batch in batches:
@@ -97,7 +142,7 @@ def _cut(bands: int, rows: int, least: int):
                 while hi < len(ids) and (hi == lo or size < SLICE):
                     size += len(texts[hi])
                     hi += 1
-                for text, start, end, words, hashes, keys in _units(texts[lo:hi], lo, bands, rows, least):
+                for text, start, end, words, hashes, keys in units(texts[lo:hi], lo):
                     for part in range(0, len(text), 50_000):
                         s = slice(part, part + 50_000)
                         columns = [np.array(ids, np.int64)[text[s]], start[s].astype(np.int32), end[s].astype(np.int32), words[s].astype(np.int32), hashes[s]]
@@ -112,15 +157,29 @@ def _cut(bands: int, rows: int, least: int):
     return run
 
 
+def _filter(hashes: DataFrame) -> np.ndarray:
+    """Bits of the hashes (column ``hash``), 64 in each number; the length is a power of two."""
+    low, high = FILTER_RANGE
+    power = min(max((hashes.count() * FILTER_BITS).bit_length(), low), high)
+    out = np.zeros(1 << (power - 6), np.int64)
+    place = F.shiftrightunsigned("hash", 6).bitwiseAND(F.lit(len(out) - 1))
+    bits = hashes.groupBy(place.alias("at")).agg(F.expr("bit_or(shiftleft(1L, CAST(hash & 63 AS INT)))").alias("bits")).toArrow()
+    out[bits["at"].to_numpy()] = bits["bits"].to_numpy()
+    return out.view(np.uint64)
+
+
 def repeated(documents: DataFrame, threshold: float = THRESHOLD, least: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, start, end, cluster_id, keeper_doc_id, removed): passages that occur in several documents.
 
     A paragraph is a line of ``least`` words or more. Paragraphs with one content are one class; classes that collide in a MinHash
     band (banding tuned by ``banding``) are compared by exact Jaccard of their five-word runs and linked at ``threshold``;
-    components of links are clusters. So that a passage is also found inside paragraphs that otherwise differ, every run of whole
-    clauses (up to . ! ? , ; or :) that just reaches ``least`` words, from each start of a clause, is a class of its own. In each cluster the occurrences
-    in the document with the smallest doc_id stay (``removed`` false), those in other documents are to be removed; overlapping
-    spans of one document and keeper are merged. ``start`` and ``end`` count characters of the text.
+    components of links are clusters. Besides, every run of ``least`` words that several documents have is a class of its own,
+    wherever it starts and whatever lines it crosses, so that a verbatim passage is found in its full span. In each cluster the
+    occurrences in the document with the smallest doc_id stay (``removed`` false), those in other documents are to be removed;
+    overlapping spans of one document and keeper are merged. ``start`` and ``end`` count characters of the text.
+
+    Runs are found in two passes: anchors (winnowed runs of half the length, one at least in every run of ``least`` words) are
+    counted by hash; then only the runs around anchors of several documents are compared, by a filter of bounded size.
 
     Words are compared without ASCII case and punctuation. Repetition within one document is not reported. Null, empty and short
     texts, and rows without doc_id, give no rows; rows repeated with one doc_id are one document; further columns are ignored. Only
@@ -129,11 +188,19 @@ def repeated(documents: DataFrame, threshold: float = THRESHOLD, least: int = LE
     short_batches(documents.sparkSession)
     bands, rows = banding(threshold)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    units = stored(texts.mapInArrow(released(_cut(bands, rows, least)), "doc_id long, start int, end int, words int, hash long, keys array<long>"), "passages")
-    paragraphs, runs = units.where("keys IS NOT NULL"), units.where("keys IS NULL").drop("keys")
+    schema = "doc_id long, start int, end int, words int, hash long, keys array<long>"
+    units = stored(texts.mapInArrow(released(_cut(lambda t, lo: _units(t, lo, bands, rows, least), bands)), schema), "passages")
+    paragraphs, anchors = units.where("keys IS NOT NULL"), units.where("keys IS NULL").select("hash", "doc_id")
     place = F.struct("doc_id", "start", "end")
+
+    def in_several(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("hash").agg(F.min("doc_id").alias("keeper_doc_id"), F.max("doc_id").alias("z")).where("keeper_doc_id <> z").drop("z")
+
     # Classes of equal runs.
-    twice = runs.groupBy("hash").agg(F.min("doc_id").alias("keeper_doc_id"), F.max("doc_id").alias("z")).where("keeper_doc_id <> z").drop("z")
+    seen = documents.sparkSession.sparkContext.broadcast(_filter(stored(in_several(anchors).select("hash"), "anchors")))
+    windows = texts.mapInArrow(released(_cut(lambda t, lo: _windows(t, lo, seen.value, least), bands)), schema)
+    runs = stored(windows.select("hash", "doc_id", "start", "end"), "windows")
+    twice = in_several(runs)
     run_spans = runs.join(twice, "hash").select("doc_id", "start", "end", F.col("hash").alias("cluster_id"), "keeper_doc_id")
     # Classes of equal paragraphs, and links between them.
     classes = stored(paragraphs.groupBy("hash").agg(F.min(place).alias("at"), F.any_value("keys").alias("keys"), F.any_value("words").alias("words")), "paragraphs")
@@ -148,7 +215,7 @@ def repeated(documents: DataFrame, threshold: float = THRESHOLD, least: int = LE
     parts = connect(members, words, paragraph_texts, threshold, weighted=False).withColumnRenamed("id", "hash")
     named = paragraphs.join(parts, "hash", "left").select("doc_id", "start", "end", F.coalesce("component", "hash").alias("cluster_id"))
     kept = named.groupBy("cluster_id").agg(F.min("doc_id").alias("keeper_doc_id"), F.max("doc_id").alias("z")).where("keeper_doc_id <> z").drop("z")
-    spans = stored(named.join(kept, "cluster_id").select(run_spans.columns).union(run_spans).distinct(), "spans")
+    spans = named.join(kept, "cluster_id").select(run_spans.columns).union(run_spans)
     # Merge overlapping spans of one document and keeper.
     order = Window.partitionBy("doc_id", "keeper_doc_id").orderBy("start", "end")
     far = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))

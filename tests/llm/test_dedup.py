@@ -1,6 +1,7 @@
 """MinHash near-dedup, passage dedup, embedding near-dedup and components against brute force."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -250,3 +251,44 @@ def test_hamming_search_proves_its_radius():
 def test_no_local_checkpoint_and_components_written(spark):
     df = spark.range(5).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert "LocalCheckpoint" not in graph.components(df)._jdf.queryExecution().toString()
+
+
+def planted_passages(rng):
+    """Documents with shared runs of 51 words: bare, mid-clause, over short lines, wrapped otherwise; of 40 and 39 words; of pieces."""
+    bare, middle, lines, forty, less = (prose(rng, n).split() for n in (51, 51, 51, 40, 39))
+    long = sentences(rng, 200).split()
+
+    def wrapped(words, n):
+        return "\n".join(" ".join(words[i : i + n]) for i in range(0, len(words), n))
+
+    def around(text):
+        return f"{prose(rng, rng.randint(5, 90))} {text} {prose(rng, rng.randint(5, 90))}"
+
+    clause = " ".join(["so", *middle[:20]]) + ", " + " ".join(middle[20:])
+    texts = [
+        around(" ".join(bare)), around(" ".join(bare).upper()), around(clause), around(clause + " and so on."), around(wrapped(lines, 17)), around(wrapped(lines, 9)),
+        around(" ".join(forty)), "Ünï " + around("\n\n".join(forty)), around(" ".join(less)), around(" ".join(less)),
+        around(" ".join(long[:120])), around(" ".join(long[60:])), around(" ".join(long[30:100])), "a " * 90, "a a\n" * 60, "", "a b c",
+    ]
+    return texts
+
+
+def test_every_shared_run_of_words_is_found_in_its_full_span(spark):
+    rng = random.Random(11)
+    texts = planted_passages(rng) + [sentences(rng, 120) for _ in range(20)]
+    plain, where = {}, {}
+    for i, text in enumerate(texts):
+        spots = [(m.start(), m.end(), re.sub(r"[^\w]", "", m.group().lower())) for m in re.finditer(r"\S+", text)]
+        for k in range(len(spots) - 39):
+            plain.setdefault(tuple(x[2] for x in spots[k : k + 40]), []).append((i, spots[k][0], spots[k + 39][1]))
+    for hits in plain.values():
+        keeper = min(h[0] for h in hits)
+        if keeper != max(h[0] for h in hits):
+            for i, a, b in hits:
+                where.setdefault((i, keeper), set()).update(range(a, b))
+    rows = passages.repeated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)).collect()
+    got = {}
+    for r in rows:
+        got.setdefault((r["doc_id"], r["keeper_doc_id"]), set()).update(range(r["start"], r["end"]))
+    assert {k[0] for k in where if k[0] != k[1]} == {1, 3, 5, 7, 11, 12, 14}
+    assert got == where
