@@ -58,24 +58,17 @@ class Runs:
         text = self.words.text
         return np.flatnonzero(text[: max(self.n - size + 1, 0)] == text[size - 1 :])
 
-    def anchors(self, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """(position, hash) of the winnowed short runs: the smallest hash, ties included, of the short runs of every run of
-        ``least`` words. Which ones follows from the words alone, so texts that share ``least`` words share an anchor."""
+    def lowest(self, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """(position, hash): where runs of ``least`` words start, and the smallest hash of the runs of half the length inside each.
+        It follows from the run's words alone, so texts that share a run share its anchor."""
         size = (least + 1) // 2
-        width, count = least - size + 1, max(self.n - size + 1, 0)
         whole = self.starts(least)
-        if not len(whole):
-            return whole, np.zeros(0, np.uint64)
-        at = np.arange(count)
+        at = np.arange(max(self.n - size + 1, 0))
         h = self.hash(at, at + size)
-        low = h[whole].copy()
-        for k in range(1, width):
+        low = h[whole]
+        for k in range(1, least - size + 1):
             np.minimum(low, h[whole + k], out=low)
-        best = np.zeros(count, np.uint64)
-        for k in range(width):
-            best[whole + k] = np.maximum(best[whole + k], low)
-        at = np.flatnonzero(best == h)
-        return at, h[at]
+        return whole, low
 
 
 def _units(texts: list[str], first: int, bands: int, rows: int, least: int) -> Iterator[tuple]:
@@ -107,26 +100,24 @@ def _units(texts: list[str], first: int, bands: int, rows: int, least: int) -> I
                 low = np.minimum.reduceat(turned ^ (turned >> np.uint64(31)), cut)
                 keys[:, band] = mix(keys[:, band] * np.uint64(odd) + low)
         yield w.text[a] + first, runs.start[a], runs.end[b - 1], b - a, runs.hash(a, b).view(np.int64), keys.view(np.int64)
-    at, anchor = runs.anchors(least)
+    at, anchor = runs.lowest(least)
     if len(at):
-        none = np.zeros(len(at), np.int64)
-        yield w.text[at] + first, none, none, none, anchor.view(np.int64), None
+        new = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (w.text[at[1:]] != w.text[at[:-1]])))
+        none = np.zeros(new.sum(), np.int64)
+        yield w.text[at[new]] + first, none, none, none, anchor[new].view(np.int64), None
+
+
+def _has(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    return (bits[(hashes >> np.uint64(6)) & np.uint64(len(bits) - 1)] >> (hashes & np.uint64(63))) & np.uint64(1) == 1
 
 
 def _windows(texts: list[str], first: int, seen: np.ndarray, least: int) -> Iterator[tuple]:
-    """Arrays (text, start, end, words, hash, None) of all runs of ``least`` words around an anchor that is in the filter."""
+    """Arrays (text, start, end, words, hash, None) of all runs of ``least`` words whose anchor is in the filter."""
     runs = Runs(texts)
-    at, anchor = runs.anchors(least)
-    if not len(at):
-        return
-    word = seen[(anchor >> np.uint64(6)) & np.uint64(len(seen) - 1)]
-    near = np.zeros(runs.n + 1, np.int64)
-    near[at[(word >> (anchor & np.uint64(63))) & np.uint64(1) == 1] + 1] = 1
-    near = np.cumsum(near)
-    a = runs.starts(least)
-    a = a[near[a + least - (least + 1) // 2 + 1] > near[a]]
-    if len(a):
-        yield runs.words.text[a] + first, runs.start[a], runs.end[a + least - 1], np.full(len(a), least), runs.hash(a, a + least).view(np.int64), None
+    at, anchor = runs.lowest(least)
+    at = at[_has(seen, anchor)]
+    if len(at):
+        yield runs.words.text[at] + first, runs.start[at], runs.end[at + least - 1], np.full(len(at), least), runs.hash(at, at + least).view(np.int64), None
 
 
 def _cut(units, bands: int):
@@ -179,7 +170,7 @@ def repeated(documents: DataFrame, threshold: float = THRESHOLD, least: int = LE
     overlapping spans of one document and keeper are merged. ``start`` and ``end`` count characters of the text.
 
     Runs are found in two passes: anchors (winnowed runs of half the length, one at least in every run of ``least`` words) are
-    counted by hash; then only the runs around anchors of several documents are compared, by a filter of bounded size.
+    counted by hash; then only the runs whose anchor several documents have are compared, by a filter of bounded size.
 
     Words are compared without ASCII case and punctuation. Repetition within one document is not reported. Null, empty and short
     texts, and rows without doc_id, give no rows; rows repeated with one doc_id are one document; further columns are ignored. Only
@@ -199,7 +190,7 @@ def repeated(documents: DataFrame, threshold: float = THRESHOLD, least: int = LE
     # Classes of equal runs.
     seen = documents.sparkSession.sparkContext.broadcast(_filter(stored(in_several(anchors).select("hash"), "anchors")))
     windows = texts.mapInArrow(released(_cut(lambda t, lo: _windows(t, lo, seen.value, least), bands)), schema)
-    runs = stored(windows.select("hash", "doc_id", "start", "end"), "windows")
+    runs = windows.select("hash", "doc_id", "start", "end")  # cut twice: kept, they would be the largest table on disk
     twice = in_several(runs)
     run_spans = runs.join(twice, "hash").select("doc_id", "start", "end", F.col("hash").alias("cluster_id"), "keeper_doc_id")
     # Classes of equal paragraphs, and links between them.
