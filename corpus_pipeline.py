@@ -24,15 +24,10 @@ def distinct_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return passages.deduplicated(docs)
 
 
-#: Wanted shares of tokens: a little less of the largest source, the other sources and all else as they come.
-SOURCES = {"src0": 0.2, **{f"src{i}": 0.8 / 19 for i in range(1, 20)}}
-LANGS = {"en": 0.6, "de": 0.15, "fr": 0.15, "es": 0.1}
-TOPICS = {"prose": 0.6, "long": 0.4}
-
-
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Draw documents so that tokens come close to the wanted shares of sources, languages and forms."""
-    return mixing.mix(docs, SOURCES, LANGS, TOPICS).where("sampled").select("row.*")
+    """Hold back a source or language with far more than its even share of tokens; all other documents stay."""
+    targets, kept = mixing.held_back(docs)
+    return mixing.mix(docs, *targets, kept=kept).where("sampled").select("row.*")
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

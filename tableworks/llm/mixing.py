@@ -7,7 +7,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, stored
 from .registry import query
 
 OTHER = "(other)"
@@ -68,6 +68,43 @@ def rake(cells: dict[tuple, float], targets: list[dict[str, float]], sweeps: int
     return weights
 
 
+def clipped(weights: dict[tuple, float], tokens: dict[tuple, float], kept: float) -> dict[tuple, float]:
+    """Probabilities in proportion to the weights, none above 1, that keep the share ``kept`` of the tokens, or all that can be kept."""
+    free, sure = {k for k, w in weights.items() if w > 0}, set()
+    goal = kept * sum(tokens[k] for k in weights)
+    scale = 0.0
+    while free:
+        scale = max(goal - sum(tokens[k] for k in sure), 0.0) / sum(tokens[k] * weights[k] for k in free)
+        over = {k for k in free if scale * weights[k] >= 1}
+        if not over:
+            break
+        sure, free = sure | over, free - over
+    return {k: 1.0 if k in sure else scale * w for k, w in weights.items()}
+
+
+def held_back(documents: DataFrame, times: float = 3.0, least: float = 0.1, listed: int = 200) -> tuple[list[dict[str, float]], float]:
+    """Targets for ``mix`` (sources, languages, none for topics) from the table's own shares of tokens, and the share of tokens they keep.
+
+    A value is over-represented with more than ``times`` the even share of its column, and more than ``least`` of all tokens; it
+    is held back to that, and all else stays as it is. A column's ``listed`` largest values get targets.
+    """
+    cells = stored(
+        documents.select("source", "lang", token_count(F.col("text")).alias("n")).groupBy("source", "lang").agg(F.sum("n").alias("n")).where("n > 0"),
+        "cells",
+    )
+    total = cells.agg(F.sum("n")).first()[0] or 0
+    targets, kept = [], 1.0
+    for column in ("source", "lang"):
+        sums = cells.where(F.col(column).isNotNull() & (F.col(column) != OTHER)).groupBy(column).agg(F.sum("n").alias("n"))
+        values = sums.count()
+        most = max(least, times / max(values, 1)) * total
+        have = {r[column]: float(r["n"]) for r in sums.orderBy(F.desc("n"), column).limit(listed).collect()}
+        wanted = {k: min(n, most) for k, n in have.items()}
+        kept = min(kept, 1 - (sum(have.values()) - sum(wanted.values())) / total) if total else kept
+        targets.append({k: n / total for k, n in wanted.items()})
+    return [*targets, {}], kept
+
+
 def mix(
     documents: DataFrame,
     sources: dict[str, float],
@@ -77,13 +114,16 @@ def mix(
     rate: float = 1.0,
     seed: int = 7,
     sweeps: int = SWEEPS,
+    kept: float | None = None,
 ) -> DataFrame:
     """Rake token weights to the three marginals, then sample documents by calibrated probabilities.
 
     Returns (row, n_tokens, source_cell, lang_cell, topic_cell, weight, probability, sampled), where ``row`` is the whole input
     row, so names of further columns cannot clash. ``weight`` is the raked tokens of the row's cell over its tokens;
     ``probability`` is rate * weight / largest weight; a row is sampled if a hash of (seed, doc_id) falls below it, so repeated
-    rows share their draw. Expected tokens of the sample have the wanted shares.
+    rows share their draw. Expected tokens of the sample have the wanted shares. With ``kept`` given, probabilities are clipped at
+    1 and the rest scaled so that this share of the tokens is expected (``clipped``; ``rate`` has no part in it): one short
+    cell then does not set the rate of all, at the price of its own share.
 
     A null source or lang and every value without a target counts as (other), which keeps its share. A null, empty or blank text
     has no tokens: weight and probability 0, never sampled. A null doc_id is drawn like an empty one. An empty table gives none.
@@ -109,8 +149,9 @@ def mix(
     cells = {tuple(r[k] for k in keys): float(r["n"]) for r in rows.groupBy(keys).agg(F.sum("n_tokens").alias("n")).collect()}
     weights = {k: v / cells[k] for k, v in rake(cells, [sources, langs, topics], sweeps).items()}
     top = max(weights.values(), default=1.0)
+    drawn = {k: rate * v / top for k, v in weights.items()} if kept is None else clipped(weights, cells, kept)
     table = spark.createDataFrame(
-        [(*k, v, rate * v / top) for k, v in weights.items()],
+        [(*k, v, drawn[k]) for k, v in weights.items()],
         "source_cell string, lang_cell string, topic_cell string, weight double, probability double",
     )
     draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("row.doc_id").cast("string"))), 1, 8), 16, 10)

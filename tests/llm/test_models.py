@@ -270,3 +270,27 @@ def test_raking_reaches_targets_and_sampling_follows(spark):
     assert max(r["p"] for r in got) == pytest.approx(1.0)
     assert len({r["sampled"] for r in got if r["doc_id"] == 1}) == 1
     assert mixing.mix(df.limit(0), *wanted).count() == 0
+
+
+def test_pipeline_mixing_holds_back_only_a_hot_source(spark):
+    import corpus_pipeline
+
+    def documents(hot):
+        rows = [(f"src{i}", lang, text) for i in range(20) for lang in ("en", "en", "de") for text in ("a b " * 40, "a b " * 600) for _ in range(6 if i else hot)]
+        return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, source string, lang string, text string")
+
+    for hot in (6, 600):
+        docs = documents(hot)
+        total = {r["source"]: r["n"] for r in docs.groupBy("source").agg(mixing.F.sum(mixing.token_count(mixing.F.col("text"))).alias("n")).collect()}
+        left = {r["source"]: r["n"] for r in corpus_pipeline.mixed(spark, docs, "").groupBy("source").agg(mixing.F.sum(mixing.token_count(mixing.F.col("text"))).alias("n")).collect()}
+        most = 3 / 20 * sum(total.values())
+        assert {k: n for k, n in left.items() if k != "src0"} == {k: n for k, n in total.items() if k != "src0"}
+        assert left["src0"] == total["src0"] if hot == 6 else 0.8 * most < left["src0"] < 1.2 * most
+
+
+def test_probabilities_are_clipped_and_the_rest_rescaled():
+    tokens = {("a",): 900.0, ("b",): 99.0, ("c",): 1.0, ("d",): 0.0}
+    got = mixing.clipped({("a",): 0.5, ("b",): 1.0, ("c",): 80.0}, tokens, 0.5)
+    assert got["c",] == 1.0 and abs(got["b",] / got["a",] - 2) < 1e-9 and abs(sum(p * tokens[k] for k, p in got.items()) - 500) < 1e-9
+    assert mixing.clipped({("a",): 0.5, ("c",): 80.0}, tokens, 1.0) == {("a",): 1.0, ("c",): 1.0}
+    assert mixing.clipped({}, tokens, 1.0) == {}
