@@ -149,3 +149,20 @@ def counted(shingle: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndar
     first = np.concatenate(([True], (s[1:] != s[:-1]) | (o[1:] != o[:-1])))
     at = np.flatnonzero(first)
     return s[at], o[at], np.diff(np.concatenate((at, [len(s)]))).astype(np.float64)
+
+
+def portions(text: str | None, breaks: np.ndarray, size: int):
+    """A text as bytes, in parts of about ``size`` that end before one of the bytes marked in ``breaks``, and whether a part is the
+    last. A run without such bytes is never cut."""
+    data = (text or "").encode()
+    while len(data) > size:
+        found = np.flatnonzero(breaks[np.frombuffer(data, np.uint8, size)])
+        cut = int(found[-1]) if len(found) else 0
+        if cut == 0:
+            rest = breaks[np.frombuffer(data, np.uint8)[1:]]
+            cut = 1 + int(rest.argmax()) if rest.any() else len(data)
+            if cut == len(data):
+                break
+        yield data[:cut], False
+        data = data[cut:]
+    yield data, True

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import sys
 import types
 import uuid
@@ -18,17 +19,18 @@ from pyspark.sql import functions as F
 from tableworks.session import scratch_path
 
 from . import wavelet
-from .common import read, released, stored
+from .common import portions, read, released, stored
 from .registry import query
 
 END = 2
 #: Ids in one file; bounds the memory of writing and reading. A longer document goes on in the next file.
 SHARD = 1 << 22
 #: Bytes of text encoded together.
-SLICE = 1 << 22
-#: Words up to LONG bytes are kept with their ids, KEPT bytes of them in all.
-LONG, KEPT = 64, 12 << 20
+SLICE = 1 << 23
+#: Words up to LONG bytes are kept with their ids by a worker, in KEPT bytes of memory.
+LONG, KEPT = 64, 48 << 20
 
+_RUNS = re.compile("[a-z]+|[0-9]|[^a-z0-9]+")
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -48,16 +50,36 @@ class WordCoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.by_model = self._same([b"a", b"the", b"zq7,x..", b"12", b"(a)b-c_d", b"%%%", b"x=y\x00", b"longerword!?"])
         self._forget()
 
     def _forget(self):
         self.words = pa.array([], pa.large_binary())
-        self.size, self.first, self.flat, self.bytes = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.kind), 0
+        self.size, self.first, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.kind)
+
+    def _by_model(self, word: str) -> list[int]:
+        """Ids of an ASCII word without an apostrophe: its runs of letters and of signs, and its digits, each by the tokenizer's model."""
+        return [t.id for run in _RUNS.findall(word) for t in self.tokenizer.model.tokenize(run)]
+
+    def _same(self, words: list[bytes]) -> bool:
+        """Whether the tokenizer treats these words as ``_by_model`` does."""
+        return all(self._by_model(w.decode()) == self.tokenizer.encode(w.decode(), add_special_tokens=False).ids for w in words)
 
     def _ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The number of ids of each word, and all ids."""
-        encoded = self.tokenizer.encode_batch([[w.decode() for w in words.to_pylist()]], is_pretokenized=True, add_special_tokens=False)[0]
-        return np.bincount(np.array(encoded.word_ids, np.int64), minlength=len(words)), np.array(encoded.ids, self.kind)
+        """The number of ids of each word, and all ids. Simple words go past the tokenizer's normalizer, which costs most of its time."""
+        texts = [w.decode() for w in words.to_pylist()]
+        simple = [self.by_model and t.isascii() and "'" not in t and "<|" not in t for t in texts]
+        found = [self._by_model(t) if s else None for t, s in zip(texts, simple)]
+        rest = [t for t, s in zip(texts, simple) if not s]
+        if rest:
+            encoded = self.tokenizer.encode_batch([rest], is_pretokenized=True, add_special_tokens=False)[0]
+            cut = np.concatenate(([0], np.cumsum(np.bincount(np.array(encoded.word_ids, np.int64), minlength=len(rest))))).tolist()
+            ids, k = encoded.ids, 0
+            for i, s in enumerate(simple):
+                if not s:
+                    found[i] = ids[cut[k] : cut[k + 1]]
+                    k += 1
+        return np.array([len(f) for f in found], np.int64), np.fromiter((i for f in found for i in f), self.kind)
 
     def encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         lengths = np.array([len(p) + 1 for p in pieces], np.int64)
@@ -71,15 +93,16 @@ class WordCoder:
         words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(at), pa.py_buffer(raw[solid])])
         words = pc.dictionary_encode(words)
         distinct = words.dictionary
-        known = pc.index_in(distinct, value_set=self.words)
-        new = distinct.filter(pc.is_null(known))
+        known = pc.fill_null(pc.index_in(distinct, value_set=self.words), -1).to_numpy().astype(np.int64)
+        missing = known < 0
+        new = distinct.filter(pa.array(missing))
         if len(new):
             size, flat = self._ids(new)
+            known[missing] = np.arange(len(self.words), len(self.words) + len(new))
             self.first = np.concatenate((self.first, len(self.flat) + np.cumsum(size) - size))
             self.size, self.flat = np.concatenate((self.size, size)), np.concatenate((self.flat, flat))
             self.words = pa.concat_arrays([self.words, new])
-            known = pc.index_in(distinct, value_set=self.words)
-        entry = known.to_numpy(zero_copy_only=False)[words.indices.to_numpy()]
+        entry = known[words.indices.to_numpy()]
         size = self.size[entry]
         upto = np.concatenate(([0], np.cumsum(size)))
         ids = self.flat[np.arange(upto[-1]) + np.repeat(self.first[entry] - upto[:-1], size)]
@@ -91,7 +114,7 @@ class WordCoder:
     def _keep(self):
         """Drop long words, and all once too much is kept."""
         width = pc.binary_length(self.words).to_numpy()
-        if width.sum() + 16 * len(width) + 2 * len(self.flat) > KEPT:
+        if width.sum() + 24 * len(width) + self.flat.nbytes > KEPT:
             self._forget()
         elif width.max(initial=0) > LONG:
             short = width <= LONG
@@ -108,20 +131,6 @@ def coder(path: str) -> WordCoder:
     return held[path]
 
 
-def _pieces(text: str | None):
-    """A text as bytes, in parts of about SLICE that end before white space; a run without any is never cut."""
-    data = (text or "").encode()
-    while len(data) > SLICE:
-        blank = np.flatnonzero(_BLANK[np.frombuffer(data, np.uint8, SLICE)])
-        cut = int(blank[-1]) if len(blank) else 0
-        if cut == 0:
-            rest = _BLANK[np.frombuffer(data, np.uint8)[1:]]
-            cut = 1 + int(rest.argmax()) if rest.any() else len(data)
-        yield data[:cut], False
-        data = data[cut:]
-    yield data, True
-
-
 def write_tokens(documents: DataFrame, tokenizer: str, folder: str, end: int = END, shard: int = SHARD) -> DataFrame:
     """Encode ``documents`` (doc_id, text) and write their ids, each document closed by ``end``, to files in ``folder``.
 
@@ -177,7 +186,7 @@ def write_tokens(documents: DataFrame, tokenizer: str, folder: str, end: int = E
         waiting, size = ([], [], []), 0
         for batch in batches:
             for doc, text in zip(batch.column(0), batch.column(1)):
-                for piece, last in _pieces(text.as_py()):
+                for piece, last in portions(text.as_py(), _BLANK, SLICE):
                     for column, value in zip(waiting, (doc.as_py(), piece, last)):
                         column.append(value)
                     size += len(piece) + 1
@@ -225,7 +234,8 @@ def read_tokens(files: DataFrame) -> DataFrame:
                 columns = [pa.array([r[i] for r in rows], pa.int64()) for i in range(4)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    dealt = files.select("part", "seq", "path", "start").repartition("part").sortWithinPartitions("part", "seq")
+    parts = files.select("part").distinct().count()  # said outright: so few rows would otherwise be put into one task
+    dealt = files.select("part", "seq", "path", "start").repartition(max(1, parts), "part").sortWithinPartitions("part", "seq")
     return dealt.mapInArrow(released(digest), schema)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tableworks.llm import queries, tokens, wavelet
+from tableworks.llm.common import portions
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 SF = "/root/testdata/sf0.001"
@@ -47,26 +48,25 @@ def test_odd_texts_repeated_rows_and_cut_documents(spark, tmp_path):
     assert got(tokens.read_tokens(tokens.write_tokens(df.limit(0), PATH, str(tmp_path / "none")))) == []
 
 
-def test_pieces_of_a_long_text_give_the_ids_of_the_whole(monkeypatch):
+def test_pieces_of_a_long_text_give_the_ids_of_the_whole():
     rng = np.random.default_rng(1)
     words = [w for t in ODD if t for w in t.split()] + ["and", "THE", "of"]
     text = "".join(w + str(rng.choice([" ", "\n", "  ", "\t　"])) for w in rng.choice(words, 3000))
-    monkeypatch.setattr(tokens, "SLICE", 500)
-    parts = list(tokens._pieces(text))
+    parts = list(portions(text, tokens._BLANK, 500))
     assert b"".join(p for p, _ in parts).decode() == text and len(parts) > 20
     ids, counts = tokens.WordCoder(PATH).encode([p for p, _ in parts])
     assert ids.tolist() == Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids and counts.sum() == len(ids)
 
 
 def test_kept_words_stay_bounded(monkeypatch):
-    monkeypatch.setattr(tokens, "KEPT", 4000)
+    monkeypatch.setattr(tokens, "KEPT", 8000)
     own, whole = tokens.WordCoder(PATH), Tokenizer.from_file(PATH)
     rng = np.random.default_rng(2)
     for _ in range(20):
         texts = ["".join(chr(97 + c) for c in rng.integers(0, 26, 200)) + " " + " ".join(str(x) for x in rng.integers(0, 999, 30)) for _ in range(4)]
         ids, counts = own.encode([t.encode() for t in texts])
         assert ids.tolist() == [i for t in texts for i in whole.encode(t, add_special_tokens=False).ids]
-        assert sum(len(w) for w in own.words.to_pylist()) < 4000 and max(map(len, own.words.to_pylist()), default=0) <= tokens.LONG
+        assert sum(len(w) for w in own.words.to_pylist()) < 8000 and max(map(len, own.words.to_pylist()), default=0) <= tokens.LONG
 
 
 @pytest.mark.parametrize("n, top", [(0, 5), (1, 1), (7, 2), (5000, 49408), (3000, 70000), (4096, 1)])
