@@ -50,7 +50,7 @@ class WordCoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.by_model = self._same([b"a", b"the", b"zq7,x..", b"12", b"(a)b-c_d", b"%%%", b"x=y\x00", b"longerword!?"])
+        self.by_model = self._same([b"a", b"the", b"zq7,x..", b"12", b"(a)b-c_d", b"%%%", b"x=y", b"longerword!?"])
         self._forget()
 
     def _forget(self):
@@ -58,7 +58,7 @@ class WordCoder:
         self.size, self.first, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.kind)
 
     def _by_model(self, word: str) -> list[int]:
-        """Ids of an ASCII word without an apostrophe: its runs of letters and of signs, and its digits, each by the tokenizer's model."""
+        """Ids of a printable ASCII word without an apostrophe: its runs of letters and of signs, and its digits, each by the tokenizer's model."""
         return [t.id for run in _RUNS.findall(word) for t in self.tokenizer.model.tokenize(run)]
 
     def _same(self, words: list[bytes]) -> bool:
@@ -68,7 +68,7 @@ class WordCoder:
     def _ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The number of ids of each word, and all ids. Simple words go past the tokenizer's normalizer, which costs most of its time."""
         texts = [w.decode() for w in words.to_pylist()]
-        simple = [self.by_model and t.isascii() and "'" not in t and "<|" not in t for t in texts]
+        simple = [self.by_model and t.isascii() and t.isprintable() and "'" not in t and "<|" not in t for t in texts]
         found = [self._by_model(t) if s else None for t, s in zip(texts, simple)]
         rest = [t for t, s in zip(texts, simple) if not s]
         if rest:

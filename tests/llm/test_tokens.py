@@ -34,7 +34,8 @@ def test_query_equals_whole_texts(spark):
     assert got(queries.QUERIES["op12_token_files"](spark, SF)) == plain(rows)
 
 
-ODD = ["", None, " \t\n", "It's I'LL we’re", "á ́b é", "x y z　w", "ΣΣΣ İstanbul ß", "\x00\x01 \x85q",
+ODD = ["".join(map(chr, range(128))), "a1b2,c.d's x=y_z {q}[w] <b>r</b> 3.14% ~~ `x` \\n",
+       "", None, " \t\n", "It's I'LL we’re", "á ́b é", "x y z　w", "ΣΣΣ İstanbul ß", "\x00\x01 \x85q",
        "ไทยอักษร" * 40, "12345 1 22", "<|endoftext|> a<|startoftext|>b", "\U0001f600\U0001f468‍\U0001f469 ok"]
 
 
@@ -58,6 +59,14 @@ def test_pieces_of_a_long_text_give_the_ids_of_the_whole():
     assert ids.tolist() == Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids and counts.sum() == len(ids)
 
 
+def test_every_pair_of_ascii_signs_in_a_word():
+    own, whole = tokens.WordCoder(PATH), Tokenizer.from_file(PATH)
+    assert own.by_model
+    words = [f"q{chr(a)}{chr(b)}st" for a in range(128) for b in range(128)]
+    ids, counts = own.encode([w.encode() for w in words])
+    assert ids.tolist() == [i for w in words for i in whole.encode(w, add_special_tokens=False).ids]
+
+
 def test_kept_words_stay_bounded(monkeypatch):
     monkeypatch.setattr(tokens, "KEPT", 8000)
     own, whole = tokens.WordCoder(PATH), Tokenizer.from_file(PATH)
