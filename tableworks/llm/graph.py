@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 from .common import stored
 
 
-#: Links handled by one writing task at least.
-EDGES = 50_000
+#: Links that one task reduces at most.
+EDGES = 200_000
 
 
-def _stars(batches):
-    """The links of one task as one star per component of theirs: no more links than nodes go on from here."""
+def _stars(batches, centres: bool = False):
+    """The links of one task as one star per component of theirs: no more links than nodes go on from here. ``centres`` are put out
+    too, linked with themselves."""
     root: dict[int, int] = {}
 
     def find(x):
@@ -28,7 +29,7 @@ def _stars(batches):
             a, b = find(a), find(b)
             if a != b:
                 root[max(a, b)] = min(a, b)
-    nodes = [x for x in root if find(x) != x]
+    nodes = [x for x in root if centres or find(x) != x]
     for lo in range(0, len(nodes), 50_000):
         part = nodes[lo : lo + 50_000]
         yield pa.RecordBatch.from_arrays([pa.array([find(x) for x in part], pa.int64()), pa.array(part, pa.int64())], ["a", "b"])
@@ -48,6 +49,10 @@ def components(links: DataFrame) -> DataFrame:
     result, rounds = None, 0
     while n := edges.count():
         few = 1 + n // EDGES  # tasks of a round, in proportion to its links
+        if few == 1:  # one task sees all that is left: its stars are the components
+            roots = stored(edges.coalesce(1).mapInArrow(lambda batches: _stars(batches, centres=True), "a long, b long"), "stars")
+            result = _step(result, roots.select(F.col("b").alias("node"), F.col("a").alias("root")))
+            break
         edges = stored(edges.coalesce(few).mapInArrow(_stars, "a long, b long"), "stars")
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = both.groupBy("a").agg(F.least("a", F.min("b")).alias("p"))
@@ -56,14 +61,18 @@ def components(links: DataFrame) -> DataFrame:
         ra, rb = (roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
         moved = edges.join(ra, "a").join(rb, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
         edges = stored(moved.coalesce(few), "links")
-        if result is None:
-            result = roots.select(F.col("node").alias("id"), F.col("root").alias("component"))
-        else:
-            step = roots.select(F.col("node").alias("component"), F.col("root").alias("next"))
-            result = result.join(step, "component", "left").select("id", F.coalesce("next", "component").alias("component"))
+        result = _step(result, roots)
         rounds += 1
         if rounds % 4 == 0:
             result = stored(result, "components")
     if result is None:
         return links.sparkSession.createDataFrame([], "id long, component long")
-    return result if rounds == 1 else stored(result, "components")
+    return result if rounds == 0 else stored(result, "components")
+
+
+def _step(result: DataFrame | None, roots: DataFrame) -> DataFrame:
+    """The components so far, moved on to the roots of a round."""
+    if result is None:
+        return roots.select(F.col("node").alias("id"), F.col("root").alias("component"))
+    step = roots.select(F.col("node").alias("component"), F.col("root").alias("next"))
+    return result.join(step, "component", "left").select("id", F.coalesce("next", "component").alias("component"))
