@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,7 @@ BROADCAST_IDS = 1_000_000
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 SHINGLE = 5
 BATCH_ROWS = 500
+BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -27,9 +29,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def short_batches(spark: SparkSession) -> None:
-    """Texts go to Python in Arrow batches of at most BATCH_ROWS rows, which bounds the memory of both sides."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+@contextmanager
+def short_batches(spark: SparkSession):
+    """Inside, texts go to Python in Arrow batches of at most BATCH_ROWS rows, which bounds the memory of both sides. What is lazy has to
+    be written inside; afterwards the session has its own setting again."""
+    before = spark.conf.get(BATCH_KEY, None)
+    spark.conf.set(BATCH_KEY, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(BATCH_KEY)
+        else:
+            spark.conf.set(BATCH_KEY, before)
 
 
 def release() -> None:

@@ -86,7 +86,18 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataF
     Null texts, texts without a word and rows without doc_id link with nothing: their class and component are their doc_id (kept is
     true). Rows repeated with one doc_id get the same result each. Further columns are ignored; an empty table gives none.
     """
-    short_batches(documents.sparkSession)
+    with short_batches(documents.sparkSession):
+        signed, by_class = _classes(documents, threshold)
+    joined = signed.select("doc_id", "digest").join(by_class, "digest", "left")
+    own = F.coalesce("class_id", "doc_id")
+    component = F.coalesce("component", own)
+    return joined.select(
+        "doc_id", own.alias("class_id"), component.alias("component_id"), (F.coalesce(F.col("doc_id") == component, F.lit(True))).alias("kept")
+    )
+
+
+def _classes(documents: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, digest) of every row, and (digest, class_id, component) of every class."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stored(rows.mapInArrow(released(_sign), "doc_id long, digest binary, n long, keys array<long>"), "minhash")
     classes = signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys"))
@@ -94,13 +105,7 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataF
     texts = rows.withColumnRenamed("doc_id", "id")
     members = classes.select(F.explode("keys").alias("key"), F.col("class_id").alias("id"))
     parts = connect(members, classes.select(F.col("class_id").alias("id"), "n"), lambda ids: texts, threshold, weighted=True)
-    by_class = classes.select("digest", "class_id").join(parts.withColumnRenamed("id", "class_id"), "class_id", "left")
-    joined = signed.select("doc_id", "digest").join(by_class, "digest", "left")
-    own = F.coalesce("class_id", "doc_id")
-    component = F.coalesce("component", own)
-    return joined.select(
-        "doc_id", own.alias("class_id"), component.alias("component_id"), (F.coalesce(F.col("doc_id") == component, F.lit(True))).alias("kept")
-    )
+    return signed, classes.select("digest", "class_id").join(parts.withColumnRenamed("id", "class_id"), "class_id", "left")
 
 
 def deduplicated(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

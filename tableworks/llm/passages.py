@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_IDS, SHINGLE, Words, mix, read, released, short_batches, stored
@@ -18,7 +18,7 @@ THRESHOLD = 0.8
 #: Paragraphs below so many words are left alone, and passages have at least as many.
 LEAST_WORDS = 40
 #: Bits of the filter of shared anchors: so many for each of them, within these powers of two. A full filter costs work, not results.
-FILTER_BITS, FILTER_RANGE = 16, (16, 27)
+FILTER_BITS, FILTER_RANGE = 16, (16, 29)
 #: Two paragraphs at the threshold miss every band with at most this probability.
 MISS = 5e-4
 HASHES = 64
@@ -53,6 +53,15 @@ class Runs:
     def hash(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return mix((self.total[b] - self.total[a]) * self.down[a] + (b - a).astype(np.uint64))
 
+    def check(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """A second hash of the same words, of 32 bits: runs are taken as equal only if both agree."""
+        if not hasattr(self, "again"):
+            turned = mix(self.words.hash ^ np.uint64(0x9E3779B97F4A7C15))
+            self.up2 = np.cumprod(np.full(self.n, 0xD6E8FEB86659FD93, np.uint64))
+            self.down2 = np.cumprod(np.full(self.n, pow(0xD6E8FEB86659FD93, -1, 1 << 64), np.uint64))
+            self.again = np.concatenate((np.zeros(1, np.uint64), np.cumsum(turned * self.up2, dtype=np.uint64)))
+        return (mix((self.again[b] - self.again[a]) * self.down2[a]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
     def starts(self, size: int) -> np.ndarray:
         """Where a run of ``size`` words of one text starts."""
         text = self.words.text
@@ -71,8 +80,13 @@ class Runs:
         return whole, low
 
 
-def _units(texts: list[str], first: int, bands: int, rows: int, least: int) -> Iterator[tuple]:
-    """Arrays (text, start, end, words, hash, band keys or None): paragraphs with keys, and anchors (hash alone) without."""
+#: Kinds of units.
+PARAGRAPH, ANCHOR, WHOLE, WINDOW = range(4)
+UNIT = "doc_id long, h long, kind int, start int, end int, words int, hash long, check int, alive boolean, keys array<long>"
+
+
+def _units(texts: list[str], marks: list, bands: int, rows: int, least: int) -> Iterator[tuple]:
+    """Arrays (kind, text, start, end, words, hash, check, alive, band keys or None): paragraphs, anchors (hash alone) and whole texts."""
     runs = Runs(texts)
     w, n, odd = runs.words, runs.n, runs.odd
     if not n:
@@ -99,50 +113,61 @@ def _units(texts: list[str], first: int, bands: int, rows: int, least: int) -> I
                 turned = (own ^ salt) * np.uint64(0xBF58476D1CE4E5B9)
                 low = np.minimum.reduceat(turned ^ (turned >> np.uint64(31)), cut)
                 keys[:, band] = mix(keys[:, band] * np.uint64(odd) + low)
-        yield w.text[a] + first, runs.start[a], runs.end[b - 1], b - a, runs.hash(a, b).view(np.int64), keys.view(np.int64)
+        yield PARAGRAPH, w.text[a], runs.start[a], runs.end[b - 1], b - a, runs.hash(a, b), runs.check(a, b), None, keys.view(np.int64)
+    first, last = w.starts[:-1], w.starts[1:]
+    whole = np.flatnonzero(last - first >= least)
+    if len(whole):
+        a, b = first[whole], last[whole]
+        yield WHOLE, whole, runs.start[a], runs.end[b - 1], b - a, runs.hash(a, b), runs.check(a, b), None, None
     at, anchor = runs.lowest(least)
     if len(at):
         new = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (w.text[at[1:]] != w.text[at[:-1]])))
         none = np.zeros(new.sum(), np.int64)
-        yield w.text[at[new]] + first, none, none, none, anchor[new].view(np.int64), None
+        yield ANCHOR, w.text[at[new]], none, none, none, anchor[new], none, None, None
 
 
 def _has(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[(hashes >> np.uint64(6)) & np.uint64(len(bits) - 1)] >> (hashes & np.uint64(63))) & np.uint64(1) == 1
 
 
-def _windows(texts: list[str], first: int, seen: np.ndarray, least: int) -> Iterator[tuple]:
-    """Arrays (text, start, end, words, hash, None) of all runs of ``least`` words whose anchor is in the filter."""
+def _windows(texts: list[str], marks: list, seen: np.ndarray, least: int) -> Iterator[tuple]:
+    """All runs of ``least`` words whose anchor is in the filter; ``alive`` are those that touch none of the text's marks."""
     runs = Runs(texts)
     at, anchor = runs.lowest(least)
     at = at[_has(seen, anchor)]
     if len(at):
-        yield runs.words.text[at] + first, runs.start[at], runs.end[at + least - 1], np.full(len(at), least), runs.hash(at, at + least).view(np.int64), None
+        text, start, end = runs.words.text[at], runs.start[at], runs.end[at + least - 1]
+        gone = sorted((k << 32 | m["start"], k << 32 | m["end"]) for k, found in enumerate(marks) for m in found or ())
+        place = text.astype(np.int64) << 32
+        before = np.searchsorted(np.array([g[0] for g in gone], np.int64), place | end, "left")
+        upto = np.concatenate(([-1], np.maximum.accumulate([g[1] for g in gone]))) if gone else np.array([-1])
+        alive = upto[before] <= (place | start)
+        yield WINDOW, text, start, end, np.full(len(at), least), runs.hash(at, at + least), runs.check(at, at + least), alive, None
 
 
 def _cut(units, bands: int):
-    """``units`` of (texts, number of the first) over slices of the batches."""
+    """``units`` of (texts, marks) over slices of the batches, which have doc_id, h, text and marks."""
 
     def run(batches):
-        names = ["doc_id", "start", "end", "words", "hash", "keys"]
+        names = [x.split()[0] for x in UNIT.split(", ")]
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            ids, hs, texts, marks = (batch.column(c).to_pylist() for c in range(4))
             lo = 0
             while lo < len(ids):
                 hi, size = lo, 0
                 while hi < len(ids) and (hi == lo or size < SLICE):
                     size += len(texts[hi])
                     hi += 1
-                for text, start, end, words, hashes, keys in units(texts[lo:hi], lo):
+                for kind, text, start, end, words, hashes, check, alive, keys in units(texts[lo:hi], marks[lo:hi]):
                     for part in range(0, len(text), 50_000):
                         s = slice(part, part + 50_000)
-                        columns = [np.array(ids, np.int64)[text[s]], start[s].astype(np.int32), end[s].astype(np.int32), words[s].astype(np.int32), hashes[s]]
-                        count = len(columns[0])
-                        if keys is None:
-                            lists = pa.nulls(count, pa.list_(pa.int64()))
-                        else:
-                            lists = pa.ListArray.from_arrays(np.arange(count + 1, dtype=np.int32) * bands, pa.array(keys[s].ravel()))
-                        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), lists], names)
+                        own = text[s] + lo
+                        n = len(own)
+                        lists = pa.nulls(n, pa.list_(pa.int64())) if keys is None else pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * bands, pa.array(keys[s].ravel()))
+                        flags = pa.nulls(n, pa.bool_()) if alive is None else pa.array(alive[s])
+                        numbers = [np.full(n, kind), start[s], end[s], words[s]]
+                        columns = [np.array(ids, np.int64)[own], np.array(hs, np.int64)[own], *(x.astype(np.int32) for x in numbers), hashes[s].view(np.int64), check[s].astype(np.int32)]
+                        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), flags, lists], names)
                 lo = hi
 
     return run
@@ -159,62 +184,191 @@ def _filter(hashes: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
+def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unions of intervals that overlap or touch, and for each interval, in the order given, the number of its union."""
+    order = np.lexsort((end, start))
+    s, e = start[order], end[order]
+    far = np.maximum.accumulate(e) if len(e) else e
+    new = np.concatenate((np.ones(min(len(s), 1), bool), s[1:] > far[:-1]))
+    own = np.empty(len(s), np.int64)
+    own[order] = np.cumsum(new) - 1
+    head = np.flatnonzero(new)
+    return s[head], far[np.append(head[1:], len(s)) - 1] if len(s) else far, own
+
+
+def without(start: np.ndarray, end: np.ndarray, off: np.ndarray, on: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Intervals less the disjoint, sorted intervals from ``off`` to ``on``: what is left, and of which interval each piece is."""
+    lo, hi = np.searchsorted(on, start, "right"), np.searchsorted(off, end, "left")
+    n = np.maximum(hi - lo, 0) + 1
+    own = np.repeat(np.arange(len(start)), n)
+    j = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+    left, right = np.append(on, 0), np.append(off, 0)
+    a = np.where(j == 0, start[own], left[np.minimum(lo[own] + j - 1, len(on))])
+    b = np.where(j == n[own] - 1, end[own], right[np.minimum(lo[own] + j, len(off))])
+    some = a < b
+    return a[some], b[some], own[some]
+
+
+REMOVABLE, PROTECTED, STAYS = range(3)
+SPAN = "doc_id long, h long, start int, end int, kind int, cluster_id long, keeper_doc_id long"
+
+
+def _settle(batches):
+    """Rows of SPAN, sorted by document, to the spans removed (removable less protected, one row per keeper) and those that stay."""
+    names = ["doc_id", "h", "start", "end", "cluster_id", "keeper_doc_id", "removed"]
+
+    def done(table):
+        doc, h, start, end, kind, cluster, keeper = (table.column(c).to_numpy() for c in range(7))
+        new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])))
+        number = np.cumsum(new) - 1
+        ids, hs = doc[new], h[new]
+        base = number.astype(np.int64) << 32
+        a, b = base | start, base | end
+        kept = kind == PROTECTED
+        off, on, _ = merged(a[kept], b[kept])
+        out = []
+
+        def put(a, b, cluster, keeper, removed):
+            at = a >> 32
+            columns = [ids[at], hs[at], (a & 0xFFFFFFFF).astype(np.int32), (b - (at << 32)).astype(np.int32), cluster, ids[at] if keeper is None else keeper, np.full(len(a), removed)]
+            out.append(pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names))
+
+        gone = np.flatnonzero(kind == REMOVABLE)
+        pair, code = np.unique(np.stack((number[gone], keeper[gone])), axis=1, return_inverse=True)
+        code = code.ravel().astype(np.int64) << 32
+        s, e, own = merged(code | start[gone], code | end[gone])
+        group = s >> 32
+        least = np.full(len(s), 2**63 - 1)
+        np.minimum.at(least, own, cluster[gone])
+        shift = (pair[0][group] << 32) - (group << 32)
+        s, e, piece = without(s + shift, e + shift, off, on)
+        put(s, e, least[piece], pair[1][group][piece], True)
+        cut_a, cut_b, _ = merged(s, e)
+        stay = kind != REMOVABLE
+        s, e, own = merged(a[stay], b[stay])
+        least = np.full(len(s), 2**63 - 1)
+        np.minimum.at(least, own, cluster[stay])
+        s, e, piece = without(s, e, cut_a, cut_b)
+        put(s, e, least[piece], None, False)
+        return out
+
+    held: list = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= 50_000:
+            table = pa.Table.from_batches(held).combine_chunks()
+            doc, h = table.column(0).to_numpy(), table.column(1).to_numpy()
+            cut = int(np.flatnonzero((doc != doc[-1]) | (h != h[-1]))[-1]) + 1 if (doc[0], h[0]) != (doc[-1], h[-1]) else 0
+            if cut:
+                yield from done(table.slice(0, cut))
+                held, size = table.slice(cut).to_batches(), table.num_rows - cut
+    if size:
+        yield from done(pa.Table.from_batches(held).combine_chunks())
+
+
+def _few(df: DataFrame, bound: int) -> bool:
+    return df.limit(bound + 1).count() <= bound
+
+
 def repeated(documents: DataFrame, threshold: float = THRESHOLD, least: int = LEAST_WORDS) -> DataFrame:
-    """(doc_id, start, end, cluster_id, keeper_doc_id, removed): passages that occur in several documents.
+    """(doc_id, start, end, cluster_id, keeper_doc_id, removed, text_hash): passages that occur in several documents.
+
+    In three steps, each on what the ones before leave:
 
-    A paragraph is a line of ``least`` words or more. Paragraphs with one content are one class; classes that collide in a MinHash
-    band (banding tuned by ``banding``) are compared by exact Jaccard of their five-word runs and linked at ``threshold``;
-    components of links are clusters. Besides, every run of ``least`` words that several documents have is a class of its own,
-    wherever it starts and whatever lines it crosses, so that a verbatim passage is found in its full span. In each cluster the
-    occurrences in the document with the smallest doc_id stay (``removed`` false), those in other documents are to be removed;
-    overlapping spans of one document and keeper are merged. ``start`` and ``end`` count characters of the text.
+    1. Of equal texts of ``least`` words or more, that of the smallest doc_id stays; the others go whole.
+    2. A paragraph is a line of ``least`` words or more. Equal paragraphs are one class; classes that collide in a MinHash band (banding
+       tuned by ``banding``) are compared by exact Jaccard of their five-word runs and linked at ``threshold``. In each component
+       the paragraphs of the document with the smallest doc_id stay; those of other documents go.
+    3. A run of ``least`` words that several documents have, wherever it starts and whatever lines it crosses, stays in one of them: the
+       one with the smallest doc_id among those where no paragraph that went touches it. There its words are protected.
+       The other documents lose those of its words that are in no protected run of theirs.
+
+    So text is never lost: whatever goes is still there whole in its keeper, but for the run's parts that a near-copy which stays replaces.
+    Pieces of one document and keeper that overlap or touch are one row; ``removed`` is false for what stays. ``start`` and
+    ``end`` count characters of the text, which ``text_hash`` (xxhash64) tells apart where a doc_id has several.
 
     Runs are found in two passes: anchors (winnowed runs of half the length, one at least in every run of ``least`` words) are
-    counted by hash; then only the runs whose anchor several documents have are compared, by a filter of bounded size.
+    counted by hash; then only the runs whose anchor several documents have are compared, by a filter of bounded size. Runs are equal if
+    96 bits of hashes agree.
 
     Words are compared without ASCII case and punctuation. Repetition within one document is not reported. Null, empty and short
-    texts, and rows without doc_id, give no rows; rows repeated with one doc_id are one document; further columns are ignored. Only
-    texts of candidate paragraphs are read again, cut to the paragraph before they are shuffled.
+    texts, and rows without doc_id, give no rows; rows with one doc_id and text are one document, with other texts another one;
+    further columns are ignored. Only texts of candidate paragraphs are read again, cut to the paragraph before they are shuffled.
     """
-    short_batches(documents.sparkSession)
+    spark = documents.sparkSession
+    with short_batches(spark):
+        return _repeated(documents, threshold, least)
+
+
+def _repeated(documents: DataFrame, threshold: float, least: int) -> DataFrame:
     bands, rows = banding(threshold)
+    place = ["doc_id", "h"]
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    schema = "doc_id long, start int, end int, words int, hash long, keys array<long>"
-    units = stored(texts.mapInArrow(released(_cut(lambda t, lo: _units(t, lo, bands, rows, least), bands)), schema), "passages")
-    paragraphs, anchors = units.where("keys IS NOT NULL"), units.where("keys IS NULL").select("hash", "doc_id")
-    place = F.struct("doc_id", "start", "end")
-
-    def in_several(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("hash").agg(F.min("doc_id").alias("keeper_doc_id"), F.max("doc_id").alias("z")).where("keeper_doc_id <> z").drop("z")
-
-    # Classes of equal runs.
-    seen = documents.sparkSession.sparkContext.broadcast(_filter(stored(in_several(anchors).select("hash"), "anchors")))
-    windows = texts.mapInArrow(released(_cut(lambda t, lo: _windows(t, lo, seen.value, least), bands)), schema)
-    runs = windows.select("hash", "doc_id", "start", "end")  # cut twice: kept, they would be the largest table on disk
-    twice = in_several(runs)
-    run_spans = runs.join(twice, "hash").select("doc_id", "start", "end", F.col("hash").alias("cluster_id"), "keeper_doc_id")
-    # Classes of equal paragraphs, and links between them.
-    classes = stored(paragraphs.groupBy("hash").agg(F.min(place).alias("at"), F.any_value("keys").alias("keys"), F.any_value("words").alias("words")), "paragraphs")
+    texts = texts.select("doc_id", F.xxhash64("text").alias("h"), "text")
+
+    # Equal texts: all but one go whole, and are looked at no more.
+    digests = stored(texts.select(*place, F.unhex(F.sha2("text", 256)).alias("digest")), "digests")
+    first = digests.groupBy("digest").agg(F.min(F.struct(*place)).alias("first"), F.max("doc_id").alias("z")).where("first.doc_id <> z")
+    copies = digests.join(first.drop("z"), "digest").where("doc_id <> first.doc_id").select(*place, F.col("first.doc_id").alias("of"), F.col("first.h").alias("of_h"))
+    copies = stored(copies.distinct(), "copies")
+    ids = copies.select(*place)
+    texts = texts.join(F.broadcast(ids), place, "left_anti") if _few(ids, BROADCAST_IDS) else stored(texts.join(ids, place, "left_anti"), "texts")
+
+    def cut(units, texts: DataFrame) -> DataFrame:
+        return texts.mapInArrow(released(_cut(units, bands)), UNIT)
+
+    no_marks = F.lit(None).cast("array<struct<start:int,end:int>>").alias("marks")
+    units = stored(cut(lambda t, m: _units(t, m, bands, rows, least), texts.select(*place, "text", no_marks)), "passages")
+
+    def in_several(rows: DataFrame, by: list[str], *more: Column) -> DataFrame:
+        found = rows.groupBy(*by).agg(F.min(F.struct(*place)).alias("a"), F.max(F.struct(*place)).alias("z"), *more)
+        return found.where("a.doc_id <> z.doc_id").drop("a", "z")
+
+    # Paragraphs: classes of equal ones, and links between them.
+    paragraphs = units.where(F.col("kind") == PARAGRAPH)
+    spot = F.struct("doc_id", "h", "start", "end")
+    classes = paragraphs.groupBy("hash").agg(F.min(spot).alias("at"), F.any_value("keys").alias("keys"), F.any_value("words").alias("words"))
+    classes = stored(classes, "paragraphs")
 
     def paragraph_texts(ids: DataFrame) -> DataFrame:
         spots = stored(classes.join(ids.withColumnRenamed("id", "hash"), "hash").select("hash", "at.*"), "spots")
-        few = F.broadcast(spots) if spots.count() <= BROADCAST_IDS // 4 else spots
-        return texts.join(few, "doc_id").select(F.col("hash").alias("id"), F.expr("substring(text, start + 1, end - start)").alias("text"))
+        few = F.broadcast(spots) if _few(spots, BROADCAST_IDS // 4) else spots
+        return texts.join(few, place).select(F.col("hash").alias("id"), F.expr("substring(text, start + 1, end - start)").alias("text"))
 
     members = classes.select(F.explode("keys").alias("key"), F.col("hash").alias("id"))
     words = classes.select(F.col("hash").alias("id"), F.col("words").cast("long").alias("n"))
     parts = connect(members, words, paragraph_texts, threshold, weighted=False).withColumnRenamed("id", "hash")
-    named = paragraphs.join(parts, "hash", "left").select("doc_id", "start", "end", F.coalesce("component", "hash").alias("cluster_id"))
-    kept = named.groupBy("cluster_id").agg(F.min("doc_id").alias("keeper_doc_id"), F.max("doc_id").alias("z")).where("keeper_doc_id <> z").drop("z")
-    spans = named.join(kept, "cluster_id").select(run_spans.columns).union(run_spans)
-    # Merge overlapping spans of one document and keeper.
-    order = Window.partitionBy("doc_id", "keeper_doc_id").orderBy("start", "end")
-    far = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    island = F.sum((F.col("start") > F.coalesce(far, F.lit(-1))).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    merged = spans.withColumn("island", island).groupBy("doc_id", "keeper_doc_id", "island").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.min("cluster_id").alias("cluster_id")
-    )
-    return merged.select("doc_id", "start", "end", "cluster_id", "keeper_doc_id", (F.col("doc_id") != F.col("keeper_doc_id")).alias("removed"))
+    named = paragraphs.join(parts, "hash", "left").select(*place, "start", "end", F.coalesce("component", "hash").alias("cluster_id"))
+    keeper = F.min("doc_id").alias("keeper_doc_id")
+    kept = named.groupBy("cluster_id").agg(keeper, F.max("doc_id").alias("z")).where("keeper_doc_id <> z").drop("z")
+    kind = F.when(F.col("doc_id") == F.col("keeper_doc_id"), STAYS).otherwise(REMOVABLE).alias("kind")
+    columns = [*place, "start", "end", kind, "cluster_id", "keeper_doc_id"]
+    named = stored(named.join(kept, "cluster_id").select(*columns), "clusters")
+
+    # Runs that several documents have.
+    anchors = stored(in_several(units.where(F.col("kind") == ANCHOR), ["hash"]), "anchors")
+    seen = documents.sparkSession.sparkContext.broadcast(_filter(anchors))
+    gone = named.where(F.col("kind") == REMOVABLE)
+    marks = gone.groupBy(*place).agg(F.collect_list(F.struct("start", "end")).alias("marks"))
+    marked = texts.join(F.broadcast(marks) if _few(gone, BROADCAST_IDS // 4) else marks, place, "left").select(*place, "text", "marks")
+    windows = cut(lambda t, m: _windows(t, m, seen.value, least), marked).select(*place, "start", "end", "hash", "check", "alive")
+    alive = F.min(F.when(F.col("alive"), F.struct(*place))).alias("keeper")  # cut twice: kept, the windows would be the largest table on disk
+    shared = in_several(windows, ["hash", "check"], alive).where("keeper IS NOT NULL")
+    kind = F.when((F.col("doc_id") == F.col("keeper.doc_id")) & (F.col("h") == F.col("keeper.h")), PROTECTED).otherwise(REMOVABLE).alias("kind")
+    runs = windows.where("alive").join(shared, ["hash", "check"]).where("doc_id <> keeper.doc_id OR h = keeper.h")
+    runs = runs.select(*place, "start", "end", kind, F.col("hash").alias("cluster_id"), F.col("keeper.doc_id").alias("keeper_doc_id"))
+
+    spans = named.union(runs).repartition(*place).sortWithinPartitions(*place)
+    settled = spans.mapInArrow(released(_settle), "doc_id long, h long, start int, end int, cluster_id long, keeper_doc_id long, removed boolean")
+
+    # Copies of whole texts, and the texts that stay for them.
+    whole = units.where(F.col("kind") == WHOLE).select(F.col("doc_id").alias("of"), F.col("h").alias("of_h"), "start", "end", F.col("hash").alias("cluster_id"))
+    whole = copies.join(whole, ["of", "of_h"])
+    copied = whole.select(*place, "start", "end", "cluster_id", F.col("of").alias("keeper_doc_id"), F.lit(True).alias("removed"))
+    result = settled.union(copied)
+    return stored(result.select("doc_id", "start", "end", "cluster_id", "keeper_doc_id", "removed", F.col("h").alias("text_hash")), "repeated")
 
 
 def cut_out(text: Column, spans: Column) -> Column:
@@ -243,13 +397,14 @@ def cut_out(text: Column, spans: Column) -> Column:
 
 def deduplicated(documents: DataFrame, threshold: float = THRESHOLD, least: int = LEAST_WORDS) -> DataFrame:
     """``documents`` without removed passages, columns as they are; ``n_chars``, where there is one, follows the new text. A
-    document of which nothing but blanks is left goes; documents that were blank before stay. Texts are shuffled only if the
-    table of affected documents is too large to be broadcast."""
-    spans = repeated(documents, threshold, least).where("removed")
-    by_doc = stored(spans.groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("start", "end")).alias("marks")), "removed")
-    few = F.broadcast(by_doc) if by_doc.count() <= BROADCAST_IDS // 10 else by_doc
+    document of which nothing but blanks is left goes; documents that were blank before stay, and so do rows without doc_id or text.
+    Texts are shuffled only if the table of removed spans is too large to be broadcast."""
+    spans = stored(repeated(documents, threshold, least).where("removed").select("doc_id", "text_hash", "start", "end"), "removed")
+    marks = spans.groupBy(F.col("doc_id").alias("of"), "text_hash").agg(F.collect_list(F.struct("start", "end")).alias("marks"))
+    few = F.broadcast(marks) if _few(spans, BROADCAST_IDS // 2) else marks
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
-    joined = rows.join(few, F.col("row.doc_id") == F.col("of"), "left").withColumn("new", cut_out(F.col("row.text"), F.col("marks")))
+    joined = rows.join(few, (F.col("row.doc_id") == F.col("of")) & (F.xxhash64("row.text") == F.col("text_hash")), "left")
+    joined = joined.withColumn("new", cut_out(F.col("row.text"), F.col("marks")))
     changed = joined.where("marks IS NULL OR length(trim(BOTH ' \n\t\r' FROM new)) > 0")
     size = F.when(F.col("marks").isNull(), F.col("row.n_chars")).otherwise(F.length("new")).cast(documents.schema["n_chars"].dataType) if "n_chars" in documents.columns else None
     fresh = {"text": F.col("new"), "n_chars": size}

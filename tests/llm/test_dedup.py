@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -273,22 +274,104 @@ def planted_passages(rng):
     return texts
 
 
+def spots(text):
+    return [(m.start(), m.end(), re.sub(r"[^\w]", "", m.group().lower())) for m in re.finditer(r"\S+", text)]
+
+
+def windows(text, n=40):
+    words = spots(text)
+    return [(tuple(x[2] for x in words[k : k + n]), words[k][0], words[k + n - 1][1]) for k in range(len(words) - n + 1)]
+
+
 def test_every_shared_run_of_words_is_found_in_its_full_span(spark):
+    """Against a plain count of all runs of 40 words: the first document that has one keeps it, the others lose what they keep no run of."""
     rng = random.Random(11)
     texts = planted_passages(rng) + [sentences(rng, 120) for _ in range(20)]
-    plain, where = {}, {}
+    plain, where, protected = {}, {}, {}
     for i, text in enumerate(texts):
-        spots = [(m.start(), m.end(), re.sub(r"[^\w]", "", m.group().lower())) for m in re.finditer(r"\S+", text)]
-        for k in range(len(spots) - 39):
-            plain.setdefault(tuple(x[2] for x in spots[k : k + 40]), []).append((i, spots[k][0], spots[k + 39][1]))
+        for run, a, b in windows(text):
+            plain.setdefault(run, []).append((i, a, b))
     for hits in plain.values():
         keeper = min(h[0] for h in hits)
         if keeper != max(h[0] for h in hits):
             for i, a, b in hits:
-                where.setdefault((i, keeper), set()).update(range(a, b))
+                (protected if i == keeper else where).setdefault((i, keeper), set()).update(range(a, b))
+    where = {k: v - protected.get((k[0], k[0]), set()) for k, v in where.items()}
     rows = passages.repeated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)).collect()
-    got = {}
+    got, stays = {}, {}
     for r in rows:
-        got.setdefault((r["doc_id"], r["keeper_doc_id"]), set()).update(range(r["start"], r["end"]))
-    assert {k[0] for k in where if k[0] != k[1]} == {1, 3, 5, 7, 11, 12, 14}
-    assert got == where
+        (got if r["removed"] else stays).setdefault((r["doc_id"], r["keeper_doc_id"]), set()).update(range(r["start"], r["end"]))
+    assert {k[0] for k in where} == {1, 3, 5, 7, 11, 12, 14}
+    assert got == {k: v for k, v in where.items() if v}
+    assert stays == protected
+
+
+def lost(before, after):
+    """Runs of 40 words that two documents had, within a line, and none has any more. Of a run over lines, each may stay elsewhere."""
+    had = {}
+    for i, text in before:
+        for run, a, b in windows(text):
+            if "\n" not in text[a:b]:
+                had.setdefault(run, set()).add(i)
+    has = {run for _, text in after for run, *_ in windows(text)}
+    return {run: ids for run, ids in had.items() if len(ids) > 1 and run not in has}
+
+
+def test_a_run_whose_first_holder_goes_as_a_near_copy_stays_elsewhere(spark):
+    rng = random.Random(12)
+    p, run = prose(rng, 300), prose(rng, 45)
+    rows = [(1, p), (2, p + " " + run), (3, prose(rng, 30) + "\n" + prose(rng, 20) + " " + run + " " + prose(rng, 20))]
+    out = [tuple(r) for r in passages.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(out) == [rows[0], rows[2]] and lost(rows, out) == {}
+
+
+def test_chains_of_runs_lose_no_text(spark):
+    rng = random.Random(13)
+    stock = [prose(rng, rng.randint(15, 60)) for _ in range(12)]
+    rows = []
+    for i in range(60):
+        parts = [rng.choice(stock) if rng.random() < 0.7 else prose(rng, rng.randint(3, 30)) for _ in range(rng.randint(1, 6))]
+        rows.append((rng.randint(0, 45), (" " if rng.random() < 0.7 else "\n").join(parts)))
+    rows += rows[:5]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = [tuple(r) for r in passages.deduplicated(df, threshold=1.0).collect()]  # without near-copies, which may replace a run
+    gone = lost({(f"{i} {t}", t) for i, t in rows}, out)
+    touched = [w for _, t in out for w in [x[2] for x in spots(t)]]
+    assert set(x[2] for _, t in rows for x in spots(t)) == set(touched)
+    copies = Counter(t for _, t in set(rows))
+    assert all(all(copies[i.split(" ", 1)[1]] > 1 for i in ids) for ids in gone.values())
+    assert sum(len(t) for _, t in out) < sum(len(t) for _, t in rows)
+    assert len(lost({(f"{i} {t}", t) for i, t in out}, out)) == 0
+
+
+def test_rows_of_one_doc_id_with_other_texts_are_cut_each_at_its_own_place(spark):
+    rng = random.Random(14)
+    p, x, y, z = (prose(rng, n) for n in (60, 30, 125, 70))
+    rows = [(1, p), (2, p + "\n" + x), (2, y + "\n" + p + "\n" + z), (3, p), (3, p), (4, "short text"), (5, "short text")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("a.b", F.lit(1)).withColumn("marks", F.lit(2))
+    out = passages.deduplicated(df)
+    assert out.columns == df.columns
+    assert sorted((r[0], r[1]) for r in out.collect()) == sorted([(1, p), (2, x), (2, y + "\n" + z), (4, "short text"), (5, "short text")])
+    spans = {(r["doc_id"], r["start"], r["end"], r["removed"]) for r in passages.repeated(df).collect()}
+    assert spans == {(1, 0, len(p), False), (2, 0, len(p), True), (2, len(y) + 1, len(y) + 1 + len(p), True), (3, 0, len(p), True)}
+
+
+def test_intervals_against_sets():
+    rng = np.random.default_rng(15)
+    for _ in range(200):
+        a, n = rng.integers(0, 40, 8), rng.integers(1, 9, 8)
+        s, e, own = passages.merged(a, a + n)
+        points = set().union(*(range(x, y) for x, y in zip(a, a + n)))
+        assert set().union(*(range(x, y) for x, y in zip(s, e))) == points and (s[1:] > e[:-1]).all()
+        assert all(s[o] <= x and x + m <= e[o] for x, m, o in zip(a, n, own))
+        off, on, _ = passages.merged(*(lambda q: (q, q + 3))(rng.integers(0, 45, int(rng.integers(0, 5)))))
+        left, right, piece = passages.without(s, e, off, on)
+        assert set().union(*(range(x, y) for x, y in zip(left, right))) == points - set().union(*(range(x, y) for x, y in zip(off, on)))
+        assert all(s[p] <= x < y <= e[p] for x, y, p in zip(left, right, piece))
+
+
+def test_the_session_keeps_its_batch_size(spark):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    df = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    passages.repeated(df).count(), minhash.near_duplicates(df).count()
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
