@@ -33,39 +33,43 @@ def stream_guard(spark, sf):
 
 
 @query("stream_threads", """
-WITH days AS (
-  SELECT user_id, epoch(time_bucket(INTERVAL '1 day', ts))::BIGINT AS period_start, count(*) AS n_messages,
-         epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us,
-         coalesce(arg_max(event_type || ' ' || event_id, ts) FILTER (event_type = 'purchase'), arg_max(event_type || ' ' || event_id, ts)) AS response
-  FROM events GROUP BY ALL)
-SELECT * FROM days WHERE period_start + 86400 <= (SELECT epoch(max(ts)) - 600 FROM events)""")
+SELECT user_id, epoch(time_bucket(INTERVAL '1 day', ts))::BIGINT AS period_start, count(*) AS n_messages,
+       epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us,
+       coalesce(arg_max(event_type || ' ' || event_id, ts) FILTER (event_type = 'purchase'), arg_max(event_type || ' ' || event_id, ts)) AS response,
+       md5(string_agg(CASE WHEN event_type = 'purchase' THEN 'assistant' ELSE 'user' END || ': ' || event_type || ' ' || event_id, chr(10)
+                      ORDER BY ts, event_type = 'purchase' DESC, event_type || ' ' || event_id)) AS history_md5
+FROM events GROUP BY ALL""")
 def stream_threads(spark, sf):
-    """Users are threads, events their messages, purchases the replies."""
+    """A user's day is a thread, events are its messages, purchases the replies; the threads still open at the end come from the state store."""
     events = ST.stream_table(spark, sf, "events", table(spark, sf, "events").schema)
+    time = ST.as_instant("ts")
     messages = events.select(
-        "user_id", ST.as_instant("ts").alias("time"), F.when(F.col("event_type") == "purchase", "assistant").otherwise("user").alias("role"),
-        F.concat_ws(" ", "event_type", "event_id").alias("text"),
+        F.concat_ws(" ", "user_id", (F.floor(F.unix_seconds(time) / 86400) * 86400).cast("long")).alias("thread"), time.alias("time"),
+        F.when(F.col("event_type") == "purchase", "assistant").otherwise("user").alias("role"), F.concat_ws(" ", "event_type", "event_id").alias("text"),
     )
-    closed = ST.write_available(T.stream_threads(messages, thread="user_id", time="time", role="role", text="text"), "threads")
-    return closed.select(
-        "user_id", F.unix_seconds("period.start").alias("period_start"), "n_messages", F.unix_micros("first_time").alias("first_us"),
-        F.unix_micros("last_time").alias("last_us"), "response",
+    closed, state = ST.run_available(T.stream_threads(messages, thread="thread", time="time", role="role", text="text"), "threads")
+    every = closed.unionByName(T.open_threads(spark, state, thread="thread"))
+    told = F.array_join(F.transform("history", lambda m: F.concat(m["role"], F.lit(": "), m["text"])), "\n")
+    return every.select(
+        F.split("thread", " ")[0].cast("long").alias("user_id"), F.split("thread", " ")[1].cast("long").alias("period_start"), "n_messages",
+        F.unix_micros("first_time").alias("first_us"), F.unix_micros("last_time").alias("last_us"), "response", F.md5(told).alias("history_md5"),
     )
 
 
 @query("stream_chunks", """
-WITH timed AS (SELECT conv_id AS stream_id, turn, role, text, conv_id * 60 + turn AS t FROM conversations),
-done AS (SELECT stream_id, count(*) AS n_deltas, max(t) AS last_t, coalesce(string_agg(text, '' ORDER BY turn) FILTER (role <> 'assistant'), '') AS reasoning,
-                coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '') AS content FROM timed GROUP BY stream_id)
-SELECT stream_id, 0::BIGINT AS segment, n_deltas, reasoning, content FROM done WHERE last_t + 300 <= (SELECT max(t) - 600 FROM timed)""")
+SELECT conv_id AS stream_id, 0::BIGINT AS segment, count(*) AS n_deltas, coalesce(string_agg(text, '' ORDER BY turn) FILTER (role <> 'assistant'), '') AS reasoning,
+       coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '') AS content
+FROM conversations GROUP BY conv_id""")
 def stream_chunks(spark, sf):
-    """Threads are streams that start a minute apart; each message is one delta."""
+    """Threads are streams that start a minute apart, each message is one delta. They carry no end mark: a stream closes by silence, and
+    those still open at the end come from the state store."""
     messages = ST.stream_table(spark, sf, "conversations", table(spark, sf, "conversations").schema)
     deltas = messages.select(
         F.col("conv_id").alias("stream_id"), F.col("turn").alias("seq"), F.timestamp_seconds(F.col("conv_id") * 60 + F.col("turn")).alias("time"),
         F.when(F.col("role") != "assistant", F.col("text")).alias("reasoning"), F.when(F.col("role") == "assistant", F.col("text")).alias("content"),
     )
-    return ST.write_available(T.stream_chunks(deltas), "chunks").drop("session")
+    closed, state = ST.run_available(T.stream_chunks(deltas), "chunks")
+    return closed.unionByName(T.open_chunks(spark, state))
 
 
 @query("stream_experiment_log", LOG_SQL + """

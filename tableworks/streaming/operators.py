@@ -1,12 +1,13 @@
 """Operators over unbounded message streams.
 
-All state is kept in built-in aggregates, which combine rows before the shuffle, so one hot
-thread or stream is no more than one small row per task.
+Threads and streams of deltas keep their rows in keyed state (``keyed``); the experiment log keeps one aggregate per metric.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from datetime import timedelta
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fixed_values import LOWER_IS_BETTER
@@ -14,6 +15,7 @@ from ..functions.json import is_json
 from ..operators import safety as S
 from ..operators.ordering import BUCKET_WIDTH
 from ..sources.tables import EXPERIMENT_SCHEMA
+from .keyed import CHUNK_OUT, THREAD_OUT, ChunkState, ThreadState, chunks_of, open_rows, threads_of
 
 WATERMARK = "10 minutes"
 
@@ -24,43 +26,68 @@ def stream_guard(sdf: DataFrame, *, input_raw: str, output_raw: str, response: s
     return S.guard_flow(parsed, response=response, error=error)
 
 
+def _micros(time: str) -> Column:
+    return F.unix_micros(F.col(time)).alias("time")
+
+
+def _instants(rows: DataFrame) -> DataFrame:
+    """Times kept in microseconds as time stamps."""
+    told = F.transform("history", lambda m: F.struct(F.timestamp_micros(m["time"]).alias("time"), m["role"].alias("role"), m["text"].alias("text")))
+    return rows.withColumns({"first_time": F.timestamp_micros("first_time"), "last_time": F.timestamp_micros("last_time"), "history": told})
+
+
 def stream_threads(
-    sdf: DataFrame, *, thread: str, time: str, role: str, text: str, ttl: str = "1 day", watermark: str = WATERMARK, ai: str = "assistant"
+    sdf: DataFrame, *, thread: str, time: str, role: str, text: str, ttl: timedelta = timedelta(days=1), watermark: str = WATERMARK,
+    ai: str = "assistant", width: int = BUCKET_WIDTH,
 ) -> DataFrame:
-    """Thread state per period of ``ttl``: messages, first and last time, last text, last model text.
+    """Threads with their history, put out and forgotten when ``ttl`` has passed since their last use.
+
+    Gives (thread, segment, n_messages, first_time, last_time, response, history). ``response`` is the last non-empty model text, else
+    the last text. ``history`` has the messages in order (time, role, text); a thread of more than ``width`` messages has several
+    segments, cut in the order of arrival, and the sums of the whole thread in each. A thread that is used again after it expired starts anew.
+    Messages later than the watermark are dropped and counted in the progress metrics; rows without a thread or a time are left out.
 
-    A period is closed, put out and forgotten when the watermark passes its end. Later messages
-    are dropped and counted in the progress metrics of the query.
+    Needs the RocksDB state store, which ``streaming.tables`` sets for its queries. ``open_threads`` gives the threads that are still open
+    when a query ends.
     """
-    spoken = F.when((F.col(role) == ai) & (F.length(text) > 0), F.col(time))
-    return (
-        sdf.withWatermark(time, watermark)
-        .groupBy(F.window(time, ttl).alias("period"), F.col(thread))
-        .agg(
-            F.count("*").alias("n_messages"),
-            F.min(time).alias("first_time"),
-            F.max(time).alias("last_time"),
-            F.coalesce(F.max_by(text, spoken), F.max_by(text, time), F.lit("")).alias("response"),
-        )
-    )
+    rows = sdf.where(F.col(thread).isNotNull() & F.col(time).isNotNull()).withWatermark(time, watermark)
+    rows = rows.select(F.col(thread).alias("thread"), F.col(time).alias("event_time"), _micros(time), F.col(role).alias("role"), F.col(text).alias("text"))
+    schema = f"thread {sdf.schema[thread].dataType.simpleString()}, {THREAD_OUT}"
+    state = ThreadState(ai, int(ttl.total_seconds() * 1000), width)
+    out = rows.groupBy("thread").transformWithState(state, schema, "append", "eventTime")
+    return _instants(out).withColumnRenamed("thread", thread)
+
+
+def open_threads(spark: SparkSession, checkpoint: str, *, thread: str, ai: str = "assistant") -> DataFrame:
+    """The threads that a stopped ``stream_threads`` query still holds, in the same columns."""
+    return _instants(threads_of(open_rows(spark, checkpoint, "history", ["thread"]), ai)).withColumnRenamed("thread", thread)
 
 
 def stream_chunks(
-    sdf: DataFrame, *, stream: str = "stream_id", order: str = "seq", time: str = "time", gap: str = "5 minutes", watermark: str = WATERMARK, width: int = BUCKET_WIDTH
+    sdf: DataFrame, *, stream: str = "stream_id", order: str = "seq", time: str = "time", last: str | None = None,
+    timeout: timedelta = timedelta(minutes=30), watermark: str = WATERMARK, width: int = BUCKET_WIDTH,
 ) -> DataFrame:
-    """Deltas to whole texts, put out once when a stream has been silent for ``gap``.
+    """Deltas to whole texts (stream, segment, n_deltas, reasoning, content), put out once.
 
-    ``order`` counts deltas from 0. A stream longer than ``width`` deltas gives several segments.
+    ``order`` counts a stream's deltas from 0, ``last`` names a column that marks the last one. A stream comes in segments of ``width``
+    deltas, each with its own state, so that a hot stream is spread and no state grows without bound. A segment is complete when it is
+    full or when all deltas up to the marked one are there, in whatever order; a pause does not tear it. Without a mark, or
+    if a delta is lost, it comes out after ``timeout`` without a new delta. ``open_chunks`` gives what is open when a query ends.
+    Rows without a stream, order or time are left out.
     """
-    rows = sdf.withWatermark(time, watermark).withColumn("segment", F.expr(f"`{order}` div {width}").cast("long"))
+    rows = sdf.where(F.col(stream).isNotNull() & F.col(order).isNotNull() & F.col(time).isNotNull()).withWatermark(time, watermark)
+    rows = rows.select(
+        F.col(stream).alias("stream"), F.expr(f"`{order}` div {width}").cast("long").alias("segment"), F.col(order).cast("long").alias("seq"), F.col(time).alias("event_time"),
+        _micros(time), "reasoning", "content", (F.coalesce(F.col(last), F.lit(False)) if last else F.lit(False)).alias("last"),
+    )
+    schema = f"stream {sdf.schema[stream].dataType.simpleString()}, {CHUNK_OUT}"
+    state = ChunkState(int(timeout.total_seconds() * 1000), width)
+    return rows.groupBy("stream", "segment").transformWithState(state, schema, "append", "eventTime").withColumnRenamed("stream", stream)
 
-    def joined(col: str):
-        items = F.array_sort(F.collect_list(F.when(F.col(col).isNotNull(), F.struct(F.col(order).alias("o"), F.col(col).alias("t")))))
-        return F.array_join(F.transform(items, lambda x: x["t"]), "").alias(col)
 
-    return rows.groupBy(F.session_window(time, gap).alias("session"), F.col(stream), F.col("segment")).agg(
-        F.count("*").alias("n_deltas"), joined("reasoning"), joined("content")
-    )
+def open_chunks(spark: SparkSession, checkpoint: str, *, stream: str = "stream_id") -> DataFrame:
+    """The segments that a stopped ``stream_chunks`` query still holds, in the same columns."""
+    return chunks_of(open_rows(spark, checkpoint, "deltas", ["stream", "segment"])).withColumnRenamed("stream", stream)
 
 
 def stream_experiment_log(lines: DataFrame, *, schema: str = EXPERIMENT_SCHEMA, value: str = "value") -> DataFrame:

@@ -1,5 +1,6 @@
 import datetime as dt
 import os
+import random
 import time
 
 from tableworks.streaming import operators as T
@@ -21,28 +22,83 @@ def in_files(spark, folder, schema, *batches):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(folder)
 
 
-def test_thread_state_over_batches_and_late_rows(spark, tmp_path):
-    schema = "thread STRING, time TIMESTAMP, role STRING, text STRING"
+MESSAGES = "thread STRING, time TIMESTAMP, role STRING, text STRING"
+DAYS = dt.timedelta(days=1)
+
+
+def threads(spark, folder, *batches, **options):
+    names = dict(thread="thread", time="time", role="role", text="text")
+    closed, state = ST.run_available(T.stream_threads(in_files(spark, folder, MESSAGES, *batches), **names, **options), "t")
+    return closed, T.open_threads(spark, state, thread="thread")
+
+
+def told(df):
+    return {(r.thread, r.first_time, r.segment): (r.n_messages, r.last_time, r.response, [(m.time, m.role, m.text) for m in r.history]) for r in df.collect()}
+
+
+def test_threads_expire_after_their_last_use_and_late_rows_are_dropped(spark, tmp_path):
+    a = [("a", at(1), "user", "q1"), ("a", at(2), "assistant", "r1"), ("a", at(20), "user", "q2"), ("a", at(40), "assistant", "r2")]
+    closed, left = threads(
+        spark, str(tmp_path / "in"),
+        a[:2][::-1],  # the second message comes first in its file
+        [a[2], ("b", at(20), "user", "other")],
+        [a[3], ("b", at(41), "user", None)],  # a: 20 hours of silence do not end it
+        [("c", at(80), "user", "far")],  # moves the watermark past everybody's expiry
+        [("a", at(3), "user", "too late"), ("a", at(90), "user", "anew")],
+    )
+    assert told(closed) == {
+        ("a", at(1), 0): (4, at(40), "r2", [m[1:] for m in a]), ("b", at(20), 0): (2, at(41), "other", [(at(20), "user", "other"), (at(41), "user", None)]),
+    }
+    assert told(left) == {("c", at(80), 0): (1, at(80), "far", [(at(80), "user", "far")]), ("a", at(90), 0): (1, at(90), "anew", [(at(90), "user", "anew")])}
+
+
+def test_any_cut_into_batches_gives_the_threads_of_one_batch(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(f"t{rng.randint(0, 5)}", at(i / 6), rng.choice(["user", "assistant"]), rng.choice([None, "", f"m{i}"])) for i in range(90)]
+    once = threads(spark, str(tmp_path / "one"), rows)
+    thrice = threads(spark, str(tmp_path / "three"), rows[:40], rows[40:70], rows[70:])
+    whole = [told(x.unionByName(y)) for x, y in (once, thrice)]
+    assert whole[0] == whole[1] and sum(n for n, *_ in whole[0].values()) == 90
+    plain = {}
+    for t, time, role, text in rows:
+        plain.setdefault(t, []).append((time, role, text))
+    assert {t: [m for m in h] for (t, _, _), (*_, h) in whole[0].items()} == plain
+
+
+def test_a_long_thread_comes_in_segments(spark, tmp_path):
+    rows = [("hot", at(i / 60), "user", str(i)) for i in range(25)] + [(None, at(1), "user", "x"), ("y", None, "user", "x")]
+    closed, left = threads(spark, str(tmp_path / "in"), rows[:7], rows[7:], [("z", at(100), "user", "end")], width=10)
+    assert {k[2]: (v[0], len(v[3])) for k, v in told(closed).items()} == {0: (25, 10), 1: (25, 10), 2: (25, 5)}
+    assert [k[0] for k in told(left)] == ["z"]
+
+
+DELTAS = "stream_id STRING, seq BIGINT, time TIMESTAMP, reasoning STRING, content STRING, done BOOLEAN"
+
+
+def delta(stream, seq, minute, done=None):
+    return (stream, seq, at(minute / 60), "r" if seq < 3 else None, None if seq < 3 else str(seq), done)
+
+
+def test_deltas_close_by_mark_by_size_by_silence_or_at_the_end(spark, tmp_path):
+    marked = [delta("m", 2, 0), delta("m", 0, 0), delta("m", 3, 1, True)]
+    paused = [delta("p", 0, 0), delta("p", 1, 7), delta("p", 2, 30)]
+    long = [delta("l", i, i) for i in (2, 0, 1, 3, 5, 4)]
     sdf = in_files(
-        spark, str(tmp_path / "in"), schema,
-        [("a", at(1), "user", "q1"), ("a", at(2), "assistant", "r1")],
-        [("a", at(3), "user", "q2"), ("b", at(30), "user", "other")],  # moves the watermark past the first day
-        [("b", at(31), "user", "more")],  # the day closes after this batch
-        [("a", at(4), "user", "too late"), ("b", at(60), "user", "end")],
+        spark, str(tmp_path / "in"), DELTAS, [*marked, paused[0], *long[:3]], [paused[1], *long[3:], (None, 1, at(0), "x", "x", None)],
+        [delta("m", 1, 8), delta("m", 1, 8)], [paused[2], delta("m", 3, 20, True)], [delta("late", 0, 300)],
     )
-    out = ST.write_available(T.stream_threads(sdf, thread="thread", time="time", role="role", text="text"), "t")
-    rows = {(r.thread, r.period.start.day): (r.n_messages, r.response) for r in out.collect()}
-    assert rows == {("a", 1): (3, "r1"), ("b", 2): (2, "more")}
-
-
-def test_deltas_over_batches_in_segments(spark, tmp_path):
-    schema = "stream_id STRING, seq BIGINT, time TIMESTAMP, reasoning STRING, content STRING"
-    minute = 1 / 60
-    first = [("s", i, at(minute * i / 10), "r" if i < 3 else None, None if i < 3 else str(i)) for i in (2, 0, 1)]
-    rest = [("s", i, at(minute * i / 10), None, str(i)) for i in (4, 3, 5)] + [("late", 0, at(5), None, "x")]
-    sdf = in_files(spark, str(tmp_path / "in"), schema, first, rest)
-    rows = ST.write_available(T.stream_chunks(sdf, width=4), "c").collect()
-    assert {(r.stream_id, r.segment, r.n_deltas, r.reasoning, r.content) for r in rows} == {("s", 0, 4, "rrr", "3"), ("s", 1, 2, "", "45")}
+    closed, state = ST.run_available(T.stream_chunks(sdf, width=4, last="done"), "c")
+    rows = {(r.stream_id, r.segment, r.n_deltas, r.reasoning, r.content) for r in closed.collect()}
+    assert closed.count() == len(rows)
+    assert rows == {("m", 0, 4, "rrr", "3"), ("p", 0, 3, "rrr", ""), ("l", 0, 4, "rrr", "3"), ("l", 1, 2, "", "45")}
+    assert [tuple(r) for r in T.open_chunks(spark, state).collect()] == [("late", 0, 1, "r", "")]
+
+
+def test_the_session_keeps_its_state_store(spark):
+    before = spark.conf.get(ST.PROVIDER, None)
+    with ST.state_store(spark):
+        assert "RocksDB" in spark.conf.get(ST.PROVIDER)
+    assert spark.conf.get(ST.PROVIDER, None) == before
 
 
 def test_guard_stream_equals_the_batch(spark, tmp_path):
