@@ -73,3 +73,11 @@ LOWER_IS_BETTER = ["rmse", "mae", "mse", "loss"]
 SPLIT_SEPARATORS = ["\n\n", "\n", " ", ""]
 CHUNK_SIZE = 800
 CHUNK_OVERLAP = 120
+
+# Frequent short words of the languages of the quality rules (English, German, French, Spanish).
+STOP_WORDS = [
+    "a", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "that", "the", "this", "to", "was", "with",
+    "als", "auf", "das", "dem", "den", "der", "die", "ein", "eine", "für", "im", "ist", "mit", "nicht", "und", "von", "zu",
+    "au", "avec", "dans", "des", "du", "est", "et", "la", "le", "les", "par", "pas", "pour", "que", "qui", "sur", "un", "une",
+    "con", "de", "del", "el", "en", "las", "lo", "los", "no", "para", "por", "se", "su", "y",
+]

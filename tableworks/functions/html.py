@@ -6,6 +6,8 @@ from html import escape
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed_values import ALLOWED_ATTRS, ALLOWED_TAGS
@@ -46,19 +48,37 @@ class _Cleaner(HTMLParser):
         return "".join(self.out)
 
 
+def _cleaning(tags: list[str], attrs: dict[str, list[str]]):
+    tag_set, attr_sets = set(tags), {k: set(v) for k, v in attrs.items()}
+
+    def one(page: str | None) -> str | None:
+        if page is None:
+            return None
+        cleaner = _Cleaner(tag_set, attr_sets)
+        cleaner.feed(page)
+        return cleaner.result()
+
+    return one
+
+
 def cleaned_html(tags: list[str] = ALLOWED_TAGS, attrs: dict[str, list[str]] = ALLOWED_ATTRS):
     """Column function that drops tags and attributes off the lists and keeps all text."""
-    tag_set, attr_sets = set(tags), {k: set(v) for k, v in attrs.items()}
+    one = _cleaning(tags, attrs)
 
     @F.pandas_udf("string")
     def run(pages: pd.Series) -> pd.Series:
-        def one(page: str | None) -> str | None:
-            if page is None:
-                return None
-            cleaner = _Cleaner(tag_set, attr_sets)
-            cleaner.feed(page)
-            return cleaner.result()
-
         return pages.map(one)
 
     return run
+
+
+def cleaned_rows(df: DataFrame, col: str, tags: list[str] = ALLOWED_TAGS, attrs: dict[str, list[str]] = ALLOWED_ATTRS) -> DataFrame:
+    """``df`` with a cleaned column, for columns made by expressions that cannot be the argument of a column function."""
+    one = _cleaning(tags, attrs)
+
+    def run(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index(col)
+            yield batch.set_column(at, col, pa.array([one(x) for x in batch.column(at).to_pylist()], pa.string()))
+
+    return df.mapInArrow(run, df.schema)

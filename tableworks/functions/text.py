@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,3 +48,19 @@ def looks_base64(col: Column) -> Column:
 def decoded_base64(col: Column) -> Column:
     """Bytes, or null where the text is empty or cannot be decoded."""
     return F.when(F.length(col) > 0, F.try_to_binary(col, F.lit("base64")))
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def each_match(text: Column, pattern: str, change: Callable[[Column], Column]) -> Column:
+    """The text with every match of ``pattern`` changed."""
+
+    def changed(t: Column) -> Column:
+        between, hits = F.split(t, pattern, -1), F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), change)
+        joined = F.array_join(F.zip_with(between, hits, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+        return F.when(F.regexp_like(t, F.lit(pattern)), joined).otherwise(t)
+
+    return bound(text, changed)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..fixed_values import ALLOWED_ATTRS, ALLOWED_TAGS
 from ..functions import layout as Y
-from ..functions.html import cleaned_html
+from ..functions import markdown as M
+from ..functions.html import cleaned_html, cleaned_rows
 from ..functions.text import strip
 from .guards import posexploded
 from .ordering import BUCKET_WIDTH, join_segments, last_value_before
@@ -106,6 +107,15 @@ def page_markdown(blocks: DataFrame, *, page: list[str], order: str = "id", type
     return out.withColumn("markdown", trimmed).drop("segment_is_last")
 
 
+def page_html(pages: DataFrame, *, col: str = "markdown", out: str = "html") -> DataFrame:
+    """Adds the HTML of a Markdown column, with only the tags and attributes that survive cleaning. A null text stays null.
+
+    Each segment of a long page is rendered by itself; segments joined by a line break are the page, where a list that crosses
+    the border of two segments comes as two lists.
+    """
+    return cleaned_rows(pages.withColumn(out, M.to_html(F.col(col))), out)
+
+
 def sanitize_html(df: DataFrame, *, col: str, tags: list[str] = ALLOWED_TAGS, attrs: dict[str, list[str]] = ALLOWED_ATTRS) -> DataFrame:
     """Tags and attributes off the lists are dropped, all text stays."""
     return df.withColumn(col, cleaned_html(tags, attrs)(F.col(col)))

@@ -221,14 +221,47 @@ def page_block_stats(spark, sf):
     return L.page_block_stats(page_blocks(spark, sf), by=["doc_id", "page"])
 
 
-@query("export_pages", MARKDOWN_SQL)
+HTML_SQL = PAGE_SQL + r""",
+around AS (SELECT *, type = 'List-item' AS li, type NOT IN ('List-item', 'Table', 'Formula', 'Title', 'Section-header', 'Caption', 'Footnote') AS plain,
+                  lag(type) OVER w AS before, lead(type) OVER w AS after, lead(replace(t, '&', '&amp;')) OVER w AS next_t, replace(t, '&', '&amp;') AS e,
+                  replace(text, '&', '&amp;') AS et FROM opened WINDOW w AS (PARTITION BY doc_id ORDER BY id)),
+shown_html AS (SELECT doc_id, id, CASE type
+    WHEN 'Title' THEN '<h1>' || e || '</h1>'
+    WHEN 'Section-header' THEN '<h2>' || e || '</h2>'
+    WHEN 'Caption' THEN '<blockquote>' || chr(10) || '<p>Caption: ' || e || '</p>' || chr(10) || '</blockquote>'
+    WHEN 'Footnote' THEN '<p>[Footnote] ' || e || '</p>'
+    WHEN 'Formula' THEN '<pre><code>$$ ' || et || ' $$</code></pre>'
+    WHEN 'List-item' THEN CASE WHEN before IS NOT DISTINCT FROM 'List-item' THEN '' ELSE '<ul>' || chr(10) END || '<li>' || e
+      || CASE WHEN after NOT IN ('List-item', 'Table', 'Formula', 'Title', 'Section-header', 'Caption', 'Footnote') THEN chr(10) || next_t ELSE '' END || '</li>'
+      || CASE WHEN after IS NOT DISTINCT FROM 'List-item' THEN '' ELSE chr(10) || '</ul>' END
+    WHEN 'Table' THEN CASE WHEN regexp_matches(text, '^\\begin\{tabular\}\{l\}\s*\\end\{tabular\}$') THEN '<pre><code>' || et || '</code></pre>'
+      ELSE '<table border="1" class="dataframe">' || chr(10) || '  <tr>' || chr(10) || '    <th>' || regexp_replace(text[19:length(text) - 13], '^\s+|\s+$', '', 'g') || '</th>' || chr(10) || '  </tr>' || chr(10) || '</table>' END
+    ELSE '<p>' || e || '</p>' END AS piece FROM around WHERE NOT (plain AND before IS NOT DISTINCT FROM 'List-item'))
+SELECT doc_id, 1::INTEGER AS page, 0::BIGINT AS segment, string_agg(piece, chr(10) ORDER BY id) AS html FROM shown_html GROUP BY doc_id"""
+
+
+def html_pages(spark, sf):
+    return L.page_html(L.page_markdown(page_blocks(spark, sf), page=["doc_id", "page"])).drop("markdown")
+
+
+@query("page_html", HTML_SQL)
+def page_html(spark, sf):
+    """Every document as a page of clean HTML."""
+    return html_pages(spark, sf)
+
+
+@query("export_pages", HTML_SQL)
 def export_pages(spark, sf):
-    pages = L.page_markdown(page_blocks(spark, sf), page=["doc_id", "page"])
+    pages = html_pages(spark, sf)
     path = scratch_path(spark, "pages")
-    S.export_pages(pages, path, by="doc_id")
+    S.export_pages(pages, path, by=["doc_id", "page", "segment"])
     return spark.read.schema(pages.schema).parquet(path)
 
 
-@query("sanitize_html")
+@query("sanitize_html", r"""
+WITH a AS (SELECT page_id, regexp_replace(html, '<script>var t="</p>";track\((\d+)\);</script>', 'var t="&lt;/p&gt;";track(\1);') AS h FROM pages),
+b AS (SELECT page_id, regexp_replace(regexp_replace(h, '<!(?:--.*?--|DOCTYPE html)>', '', 'g'), '</?(?:html|head|meta|title|style|body|nav|a|div|article|footer|b)(?: [^>]*)?>', '', 'g') AS h FROM a),
+c AS (SELECT page_id, replace(replace(replace(h, '&quot;', '"'), '&copy;', '©'), '&middot;', '·') AS h FROM b)
+SELECT page_id, h || repeat('</p>', ((length(h) - length(replace(h, '<p>', ''))) / 3 - (length(h) - length(replace(h, '</p>', ''))) / 4)::INTEGER) AS html FROM c""")
 def sanitize_html(spark, sf):
     return L.sanitize_html(table(spark, sf, "pages").select("page_id", "html"), col="html")

@@ -65,7 +65,7 @@ def stream_chunks(spark, sf):
     those still open at the end come from the state store."""
     messages = ST.stream_table(spark, sf, "conversations", table(spark, sf, "conversations").schema)
     deltas = messages.select(
-        F.col("conv_id").alias("stream_id"), F.col("turn").alias("seq"), F.timestamp_seconds(F.col("conv_id") * 60 + F.col("turn")).alias("time"),
+        F.col("conv_id").alias("stream_id"), F.col("turn").alias("seq"), F.timestamp_seconds(86400 + F.col("conv_id") * 60 + F.col("turn")).alias("time"),
         F.when(F.col("role") != "assistant", F.col("text")).alias("reasoning"), F.when(F.col("role") == "assistant", F.col("text")).alias("content"),
     )
     closed, state = ST.run_available(T.stream_chunks(deltas), "chunks")

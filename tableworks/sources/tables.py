@@ -81,9 +81,10 @@ def export_records_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
-def export_pages(df: DataFrame, path: str, *, by: str) -> None:
-    """Page artefacts as a Parquet table laid out by document range, not a file per page."""
-    df.repartitionByRange(F.col(by)).write.mode("overwrite").parquet(path)
+def export_pages(df: DataFrame, path: str, *, by: list[str]) -> None:
+    """Page artefacts as a Parquet table laid out in ranges of ``by`` (document, page, segment), not a file per page. A document with
+    very many pages is spread over several files."""
+    df.repartitionByRange(*by).sortWithinPartitions(*by).write.mode("overwrite").parquet(path)
 
 
 def read_binary_images(spark: SparkSession, path: str, *, column: str = "image") -> DataFrame:

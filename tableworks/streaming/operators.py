@@ -73,7 +73,7 @@ def stream_chunks(
     deltas, each with its own state, so that a hot stream is spread and no state grows without bound. A segment is complete when it is
     full or when all deltas up to the marked one are there, in whatever order; a pause does not tear it. Without a mark, or
     if a delta is lost, it comes out after ``timeout`` without a new delta. ``open_chunks`` gives what is open when a query ends.
-    Rows without a stream, order or time are left out.
+    Rows without a stream, order or time are left out; a watermark starts at 1970, so times before that are late.
     """
     rows = sdf.where(F.col(stream).isNotNull() & F.col(order).isNotNull() & F.col(time).isNotNull()).withWatermark(time, watermark)
     rows = rows.select(
