@@ -15,9 +15,9 @@ from .graph import components
 #: Members compared with one centre in one task.
 MEMBERS = 256
 #: A family of bucket mates up to this size, in items and words, is compared in one task; larger ones are cut.
-FAMILY, FAMILY_WORDS = 2_048, 3_000_000
+FAMILY, FAMILY_WORDS = 512, 3_000_000
 #: Items of each side, and their words, that are compared in one task where a family is cut.
-BLOCK, BLOCK_WORDS = 1_024, 1_500_000
+BLOCK, BLOCK_WORDS = 512, 1_500_000
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], weighted: bool) -> float:
