@@ -17,11 +17,15 @@ from .registry import query
 UNDETERMINED = "und"
 #: Longest piece in bytes; a character without a piece has this probability in every language.
 LONGEST, UNKNOWN = 12, 1e-7
-#: Words longer than this (bytes) are summed with rescaling, one by one.
-LONG_WORD = 96
+#: Words longer than this (bytes), and those whose probability comes near the smallest number, are summed in logarithms, one by one.
+LONG_WORD, TINY = 96, 1e-250
+#: Longer runs of letters are learned from in pieces of so many letters, as scripts without blanks have them.
+RUN = 24
 #: At most about so many documents are learned from, chosen by a hash of their text.
 TRAIN_DOCUMENTS = 20_000
-ROUNDS, ALPHA, CACHE = 2, 0.05, 500_000
+ROUNDS, ALPHA = 2, 0.05
+#: Words a worker keeps, and their letters in all.
+CACHE, CACHE_LETTERS = 500_000, 1 << 23
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -137,7 +141,11 @@ class Lattice:
                 some = [items[i] for i in part]
                 edges = self.edges(some)
                 alpha = self.forward(edges, probs)
-                out[part] = np.log(alpha[np.arange(len(some)), edges[4]])
+                found = alpha[np.arange(len(some)), edges[4]]
+                tiny = (found < TINY).any(axis=1)
+                out[part] = np.log(np.where(tiny[:, None], 1.0, found))
+                for k in np.flatnonzero(tiny).tolist():
+                    out[part[k]] = self._long(some[k], probs)
         for i, w in enumerate(items):
             if len(w) > LONG_WORD:
                 out[i] = self._long(w, probs)
@@ -158,10 +166,10 @@ class Model:
 
     def __init__(self, langs: list[str], pieces: list[bytes], probs: np.ndarray):
         self.langs, self.pieces, self.probs = langs, pieces, probs
-        self.lattice, self.index, self.rows, self.used = None, {}, None, 0
+        self.lattice, self.index, self.rows, self.used, self.letters = None, {}, None, 0, 0
 
     def __getstate__(self):
-        return {"langs": self.langs, "pieces": self.pieces, "probs": self.probs, "lattice": None, "index": {}, "rows": None, "used": 0}
+        return {"langs": self.langs, "pieces": self.pieces, "probs": self.probs, "lattice": None, "index": {}, "rows": None, "used": 0, "letters": 0}
 
     def scores(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Log likelihood of whole texts by language, and their numbers of words."""
@@ -170,9 +178,10 @@ class Model:
             self.rows = np.zeros((1024, len(self.langs)))
         lists = [words(t) if t else [] for t in texts]
         fresh = list(dict.fromkeys(w for x in lists for w in x if w not in self.index))
-        if self.index and len(self.index) + len(fresh) > CACHE:
-            self.index, self.used = {}, 0
+        if self.index and (len(self.index) + len(fresh) > CACHE or self.letters > CACHE_LETTERS):
+            self.index, self.used, self.letters = {}, 0, 0
             fresh = list(dict.fromkeys(w for x in lists for w in x))
+        self.letters += sum(map(len, fresh))
         if fresh:
             found = self.lattice.log_probability([b" " + w.encode() for w in fresh], self.probs)
             need = self.used + len(fresh)
@@ -194,7 +203,7 @@ def fit(documents: DataFrame, path: str = MODEL, bound: int = TRAIN_DOCUMENTS, r
     """Learn piece probabilities of each language from (text, lang) by expectation-maximisation over all segmentations.
 
     Starts from equal probabilities. Learns from about ``bound`` documents at most, chosen by a hash of the text; rows with a null
-    lang, a null text or no letter teach nothing. Words are counted by language in Spark; each round sums expected piece counts in
+    lang, a null text or no letter teach nothing. Runs of more than RUN letters teach in parts of that size. Words are counted by language in Spark; each round sums expected piece counts in
     tasks and gathers pieces x languages numbers, which the vocabulary bounds. The languages are the distinct langs learned from.
     """
     spark = documents.sparkSession
@@ -225,13 +234,15 @@ def fit(documents: DataFrame, path: str = MODEL, bound: int = TRAIN_DOCUMENTS, r
             for frame in frames:
                 for lang, part in frame.groupby("lang"):
                     a = langs.index(lang)
-                    part = part[part["word"].str.len() <= LONG_WORD // 4]
-                    for lo in range(0, len(part), 2_500):
-                        items = [b" " + w.encode() for w in part["word"].iloc[lo : lo + 2_500]]
+                    runs = [
+                        (((" " if k == 0 else "") + w[k : k + RUN]).encode(), n) for w, n in zip(part["word"], part["n"]) for k in range(0, len(w), RUN)
+                    ]
+                    for lo in range(0, len(runs), 2_500):
+                        items = [r for r, _ in runs[lo : lo + 2_500]]
                         own, edges = probs[:, a : a + 1], lattice.edges(items)
                         alpha, beta = lattice.forward(edges, own)[:, :, 0], lattice.backward(edges, own)[:, :, 0]
                         word, start, end, piece, sizes = edges
-                        weight = part["n"].to_numpy()[lo : lo + 2_500] / alpha[np.arange(len(items)), sizes]
+                        weight = np.array([n for _, n in runs[lo : lo + 2_500]], float) / alpha[np.arange(len(items)), sizes]
                         use = alpha[word, start] * own[piece, 0] * beta[word, end] * weight[word]
                         sums[a] += np.bincount(np.where(piece < 0, len(pieces), piece), use, len(pieces) + 1)
             a, i = np.nonzero(sums)

@@ -18,8 +18,8 @@ MARKER = "▁"
 #: So far below the lowest score of a piece is that of a byte, used where no piece covers a character.
 UNKNOWN = 10.0
 #: Segments whose best path a worker keeps, twice: a full table becomes the older one, from which segments still in use move on.
-#: Bounds memory, not results.
-CACHE = 120_000
+#: Only segments of up to LONG characters are kept. Bounds memory, not results.
+CACHE, LONG = 120_000, 64
 
 
 class DoubleArray:
@@ -163,10 +163,14 @@ class Pieces:
             self.older, self.cache = self.cache, {}
         cache, older = self.cache, self.older
         parts = self.segment.findall(" " + text)
+        long: dict[str, bytes] = {}
         for part in [p for p in parts if p not in cache]:
-            if part not in cache:
+            if len(part) > LONG:
+                if part not in long:
+                    long[part] = self.best(part)
+            elif part not in cache:
                 cache[part] = older[part] if part in older else self.best(part)
-        return np.frombuffer(b"".join([cache[p] for p in parts]), np.int32)
+        return np.frombuffer(b"".join([cache[p] if p in cache else long[p] for p in parts]), np.int32)
 
     def decode(self, ids) -> str:
         """Text of ids: bytes of all pieces joined, markers as blanks, without the one blank put before the text."""

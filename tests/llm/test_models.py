@@ -294,3 +294,43 @@ def test_probabilities_are_clipped_and_the_rest_rescaled():
     assert got["c",] == 1.0 and abs(got["b",] / got["a",] - 2) < 1e-9 and abs(sum(p * tokens[k] for k, p in got.items()) - 500) < 1e-9
     assert mixing.clipped({("a",): 0.5, ("c",): 80.0}, tokens, 1.0) == {("a",): 1.0, ("c",): 1.0}
     assert mixing.clipped({}, tokens, 1.0) == {}
+
+
+def test_long_runs_of_letters_are_scored_and_learned(spark):
+    """Words whose probability underflows, and languages without blanks."""
+    thai, khmer = "กขคงจฉชซฌญฎฏฐฑฒณดตถทธนบปผฝพฟภมยรลวศษสหฬอฮ", "កខគឃងចឆជឈញដឋឌឍណតថទធនបផពភមយរលវឝឞសហឡអ"
+    import random
+
+    rng = random.Random(5)
+    rows = [("en", " ".join(rng.choice(["the", "of", "and", "house", "stone"]) for _ in range(30))) for _ in range(20)]
+    rows += [("xx", "".join(rng.choice("qxzjk") for _ in range(400))) for _ in range(20)]
+    model = langid.fit(spark.createDataFrame(rows, "lang string, text string"))
+    x = model.probs[:, model.langs.index("xx")]
+    letters = [i for i, p in enumerate(model.pieces) if p in (b"q", b"x", b"z", b"j", b"k")]
+    assert x[letters].sum() > 0.3  # without the long runs nothing but the smallest share would be learned
+    docs = [thai[:23] * 2, thai * 3, khmer[:24], "ß" * 47, "qxzjk" * 60, "x" * 5000, "the stone of " + thai * 4, "é" * 40 + " the house and the stone"]
+    got = langid.predict(spark.createDataFrame([(t,) for t in docs], "text string"), model).collect()
+    assert all(0.0 <= r.score <= 1.0 for r in got)  # NaN fails
+    assert got[4].lang_pred == got[5].lang_pred == "xx" and got[6].lang_pred == got[7].lang_pred == "en"
+
+
+def test_sums_near_the_smallest_number_go_on_in_logarithms():
+    lattice = langid.Lattice([b" ", b"a"])
+    probs = np.array([[0.5, 0.25], [0.5, 0.75], [langid.UNKNOWN] * 2])
+    items = [" " .encode() + "ж".encode() * n for n in (1, 30, 34, 35, 36, 44, 47)]
+    want = np.array([[np.log(0.5) + n * np.log(1e-7), np.log(0.25) + n * np.log(1e-7)] for n in (1, 30, 34, 35, 36, 44, 47)])
+    assert lattice.log_probability(items, probs) == pytest.approx(want)
+
+
+def test_kept_words_and_segments_are_bounded_in_size(monkeypatch):
+    model = langid.Model(["a", "b"], [b" ", b"x", b"y"], np.array([[0.4, 0.2], [0.3, 0.4], [0.3, 0.4], [1e-7, 1e-7]]))
+    plain = langid.Model(model.langs, model.pieces, model.probs)
+    monkeypatch.setattr(langid, "CACHE_LETTERS", 50)
+    texts = [f"{'x' * (i % 7 + 1)} {'y' * (i % 11 + 1)} xy" for i in range(200)]
+    scores = np.concatenate([model.scores(texts[i : i + 10])[0] for i in range(0, 200, 10)])
+    assert scores == pytest.approx(plain.scores(texts)[0]) and model.letters < 50 + 10 * 20
+    own = pieces.Pieces()
+    whole = "word" * 3_000 + " and " + "ab" * 4_000
+    ids = own.encode(whole)
+    assert own.decode(ids.tolist()) == whole and max(map(len, own.cache)) <= pieces.LONG
+    assert (own.encode(whole) == ids).all()
