@@ -15,9 +15,9 @@ from .graph import components
 #: Members compared with one centre in one task.
 MEMBERS = 256
 #: A family of bucket mates up to this size, in items and words, is compared in one task; larger ones are cut.
-FAMILY, FAMILY_WORDS = 512, 3_000_000
+FAMILY, FAMILY_WORDS = 3_072, 3_000_000
 #: Items of each side, and their words, that are compared in one task where a family is cut.
-BLOCK, BLOCK_WORDS = 512, 1_500_000
+BLOCK, BLOCK_WORDS = 1_024, 1_500_000
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], weighted: bool) -> float:
@@ -114,12 +114,17 @@ def _forest(left_ids: list[int], left: list, right_ids: list[int], right: list,
     ids = np.unique(np.array([*left_ids, *right_ids], np.int64))
     label = np.arange(len(ids))
     of_left, of_right = np.searchsorted(ids, left_ids), np.searchsorted(ids, right_ids)
-    bound = _bounds(left, right, weighted) >= threshold - 1e-5
+    value = _bounds(left, right, weighted)
+    bound = value >= threshold - 1e-5
+    # Where all weights are one the bound is the similarity; it is worked out again only next to the threshold.
+    even_left, even_right = (np.array([not weighted or bool((x[1] == 1).all()) for x in side]) for side in (left, right))
+    sure = (value >= threshold + 1e-5) & even_left[:, None] & even_right
+    del value
     found = []
     for i in range(len(left)):
         for j in np.flatnonzero(bound[i] & (label[of_right] != label[of_left[i]])).tolist():
             a, b = label[of_left[i]], label[of_right[j]]
-            if a != b and similarity(left[i], right[j], weighted) >= threshold:
+            if a != b and (sure[i, j] or similarity(left[i], right[j], weighted) >= threshold):
                 label[label == b] = a
                 found.append((left_ids[i], right_ids[j]))
     return found
