@@ -44,6 +44,11 @@ def short_batches(spark: SparkSession):
             spark.conf.set(BATCH_KEY, before)
 
 
+def shorten_batches(spark: SparkSession) -> None:
+    """The same for results that run later, when the caller asks for them: the session keeps the setting."""
+    spark.conf.set(BATCH_KEY, str(BATCH_ROWS))
+
+
 def release() -> None:
     """Give freed memory back to the system."""
     pa.default_memory_pool().release_unused()

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, read, stored
+from .common import mix, read, shorten_batches, stored
 from .pieces import MARKER, MODEL
 from .registry import query
 
@@ -207,6 +207,7 @@ def fit(documents: DataFrame, path: str = MODEL, bound: int = TRAIN_DOCUMENTS, r
     tasks and gathers pieces x languages numbers, which the vocabulary bounds. The languages are the distinct langs learned from.
     """
     spark = documents.sparkSession
+    shorten_batches(spark)
     rows = documents.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang")
     total = rows.count()
     if total > bound:

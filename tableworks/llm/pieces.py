@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import read, released
+from .common import read, released, shorten_batches
 from .registry import query
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -185,6 +185,7 @@ def encode(documents: DataFrame, path: str = MODEL, scores: str = "zipf") -> Dat
     the text again. A null text has null ids and decoded_same and zero counts; an empty text has no ids. Rows are kept as they are,
     repeated ones too; further columns are ignored. Nothing is shuffled; the vocabulary (fixed size) is broadcast once.
     """
+    shorten_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(Pieces(path, scores))
 
     def run(batches):

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, read
+from .common import pick, read, shorten_batches
 from .registry import query
 
 #: At most so many labelled rows are fitted on, the first by a hash of their id. The fit holds rows x features small numbers.
@@ -161,6 +161,7 @@ def fit(documents: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) -> Gam:
     that are null, other than 0 or 1, or contradict each other for one doc_id are left out; repeated rows count once. With no
     label, or only one kind, the score is one constant.
     """
+    shorten_batches(documents.sparkSession)
     clean = (
         labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id")
         .agg(F.min("quality").alias("y"), F.max("quality").alias("z")).where("y = z").select("doc_id", "y")
@@ -193,6 +194,7 @@ def scorer(model: Gam, text: Column) -> Column:
 def classify(documents: DataFrame, model: Gam, threshold: float = THRESHOLD) -> DataFrame:
     """(row, score, predicted): every row with its whole input as ``row``, the score and 1 where it reaches the threshold.
     Empty and null texts are scored like any other; repeated rows stay; nothing is shuffled."""
+    shorten_batches(documents.sparkSession)
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
     scored = rows.withColumn("score", scorer(model, F.col("row.text")))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
