@@ -105,8 +105,14 @@ def _bounds(left: list, right: list, weighted: bool) -> np.ndarray:
             c2 += has[: len(left)] @ heavy[len(left) :].T
     if not weighted:
         c1 = c2 = n
-    total = np.add.outer([x[1].sum() if weighted else len(x[0]) for x in left], [x[1].sum() if weighted else len(x[0]) for x in right])
-    return np.minimum((c1 + c2 - n) / np.maximum(total - c1, 1e-9), (c1 + c2 - n) / np.maximum(total - c2, 1e-9))
+    sizes = [np.array([x[1].sum() if weighted else len(x[0]) for x in side], np.float32) for side in (left, right)]
+    rest = np.add.outer(*sizes)  # float32 throughout: a family's matrices are what a task holds
+    rest -= np.minimum(c1, c2)
+    np.maximum(rest, 1e-9, out=rest)
+    top = c1 + c2
+    top -= n
+    top /= rest
+    return top
 
 
 def _forest(left_ids: list[int], left: list, right_ids: list[int], right: list, threshold: float, weighted: bool) -> list[tuple[int, int]]:
