@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from . import metrics as M
 from .features import TableFeaturizer
 from .guards import require_columns
+from .margin import Problem, Report, fit_margins
 from .sampling import kfold, kfold_stratified
 
 LABEL = "label__"
@@ -74,65 +75,45 @@ def _margin_model(spark: SparkSession, coefficients: np.ndarray, intercept: floa
 
 
 class PenalizedSVC(_PenaltyEstimator):
-    """Linear support vector machine with squared hinge loss; one against the rest for more than
-    two classes.
+    """Linear support vector machine, one against the rest for more than two classes: penalty "l2" or "l1", loss "squared_hinge" or,
+    with l2, "hinge". Solved by ``margin``; the fitted model's ``report`` tells rounds, residual and whether it converged."""
 
-    A Newton step on this loss is a ridge fit over the rows inside the margin, done by Spark's
-    least squares. The step length is picked from one aggregate over all rows.
-    """
+    penalty = Param(Params._dummy(), "penalty", "l1 or l2", TypeConverters.toString)
+    loss = Param(Params._dummy(), "loss", "hinge or squared_hinge", TypeConverters.toString)
+
+    @keyword_only
+    def __init__(self, *, labelCol=LABEL, featuresCol="features", C=1.0, maxIter=100, tol=1e-4, penalty="l2", loss="squared_hinge"):
+        super(_PenaltyEstimator, self).__init__()
+        self._setDefault(labelCol=LABEL, featuresCol="features", C=1.0, maxIter=100, tol=1e-4, penalty="l2", loss="squared_hinge")
+        self._set(**self._input_kwargs)
 
-    STEPS = (1.0, 0.5, 0.25, 0.1, 0.03)
+    def problem(self) -> Problem:
+        penalty, loss = self.getOrDefault(self.penalty), self.getOrDefault(self.loss)
+        if (penalty, loss) not in (("l2", "hinge"), ("l2", "squared_hinge"), ("l1", "squared_hinge")):
+            raise ValueError(f"no solver for penalty {penalty} with loss {loss}")
+        return Problem(self.getOrDefault(self.C), penalty, loss, self.getOrDefault(self.maxIter), self.getOrDefault(self.tol))
 
     def _fit(self, dataset):
+        return self.fit_all(dataset, [self])[0]
+
+    def fit_all(self, dataset, estimators: list[PenalizedSVC]) -> list:
+        """The models of several estimators with this one's columns, from the same passes over the rows."""
         label, features = self.getLabelCol(), self.getFeaturesCol()
-        rows = dataset.select(F.col(features).alias("features"), F.col(label).alias("class")).persist(StorageLevel.MEMORY_AND_DISK)
+        problems = [e.problem() for e in estimators]
+        rows = dataset.select(F.col(features).alias("features"), F.col(label).cast("double").alias("class")).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             classes = int(rows.agg(F.max("class")).first()[0]) + 1
-            if classes <= 2:
-                return self._binary(rows.withColumn("y", F.col("class") * 2 - 1)).setFeaturesCol(features)
-            signs = [rows.withColumn("y", F.when(F.col("class") == c, 1.0).otherwise(-1.0)) for c in range(classes)]
-            with ThreadPoolExecutor(4) as pool:
-                models = [m.setFeaturesCol(features) for m in pool.map(self._binary, signs)]
-            return OneVsRestModel(models=models).setFeaturesCol(features)
+            wanted = [1] if classes <= 2 else list(range(classes))
+            solved = fit_margins(rows, wanted, len(rows.select("features").first()["features"]), problems)
         finally:
             rows.unpersist()
-
-    def _binary(self, rows: DataFrame) -> LinearSVCModel:
-        spark, C, tol = rows.sparkSession, self.getOrDefault(self.C), self.getOrDefault(self.tol)
-        width = len(rows.select("features").first()["features"])
-        beta, bias = np.zeros(width), 0.0
-        margin = vector_to_array("raw0")[1]
-        for _ in range(self.getOrDefault(self.maxIter)):
-            scored = _margin_model(spark, beta, bias, "features", "raw0").transform(rows)
-            active = scored.where(F.col("y") * margin < 1).select("features", "y")
-            n, spread = active.agg(F.count("*"), F.stddev_pop("y")).first()
-            if not n:
-                break
-            ridge = LinearRegression(
-                labelCol="y", regParam=(spread or 0.0) / (2 * C * n), **LEAST_SQUARES,
-            ).fit(active)
-            new_beta, new_bias = ridge.coefficients.toArray(), ridge.intercept
-            both = _margin_model(spark, new_beta, new_bias, "features", "raw1").transform(scored.drop("prediction"))
-            m0, m1, zero = margin, vector_to_array("raw1")[1], F.lit(0.0)
-
-            def loss(t: float):
-                gap = F.greatest(zero, 1 - F.col("y") * ((1 - t) * m0 + t * m1))
-                return F.sum(gap * gap)
-
-            sums = both.agg(*[loss(t).alias(f"t{i}") for i, t in enumerate((0.0, *self.STEPS))]).first()
-
-            def objective(i: int, t: float) -> float:
-                mixed = (1 - t) * beta + t * new_beta
-                return 0.5 * float(mixed @ mixed) + C * sums[i]
-
-            before = objective(0, 0.0)
-            after, step = min((objective(i, t), t) for i, t in enumerate(self.STEPS, 1))
-            if after >= before:
-                break
-            beta, bias = (1 - step) * beta + step * new_beta, (1 - step) * bias + step * new_bias
-            if before - after <= tol * max(1.0, before):
-                break
-        return _margin_model(spark, beta, bias, "features", "rawPrediction")
+        out = []
+        for weights, report in solved:
+            models = [_margin_model(dataset.sparkSession, weights[c][:-1], weights[c][-1], features, "rawPrediction") for c in wanted]
+            model = models[0] if classes <= 2 else OneVsRestModel(models=models).setFeaturesCol(features)
+            model.report = report
+            out.append(model)
+        return out
 
 
 class RidgeRegression(_PenaltyEstimator):
@@ -151,7 +132,8 @@ class LinearSVR(_PenaltyEstimator):
 
     Each hinge is replaced by the parabola that touches it at the current residual, and the
     resulting weighted ridge problem is one Spark least-squares fit. The objective falls in every
-    round; rows never leave the executors.
+    round; rows never leave the executors. The model's ``report`` has the rounds, the last relative fall as its residual, and
+    whether that is within the tolerance; without it the fit ended at its cap on rounds.
     """
 
     def _fit(self, dataset):
@@ -165,8 +147,8 @@ class LinearSVR(_PenaltyEstimator):
             model = LinearRegression(
                 labelCol="y", regParam=(spread or 0.0) / (C * n), **LEAST_SQUARES,
             ).fit(rows)
-            previous = math.inf
-            for _ in range(self.getOrDefault(self.maxIter)):
+            previous, rounds, converged = math.inf, 0, False
+            for rounds in range(1, self.getOrDefault(self.maxIter) + 1):
                 r = F.col("y") - F.col("prediction")
                 over, under = r - eps, -r - eps
                 wide, wide2 = F.greatest(F.abs(over), F.lit(floor)), F.greatest(F.abs(under), F.lit(floor))
@@ -181,11 +163,14 @@ class LinearSVR(_PenaltyEstimator):
                 ).first()
                 coefficients = model.coefficients.toArray()
                 objective = 0.5 * float(coefficients @ coefficients) + C * loss
-                if previous - objective <= self.getOrDefault(self.tol) * max(1.0, abs(objective)):
+                fall = (previous - objective) / max(1.0, abs(objective))
+                if fall <= self.getOrDefault(self.tol):
+                    converged = True
                     break
                 previous = objective
                 deviation = math.sqrt(max(wtt / w - (wt / w) ** 2, 0.0))
                 model = LinearRegression(labelCol="t", weightCol="w", regParam=deviation / w, **LEAST_SQUARES).fit(scored)
+            model.report = Report(rounds, fall, converged)
             return model
         finally:
             rows.unpersist()
@@ -368,7 +353,8 @@ def _log_uniform(rng: random.Random, low: float, high: float) -> float:
 def _search(
     train: DataFrame, *, target: str, task: str, key: str, draw, build, trials: int, k: int, seed: int, parallelism: int
 ) -> SearchResult:
-    """Seeded random search with k-fold validation.
+    """Seeded random search with k-fold validation. A trial's row tells the most rounds, the largest residual and whether all of its
+    fits converged, for the estimators that report them.
 
     Preparation is fitted once per fold, not once per trial, and its output is shared by the
     trials of that fold.
@@ -382,21 +368,28 @@ def _search(
     else:
         labelled = kfold(train, key=key, k=k, seed=seed).withColumn(LABEL, F.col(target).cast("double"))
     labelled = labelled.persist(StorageLevel.MEMORY_AND_DISK)
-    scores = [[] for _ in candidates]
+    scores: list[list[float]] = [[] for _ in candidates]
+    reports: list[list[Report]] = [[] for _ in candidates]
     for fold in range(k):
         fitted = TableFeaturizer(targetCol=target, ignoreCols=[key, "fold", LABEL]).fit(labelled.where(F.col("fold") != fold))
         vectors = fitted.transform(labelled).select("features", LABEL, "fold").persist(StorageLevel.MEMORY_AND_DISK)
         fit_rows, check_rows = vectors.where(F.col("fold") != fold), vectors.where(F.col("fold") == fold)
 
-        def run(params, fit_rows=fit_rows, check_rows=check_rows):
-            scored = _named(build(params)).fit(fit_rows).transform(check_rows)
+        estimators = [_named(build(params)) for params in candidates]
+        # estimators that can be fitted together share their passes over the rows
+        together = estimators[0].fit_all(fit_rows, estimators) if hasattr(estimators[0], "fit_all") else [None] * trials
+
+        def run(estimator, fitted, fit_rows=fit_rows, check_rows=check_rows):
+            fitted = fitted or estimator.fit(fit_rows)
+            scored, report = fitted.transform(check_rows), getattr(fitted, "report", None)
             if task == "classification":
-                return M.classification_metrics(scored, label=LABEL, prediction="prediction").first()["f1_weighted"]
-            return M.regression_metrics(scored, label=LABEL, prediction="prediction").first()["r2"]
+                return M.classification_metrics(scored, label=LABEL, prediction="prediction").first()["f1_weighted"], report
+            return M.regression_metrics(scored, label=LABEL, prediction="prediction").first()["r2"], report
 
         with ThreadPoolExecutor(parallelism) as pool:
-            for i, score in enumerate(pool.map(run, candidates)):
+            for i, (score, report) in enumerate(pool.map(run, estimators, together)):
                 scores[i].append(score)
+                reports[i] += [report] if report else []
         vectors.unpersist()
     labelled.unpersist()
     means = [sum(s) / k for s in scores]
@@ -404,8 +397,11 @@ def _search(
     model = _fit_pipeline(train, target=target, task=task, estimator=build(candidates[best]), ignore=[key])
     scored = holdout_score(model, train, target=target, task=task)
     fitted_metric = {"train_accuracy": scored["accuracy"]} if task == "classification" else {"train_r2": scored["r2"]}
-    rows = [(i, json.dumps(candidates[i], sort_keys=True), float(means[i]), i == best) for i in range(trials)]
-    table = spark.createDataFrame(rows, "trial BIGINT, params STRING, cv_score DOUBLE, best BOOLEAN")
+    rows = []
+    for i, told in enumerate(reports):
+        ended = (max(r.rounds for r in told), max(r.residual for r in told), all(r.converged for r in told)) if told else (None, None, None)
+        rows.append((i, json.dumps(candidates[i], sort_keys=True), float(means[i]), i == best, *ended))
+    table = spark.createDataFrame(rows, "trial BIGINT, params STRING, cv_score DOUBLE, best BOOLEAN, rounds BIGINT, residual DOUBLE, converged BOOLEAN")
     return SearchResult(table, model, candidates[best], means[best], {**fitted_metric, "cv_score": means[best]})
 
 
@@ -426,11 +422,22 @@ search_forest_classifier = _searcher(
     lambda rng: {"n_estimators": rng.randint(50, 100), "max_depth": rng.randint(5, 12)},
     lambda p: RandomForestClassifier(numTrees=p["n_estimators"], maxDepth=p["max_depth"], seed=42),
 )
-# A Newton round reads all rows and far fewer rounds are needed than coordinate updates.
+
+
+def _draw_svc(rng: random.Random) -> dict:
+    """Only combinations that exist: l1 goes with the squared hinge and the primal problem, the plain hinge with the dual one. The solver
+    is the same for both, so ``dual`` does not change a fit."""
+    drawn = {"C": _log_uniform(rng, 0.01, 100), "penalty": rng.choice(["l1", "l2"]), "max_iter": rng.randint(100, 50_000)}
+    if drawn["penalty"] == "l1":
+        return drawn | {"loss": "squared_hinge", "dual": False}
+    loss = rng.choice(["hinge", "squared_hinge"])
+    return drawn | {"loss": loss, "dual": True if loss == "hinge" else rng.choice([True, False])}
+
+
 search_svc = _searcher(
     "classification",
-    lambda rng: {"C": _log_uniform(rng, 0.01, 100), "max_iter": rng.randint(50, 200)},
-    lambda p: PenalizedSVC(C=p["C"], maxIter=p["max_iter"], tol=1e-3),
+    _draw_svc,
+    lambda p: PenalizedSVC(C=p["C"], penalty=p["penalty"], loss=p["loss"], maxIter=p["max_iter"], tol=1e-4),
 )
 search_ridge = _searcher(
     "regression",
@@ -449,5 +456,5 @@ search_forest_regressor = _searcher(
 search_svr = _searcher(
     "regression",
     lambda rng: {"C": _log_uniform(rng, 0.01, 100), "epsilon": _log_uniform(rng, 0.01, 1.0)},
-    lambda p: LinearSVR(C=p["C"], epsilon=p["epsilon"], maxIter=2000, tol=1e-3),
+    lambda p: LinearSVR(C=p["C"], epsilon=p["epsilon"], maxIter=2000, tol=1e-4),
 )

@@ -47,17 +47,14 @@ def read_table_csv(spark, sf):
     return S.read_table(spark, path, schema=customers.schema)
 
 
-@query(
-    "read_text_corpus",
-    "SELECT source, sum(length(text) + 1)::BIGINT AS n_chars FROM documents GROUP BY source",
-)
+@query("read_text_corpus", "SELECT source, length(text) AS n_chars, md5(text) AS text_md5 FROM documents")
 def read_text_corpus(spark, sf):
-    docs = table(spark, sf, "documents")
+    """A file per document, in a folder per source; the writer ends each with a line end."""
     path = scratch_path(spark, "corpus")
-    docs.select("source", "text").write.option("maxRecordsPerFile", 20_000).partitionBy("source").text(path)
-    files = S.read_text_corpus(spark, path)
+    table(spark, sf, "documents").select("source", "text").write.option("maxRecordsPerFile", 1).partitionBy("source").text(path)
+    text = F.regexp_replace("text", r"\n\z", "")
     name = F.regexp_extract("source", "source=([^/]+)/", 1)
-    return files.groupBy(name.alias("source")).agg(F.sum(F.length("text")).alias("n_chars"))
+    return S.read_text_corpus(spark, path).select(name.alias("source"), F.length(text).cast("long").alias("n_chars"), F.md5(text).alias("text_md5"))
 
 
 def experiment_lines(spark, sf) -> DataFrame:

@@ -1,10 +1,14 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from tableworks.operators import experiments as E
 from tableworks.operators import features as X
+from tableworks.operators import margin
 from tableworks.operators import models as L
 from tableworks.operators import sampling as K
 
@@ -130,6 +134,59 @@ def test_svc_is_at_the_minimum_of_its_objective(numbers):
     assert np.abs(gradient).max() < 1e-3 and abs((gap * sign).sum()) < 1e-3
 
 
+@pytest.mark.parametrize("width", [1024, 1])
+def test_svc_with_l1_meets_the_optimality_conditions(numbers, monkeypatch, width):
+    monkeypatch.setattr(margin, "EXACT_WIDTH", width)  # Newton steps, and gradient steps alone
+    rows, x, _, c = scaled(numbers)
+    x = np.concatenate((x, np.random.default_rng(1).normal(size=(400, 3))), axis=1)
+    sign, spark = 2 * c - 1, rows.sparkSession
+    df = spark.createDataFrame([(Vectors.dense(a), float(b)) for a, b in zip(x, c)], ["features", "class"])
+    for C in (0.002, 0.01, 1.0):
+        fitted = L.PenalizedSVC(labelCol="class", C=C, penalty="l1", maxIter=3000, tol=1e-6 if width > 1 else 1e-5).fit(df)
+        w, b = fitted.coefficients.toArray(), fitted.intercept
+        gap = np.maximum(0, 1 - sign * (x @ w + b))
+        slope = -2 * C * (x * (gap * sign)[:, None]).sum(0)
+        assert fitted.report.converged and fitted.report.residual <= 1e-5
+        assert np.abs(np.where(w == 0, np.maximum(np.abs(slope) - 1, 0), slope + np.sign(w))).max() < 1e-2 and abs((gap * sign).sum()) < 1
+        if C < 0.01:
+            assert (w == 0).sum() >= 3
+
+
+def test_svc_with_the_plain_hinge_beats_nearby_coefficients(numbers):
+    rows, x, _, c = scaled(numbers)
+    fitted = L.PenalizedSVC(labelCol="class", C=0.5, loss="hinge", maxIter=500).fit(rows)
+    w, b, sign = fitted.coefficients.toArray(), fitted.intercept, 2 * c - 1
+
+    def objective(w, b):
+        return 0.5 * w @ w + 0.5 * np.maximum(0, 1 - sign * (x @ w + b)).sum()
+
+    best, rng = objective(w, b), np.random.default_rng(0)
+    moved = min(objective(w + rng.normal(size=2) * s, b + rng.normal() * s) for s in (0.1, 0.02, 0.005) for _ in range(300))
+    assert best <= moved * 1.002 and fitted.report.converged
+    with pytest.raises(ValueError, match="no solver"):
+        L.PenalizedSVC(labelCol="class", penalty="l1", loss="hinge").fit(rows)
+
+
+def test_a_fit_that_ends_at_its_cap_says_so(numbers):
+    rows, *_ = scaled(numbers)
+    assert not L.PenalizedSVC(labelCol="class", C=5.0, maxIter=1, tol=1e-9).fit(rows).report.converged
+    assert not L.LinearSVR(C=1.0, epsilon=0.1, maxIter=2, tol=1e-12).fit(rows).report.converged
+
+
+def test_svc_search_draws_the_whole_space(numbers):
+    import json
+
+    rng = random.Random(0)
+    drawn = [L._draw_svc(rng) for _ in range(400)]
+    assert {(d["penalty"], d["loss"], d["dual"]) for d in drawn} == {
+        ("l1", "squared_hinge", False), ("l2", "hinge", True), ("l2", "squared_hinge", True), ("l2", "squared_hinge", False),
+    }
+    assert min(d["max_iter"] for d in drawn) >= 100 and 45_000 < max(d["max_iter"] for d in drawn) <= 50_000
+    found = L.search_svc(numbers.drop("y"), target="f", key="id", trials=4)
+    trials = found.trials.collect()
+    assert all(t.converged and t.residual <= 1e-4 and 1 <= t.rounds <= json.loads(t.params)["max_iter"] for t in trials)
+
+
 def test_svr_beats_nearby_coefficients(numbers):
     rows, x, y, _ = scaled(numbers)
     fitted = L.LinearSVR(C=1.0, epsilon=0.1, maxIter=200, tol=1e-9).fit(rows)
