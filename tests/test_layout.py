@@ -107,3 +107,35 @@ def test_sanitized_html_is_clean_and_stable(spark, sf):
         assert set(re.findall(r"</?([a-z0-9]+)", r.html)) <= set(ALLOWED_TAGS)
     df = spark.createDataFrame([('<td colspan="2" onclick="x">a<b>b</b> &lt;i&gt; <script>s</script><br/><p>open',)], "h STRING")
     assert L.sanitize_html(df, col="h").first().h == '<td colspan="2">ab &lt;i&gt; s<br><p>open</p></td>'
+
+
+PAGES = [
+    ("# T\n## U ##\ntext\nnext line\n\nother", "<h1>T</h1>\n<h2>U</h2>\n<p>text\nnext line</p>\n<p>other</p>"),
+    ("- one\n- two\nlazy\n\nafter", "<ul>\n<li>one</li>\n<li>two\nlazy</li>\n</ul>\n<p>after</p>"),
+    ("1. a\n2) b\n- c", "<ol>\n<li>a</li>\n<li>b</li>\n</ol>\n<ul>\n<li>c</li>\n</ul>"),
+    ("> q *r*\n> s\n\n> t", "<blockquote>\n<p>q <em>r</em></p>\n<p>s</p>\n</blockquote>\n<blockquote>\n<p>t</p>\n</blockquote>"),
+    ("```py\nx < 1 & *y*\n\n# z\n```\nend", "<pre><code>x &lt; 1 &amp; *y*\n\n# z\n</code></pre>\n<p>end</p>"),
+    ("a|b\n-|:-:\n1|**2**\n", "<table><thead><tr><th>a</th><th>b</th></tr></thead><tbody><tr><td>1</td><td><strong>2</strong></td></tr></tbody></table>"),
+    ("<table border=1 onclick=x>\n<tr><td>1</td></tr>\n</table>\n\n<p><small>n</small></p>", '<table border="1">\n<tr><td>1</td></tr>\n</table>\n<p>n</p>'),
+    ("**b** *i* _u_ `c<d*e*` [l](http://x) ![alt](y) a*b 2 * 3 * 4 snake_case_x ***", "<p><strong>b</strong> <em>i</em> <em>u</em> <code>c&lt;d*e*</code> l alt a*b 2 * 3 * 4 snake_case_x ***</p>"),
+    ("<script>no()</script> a < b & c", "<p>no() a &lt; b &amp; c</p>"), ("", ""), ("\n \n", ""), (None, None), ("#no heading\n+1 not an item", "<p>#no heading\n+1 not an item</p>"),
+    ("\x01\x02x\r\ny", "<p>x\ny</p>"),
+]
+
+
+def test_pages_of_hand_made_markdown(spark):
+    df = spark.createDataFrame([(i, m) for i, (m, _) in enumerate(PAGES)], "id INT, markdown STRING")
+    got = {r.id: r.html for r in L.page_html(df).collect()}
+    assert [got[i] for i in range(len(PAGES))] == [html for _, html in PAGES]
+
+
+def test_a_long_page_takes_time_in_proportion(spark):
+    import time
+
+    spent = []
+    for n in (2_000, 16_000):
+        df = spark.createDataFrame([("\n".join(f"- item *{i}*\n\ntext {i}" for i in range(n)),)], "markdown STRING")
+        start = time.time()
+        assert L.page_html(df).first().html.count("<li>") == n
+        spent.append(time.time() - start)
+    assert spent[1] < 40 * spent[0]
