@@ -348,7 +348,7 @@ nodes AS (
 children AS (SELECT path[1:depth - 1] AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
 valued AS (
   SELECT n.*, coalesce(n_children, 0) AS n_children,
-         (n_convs - 1) * CASE WHEN depth = 0 THEN 0 ELSE len(regexp_extract_all(path[depth].text, '[^\x20\x09-\x0D]+')) END AS saving
+         (n_convs - 1) * CASE WHEN depth = 0 THEN 0 ELSE len(regexp_extract_all(n.path[depth].text, '[^\x20\x09-\x0D]+')) END AS saving
   FROM nodes n LEFT JOIN children c ON n.path = c.path),
 spread AS (SELECT path[1:k] AS path, n_children, saving FROM (SELECT *, unnest(range(0, depth + 1)) AS k FROM valued)),
 sums AS (SELECT path, sum((n_children = 0)::BIGINT)::BIGINT AS n_leaves, sum(saving)::BIGINT AS saved_tokens FROM spread GROUP BY path)
