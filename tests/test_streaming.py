@@ -3,6 +3,7 @@ import os
 import random
 import time
 
+from tableworks.plans import QUERIES
 from tableworks.streaming import operators as T
 from tableworks.streaming import tables as ST
 
@@ -118,3 +119,13 @@ def test_log_best_handles_direction_and_ties(spark):
              '{"model": "b", "metrics": {"r2": 0.5, "test_rmse": 1}, "timestamp": 1}']
     df = spark.createDataFrame([(x,) for x in lines], "value STRING")
     assert {r.metric: (r.model, r.score, r.n_records) for r in T.stream_experiment_log(df).collect()} == {"r2": ("b", 0.5, 2), "test_rmse": ("b", 1.0, 2)}
+
+
+def test_a_table_of_many_files_is_streamed_as_one_of_a_single_file(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 0, "user", "ab"), (1, 1, "assistant", "c"), (2, 0, "user", "d")], "conv_id LONG, turn LONG, role STRING, text STRING")
+    rows.repartition(3).write.parquet(f"{tmp_path}/many/conversations.parquet")
+    os.makedirs(f"{tmp_path}/one")
+    rows.toPandas().to_parquet(f"{tmp_path}/one/conversations.parquet")
+    for folder in ("one", "many"):
+        out = QUERIES["stream_chunks"](spark, f"{tmp_path}/{folder}")
+        assert sorted(map(tuple, out.collect())) == [(1, 0, 2, "ab", "c"), (2, 0, 1, "d", "")]
