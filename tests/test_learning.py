@@ -2,14 +2,17 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import functions as F
 
 from tableworks.operators import experiments as E
 from tableworks.operators import features as X
 from tableworks.operators import margin
 from tableworks.operators import models as L
+from tableworks.operators.forests import nested_predictions
 from tableworks.operators import sampling as K
 
 
@@ -245,3 +248,31 @@ def test_logistic_is_at_the_minimum_of_its_objective(numbers):
     w, b = fitted.coefficients.toArray(), fitted.intercept
     p = 1 / (1 + np.exp(-(x @ w + b)))
     assert np.abs(w + 0.5 * x.T @ (p - c)).max() < 1e-3 and abs((p - c).sum()) < 1e-3
+
+
+@pytest.mark.parametrize("task", ["classification", "regression"])
+def test_forests_read_off_a_larger_one_are_those_of_spark(spark, task):
+    """Without a choice of features a forest of lower depth has the same draws, so it has to be the cut one row by row."""
+    classes = task == "classification"
+    rng = np.random.default_rng(3)
+    rows = spark.createDataFrame([(float(rng.integers(3)) if classes else float(rng.normal()), Vectors.dense(rng.normal(size=4).round(1))) for _ in range(400)], ["y", "features"])
+    kind = RandomForestClassifier if classes else RandomForestRegressor
+    grown = {d: kind(labelCol="y", numTrees=7, maxDepth=d, seed=5, featureSubsetStrategy="all").fit(rows) for d in (1, 3, 6)}
+    sizes = [(7, 1), (7, 3), (7, 6), (2, 6)]
+    got = np.array([r.predictions for r in nested_predictions(grown[6], sizes, rows, "y", classes).collect()])
+    for i, (_, depth) in enumerate(sizes[:3]):
+        want = [r.prediction for r in grown[depth].transform(rows).collect()]
+        assert got[:, i] == pytest.approx(want, abs=1e-12)
+    if not classes:
+        first = [np.mean([t.predict(r.features) for t in grown[6].trees[:2]]) for r in rows.limit(5).collect()]
+        assert got[:5, 3] == pytest.approx(first)
+
+
+def test_a_forest_search_grows_one_forest_for_each_fold_and_leaf_size(spark, monkeypatch):
+    fits, fit = [], RandomForestRegressor.fit
+    monkeypatch.setattr(RandomForestRegressor, "fit", lambda self, rows, *a: fits.append(self.getMinInstancesPerNode()) or fit(self, rows, *a))
+    rows = spark.createDataFrame([(i, float(i % 17), float(i % 17) ** 2) for i in range(300)], "id LONG, x DOUBLE, y DOUBLE")
+    found = L.search_forest_regressor(rows, target="y", key="id", trials=6, k=2)
+    assert len(fits) == 2 * len(set(fits[:-1])) + 1 < 6 * 2 + 1
+    trials = found.trials.collect()
+    assert len(trials) == 6 and sum(t.best for t in trials) == 1 and max(t.cv_score for t in trials) > 0.9
