@@ -276,3 +276,11 @@ def test_a_forest_search_grows_one_forest_for_each_fold_and_leaf_size(spark, mon
     assert len(fits) == 2 * len(set(fits[:-1])) + 1 < 6 * 2 + 1
     trials = found.trials.collect()
     assert len(trials) == 6 and sum(t.best for t in trials) == 1 and max(t.cv_score for t in trials) > 0.9
+
+
+def test_the_fits_of_a_search_have_as_many_tasks_as_there_are_cores(spark, monkeypatch):
+    seen, fit = [], RandomForestRegressor.fit
+    monkeypatch.setattr(RandomForestRegressor, "fit", lambda self, rows, *a: seen.append(rows.rdd.getNumPartitions()) or fit(self, rows, *a))
+    rows = spark.createDataFrame([(i, float(i % 17), float(i % 17) ** 2) for i in range(300)], "id LONG, x DOUBLE, y DOUBLE").coalesce(1)
+    L.search_forest_regressor(rows, target="y", key="id", trials=1, k=2)
+    assert seen[0] == spark.sparkContext.defaultParallelism
