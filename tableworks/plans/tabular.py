@@ -51,7 +51,7 @@ def read_table_csv(spark, sf):
 def read_text_corpus(spark, sf):
     """A file per document, in a folder per source; the writer ends each with a line end."""
     path = scratch_path(spark, "corpus")
-    table(spark, sf, "documents").select("source", "text").write.option("maxRecordsPerFile", 1).partitionBy("source").text(path)
+    S.write_text_corpus(table(spark, sf, "documents"), path, text="text", by="source")
     text = F.regexp_replace("text", r"\n\z", "")
     name = F.regexp_extract("source", "source=([^/]+)/", 1)
     return S.read_text_corpus(spark, path).select(name.alias("source"), F.length(text).cast("long").alias("n_chars"), F.md5(text).alias("text_md5"))

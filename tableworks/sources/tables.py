@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import time
 
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,6 +52,37 @@ def read_text_corpus(spark: SparkSession, path: str, *, glob: str | None = None)
     return reader.text(path, wholetext=True).select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("source"))
 
 
+#: Characters that a folder name of a partition column cannot hold as they are.
+_UNSAFE = {chr(c): f"%{c:02X}" for c in [*range(1, 32), 127, *b"\"#%'*/:=?\\{[]^"]}
+
+
+def write_text_corpus(df: DataFrame, path: str, *, text: str, by: str) -> None:
+    """A file per row, in a folder per value of ``by``, each text ended by a line end (null is empty): what Spark's text writer leaves
+    with one record per file. Files are written through the file system of the path's URI by the tasks themselves, as a writer that is set up
+    and committed for each file takes many times longer. A task that is run again writes the same names; rows keep their place in a task,
+    so ``df`` has to be a scan or a stored table."""
+    spark = df.sparkSession
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    uri = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString()
+
+    def run(batches):
+        target, root = fs.FileSystem.from_uri(uri)
+        task, at, made = TaskContext.get().partitionId(), 0, set()
+        for batch in batches:
+            for value, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                name = "".join(_UNSAFE.get(c, c) for c in value) if value else "__HIVE_DEFAULT_PARTITION__"
+                folder = f"{root}/{by}={name}"
+                if folder not in made:
+                    target.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with target.open_output_stream(f"{folder}/part-{task:05d}-{at:09d}.txt") as file:
+                    file.write(f"{data or ''}\n".encode())
+                at += 1
+        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64())], names=["n"])
+
+    df.select(F.col(by).cast("string"), F.col(text)).mapInArrow(run, "n long").agg(F.sum("n")).first()
+
+
 def read_jsonl_lenient(
     spark: SparkSession, path: str, *, schema: T.StructType | str = EXPERIMENT_SCHEMA, keep_bad: bool = False
 ) -> DataFrame:

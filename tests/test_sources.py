@@ -86,3 +86,12 @@ def test_gate_and_types(spark):
     assert kinds == {"i": "numeric", "s": "categorical", "d": "numeric", "b": "other"}
     strict = {r.column: r.kind for r in P.profile_types(df, rule="strict64").collect()}
     assert strict == {"i": "categorical", "s": "categorical", "d": "numeric", "b": "categorical"}
+
+
+def test_a_file_per_text_as_the_text_writer_leaves_them(spark, tmp_path):
+    rows = [("a b", "x\ny"), ("a=b/c", "two\n"), (None, "none"), ("", ""), ("ü", None), ("a b", "x\ny")]
+    df = spark.createDataFrame(rows, "source STRING, text STRING")
+    df.write.option("maxRecordsPerFile", 1).partitionBy("source").text(f"{tmp_path}/spark")
+    S.write_text_corpus(df, f"{tmp_path}/own", text="text", by="source")
+    found = [sorted((r.source.split("/")[-2], r.text) for r in S.read_text_corpus(spark, f"{tmp_path}/{k}").collect()) for k in ("spark", "own")]
+    assert len(found[1]) == len(rows) and found[0] == found[1]
