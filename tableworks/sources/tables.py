@@ -117,8 +117,14 @@ def export_records_jsonl(df: DataFrame, path: str) -> None:
 
 def export_pages(df: DataFrame, path: str, *, by: list[str]) -> None:
     """Page artefacts as a Parquet table laid out in ranges of ``by`` (document, page, segment), not a file per page. A document with
-    very many pages is spread over several files."""
-    df.repartitionByRange(*by).sortWithinPartitions(*by).write.mode("overwrite").parquet(path)
+    very many pages is spread over several files. The pages are made once, into a table that is removed at the end: finding the ranges reads
+    its input a second time."""
+    spark, made = df.sparkSession, f"{path.rstrip('/')}-unsorted"
+    df.write.mode("overwrite").parquet(made)
+    rows = spark.read.schema(df.schema).parquet(made)
+    rows.repartitionByRange(*by).sortWithinPartitions(*by).write.mode("overwrite").parquet(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(made)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def read_binary_images(spark: SparkSession, path: str, *, column: str = "image") -> DataFrame:

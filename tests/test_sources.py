@@ -95,3 +95,16 @@ def test_a_file_per_text_as_the_text_writer_leaves_them(spark, tmp_path):
     S.write_text_corpus(df, f"{tmp_path}/own", text="text", by="source")
     found = [sorted((r.source.split("/")[-2], r.text) for r in S.read_text_corpus(spark, f"{tmp_path}/{k}").collect()) for k in ("spark", "own")]
     assert len(found[1]) == len(rows) and found[0] == found[1]
+
+
+def test_pages_are_made_once_for_an_export(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def page(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    S.export_pages(spark.range(50).repartition(4).mapInArrow(page, "id long"), f"{tmp_path}/pages", by=["id"])
+    assert made.value == 50 and sorted(r.id for r in spark.read.parquet(f"{tmp_path}/pages").collect()) == list(range(50))
+    assert [p.name for p in tmp_path.iterdir()] == ["pages"]
