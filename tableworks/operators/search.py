@@ -18,6 +18,8 @@ from .guards import require_columns
 BROADCAST_QUERIES = 4096
 BROADCAST_BYTES = 128 << 20
 BLOCK_ROWS = 16_384
+#: Scores that a task holds at a time; rounding makes copies of them.
+SCORE_BYTES = 8 << 20
 DECIMALS = 9
 
 
@@ -75,7 +77,7 @@ class _Running:
             return
         if vectors.shape[1] != self.queries.shape[1]:
             raise ValueError(f"query dimension {self.queries.shape[1]}, vector dimension {vectors.shape[1]}")
-        step = max(1, (32 << 20) // (8 * len(ids)))
+        step = max(1, SCORE_BYTES // (8 * len(ids)))
         for start in range(0, len(self.query_ids), step):
             block = _scores(self.queries[start:start + step], vectors, self.metric)
             for i, row in enumerate(block, start):
@@ -200,7 +202,10 @@ def _cogrouped(left: DataFrame, right: DataFrame, keys: list[str], k: int, metri
     def run(_, q: pa.Table, v: pa.Table) -> pa.Table:
         best = _Running(q.column("id").to_numpy(), _matrix(q.column("vec")), k, metric)
         best.add(v.column("id").to_numpy(), _matrix(v.column("vec")))
-        return pa.Table.from_batches(best.batches(), schema=schema)
+        found = pa.Table.from_batches(best.batches(), schema=schema)
+        del best, q, v
+        pa.default_memory_pool().release_unused()  # workers live on: what a pair of blocks has freed would add up
+        return found
 
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, _CANDIDATES)
 

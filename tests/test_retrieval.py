@@ -138,3 +138,14 @@ def test_group_without_live_tokens_is_kept(spark):
     df = spark.createDataFrame([("a", [3.0, 4.0], 1), ("a", [9.0, 9.0], 0), ("b", [1.0, 1.0], 0), ("c", [0.0, 0.0], 1)], "k STRING, v ARRAY<DOUBLE>, m INT")
     out = {r.k: r.embedding for r in R.masked_mean_pool(df, vectors="v", mask="m", by="k").collect()}
     assert out["a"] == pytest.approx([0.6, 0.8]) and out["b"] is None and out["c"] == [0.0, 0.0]
+
+
+def test_scores_of_a_block_pair_are_made_in_small_parts(monkeypatch):
+    sizes, scores = [], S._scores
+    monkeypatch.setattr(S, "_scores", lambda *a: sizes.append(scores(*a).nbytes) or scores(*a))
+    rng = np.random.default_rng(1)
+    ids, vectors = np.arange(4000), rng.normal(size=(4000, 3))
+    best = S._Running(ids, vectors, 2, "cosine")
+    best.add(ids, vectors)
+    assert max(sizes) <= 8 << 20 and sum(sizes) == 8 * 4000 * 4000
+    assert [int(i[0]) for i in best.ids[:50]] == list(range(50))
