@@ -247,6 +247,34 @@ def test_chat_round_trip_masks_and_examples(spark):
     assert chat.read_back(chat.expand(df.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("turns, chars", [(32, 1 << 16), (3, 1 << 16), (32, 50), (2, 20)])
+def test_chat_examples_are_written_out(spark, monkeypatch, turns, chars):
+    monkeypatch.setattr(chat, "CHUNK_TURNS", turns)
+    monkeypatch.setattr(chat, "CHUNK_CHARS", chars)
+    rng = random.Random(turns)
+    kinds = ["user", "assistant", "assistant\n<s>", None]
+    rows = [(c, t, rng.choice(kinds), rng.choice(["a[INST]", "<|im_end|>\n", "ü" * 9, "", None])) for c in range(8) for t in range(rng.randint(1, 14))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    examples = chat.expand(df).where("text IS NOT NULL").drop("piece")
+    told, whole = examples.collect(), {(r["conv_id"], r["position"]): r for r in chat.render(examples).collect()}
+    assert len(whole) == sum(r[2] == "assistant" for r in rows)
+    pieces_ = {(r["conv_id"], r["position"]): r["piece"] for r in chat.expand(df).collect()}
+    assert set(pieces_) == {r[:2] for r in rows}
+    for (c, t), r in whole.items():
+        assert r["text"] == "".join(pieces_[c, i] for i in range(t + 1))
+        assert chat.unescape(r["text"][r["loss_start"] : r["loss_end"]]) == (next(x for a, b, _, x in rows if (a, b) == (c, t)) or "")
+    for r in told:
+        if r["target"]:
+            assert whole[r["conv_id"], r["position"]]["text"][r["text_start"] :] == r["text"] and (turns < 32 or chars < 99 or r["text_start"] == 0)
+            assert r["text"].count(chat.START) <= turns
+    got = {r["conv_id"]: r for r in chat.read_back(examples).collect()}
+    for c in range(8):
+        own = [r for r in rows if r[0] == c]
+        assert got[c]["turns_sha256"] == hashlib.sha256("".join(f"{r or ''}\n{x or ''}\n" for _, _, r, x in own).encode()).hexdigest()
+        assert got[c]["loss_sha256"] == hashlib.sha256("".join(x or "" for _, _, r, x in own if r == "assistant").encode()).hexdigest()
+        assert got[c]["formatted_chars"] == sum(len(r["text"]) for (k, _), r in whole.items() if k == c) and got[c]["n_turns"] == len(own)
+
+
 def test_raking_reaches_targets_and_sampling_follows(spark):
     rng = random.Random(6)
     rows = []
