@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from .guards import require_columns
 
 BROADCAST_QUERIES = 4096
@@ -210,8 +211,11 @@ def _cogrouped(left: DataFrame, right: DataFrame, keys: list[str], k: int, metri
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, _CANDIDATES)
 
 
-#: Vectors that a bucket of the approximate search is meant to hold.
-BUCKET_ROWS = 256
+#: Vectors that a bucket of the approximate search is meant to hold; lowest bits of a code that do not part buckets, so that a query
+#: goes once to all the buckets that differ in one of them; blocks of queries are so many times as long as those of vectors.
+BUCKET_ROWS, SHARED_BITS, QUERY_BLOCKS = 256, 4, 4
+#: Groups of buckets whose sizes may be broadcast.
+BROADCAST_GROUPS = 1 << 20
 
 
 def knn_lsh(
@@ -225,7 +229,8 @@ def knn_lsh(
     ``bits`` follows from the number of vectors unless given, so that a bucket holds about ``BUCKET_ROWS`` of them at any size.
     Inner product and distance are turned into angles first: vectors get one component that makes all norms equal, and for the
     distance one that carries half the squared norm. A bucket of any size is cut into blocks of about ``block_rows`` vectors and
-    queries; each block of its queries visits each block of its vectors, so a hot bucket is spread and no pair is left out.
+    queries; each block of its queries visits each block of its vectors, so a hot bucket is spread and no pair is left out. Buckets
+    whose codes differ in the lowest SHARED_BITS bits meet in one group, to which a query is sent once. Vectors are shuffled once.
     """
     block_rows = max(1, min(block_rows, BROADCAST_BYTES // (8 * dim)))
     q, v = _pick(queries, query_id, query_vec), _pick(vectors if where is None else vectors.where(where), id, vec)
@@ -233,7 +238,7 @@ def knn_lsh(
     n, largest = v.agg(F.count("*"), F.max(square)).first()
     if bits is None:
         bits = max(0, int(np.floor(np.log2(max(n, 1) / BUCKET_ROWS))))
-    tables = tables if bits else 1
+    tables, shared = tables if bits else 1, min(SHARED_BITS, bits)
     planes = np.random.default_rng(seed).standard_normal((tables, bits, dim + 2))
     top = largest or 0.0
 
@@ -252,25 +257,57 @@ def knn_lsh(
                 m = _matrix(batch.column(1))
                 for t in range(tables if len(m) else 0):
                     codes = ((aligned(m, query) @ planes[t].T > 0) @ weights).astype(np.int64)
-                    for flip in [0, *weights.tolist()] if query else [0]:
-                        code = pa.array((codes ^ flip) + (t << bits))
-                        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), code], names=["id", "vec", "code"])
+                    for flip in [0, *weights[shared:].tolist()] if query else [0]:
+                        code = (codes ^ flip) + (t << bits)
+                        near = np.full(len(m), query and flip == 0)
+                        columns = [batch.column(0), batch.column(1), pa.array(code), pa.array(near), pa.array(code >> shared)]
+                        yield pa.RecordBatch.from_arrays(columns, names=["id", "vec", "code", "near", "part"])
 
         kind = df.schema["vec"].dataType.simpleString()
-        return df.mapInArrow(run, f"id BIGINT, vec {kind}, code BIGINT")
+        return df.mapInArrow(run, f"id BIGINT, vec {kind}, code BIGINT, near BOOLEAN, part BIGINT")
 
     vc, qc = coded(v, False), coded(q, True)
 
-    def parts(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("code").agg(F.ceil(F.count("*") / block_rows).cast("int").alias(name))
+    def parts(df: DataFrame, name: str, rows: int) -> DataFrame:
+        return df.groupBy("part").agg(F.ceil(F.count("*") / rows).cast("int").alias(name))
 
-    sizes = parts(vc, "vectors").join(parts(qc, "queries"), "code")
+    sizes = parts(vc, "vectors", block_rows).join(parts(qc, "queries", QUERY_BLOCKS * block_rows), "part")
+    if tables << (bits - shared) <= BROADCAST_GROUPS:
+        sizes = F.broadcast(sizes)
 
     def blocked(df: DataFrame, own: str, other: str) -> DataFrame:
-        rows = df.join(sizes, "code").withColumn(own[0], F.pmod(F.xxhash64("id"), F.col(own).cast("long")).cast("int"))
+        rows = df.join(sizes, "part").withColumn(own[0], F.pmod(F.xxhash64("id"), F.col(own).cast("long")).cast("int"))
         return rows.withColumn(other[0], F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("vectors", "queries")
 
-    found = _cogrouped(blocked(qc, "queries", "vectors"), blocked(vc, "vectors", "queries"), ["code", "v", "q"], k, metric).distinct()
+    schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
+
+    def run(_, q: pa.Table, v: pa.Table) -> pa.Table:
+        q_ids, q_codes, near, asked = q.column("id").to_numpy(), q.column("code").to_numpy(), q.column("near").to_numpy(), _matrix(q.column("vec"))
+        ids, codes, held = v.column("id").to_numpy(), v.column("code").to_numpy(), _matrix(v.column("vec"))
+        batches: list[pa.RecordBatch] = []
+        for code in np.unique(codes):
+            apart = q_codes ^ code
+            own = np.flatnonzero((apart == 0) | (near & ((apart & (apart - 1)) == 0)))
+            mine = np.flatnonzero(codes == code)
+            best = _Running(q_ids[own], asked[own], k, metric)
+            best.add(ids[mine], held[mine])
+            batches += best.batches()
+        found = pa.Table.from_batches(batches, schema=schema)
+        asking, score = found.column("query_id").to_numpy(), found.column("score").to_numpy()
+        order = np.lexsort((found.column("id").to_numpy(), -score, asking))
+        first = np.searchsorted(asking[order], asking[order])
+        found = found.take(pa.array(order[np.arange(len(order)) - first < k]))
+        del q, v, asked, held
+        pa.default_memory_pool().release_unused()
+        return found
+
+    left, right = (x.groupBy("part", "v", "q") for x in (blocked(qc, "queries", "vectors"), blocked(vc, "vectors", "queries")))
+    # the k best of each query are kept in a table, as who lacks answers, and the exact search for them, ask for them again
+    merged = left.cogroup(right).applyInArrow(run, _CANDIDATES).repartition("query_id").distinct()
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id")))
+    path = scratch_path(v.sparkSession, "lsh")
+    merged.withColumn("place", place).where(F.col("place") <= k).drop("place").write.parquet(path)
+    found = v.sparkSession.read.schema(_CANDIDATES).parquet(path)
     enough = found.groupBy("query_id").agg(F.count("*").alias("have")).where(F.col("have") >= min(k, n)).select(F.col("query_id").alias("id"))
     lacking = q.join(enough, "id", "left_anti")
     exact = _block_pairs(lacking, v, k, metric, block_rows)

@@ -163,6 +163,42 @@ def test_ppm_slices_do_not_change_results(monkeypatch):
         assert np.array_equal(np.concatenate([p[k] for p in parts]), whole[k])
 
 
+def test_ppm_merges_and_looks_up_in_little_memory(monkeypatch):
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    parts = [ppm._distinct(rng.integers(0, 1 << 20, 300_000), rng.integers(0, 2, 300_000)) for _ in range(8)]
+    held = sum(keys.nbytes + n.nbytes for keys, n in parts)
+    monkeypatch.setattr(ppm, "RANGE", 1 << 15, raising=False)
+    tracemalloc.start()
+    keys, n = ppm._merge(parts)
+    merged = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    found = ppm._Lookup(keys, n.astype(np.float64))
+    looked = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    assert np.array_equal(keys, want[0]) and np.array_equal(n, np.bincount(want[1], np.concatenate([c for _, c in parts])))
+    assert np.array_equal(found(keys[::-1]), n[::-1])
+    assert merged < 2 * held and looked < 6 * keys.nbytes
+    monkeypatch.setattr(ppm, "RANGE", 7)
+    few = [(k[:n], c[:n]) for (k, c), n in zip(parts, (50, 0, 3, 200))]
+    keys, n = ppm._merge(few)
+    want = np.unique(np.concatenate([k for k, _ in few]), return_inverse=True)
+    assert np.array_equal(keys, want[0]) and np.array_equal(n, np.bincount(want[1], np.concatenate([c for _, c in few])))
+    assert all(len(x) == 0 for x in ppm._merge([(keys[:0], n[:0])]))
+
+
+def test_ppm_packs_texts_in_short_batches(spark, monkeypatch):
+    from tableworks.llm.common import BATCH_KEY, BATCH_ROWS
+
+    told, stored = {}, ppm.stored
+    monkeypatch.setattr(ppm, "stored", lambda df, name: (told.setdefault(name, spark.conf.get(BATCH_KEY)), stored(df, name))[1])
+    before = spark.conf.get(BATCH_KEY)
+    ppm.score(spark.createDataFrame([(1, "a b", False)], "doc_id long, text string, held_out boolean"))
+    assert told["ppm-blocks"] == str(BATCH_ROWS) and spark.conf.get(BATCH_KEY) == before
+
+
 def test_ppm_beats_the_word_model_on_held_out_texts(spark):
     from tableworks.llm import queries
 

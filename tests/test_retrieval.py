@@ -56,6 +56,29 @@ def test_lsh_finds_most_neighbours_and_spreads_a_hot_bucket(spark, points):
     assert len(exact & near) / len(exact) > 0.8
 
 
+@pytest.mark.parametrize("groups", [1 << 20, 0])
+def test_lsh_gives_the_best_of_all_buckets_probed_and_sends_vectors_once(spark, monkeypatch, groups):
+    monkeypatch.setattr(S, "BROADCAST_GROUPS", groups, raising=False)
+    sent, broadcast = [], S.F.broadcast
+    monkeypatch.setattr(S.F, "broadcast", lambda df: (sent.append(df.columns), broadcast(df))[1])
+    rng = np.random.default_rng(9)
+    m, tables, bits, dim = rng.standard_normal((300, 6)).round(3), 3, 6, 6
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id long, embedding array<double>")
+    out = S.knn_lsh(df, df, k=3, metric="cosine", query_id="id", dim=dim, bits=bits, tables=tables, block_rows=50)
+    got = sorted((r.query_id, r.rank, r.id) for r in out.collect())
+    planes = np.random.default_rng(42).standard_normal((tables, bits, dim + 2))
+    codes = [(m @ planes[t][:, :dim].T > 0) @ (1 << np.arange(bits)) for t in range(tables)]
+    scores = np.round((m / np.linalg.norm(m, axis=1, keepdims=True)) @ (m / np.linalg.norm(m, axis=1, keepdims=True)).T, 9)
+    want = []
+    for i in range(len(m)):
+        seen = sorted({j for c in codes for j in range(len(m)) if int(c[i] ^ c[j]).bit_count() <= 1}, key=lambda j: (-scores[i, j], j))
+        if len(seen) < 3:
+            seen = sorted(range(len(m)), key=lambda j: (-scores[i, j], j))
+        want += [(i, r + 1, j) for r, j in enumerate(seen[:3])]
+    assert got == want
+    assert len(sent) == (1 if groups else 0)
+
+
 @pytest.mark.parametrize("metric", ["cosine", "ip", "l2"])
 def test_lsh_recall_with_64_dimensions(spark, metric):
     rng = np.random.default_rng(3)
