@@ -17,14 +17,16 @@ from .registry import query
 ORDER, EDGE = 5, 0xFF
 SYMBOLS = 257
 #: Bytes of text packed together, and bytes worked on at a time. They bound memory; results do not depend on them.
-BLOCK, SLICE = 24 << 20, 1 << 19
+BLOCK, SLICE = 32 << 20, 1 << 19
+#: Keys that are sorted or counted at a time.
+RANGE = 1 << 18
 GRAM, WORD = 0, 1
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _MIXED = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _slices(raw: bytes) -> Iterator[tuple[bytes, bytes, bool]]:
+def _slices(raw: bytes | memoryview) -> Iterator[tuple[bytes, bytes, bool]]:
     """A text in parts that end where a word ends, each with the ORDER bytes before it, and whether it is the last."""
     lo = 0
     while True:
@@ -86,38 +88,55 @@ def _distinct(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarr
     both = np.sort((keys << 1) | train)
     keys = both >> 1
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(both & 1, first) if len(first) else keys
+    return keys[first], np.add.reduceat(both & 1, first).astype(np.int32) if len(first) else np.zeros(0, np.int32)
 
 
 def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of several such results."""
-    keys, n = (np.concatenate(x) for x in zip(*parts))
-    order = np.argsort(keys, kind="stable")
-    keys, n = keys[order], n[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(n, first) if len(first) else keys
+    """Sums of several such results. One range of keys is merged after another, so that what is sorted at a time is small."""
+    widest = max((keys for keys, _ in parts), key=len)
+    size = sum(len(keys) for keys, _ in parts)
+    step = max(1, RANGE * len(widest) // max(1, size))
+    cuts = [np.concatenate(([0], np.searchsorted(keys, widest[step::step]), [len(keys)])) for keys, _ in parts]
+    out_keys, out_n, end = np.empty(size, np.int64), np.empty(size, np.int32), 0
+    for i in range(len(cuts[0]) - 1):
+        keys, n = (np.concatenate([part[side][cut[i] : cut[i + 1]] for part, cut in zip(parts, cuts)]) for side in (0, 1))
+        if not len(keys):
+            continue
+        order = np.argsort(keys, kind="stable")
+        keys, n = keys[order], n[order]
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        out_keys[end : end + len(first)], out_n[end : end + len(first)] = keys[first], np.add.reduceat(n, first)
+        end += len(first)
+    out_keys.resize(end, refcheck=False)
+    out_n.resize(end, refcheck=False)
+    return out_keys, out_n
 
 
 class _Lookup:
-    """Values by key: keys in order of a hash, so that one or two reads find a key."""
+    """Values by key, both read in place: their positions in order of a hash, so that a few reads find a key."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.shift = np.uint64(64 - max(1, int(np.ceil(np.log2(max(len(keys), 1) * 3)))))
-        slot = self._slot(keys)
-        order = np.argsort(slot, kind="stable")
-        self.keys, self.values = np.append(keys[order], -1), values[order]
-        self.first = np.searchsorted(slot[order], np.arange((1 << (64 - int(self.shift))))).astype(np.int32)
+        bits = max(1, int(np.ceil(np.log2(max(len(keys), 1)))))
+        self.shift, self.keys, self.values = np.uint64(64 - bits), keys, values
+        self.first, slot = np.zeros((1 << bits) + 1, np.int32), np.empty(len(keys), np.int32)
+        for lo in range(0, len(keys), RANGE):
+            slot[lo : lo + RANGE] = self._slot(keys[lo : lo + RANGE])
+            np.add.at(self.first, slot[lo : lo + RANGE] + 1, 1)
+        np.cumsum(self.first, out=self.first)
+        self.order = np.argsort(slot, kind="stable").astype(np.int32)
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         at = self.first[self._slot(keys)]
-        wrong = np.flatnonzero(self.keys[at] != keys)
+        place = self.order[at]
+        wrong = np.flatnonzero(self.keys[place] != keys)
         while len(wrong):
             at[wrong] += 1
-            wrong = wrong[self.keys[at[wrong]] != keys[wrong]]
-        return self.values[at]
+            place[wrong] = self.order[at[wrong]]
+            wrong = wrong[self.keys[place[wrong]] != keys[wrong]]
+        return self.values[place]
 
 
 _PACKED = pa.schema([
@@ -144,12 +163,12 @@ def _pack(batches):
                 if len(found[kind]) == 8:
                     found[kind] = [_merge(found[kind])]
         empty = {"ids": None, "held": None, "sizes": None, "data": None}
-        for kind in found:
-            keys, n = _merge(found[kind])
+        for kind in list(found):
+            keys, n = _merge(found.pop(kind))
             for lo in range(0, len(keys), 100_000):
                 part = slice(lo, lo + 100_000)
                 count = len(keys[part])
-                columns = [np.full(count, block), np.full(count, kind, np.int32), keys[part], n[part]]
+                columns = [np.full(count, block), np.full(count, kind, np.int32), keys[part], n[part].astype(np.int64)]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *(pa.nulls(count, _PACKED.field(c).type) for c in empty)], schema=_PACKED)
         blob = zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
         yield pa.RecordBatch.from_pylist(
@@ -232,9 +251,9 @@ def score(documents: DataFrame) -> DataFrame:
     summed over all blocks and go back by block, so neither vocabulary nor trie is ever held whole in one place, and the texts are
     shuffled once, compressed. Words are told apart by 62-bit hashes.
     """
-    short_batches(documents.sparkSession)
     held = F.coalesce("held_out", F.lit(False)).alias("held")
-    packed = stored(documents.select(F.col("doc_id").cast("long").alias("id"), held, "text").mapInArrow(released(_pack), _PACKED_DDL), "ppm-blocks")
+    with short_batches(documents.sparkSession):
+        packed = stored(documents.select(F.col("doc_id").cast("long").alias("id"), held, "text").mapInArrow(released(_pack), _PACKED_DDL), "ppm-blocks")
     # One exchange by key serves the sums and the answers.
     asked = packed.select(F.col("block").alias("of"), "kind", "key", "n")
     words = asked.where(f"kind = {WORD}").drop("kind").repartition("key")
@@ -259,17 +278,17 @@ def score(documents: DataFrame) -> DataFrame:
     ])
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        tables = {}
+        tables, kinds_there = {}, right.column("kind").to_pylist()
         for k in (GRAM, WORD):
-            own = right.filter(pa.array([x == k for x in right.column("kind").to_pylist()], pa.bool_()))
+            own = [i for i, kind in enumerate(kinds_there) if kind == k]  # one row at most; its lists are read in place
             keys, values = (
-                np.concatenate([c.flatten().to_numpy() for c in own.column(x).chunks] or [np.zeros(0, kind)]) for x, kind in (("keys", np.int64), ("values", np.float64))
+                right.column(x)[own[0]].values.to_numpy() if own else np.zeros(0, kind) for x, kind in (("keys", np.int64), ("values", np.float64))
             )
             tables[k] = _Lookup(keys, values)
-            del own, keys, values
+            del keys, values
         out = []
         for row in left.to_pylist():
-            data = zstandard.ZstdDecompressor().decompress(row["data"]) if row["data"] else b""
+            data = memoryview(zstandard.ZstdDecompressor().decompress(row["data"]) if row["data"] else b"")
             cut = np.concatenate(([0], np.cumsum(row["sizes"])))
             texts = [data[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
             n = len(texts)
