@@ -293,8 +293,11 @@ def knn_lsh(
             best.add(ids[mine], held[mine])
             batches += best.batches()
         found = pa.Table.from_batches(batches, schema=schema)
-        asking, score = found.column("query_id").to_numpy(), found.column("score").to_numpy()
-        order = np.lexsort((found.column("id").to_numpy(), -score, asking))
+        asking, score, answer = (found.column(c).to_numpy() for c in ("query_id", "score", "id"))
+        order = np.lexsort((answer, -score, asking))
+        again = np.zeros(len(order), bool)  # rows that come twice take one place
+        again[1:] = np.logical_and.reduce([c[order][1:] == c[order][:-1] for c in (asking, score, answer)])
+        order = order[~again]
         first = np.searchsorted(asking[order], asking[order])
         found = found.take(pa.array(order[np.arange(len(order)) - first < k]))
         del q, v, asked, held

@@ -79,6 +79,29 @@ def test_lsh_gives_the_best_of_all_buckets_probed_and_sends_vectors_once(spark,
     assert len(sent) == (1 if groups else 0)
 
 
+def test_lsh_with_rows_that_come_twice(spark):
+    rng = np.random.default_rng(9)
+    m, tables, bits, k = rng.standard_normal((150, 6)).round(3), 3, 4, 4
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)] * 2, "id long, embedding array<double>")
+    got = {}
+    for r in S.knn_lsh(df, df, k=k, metric="cosine", query_id="id", dim=6, bits=bits, tables=tables).collect():
+        got.setdefault(r.query_id, set()).add((r.rank, r.id))
+    planes = np.random.default_rng(42).standard_normal((tables, bits, 8))
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    scores, checked = np.round(unit @ unit.T, 9), 0
+    for i in range(len(m)):
+        found = set()
+        for t in range(tables):
+            codes = (m @ planes[t][:, :6].T > 0) @ (1 << np.arange(bits))
+            for probe in [codes[i], *(codes[i] ^ (1 << np.arange(bits)))]:
+                bucket = sorted((j for j in np.flatnonzero(codes == probe).tolist() for _ in range(2)), key=lambda j: (-scores[i, j], j))
+                found |= set(bucket[:k])
+        if len(found) >= k:
+            checked += 1
+            assert got[i] == {(r + 1, j) for r, j in enumerate(sorted(found, key=lambda j: (-scores[i, j], j))[:k])}
+    assert checked > 100
+
+
 @pytest.mark.parametrize("metric", ["cosine", "ip", "l2"])
 def test_lsh_recall_with_64_dimensions(spark, metric):
     rng = np.random.default_rng(3)
