@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +15,12 @@ from .curation import words
 K1, B = 1.2, 0.75
 #: Documents in a block on average, and blocks scored in full to find a first threshold.
 BLOCK_DOCS, SEEDS = 512, 3
+#: Rows of small tables that may be broadcast: lengths of repeated documents, terms asked for.
+BROADCAST_DOCS = BROADCAST_TERMS = 1_000_000
+#: Terms of a corpus that may be broadcast with their document frequencies.
+BROADCAST_VOCABULARY = 200_000
+#: Queries that meet a block at a time, on average.
+PART_QUERIES = 1024
 
 
 @dataclass
@@ -30,17 +39,34 @@ def bm25_index(df: DataFrame, path: str, *, key: str, text: str, block_docs: int
     documents that have a word. Documents are dealt to blocks by a hash of their key. A frequent term's postings are spread over all blocks.
     """
     spark = df.sparkSession
-    counts = df.select(F.col(key).alias("doc"), F.explode(words(F.col(text))).alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
+    texts = df.select(F.col(key).alias("doc"), words(F.col(text)).alias("words"))
+    rows = texts.select("doc", F.size("words").cast("long").alias("own"), F.explode("words").alias("term"))
+    # the length of a row's text comes with its terms, so that counts are not shuffled again to learn it
+    counts = rows.groupBy("doc", "term").agg(F.count("*").alias("tf"), F.max("own").alias("own"))
     counts.write.mode("overwrite").parquet(f"{path}/counts")
     counts = spark.read.schema(counts.schema).parquet(f"{path}/counts")
-    lengths = counts.groupBy("doc").agg(F.sum("tf").alias("size"))
+    lengths = texts.where(F.size("words") > 0).groupBy("doc").agg(F.sum(F.size("words")).alias("size"), F.count("*").alias("rows"))
+    lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+    lengths = spark.read.schema(lengths.schema).parquet(f"{path}/lengths")
     corpus = lengths.agg(F.count("*").alias("n"), F.avg("size").alias("mean")).first()
     n, mean = corpus.n, corpus.mean or 1.0
     block = F.pmod(F.xxhash64("doc"), F.lit(max(1, -(-n // block_docs)))).cast("int").alias("block")
     frequency = counts.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / mean))
-    postings = counts.join(lengths, "doc").join(frequency, "term").select("term", block, "doc", weight.alias("weight"))
+    frequency.write.mode("overwrite").parquet(f"{path}/frequency")
+    frequency = spark.read.schema(frequency.schema).parquet(f"{path}/frequency")
+    if frequency.count() <= BROADCAST_VOCABULARY:
+        frequency = F.broadcast(frequency)
+    counts = counts.where("doc IS NOT NULL")
+    repeated = lengths.where("rows > 1").select("doc", "size")  # none where keys are unique
+    n_repeated = repeated.count()
+    if n_repeated:
+        counts = counts.join(F.broadcast(repeated) if n_repeated <= BROADCAST_DOCS else repeated, "doc", "left")
+        counts = counts.withColumn("size", F.coalesce("size", "own"))
+    else:
+        counts = counts.withColumnRenamed("own", "size")
+    postings = counts.join(frequency, "term").select("term", block, "doc", weight.alias("weight"))
     postings.write.mode("overwrite").parquet(f"{path}/postings")
     postings = spark.read.schema(postings.schema).parquet(f"{path}/postings")
     bounds = postings.groupBy("term", "block").agg(F.max("weight").alias("top"))
@@ -52,18 +78,41 @@ def bm25_topk(index: Bm25Index, queries: DataFrame, *, key: str, text: str, k: i
     """(query key, rank, doc, score): the ``k`` best documents for each query, equal scores by key; only documents that share a term.
 
     First the blocks with the highest bounds are scored, which gives each query a k-th best score so far; then only the blocks whose
-    bound reaches it. A block left out cannot hold a better document, so the result is that of scoring all. Postings are joined by term
-    and block, so a term that a third of all documents have is no single key.
+    bound reaches it. A block left out cannot hold a better document, so the result is that of scoring all. Postings and queries meet by
+    block, so a term that a third of all documents have is no single key, and a block gives its k best per query. Of many queries,
+    PART_QUERIES at a time meet a block.
     """
     asked = queries.select(F.col(key).alias("query"), F.explode(words(F.col(text))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times"))
-    pairs = asked.join(index.bounds, "term")
+    terms, n = asked.select("term").distinct(), asked.agg(F.count_distinct("term").alias("terms"), F.count_distinct("query").alias("queries")).first()
+    if n["terms"] <= BROADCAST_TERMS:
+        terms = F.broadcast(terms)
+    parts = max(1, -(-n["queries"] // PART_QUERIES))
+    # only postings and bounds of terms that are asked for are shuffled
+    postings, bounds = (t.join(terms, "term", "left_semi") for t in (index.postings, index.bounds))
+    pairs = asked.join(bounds, "term")
     reach = pairs.groupBy("query", "block").agg(F.sum(F.col("times") * F.col("top")).alias("bound"))
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("bound"), "block"))
     reach = reach.withColumn("place", place)
 
+    schema = f"query {asked.schema['query'].dataType.simpleString()}, doc {postings.schema['doc'].dataType.simpleString()}, score double"
+    part = F.pmod(F.xxhash64("query"), F.lit(parts)).cast("int").alias("part")
+    dealt = postings.select("term", "block", "doc", "weight", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+
     def scored(blocks: DataFrame) -> DataFrame:
         wanted = pairs.select("query", "term", "block", "times").join(blocks.select("query", "block"), ["query", "block"])
-        return wanted.join(index.postings, ["term", "block"]).groupBy("query", "doc").agg(F.sum(F.col("times") * F.col("weight")).alias("score"))
+        asking = wanted.select("query", "term", "times", "block", part)
+        return asking.groupBy("block", "part").cogroup(dealt.groupBy("block", "part")).applyInArrow(best_of_block, schema)
+
+    def best_of_block(wanted: pa.Table, held: pa.Table) -> pa.Table:
+        """The k best of a block for each query that asks for it: no other can be among the k best of all."""
+        rows = wanted.select(["query", "term", "times"]).join(held.select(["term", "doc", "weight"]), "term", join_type="inner", use_threads=False)
+        rows = rows.append_column("gain", pc.multiply(pc.cast(rows.column("times"), pa.float64()), rows.column("weight")))
+        sums = rows.group_by(["query", "doc"], use_threads=False).aggregate([("gain", "sum")])
+        sums = sums.select(["query", "doc", "gain_sum"]).rename_columns(["query", "doc", "score"])
+        sums = sums.sort_by([("query", "ascending"), ("score", "descending"), ("doc", "ascending")])
+        own = sums.column("query").combine_chunks().dictionary_encode()
+        own = (own.combine_chunks() if isinstance(own, pa.ChunkedArray) else own).indices.to_numpy(zero_copy_only=False)
+        return sums.filter(pa.array(np.arange(len(own)) - np.searchsorted(own, own) < k))
 
     best = Window.partitionBy("query").orderBy(F.desc("score"), "doc")
     first = scored(reach.where(F.col("place") <= seeds)).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

@@ -184,6 +184,33 @@ def test_bm25_by_blocks_is_bm25_over_all(spark, tmp_path, block, seeds):
         assert all(round(scores[d], 9) == round(s, 9) for _, s, d in mine) and [r for r, *_ in mine] == list(range(1, len(mine) + 1))
 
 
+@pytest.mark.parametrize("queries_at_once, small", [(1024, 1_000_000), (4, 0)])
+def test_bm25_with_repeated_keys_and_many_queries(spark, tmp_path, monkeypatch, queries_at_once, small):
+    import math
+
+    for name, value in {"PART_QUERIES": queries_at_once, "BROADCAST_DOCS": small, "BROADCAST_TERMS": small, "BROADCAST_VOCABULARY": small}.items():
+        monkeypatch.setattr(bm25, name, value, raising=False)
+    rng = random.Random(5)
+    docs = [(i % 70, prose(rng, rng.randint(1, 30))) for i in range(100)] + [(None, "w1 w2"), (3, None), (99, "...")]
+    queries = [(i, prose(rng, 5)) for i in range(20)]
+    index = bm25.bm25_index(spark.createDataFrame(docs, TEXTS), str(tmp_path / "x"), key="doc_id", text="text", block_docs=9)
+    out = bm25.bm25_topk(index, spark.createDataFrame(queries, "q long, t string"), key="q", text="t", k=4)
+    bags = {}
+    for d, t in docs:
+        bags.setdefault(d, Counter()).update(re.findall(r"\w+", t or ""))
+    bags = {d: b for d, b in bags.items() if b}
+    n, mean = len(bags), sum(b.total() for b in bags.values()) / len(bags)
+    df, got = Counter(w for b in bags.values() for w in b), out.collect()
+    for q, text in queries:
+        scores = Counter()
+        for d, b in bags.items():
+            for w in text.split() if d is not None else ():
+                if w in b:
+                    scores[d] += math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * b[w] * 2.2 / (b[w] + 1.2 * (0.25 + 0.75 * b.total() / mean))
+        assert [round(r.score, 9) for r in sorted(got, key=lambda r: r["rank"]) if r.q == q] == [round(s, 9) for s in sorted(scores.values(), reverse=True)[:4]]
+    assert not re.search(r"hashpartitioning\(query#\w+, doc#", out._jdf.queryExecution().executedPlan().toString())  # pairs are not shuffled
+
+
 # --- schemas ---------------------------------------------------------------------------------------
 
 
