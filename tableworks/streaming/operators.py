@@ -15,7 +15,7 @@ from ..functions.json import is_json
 from ..operators import safety as S
 from ..operators.ordering import BUCKET_WIDTH
 from ..sources.tables import EXPERIMENT_SCHEMA
-from .keyed import CHUNK_OUT, THREAD_OUT, ChunkState, ThreadState, chunks_of, open_rows, threads_of
+from .keyed import CHUNK_OUT, THREAD_BUCKETS, THREAD_OUT, ChunkState, ThreadState, chunks_of, open_messages, open_rows, threads_of
 
 WATERMARK = "10 minutes"
 
@@ -38,7 +38,7 @@ def _instants(rows: DataFrame) -> DataFrame:
 
 def stream_threads(
     sdf: DataFrame, *, thread: str, time: str, role: str, text: str, ttl: timedelta = timedelta(days=1), watermark: str = WATERMARK,
-    ai: str = "assistant", width: int = BUCKET_WIDTH,
+    ai: str = "assistant", width: int = BUCKET_WIDTH, buckets: int = THREAD_BUCKETS,
 ) -> DataFrame:
     """Threads with their history, put out and forgotten when ``ttl`` has passed since their last use.
 
@@ -46,21 +46,23 @@ def stream_threads(
     the last text. ``history`` has the messages in order (time, role, text); a thread of more than ``width`` messages has several
     segments, cut in the order of arrival, and the sums of the whole thread in each. A thread that is used again after it expired starts anew.
     Messages later than the watermark are dropped and counted in the progress metrics; rows without a thread or a time are left out.
+    State is kept by ``buckets`` of threads: a batch reads the sums of all open threads in the buckets that it touches.
 
     Needs the RocksDB state store, which ``streaming.tables`` sets for its queries. ``open_threads`` gives the threads that are still open
     when a query ends.
     """
     rows = sdf.where(F.col(thread).isNotNull() & F.col(time).isNotNull()).withWatermark(time, watermark)
-    rows = rows.select(F.col(thread).alias("thread"), F.col(time).alias("event_time"), _micros(time), F.col(role).alias("role"), F.col(text).alias("text"))
-    schema = f"thread {sdf.schema[thread].dataType.simpleString()}, {THREAD_OUT}"
-    state = ThreadState(ai, int(ttl.total_seconds() * 1000), width)
-    out = rows.groupBy("thread").transformWithState(state, schema, "append", "eventTime")
+    bucket = F.pmod(F.xxhash64(thread), F.lit(buckets)).cast("int").alias("bucket")
+    rows = rows.select(bucket, F.col(thread).alias("thread"), F.col(time).alias("event_time"), _micros(time), F.col(role).alias("role"), F.col(text).alias("text"))
+    kind = sdf.schema[thread].dataType.simpleString()
+    state = ThreadState(kind, ai, int(ttl.total_seconds() * 1000), width)
+    out = rows.groupBy("bucket").transformWithState(state, f"thread {kind}, {THREAD_OUT}", "append", "eventTime")
     return _instants(out).withColumnRenamed("thread", thread)
 
 
 def open_threads(spark: SparkSession, checkpoint: str, *, thread: str, ai: str = "assistant") -> DataFrame:
     """The threads that a stopped ``stream_threads`` query still holds, in the same columns."""
-    return _instants(threads_of(open_rows(spark, checkpoint, "history", ["thread"]), ai)).withColumnRenamed("thread", thread)
+    return _instants(threads_of(open_messages(spark, checkpoint), ai)).withColumnRenamed("thread", thread)
 
 
 def stream_chunks(

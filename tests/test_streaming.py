@@ -73,6 +73,33 @@ def test_a_long_thread_comes_in_segments(spark, tmp_path):
     assert [k[0] for k in told(left)] == ["z"]
 
 
+def test_threads_of_a_bucket_share_the_store_and_keep_their_segments(spark, tmp_path):
+    rng = random.Random(7)
+    rows = [(rng.choice(["hot"] * 8 + [f"t{i}" for i in range(30)]), at(i / 20), "user", f"m{i}") for i in range(400)]
+    sdf = in_files(spark, str(tmp_path / "in"), MESSAGES, rows[:150], rows[150:160], rows[160:], [("end", at(45), "user", "x")], [("end", at(46), "user", "y")])
+    names = dict(thread="thread", time="time", role="role", text="text")
+    out, state = ST.run_available(T.stream_threads(sdf, **names, ttl=dt.timedelta(hours=6), watermark="1 hour", width=8, buckets=2), "t")
+    kept = spark.read.format("statestore").option("path", state).option("stateVarName", "sums").load()
+    assert 1 <= kept.select("key").distinct().count() <= 2
+    found = told(out.unionByName(T.open_threads(spark, state, thread="thread")))
+    plain, watermark = {}, -1.0
+    for batch in (rows[:150], rows[150:160], rows[160:]):  # a thread starts anew when a batch comes after its expiry
+        for t, time, _, text in batch:
+            hours = (time - DAY).total_seconds() / 3600
+            runs = plain.setdefault(t, [])
+            if not runs or runs[-1][-1][0] + 6 <= watermark:
+                runs.append([])
+            runs[-1].append((hours, text))
+        watermark = (batch[-1][1] - DAY).total_seconds() / 3600 - 1
+    for t, runs in plain.items():
+        for run in runs:
+            for segment in range(0, len(run), 8):
+                n, last, _, history = found.pop((t, at(run[0][0]), segment // 8))
+                assert n == len(run) and abs(last - at(run[-1][0])) < dt.timedelta(seconds=1)
+                assert [m[2] for m in history] == [x for _, x in run[segment : segment + 8]]
+    assert [k[0] for k in found] == ["end"]
+
+
 DELTAS = "stream_id STRING, seq BIGINT, time TIMESTAMP, reasoning STRING, content STRING, done BOOLEAN"
 
 
