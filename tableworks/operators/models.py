@@ -19,7 +19,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, LinearRegressionModel, RandomForestRegressor
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,8 +29,9 @@ from . import metrics as M
 from .features import TableFeaturizer
 from .forests import validated_forests
 from .guards import require_columns
-from .margin import Problem, Report, fit_margins
+from .margin import EXACT_WIDTH, Problem, Report, fit_margins
 from .sampling import kfold, kfold_stratified
+from .tube import Tube, fit_tubes, sparse_rows
 
 LABEL = "label__"
 #: One rule for every least-squares step: Spark solves exactly up to 4096 features and iterates above, here to a tight end.
@@ -76,6 +77,14 @@ def _margin_model(spark: SparkSession, coefficients: np.ndarray, intercept: floa
     return model.setFeaturesCol(features).setRawPredictionCol(raw)
 
 
+def _line_model(spark: SparkSession, coefficients: np.ndarray, intercept: float, features: str) -> LinearRegressionModel:
+    """A stock regression model from known coefficients."""
+    weights = _py2java(spark.sparkContext, Vectors.dense(coefficients))
+    ml = spark.sparkContext._jvm.org.apache.spark.ml
+    model = LinearRegressionModel(ml.regression.LinearRegressionModel(f"LinearRegression_{uuid.uuid4().hex[:12]}", weights, float(intercept)))
+    return model.setFeaturesCol(features)
+
+
 class PenalizedSVC(_PenaltyEstimator):
     """Linear support vector machine, one against the rest for more than two classes: penalty "l2" or "l1", loss "squared_hinge" or,
     with l2, "hinge". Solved by ``margin``; the fitted model's ``report`` tells rounds, residual and whether it converged."""
@@ -133,16 +142,41 @@ class LinearSVR(_PenaltyEstimator):
     """Linear epsilon-insensitive regression by iteratively reweighted least squares.
 
     Each hinge is replaced by the parabola that touches it at the current residual, and the
-    resulting weighted ridge problem is one Spark least-squares fit. The objective falls in every
-    round; rows never leave the executors. The model's ``report`` has the rounds, the last relative fall as its residual, and
+    resulting weighted ridge problem is solved exactly. The objective falls in every
+    round; rows never leave the executors. Up to ``EXACT_WIDTH`` features ``tube`` sums the normal equations, of several
+    estimators in the same passes; above, a round is one Spark least-squares fit. The model's ``report`` has the rounds, the last relative fall as its residual, and
     whether that is within the tolerance; without it the fit ended at its cap on rounds.
     """
 
+    def _rows(self, dataset) -> DataFrame:
+        return dataset.select(F.col(self.getFeaturesCol()).alias("features"), F.col(self.getLabelCol()).cast("double").alias("y"))
+
     def _fit(self, dataset):
+        return self.fit_all(dataset, [self])[0]
+
+    def fit_all(self, dataset, estimators: list[LinearSVR]) -> list:
+        """The models of several estimators with this one's columns, from the same passes over the rows."""
+        rows, spark = self._rows(dataset), dataset.sparkSession
+        width = len(rows.select("features").first()["features"])
+        if width > EXACT_WIDTH:
+            return [e._fit_wide(dataset) for e in estimators]
+        sparse = sparse_rows(rows).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            spread = sparse.agg(F.stddev_pop("y")).first()[0]
+            tubes = [Tube(*(e.getOrDefault(p) for p in (e.C, e.epsilon, e.maxIter, e.tol))) for e in estimators]
+            solved = fit_tubes(sparse, width, max(1e-9, 1e-3 * (spread or 1.0)), tubes)
+        finally:
+            sparse.unpersist()
+        out = []
+        for weights, report in solved:
+            model = _line_model(spark, weights[:-1], weights[-1], self.getFeaturesCol())
+            model.report = report
+            out.append(model)
+        return out
+
+    def _fit_wide(self, dataset):
         C, eps = self.getOrDefault(self.C), self.getOrDefault(self.epsilon)
-        label, features = self.getLabelCol(), self.getFeaturesCol()
-        rows = dataset.select(F.col(features).alias("features"), F.col(label).cast("double").alias("y"))
-        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+        rows = self._rows(dataset).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             n, spread = rows.agg(F.count("*"), F.stddev_pop("y")).first()
             floor = max(1e-9, 1e-3 * (spread or 1.0))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tableworks.operators import experiments as E
 from tableworks.operators import features as X
-from tableworks.operators import margin
+from tableworks.operators import margin, tube
 from tableworks.operators import models as L
 from tableworks.operators.forests import nested_predictions
 from tableworks.operators import sampling as K
@@ -203,6 +203,35 @@ def test_svr_beats_nearby_coefficients(numbers):
     assert best <= moved * 1.002
 
 
+@pytest.mark.parametrize("kind", ["dense", "sparse"])
+def test_svr_fits_of_a_search_share_their_passes_and_equal_single_fits_by_spark(spark, monkeypatch, kind):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 3)) if kind == "dense" else np.eye(12)[rng.integers(12, size=300)] + 0.5 * np.eye(12)[rng.integers(12, size=300)]
+    y = x @ np.arange(x.shape[1]) + 2 + rng.normal(size=300) * 0.4
+    vector = Vectors.dense if kind == "dense" else lambda v: Vectors.sparse(12, {int(i): float(v[i]) for i in np.flatnonzero(v)})
+    rows = spark.createDataFrame([(vector(a), float(b)) for a, b in zip(x, y)], ["features", "label__"])
+    svrs = [L.LinearSVR(C=C, epsilon=e, maxIter=n, tol=1e-5) for C, e, n in ((0.05, 0.1, 100), (1.0, 0.3, 100), (20.0, 0.0, 100), (1.0, 0.1, 2))]
+    passes, sums = [], tube._sums
+    monkeypatch.setattr(tube, "_sums", lambda *a: passes.append(len(a[-1])) or sums(*a))
+    fitted = svrs[0].fit_all(rows, svrs)
+    assert passes[:2] == [1, 4] and len(passes) == 1 + max(m.report.rounds for m in fitted)
+    for svr, model in zip(svrs, fitted):
+        want = svr._fit_wide(rows)
+        assert model.coefficients.toArray() == pytest.approx(want.coefficients.toArray(), abs=1e-6) and model.intercept == pytest.approx(want.intercept, abs=1e-6)
+        assert (model.report.rounds, model.report.converged) == (want.report.rounds, want.report.converged)
+    assert [m.report.converged for m in fitted] == [True, True, True, False]
+    with pytest.raises(Exception, match="labels must not be null"):
+        svrs[0].fit(rows.union(spark.createDataFrame([(vector(x[0]), None)], rows.schema)))
+
+
+def test_svr_search_fits_its_trials_together(numbers, monkeypatch):
+    passes, sums = [], tube._sums
+    monkeypatch.setattr(tube, "_sums", lambda *a: passes.append(len(a[-1])) or sums(*a))
+    trials = L.search_svr(numbers.drop("f"), target="y", key="id", trials=3, k=2).trials.collect()
+    assert len(trials) == 3 and all(t.converged and t.rounds >= 1 for t in trials) and max(t.cv_score for t in trials) > 0.9
+    assert passes[:2] == [1, 3] and passes.count(1) >= 3
+
+
 def test_champion_round_trip_and_probabilities(spark, numbers, tmp_path):
     model = L.train_logistic(numbers, target="f", ignore=["id", "y"])
     L.save_champion(model, str(tmp_path), task="classification", metrics={"accuracy": 1.0})
