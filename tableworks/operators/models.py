@@ -30,6 +30,7 @@ from .features import TableFeaturizer
 from .forests import validated_forests
 from .guards import require_columns
 from .margin import EXACT_WIDTH, Problem, Report, fit_margins
+from .ordering import dealt
 from .sampling import kfold, kfold_stratified
 from .tube import Tube, fit_tubes, sparse_rows
 
@@ -223,9 +224,12 @@ class Trained:
 
 
 def _fit_pipeline(train: DataFrame, *, target: str, task: str, estimator: Estimator, ignore: list[str] = ()) -> PipelineModel:
-    """Preparation and model fitted on the same rows. Only what is derived here is cached; the caller's frame is left as it is."""
+    """Preparation and model fitted on the same rows, which are cached meanwhile; a cache of the caller's is used and kept."""
     require_columns(train, target)
     rows, vectors = train, None
+    own = not (train.storageLevel.useMemory or train.storageLevel.useDisk)
+    if own:
+        train.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         fitted = TableFeaturizer(targetCol=target, ignoreCols=list(ignore)).fit(rows)
         decode = []
@@ -236,10 +240,14 @@ def _fit_pipeline(train: DataFrame, *, target: str, task: str, estimator: Estima
         else:
             labelled = rows.withColumn(LABEL, F.col(target).cast("double"))
         vectors = fitted.transform(labelled).select("features", LABEL).persist(StorageLevel.MEMORY_AND_DISK)
-        return PipelineModel(stages=[fitted, _named(estimator).fit(vectors), *decode])
+        estimator = _named(estimator)
+        fit_rows = dealt(vectors) if isinstance(estimator, (RandomForestClassifier, RandomForestRegressor)) else vectors
+        return PipelineModel(stages=[fitted, estimator.fit(fit_rows), *decode])
     finally:
         if vectors is not None:
             vectors.unpersist()
+        if own:
+            train.unpersist()
 
 
 def _spread(vectors: DataFrame) -> DataFrame:

@@ -15,6 +15,9 @@ BUCKET_WIDTH = 4096
 MAX_RANGES = 8192
 ROWS_PER_RANGE = 250_000
 MAX_DIGITS = 6
+#: Partitions for each core of rows that many passes read, and rows of a partition above which there are more.
+PARTS_PER_CORE = 2
+ROWS_PER_PART = 2_000_000
 
 
 def _bucket_of(order: str, width: int) -> Column:
@@ -55,6 +58,24 @@ def _add_offsets(
     )
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """The same rows, stored or cached, in partitions for all cores but not many more, for fits that pass over them often.
+
+    Each partition of a pass costs a task, and in a forest the sums of all nodes of a level, however few its rows are. Rows are
+    dealt one by one in their order, so partitions are even and the same in every run. Enough partitions and not too many stay as they are.
+    """
+    cores, parts = rows.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions()
+    most = PARTS_PER_CORE * cores
+    if cores <= parts <= most:
+        return rows
+    wanted = cores if parts < cores else max(most, rows.count() // ROWS_PER_PART)
+    if most < parts <= wanted:
+        return rows
+    placed = rows.withColumns({"_i": F.monotonically_increasing_id(), "_p": F.spark_partition_id()})
+    turn = (F.col("_i").bitwiseAND((1 << 33) - 1) + F.col("_p")) % wanted
+    return placed.withColumn("_p", turn.cast("int")).repartitionById(wanted, "_p").sortWithinPartitions("_i").drop("_i", "_p")
+
+
 def rank_by_hash(
     df: DataFrame, *, hash_col: str, by: list[str] | None = None, tie: list[str] = (), out: str, total: str | None = None, rows: int
 ) -> DataFrame:

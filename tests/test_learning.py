@@ -13,6 +13,7 @@ from tableworks.operators import features as X
 from tableworks.operators import margin, tube
 from tableworks.operators import models as L
 from tableworks.operators.forests import nested_predictions
+from tableworks.operators.ordering import dealt
 from tableworks.operators import sampling as K
 
 
@@ -313,3 +314,27 @@ def test_the_fits_of_a_search_have_as_many_tasks_as_there_are_cores(spark, monke
     rows = spark.createDataFrame([(i, float(i % 17), float(i % 17) ** 2) for i in range(300)], "id LONG, x DOUBLE, y DOUBLE").coalesce(1)
     L.search_forest_regressor(rows, target="y", key="id", trials=1, k=2)
     assert seen[0] == spark.sparkContext.defaultParallelism
+
+
+def test_rows_of_many_partitions_are_dealt_evenly_and_stay_whole(spark):
+    cores = spark.sparkContext.defaultParallelism
+    rows = spark.createDataFrame(spark.sparkContext.parallelize([(i, None if i % 7 == 0 else float(i % 3)) for i in range(1003)], 10 * cores), "id LONG, x DOUBLE")
+    parts = dealt(rows).rdd.glom().collect()
+    assert len(parts) == 2 * cores and max(map(len, parts)) - min(map(len, parts)) <= 10 * cores and min(map(len, parts)) > 20
+    assert sorted(r for part in parts for r in part) == sorted(rows.collect()) and parts == dealt(rows).rdd.glom().collect()
+    assert all([r.id for r in part] == sorted(r.id for r in part) for part in parts)
+    for kept in (cores, 2 * cores):
+        assert dealt(rows.coalesce(kept)).rdd.getNumPartitions() == kept
+    assert dealt(rows.coalesce(1)).rdd.getNumPartitions() == cores
+
+
+@pytest.mark.parametrize("kind, train, target", [(RandomForestRegressor, L.train_forest_regressor, "y"), (RandomForestClassifier, L.train_forest_classifier, "c")])
+def test_the_tasks_of_a_forest_pass_do_not_grow_with_the_partitions_of_its_rows(spark, monkeypatch, kind, train, target):
+    seen, fit = [], kind.fit
+    monkeypatch.setattr(kind, "fit", lambda self, rows, *a: seen.append((rows.rdd.getNumPartitions(), rows.count())) or fit(self, rows, *a))
+    cores = spark.sparkContext.defaultParallelism
+    rows = spark.createDataFrame(spark.sparkContext.parallelize([(float(i % 17), float(i % 17) ** 2, str(i % 17 > 8)) for i in range(600)], 10 * cores), "x DOUBLE, y DOUBLE, c STRING")
+    model = train(rows, target=target, trees=3, depth=4, ignore=["c" if target == "y" else "y"])
+    assert seen == [(2 * cores, 600)] and not rows.storageLevel.useMemory
+    scores = L.holdout_score(model, rows, target=target, task="regression" if target == "y" else "classification")
+    assert scores.get("r2", 0) > 0.9 or scores.get("accuracy") == 1.0
