@@ -6,7 +6,9 @@ import json
 import math
 import random
 import uuid
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -128,6 +130,10 @@ class PenalizedSVC(_PenaltyEstimator):
         return out
 
 
+#: Estimators of Spark that pass over the rows many times.
+MANY_PASSES = (PenalizedLogistic, RandomForestClassifier, RandomForestRegressor)
+
+
 class RidgeRegression(_PenaltyEstimator):
     """Least squares with the penalty ``alpha`` on the summed squares. Spark scales the label
     inside, hence the factor of its spread."""
@@ -223,41 +229,51 @@ class Trained:
     metrics: dict
 
 
-def _fit_pipeline(train: DataFrame, *, target: str, task: str, estimator: Estimator, ignore: list[str] = ()) -> PipelineModel:
-    """Preparation and model fitted on the same rows, which are cached meanwhile; a cache of the caller's is used and kept."""
-    require_columns(train, target)
-    rows, vectors = train, None
-    own = not (train.storageLevel.useMemory or train.storageLevel.useDisk)
+@contextmanager
+def _cached(rows: DataFrame) -> Iterator[None]:
+    """Rows that are read several times, cached meanwhile; a cache of the caller's is used and kept."""
+    own = not (rows.storageLevel.useMemory or rows.storageLevel.useDisk)
     if own:
-        train.persist(StorageLevel.MEMORY_AND_DISK)
+        rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        fitted = TableFeaturizer(targetCol=target, ignoreCols=list(ignore)).fit(rows)
-        decode = []
-        if task == "classification":
-            indexer = _label_indexer(target).fit(rows)
-            decode = [IndexToString(inputCol="prediction", outputCol="predictions", labels=indexer.labels)]
-            labelled = indexer.transform(rows)
-        else:
-            labelled = rows.withColumn(LABEL, F.col(target).cast("double"))
-        vectors = fitted.transform(labelled).select("features", LABEL).persist(StorageLevel.MEMORY_AND_DISK)
-        estimator = _named(estimator)
-        fit_rows = dealt(vectors) if isinstance(estimator, (RandomForestClassifier, RandomForestRegressor)) else vectors
-        return PipelineModel(stages=[fitted, estimator.fit(fit_rows), *decode])
+        yield
     finally:
-        if vectors is not None:
-            vectors.unpersist()
         if own:
-            train.unpersist()
+            rows.unpersist()
+
+
+def _fit_pipeline(train: DataFrame, *, target: str, task: str, estimator: Estimator, ignore: list[str] = ()) -> PipelineModel:
+    """Preparation and model fitted on the same rows."""
+    require_columns(train, target)
+    rows, vectors = train, None
+    with _cached(train):
+        try:
+            fitted = TableFeaturizer(targetCol=target, ignoreCols=list(ignore)).fit(rows)
+            decode = []
+            if task == "classification":
+                indexer = _label_indexer(target).fit(rows)
+                decode = [IndexToString(inputCol="prediction", outputCol="predictions", labels=indexer.labels)]
+                labelled = indexer.transform(rows)
+            else:
+                labelled = rows.withColumn(LABEL, F.col(target).cast("double"))
+            vectors = fitted.transform(labelled).select("features", LABEL).persist(StorageLevel.MEMORY_AND_DISK)
+            estimator = _named(estimator)
+            fit_rows = dealt(vectors) if isinstance(estimator, MANY_PASSES) else vectors
+            return PipelineModel(stages=[fitted, estimator.fit(fit_rows), *decode])
+        finally:
+            if vectors is not None:
+                vectors.unpersist()
 
 
 def _spread(vectors: DataFrame) -> DataFrame:
     """The same rows from a table of their own, for all cores. A plan that starts from a table is planned
-    quickly by the many jobs of a fold, but small tables come in few files, and every pass would have few tasks."""
+    quickly by the many jobs of a fold, but small tables come in few files, and every pass would have few tasks; others in
+    so many that every pass would be busy with its tasks."""
     spark = vectors.sparkSession
     path = scratch_path(spark, "vectors")
     vectors.write.parquet(path)
     stored, cores = spark.read.schema(vectors.schema).parquet(path), spark.sparkContext.defaultParallelism
-    return stored if stored.rdd.getNumPartitions() >= cores else stored.repartition(cores)
+    return dealt(stored) if stored.rdd.getNumPartitions() >= cores else stored.repartition(cores)
 
 
 def _label_indexer(target: str) -> StringIndexer:
@@ -344,16 +360,8 @@ def train_all_and_rank(
             scores["train_accuracy"] = holdout_score(model, train, target=target, task=task)["accuracy"]
         return Trained(name, task, model, scores)
 
-    # All families read the training rows several times; a cache of the caller's is used and kept.
-    own = not (train.storageLevel.useMemory or train.storageLevel.useDisk)
-    if own:
-        train.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        with ThreadPoolExecutor(parallelism) as pool:
-            results = list(pool.map(run, FAMILIES[task]))
-    finally:
-        if own:
-            train.unpersist()
+    with _cached(train), ThreadPoolExecutor(parallelism) as pool:
+        results = list(pool.map(run, FAMILIES[task]))
     sign = -1 if RANKINGS[primary] else 1
     return sorted(results, key=lambda t: (sign * t.metrics[primary], t.name))
 
@@ -467,7 +475,8 @@ def _search(
 
 def _searcher(task: str, draw, build):
     def search(train: DataFrame, *, target: str, key: str, trials: int = 20, k: int = 3, seed: int = 42, parallelism: int = 8) -> SearchResult:
-        return _search(train, target=target, task=task, key=key, draw=draw, build=build, trials=trials, k=k, seed=seed, parallelism=parallelism)
+        with _cached(train):
+            return _search(train, target=target, task=task, key=key, draw=draw, build=build, trials=trials, k=k, seed=seed, parallelism=parallelism)
 
     return search
 

@@ -338,3 +338,13 @@ def test_the_tasks_of_a_forest_pass_do_not_grow_with_the_partitions_of_its_rows(
     assert seen == [(2 * cores, 600)] and not rows.storageLevel.useMemory
     scores = L.holdout_score(model, rows, target=target, task="regression" if target == "y" else "classification")
     assert scores.get("r2", 0) > 0.9 or scores.get("accuracy") == 1.0
+
+
+def test_the_tasks_of_a_logistic_search_do_not_grow_with_the_partitions_of_its_rows(spark, monkeypatch):
+    seen, fit, cores = [], L.LogisticRegression.fit, spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(L.LogisticRegression, "fit", lambda self, rows, *a: seen.append(rows.rdd.getNumPartitions()) or fit(self, rows, *a))
+    plain = spark.sparkContext.parallelize([(i, float(i % 17), str(i % 17 > 8)) for i in range(600)], 10 * cores)
+    rows = spark.createDataFrame(plain, "id LONG, x DOUBLE, c STRING")
+    found = L.search_logistic(rows, target="c", key="id", trials=2, k=2)
+    assert len(seen) == 5 and max(seen) <= 2 * cores and not rows.storageLevel.useMemory
+    assert found.cv_score > 0.9 and found.metrics["train_accuracy"] > 0.9
