@@ -311,6 +311,29 @@ def test_chat_examples_are_written_out(spark, monkeypatch, turns, chars):
         assert got[c]["formatted_chars"] == sum(len(r["text"]) for (k, _), r in whole.items() if k == c) and got[c]["n_turns"] == len(own)
 
 
+@pytest.mark.parametrize("turns, chars", [(32, 1 << 16), (3, 1 << 16), (32, 50)])
+def test_chat_examples_of_long_conversations_are_whole(spark, monkeypatch, turns, chars):
+    monkeypatch.setattr(chat, "CHUNK_TURNS", turns)
+    monkeypatch.setattr(chat, "CHUNK_CHARS", chars)
+    rng = random.Random(chars)
+    rows = [(c, t, rng.choice(["user", "assistant", None]), rng.choice(["a[INST]", "<|im_end|>\n", "ü" * 9, "", None])) for c, n in ((1, 100), (2, 5), (None, 70)) for t in range(n)]
+    expanded = chat.expand(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    pieces_, texts = {}, {}
+    for r in expanded.collect():
+        if r["piece"] is not None:
+            pieces_[r["conv_id"], r["position"]] = r["piece"]
+        if r["example"]:
+            texts.setdefault((r["conv_id"], r["position"]), []).append((r["text_start"], r["text"]))
+    assert set(texts) == {r[:2] for r in rows if r[2] == "assistant"} and len(pieces_) == len(rows)
+    for (c, t), found in texts.items():
+        assert "".join(x for _, x in sorted(found)) == "".join(pieces_[c, i] for i in range(t + 1))
+    for r in chat.read_back(expanded).collect():
+        own = [x for x in rows if x[0] == r["conv_id"]]
+        assert r["turns_sha256"] == hashlib.sha256("".join(f"{x or ''}\n{y or ''}\n" for _, _, x, y in own).encode()).hexdigest()
+        assert r["loss_sha256"] == hashlib.sha256("".join(y or "" for _, _, x, y in own if x == "assistant").encode()).hexdigest()
+        assert r["formatted_chars"] == sum(len(x) for (c, _), found in texts.items() if c == r["conv_id"] for _, x in found)
+
+
 def test_raking_reaches_targets_and_sampling_follows(spark):
     rng = random.Random(6)
     rows = []
