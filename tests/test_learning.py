@@ -348,3 +348,23 @@ def test_the_tasks_of_a_logistic_search_do_not_grow_with_the_partitions_of_its_r
     found = L.search_logistic(rows, target="c", key="id", trials=2, k=2)
     assert len(seen) == 5 and max(seen) <= 2 * cores and not rows.storageLevel.useMemory
     assert found.cv_score > 0.9 and found.metrics["train_accuracy"] > 0.9
+
+
+@pytest.mark.parametrize("kind, search, train", [(RandomForestRegressor, L.search_forest_regressor, L.train_forest_regressor), (RandomForestClassifier, L.search_forest_classifier, L.train_forest_classifier)])
+def test_forests_keep_the_nodes_that_rows_have_reached_and_stay_the_same(spark, monkeypatch, kind, search, train):
+    from tableworks.operators import forests
+
+    seen, fit = [], kind.fit
+    monkeypatch.setattr(kind, "fit", lambda self, rows, *a: seen.append(self.getCacheNodeIds()) or fit(self, rows, *a))
+    rows = spark.createDataFrame([(i, float(i % 17), float(i * 7 % 23), str(i % 5 + i % 2)) for i in range(400)], "id LONG, x DOUBLE, z DOUBLE, c STRING")
+    rows = rows.withColumn("y", rows.c.cast("double")).drop("c") if kind is RandomForestRegressor else rows.withColumnRenamed("c", "y")
+    found = []
+    for most in (1 << 30, 0):
+        monkeypatch.setattr(forests, "NODE_ID_BYTES", most)
+        tried = search(rows, target="y", key="id", trials=2, k=2)
+        model = train(rows, target="y", trees=5, depth=6, ignore=["id"])
+        stage = next(s for s in model.stages if hasattr(s, "toDebugString"))
+        found.append(([t.cv_score for t in tried.trials.orderBy("trial").collect()], stage.toDebugString.partition("\n")[2]))
+        assert seen and all(kept == (most > 0) for kept in seen)
+        seen.clear()
+    assert found[0] == found[1]
