@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
+import bz2
+import gzip
+import os
+import re
 import time
+import zlib
+from functools import reduce
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -13,6 +20,7 @@ from pyspark.sql import types as T
 
 from ..functions.json import is_json
 from ..operators.ordering import global_position
+from ..session import scratch_path
 
 EXPERIMENT_SCHEMA = (
     "task STRING, dataset_shape ARRAY<BIGINT>, target STRING, model STRING, metrics MAP<STRING, DOUBLE>, "
@@ -44,12 +52,135 @@ def read_table(
     return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
 
 
+#: Files named to Python at a time, bytes of texts that it hands over at a time, and files and bytes that a task reads.
+LISTED, HANDED, FILES_PER_TASK, BYTES_PER_TASK = 10_000, 8 << 20, 20_000, 64 << 20
+#: How Hadoop's readers unpack a file by its ending; of formats that are Hadoop's own, Spark's reader takes the files.
+_UNPACK = {".gz": gzip.decompress, ".bz2": bz2.decompress, ".deflate": zlib.decompress}
+_HADOOPS_OWN = r"\.(zst|lz4|snappy)$"
+#: Names that Spark's readers pass over, files and folders, and characters of a path that are quoted in a location.
+_HIDDEN = r"^\.|^_(?!.*=)|\._COPYING_$"
+_QUOTED = re.compile(r"[^A-Za-z0-9_\-!.~'()*,;:$&+=@/\x80-\U0010ffff]|[\x80-\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
 def read_text_corpus(spark: SparkSession, path: str, *, glob: str | None = None) -> DataFrame:
-    """Every file below ``path``, one row each, with its location."""
+    """Every file below ``path``, one row each, with its location. Files that are empty or hidden are left out and packed ones unpacked
+    by their ending, as Spark's text reader does.
+
+    Folders are listed level by level in tasks and the files are dealt to tasks from a table, as Spark's own index holds all files in the
+    driver, and a partition list of them too. Paths of file systems that Arrow has no access to are read through that index.
+    """
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    system = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    roots = [r.getPath().toUri() for r in system.globStatus(hpath) or ()]
+    uris = [r.toASCIIString() for r in roots]
+    try:
+        tops = [_opened(uri) for uri in uris]
+    except (pa.ArrowException, OSError):
+        tops = []
+    if not tops:
+        return _indexed_texts(spark, [path], glob)
+    local = uris[0].startswith("file:")
+    paths = [r.getPath() if local else top for r, (_, top) in zip(roots, tops)]
+    infos = tops[0][0].get_file_info(paths)
+    start = [(p, info.type == fs.FileType.Directory, info.size or 0) for p, info in zip(paths, infos)]
+    files = _files_below(spark, uris[0], start)
+    if glob:
+        files = files.where(F.col("name").rlike(f"^(?:{jvm.org.apache.hadoop.fs.GlobPattern(glob).compiled().pattern()})$"))
+    # a path of Arrow's is the end of its URI
+    prefix = "file:" if local else uris[0].removesuffix(quote(paths[0], safe="/_-!.~'()*,;:$&+=@"))
+    packed = F.lower("name").rlike(_HADOOPS_OWN)
+    own = [r.path for r in files.where(packed).select("path").collect()]
+    texts = _texts_of(files.where(~packed), uris[0], prefix)
+    return texts.unionByName(_indexed_texts(spark, [prefix + p for p in own])) if own else texts
+
+
+def _opened(uri: str) -> tuple[fs.FileSystem, str]:
+    return (fs.LocalFileSystem(), "/") if uri.startswith("file:") else fs.FileSystem.from_uri(uri)
+
+
+def _indexed_texts(spark: SparkSession, paths: list[str], glob: str | None = None) -> DataFrame:
     reader = spark.read.option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.text(path, wholetext=True).select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("source"))
+    return reader.text(paths, wholetext=True).select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("source"))
+
+
+def _files_below(spark: SparkSession, uri: str, start: list[tuple[str, bool, int]]) -> DataFrame:
+    """(path, folder, size, name) of the files at and below ``start``: a table for each level of folders, each folder listed by one task."""
+    schema = "path string, folder boolean, size long"
+
+    def entries(target, folder):
+        if isinstance(target, fs.LocalFileSystem):  # one by one; other systems give a folder's list at once
+            with os.scandir(folder) as found:
+                for e in found:
+                    if e.is_dir() or e.is_file():
+                        yield e.path, e.is_dir(), e.stat().st_size
+        else:
+            for e in target.get_file_info(fs.FileSelector(folder)):
+                yield e.path, e.type == fs.FileType.Directory, e.size or 0
+
+    def table(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.bool_(), pa.int64()))], names=["path", "folder", "size"])
+
+    def listed(batches):
+        target, _ = _opened(uri)
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                rows = []
+                for entry in entries(target, folder):
+                    rows.append(entry)
+                    if len(rows) == LISTED:
+                        yield table(rows)
+                        rows = []
+                if rows:
+                    yield table(rows)
+
+    name = F.regexp_extract("path", "([^/]*)/*$", 1)
+    found, levels = spark.createDataFrame(start, schema).withColumn("name", name), []
+    folders = found.where("folder")
+    while True:
+        # a root is read whatever its name, if it is no file
+        levels.append(found.where(~F.col("folder") & (F.col("size") > 0) & ~F.col("name").rlike(_HIDDEN)))
+        n = folders.count()
+        if n == 0:
+            return reduce(DataFrame.unionByName, levels)
+        path = scratch_path(spark, "files")
+        dealt = folders.select("path").repartition(min(n, 4 * spark.sparkContext.defaultParallelism))
+        dealt.mapInArrow(listed, schema).write.parquet(path)
+        found = spark.read.schema(schema).parquet(path).withColumn("name", name)
+        folders = found.where(F.col("folder") & ~F.col("name").rlike(_HIDDEN))
+
+
+def _texts_of(files: DataFrame, uri: str, prefix: str) -> DataFrame:
+    n, size = files.agg(F.count("*"), F.sum("size")).first()
+    parts = max(2 * files.sparkSession.sparkContext.defaultParallelism, n // FILES_PER_TASK, (size or 0) // BYTES_PER_TASK)
+
+    def read(batches):
+        target, _ = _opened(uri)
+
+        def table(texts, sources):
+            return pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), pa.array(sources, pa.string())], names=["text", "source"])
+
+        for batch in batches:
+            texts, sources, held = [], [], 0
+            for path in batch.column(0).to_pylist():
+                with target.open_input_stream(path, compression=None) as file:
+                    data = file.read()
+                for ending, unpack in _UNPACK.items():
+                    if path.lower().endswith(ending):
+                        data = unpack(data)
+                texts.append(data)
+                sources.append(prefix + _QUOTED.sub(lambda m: quote(m[0]), path))
+                held += len(data)
+                if held >= HANDED:
+                    yield table(texts, sources)
+                    texts, sources, held = [], [], 0
+            if texts:
+                yield table(texts, sources)
+
+    found = files.select("path").repartition(max(1, min(n, parts))).mapInArrow(read, "text binary, source string")
+    return found.select(F.col("text").cast("string").alias("text"), "source")
 
 
 #: Characters that a folder name of a partition column cannot hold as they are.

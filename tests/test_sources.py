@@ -108,3 +108,37 @@ def test_pages_are_made_once_for_an_export(spark, tmp_path):
     S.export_pages(spark.range(50).repartition(4).mapInArrow(page, "id long"), f"{tmp_path}/pages", by=["id"])
     assert made.value == 50 and sorted(r.id for r in spark.read.parquet(f"{tmp_path}/pages").collect()) == list(range(50))
     assert [p.name for p in tmp_path.iterdir()] == ["pages"]
+
+
+def test_text_folders_are_read_without_an_index_in_the_driver(spark, tmp_path, monkeypatch):
+    import bz2
+    import gzip
+    import zlib
+
+    top = tmp_path / "a b" / "c%20ü=x"
+    files = {
+        "x y%é+.txt": b"one\xff\n", "empty": b"", "_h/in": b"h", "_k=1/in": b"k", ".q/in": b"q", ".hid": b"h", "_hid": b"h", "_x=y": b"xy", "_metadata": b"m",
+        "z.gz": gzip.compress(b"gz") + gzip.compress(b"2"), "Z.BZ2": bz2.compress(b"bz"), "z.deflate": zlib.compress(b"de"), "s/bom": b"\xef\xbb\xbfbom\r\n",
+        "s/w._COPYING_": b"c", "s/t/u/v": b"deep", "s/[q] {r};'#~": b"marks\x00",
+    }
+    for name, data in files.items():
+        (top / name).parent.mkdir(parents=True, exist_ok=True)
+        (top / name).write_bytes(data)
+    (tmp_path / "a b" / "_top").mkdir()
+    (tmp_path / "a b" / "_top" / "f").write_text("under a hidden root")
+
+    def rows(df):
+        return sorted((r.source, bytes(r.text)) for r in df.selectExpr("source", "cast(text AS binary) AS text").collect())
+
+    cases = [(str(tmp_path / "a b"), None), (str(tmp_path / "a*" / "*x"), "{x,z}*"), (str(top / "z.gz"), None), (str(tmp_path / "a b" / "_top"), None), (str(tmp_path), "*.nothing")]
+    expected = [rows(S._indexed_texts(spark, [p], g)) for p, g in cases]
+    assert len(expected[0]) >= 8 and expected[1] and expected[3] and not expected[4]
+    monkeypatch.setattr(S, "_indexed_texts", None)
+    for batch in (S.LISTED, 2):
+        monkeypatch.setattr(S, "LISTED", batch)
+        assert [rows(S.read_text_corpus(spark, p, glob=g)) for p, g in cases] == expected
+
+
+def test_a_text_folder_that_is_missing_is_an_error(spark, tmp_path):
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        S.read_text_corpus(spark, str(tmp_path / "none"))
