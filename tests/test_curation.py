@@ -211,6 +211,19 @@ def test_bm25_with_repeated_keys_and_many_queries(spark, tmp_path, monkeypatch,
     assert not re.search(r"hashpartitioning\(query#\w+, doc#", out._jdf.queryExecution().executedPlan().toString())  # pairs are not shuffled
 
 
+def test_bm25_index_holds_a_row_for_each_block_and_term_and_no_other_copy(spark, tmp_path):
+    rng = random.Random(8)
+    docs = [(i % 90, prose(rng, rng.randint(1, 40))) for i in range(100)] + [(None, "w1"), (None, "w1 w2"), (95, None), (96, "...")]
+    index = bm25.bm25_index(spark.createDataFrame(docs, TEXTS), str(tmp_path / "x"), key="doc_id", text="text", block_docs=20)
+    assert sorted(p.name for p in (tmp_path / "x").iterdir()) == ["frequency", "postings"]
+    bags, rows = {}, index.postings.collect()
+    for d, t in docs:
+        bags.setdefault(d, Counter()).update(re.findall(r"\w+", t or ""))
+    assert len({(r.block, r.term) for r in rows}) == len(rows) and len({r.block for r in rows}) > 2
+    found = {(d, r.term): (tf, size) for r in rows for d, tf, size in zip(r.docs, r.tfs, r.sizes, strict=True)}
+    assert found == {(d, w): (tf, b.total()) for d, b in bags.items() for w, tf in b.items()}
+
+
 # --- schemas ---------------------------------------------------------------------------------------
 
 
